@@ -54,34 +54,81 @@ class Prefixes(dict):
         with open(path, encoding="utf-8") as f:
             self.special = [x["content"] for x in json.load(f)["added_tokens"]]
         self.model = tokenizer.model
-        self.vocab = {k: v for k, v in tokenizer.get_vocab(with_added_tokens=False).items() if len(self.model.tokenize(k)) == 1}
-        self.longest = max(map(len, self.vocab))
+        #: Each token, and each end of one: whether it is a token itself.
+        self.known: dict[str, bool] = {}
+        for token in tokenizer.get_vocab(with_added_tokens=False):
+            for k in range(1, len(token)):
+                self.known.setdefault(token[k:], False)
+            if len(self.model.tokenize(token)) == 1:
+                self.known[token] = True
         self.show = dict(enumerate(printable()))
-        self.fit: dict[tuple[str, str], bool] = {}
+        #: token -> token that may follow -> whether the two are the encoding of their text
+        self.fit: dict[str, dict[str, bool]] = {"": {}}
+        self.n_pairs = 0
 
     def fits(self, a: str, b: str) -> bool:
-        found = [x.value for x in self.model.tokenize(a + b)] == [a, b]
-        if len(self.fit) < KEPT_PAIRS:
-            self.fit[a, b] = found
+        found = not a or [x.value for x in self.model.tokenize(a + b)] == [a, b]
+        if self.n_pairs < KEPT_PAIRS:
+            self.fit.setdefault(a, {})[b] = found
+            self.n_pairs += 1
         return found
 
+    def walk(self, texts: list[str]) -> Iterator[list[int]]:
+        """Tokens of each prefix of each text (in the byte-level alphabet, from the empty prefix on). What a text shares with the
+        one before it is not worked out again, so sorted texts are best."""
+        known, fit = self.known.get, self.fit
+        before, last, count = "", [""], [0]
+        for text in texts:
+            same, most = 0, min(len(text), len(before))
+            while same < most and text[same] == before[same]:
+                same += 1
+            del last[same + 1 :], count[same + 1 :]
+            for j in range(same + 1, len(text) + 1):
+                for i in range(j - 1, -1, -1):
+                    token = text[i:j]
+                    if whole := known(token):
+                        prior = last[i]
+                        after = fit.get(prior)
+                        fine = after.get(token) if after is not None else None
+                        if self.fits(prior, token) if fine is None else fine:
+                            last.append(token)
+                            count.append(count[i] + 1)
+                            break
+                    elif whole is None:
+                        raise ValueError(f"no token of the vocabulary ends {text[:j]!r}")
+            before = text
+            yield count
+
     def counts(self, piece: bytes) -> list[int]:
         """Tokens of each prefix of one pre-token, in bytes."""
-        text = piece.decode("latin-1").translate(self.show)
-        vocab, fit, longest = self.vocab, self.fit, self.longest
-        last, count = [""], [0]
-        for j in range(1, len(text) + 1):
-            for i in range(max(0, j - longest), j):
-                token = text[i:j]
-                if token in vocab:
-                    if not i:
-                        break
-                    fine = fit.get((last[i], token))
-                    if fine or fine is None and self.fits(last[i], token):
-                        break
-            last.append(token)
-            count.append(count[i] + 1)
-        return count[1:]
+        return next(self.walk([piece.decode("latin-1").translate(self.show)]))[1:]
+
+    def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """The tables of units."""
+        out, plain = {}, {}
+        for unit in new:
+            if unit in CONTRACTIONS or unit[0] >= 128 or unit[0] in BLANK and not (unit[0] == 0x20 and unit[1:2].isalnum()):
+                out[unit] = self.changes(self.unit(unit))
+            else:
+                plain[unit.decode("latin-1").translate(self.show)] = unit
+        texts = sorted(plain)
+        for text, count in zip(texts, self.walk(texts)):
+            out[plain[text]] = bytes([(b - a) & 255 for a, b in zip(count, count[1:])])
+        return out
+
+    @staticmethod
+    def changes(counts: list[int]) -> bytes:
+        return bytes([(b - a) & 255 for a, b in zip([0, *counts], counts)])
+
+    def tables(self, rows: list[list[bytes]]) -> list[bytes]:
+        known, new = self, set().union(*rows).difference(self)
+        if new:
+            learnt = self.learn(new)
+            if len(self) + len(learnt) <= KEPT:
+                self.update(learnt)
+            else:
+                known = {x: self[x] for row in rows for x in row if x in self} | learnt
+        return [b"".join(map(known.__getitem__, row)) for row in rows]
 
     def unit(self, unit: bytes) -> list[int]:
         if unit in CONTRACTIONS:  # its prefixes are an apostrophe and letters
@@ -102,13 +149,6 @@ class Prefixes(dict):
         base += self.counts(unit[before : len(whole)])[-1]
         return whole + [base + x for x in self.unit(unit[len(whole) :])]
 
-    def __missing__(self, unit: bytes) -> bytes:
-        counts = self.unit(unit)
-        out = bytes([(b - a) & 255 for a, b in zip([0, *counts], counts)])
-        if len(self) < KEPT:
-            self[unit] = out
-        return out
-
 
 @functools.cache
 def prefixes(path: str) -> Prefixes:
@@ -124,21 +164,20 @@ def blank(piece: bytes) -> bool:
 
 def units(parts: list[bytes]) -> list[bytes]:
     """Pre-tokens, with each run of white space joined to the pre-token that took its last character."""
-    out, held = [], b""
-    for part in parts:
-        if held:
-            if blank(part):
-                held += part
-            else:
-                out.append(held + part)
-                held = b""
-        elif blank(part):
-            held = part
-        else:
-            out.append(part)
-    if held:
-        out.append(held)
-    return out
+    hits = [k for k, p in enumerate(parts) if p.isspace() or not p.isascii() and blank(p)]
+    if not hits:
+        return parts
+    out, at = [], 0
+    for k in hits:
+        if k < at:
+            continue
+        out += parts[at:k]
+        at = k + 1
+        while at < len(parts) and blank(parts[at]):
+            at += 1
+        at = min(at + 1, len(parts))
+        out.append(b"".join(parts[k:at]))
+    return out + parts[at:]
 
 
 def tables(texts: list[str], path: str) -> list[bytes]:
@@ -156,8 +195,7 @@ def tables(texts: list[str], path: str) -> list[bytes]:
         ended.append(-1)
         where += [k] * len(parts)
     out: list[list[bytes]] = [[] for _ in texts]
-    for k, before, parts in zip(where, ended, pieces(plain)):
-        table = b"".join(map(known.__getitem__, units(parts)))
+    for k, before, table in zip(where, ended, known.tables([units(p) for p in pieces(plain)])):
         if before >= 0:
             changes = np.frombuffer(table, np.int8).copy()
             changes[-1] = int(changes[:before].sum()) + 1 - int(changes[:-1].sum())
