@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import byte_bpe, exact_dedup, mixing, token_counts, token_files
+from marginalia.llm import byte_bpe, exact_dedup, mixing, pii, quality, secret_scan, simhash, token_counts, token_files, vector_search
+from marginalia.llm import spans as span_columns
 from marginalia.llm.common import table
 
 SOURCE_WEIGHTS = [3, 1, 2]
 END_ID = 2
 TOKEN_LIMIT = 1024
+QUERY_EVERY = 100
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,17 +24,38 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32", "file")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = token_counts.prefix_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", token_counts.over_limit(TOKEN_LIMIT).alias("over_limit"))
 
 
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0, k=10, scale=1024)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, SOURCE_WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets_in(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [span_columns.count_of(k).alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    return found.select("doc_id", *counts, *span_columns.digest_columns(secret_scan.BASE_KINDS))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -40,14 +63,32 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data_in(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [span_columns.count_of(k).alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, *span_columns.digest_columns(pii.BASE_KINDS))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op4_token_counts, op6_mixing, op8_byte_bpe, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_token_files, op2_simhash, op3_quality, op4_token_counts, op5_vector_search, op6_mixing, op7_secrets, op8_byte_bpe, op9_personal_data, op10_exact_dedup,
+)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_vector_search": """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] for p in list_zip(q.e, c.e)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
     "op6_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS mark,
