@@ -89,7 +89,7 @@ def grow(x: np.ndarray, y: np.ndarray) -> Trees:
     """Boosts trees on the logistic loss, second order, by histograms."""
     mean = float(y.mean()) if y.size else 0.5
     trees = Trees(float(np.log(np.clip(mean, 1e-6, 1 - 1e-6) / np.clip(1 - mean, 1e-6, 1 - 1e-6))))
-    if not 0 < mean < 1:
+    if not y.size or not 0 < mean < 1:
         return trees
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     bins = np.column_stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)])

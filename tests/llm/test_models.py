@@ -1,0 +1,91 @@
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.llm import pii, quality, queries, secret_scan, vector_search
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_quality_held_out(spark, docs, empty):
+    rows = queries.op3_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert np.mean([r.predicted == r.quality for r in held]) > 0.93
+    trees = quality.grow(np.random.default_rng(1).random((300, len(quality.STATISTICS))), np.arange(300) % 2)
+    assert quality.score(empty, trees).collect() == []
+    assert quality.score(docs, trees).count() == docs.count()
+    assert quality.keep_good(docs, trees).columns == docs.columns
+    none = quality.train(docs, spark.createDataFrame([(1, None), (None, 1)], "doc_id bigint, quality int"))
+    assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
+
+
+def brute(pattern, text, fits):
+    return [(m.start(), m.end()) for m in re.finditer(pattern, text) if fits(m)]
+
+
+def test_secret_base_kinds():
+    draw = random.Random(2)
+    al = ["secret=token:abcdefgh", "password", "=", ": ", '"', "AKIA", "ABCD1234EFGH5678", "0123456789abcdef01234567", "deadbeef", " ", "API_KEY='xyz12345'", "ſecret=abcdefg", "\n", "é"]
+    for _ in range(2000):
+        text = "".join(draw.choice(al) for _ in range(draw.randrange(12)))
+        want = [(a, "assign", b) for a, b in brute(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, lambda m: len(m[2]) >= 6)]
+        want += [(a, "access", b) for a, b in brute(r"AKIA[A-Z0-9]+", text, lambda m: len(m[0]) >= 20)]
+        want += [(a, "hex", b) for a, b in brute(r"[0-9a-f]+", text, lambda m: len(m[0]) >= 24)]
+        assert sorted(secret_scan.base_spans(text)) == sorted(want)
+
+
+def test_secret_models(docs, empty):
+    secrets, plain = secret_scan.labelled_samples(500, 99)
+    find = secret_scan.finder(*secret_scan.labelled_samples())
+    assert np.mean([bool(find(s)) for s in secrets]) > 0.8
+    assert np.mean([any(k == "random" for _, k, _ in find(s)) for s in plain]) < 0.01
+    assert secret_scan.secrets_in(docs).count() == docs.count()
+    assert secret_scan.secrets_in(empty).collect() == []
+
+
+def test_personal_base_kinds():
+    draw = random.Random(4)
+    al = ["a", "b.c", "@", "@x.com", ".", "x-y", "1", "255", "256", "1.2.3.4", "001.2.3", "4111 1111 1111 1111", "-", " ", "+49 (30) 12345", "+", "é", "4", "0", "9999", "\n"]
+    luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda m: re.sub(r"[^0-9]", "", m[0])
+    for _ in range(4000):
+        text = "".join(draw.choice(al) for _ in range(draw.randrange(14)))
+        want = [(a, "email", b) for a, b in brute(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text, lambda m: True)]
+        want += [(a, "ip", b) for a, b in brute(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text, lambda m: all(int(x) <= 255 for x in m[0].split(".")))]
+        want += [(a, "card", b) for a, b in brute(r"[0-9]([\x20-]?[0-9])+", text, lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m)))]
+        want += [(a, "phone", b) for a, b in brute(r"\+[0-9][\x20().0-9-]+[0-9]", text, lambda m: 9 <= len(digits(m)) <= 15)]
+        assert sorted(pii.base_spans(text)) == sorted(want)
+
+
+def test_personal_models(spark, docs, empty):
+    lines = [f"Please call me, my phone is 415-555-{k:04d} thanks" for k in range(1000, 1040)] + [f"see version 123 456 {k:04d}" for k in range(40)] + [f"my ssn: 212-34-{k:04d}" for k in range(1000, 1040)]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id bigint, text string")
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.personal_data_in(rows).collect()}
+    assert np.mean([found[k] != [] for k in range(40)]) > 0.8 and np.mean([found[k] != [] for k in range(80, 120)]) > 0.8
+    assert sum(found[k] != [] for k in range(40, 80)) == 0
+    assert pii.personal_data_in(docs).count() == docs.count()
+    assert pii.personal_data_in(empty).collect() == []
+
+
+@pytest.mark.parametrize("dims", [3, 17])
+def test_vector_search(spark, dims):
+    rng = np.random.default_rng(dims)
+    rows = [(k, rng.normal(size=dims).astype(np.float32).tolist()) for k in range(300)]
+    rows += [(k, rows[7][1]) for k in range(300, 400)]
+    rows += [(400, None), (500, [None] * dims), (600, [math.nan] * dims), (700, [math.inf] * dims), (800, [0.5] * (dims + 1)), rows[0], rows[100]]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = [tuple(r) for r in vector_search.top_k(table, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
+    fit = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if v and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q, v in dict(fit).items():
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fit if i != q)[:10]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+    assert vector_search.top_k(table.limit(0), F.col("vec_id") % 100 == 0).collect() == []
