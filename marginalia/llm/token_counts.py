@@ -30,7 +30,7 @@ from marginalia.llm.common import bounded_batches
 from marginalia.llm.pretokens import LONG, SHORT, WHITE_SPACE, pieces
 
 #: Distinct units that a worker keeps, and pairs of tokens.
-KEPT, KEPT_PAIRS = 500_000, 1_000_000
+KEPT, KEPT_PAIRS = 250_000, 300_000
 BLANKS = b"\x20\t\n\x0b\x0c\r"
 BLANK, WHITE = frozenset(BLANKS), frozenset(map(chr, WHITE_SPACE))
 CONTRACTIONS = frozenset(f"'{x}".encode() for x in (*SHORT, *LONG))
