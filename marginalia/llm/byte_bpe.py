@@ -22,7 +22,7 @@ from marginalia.llm.common import bounded_batches
 from marginalia.llm.pretokens import pieces
 
 #: Distinct pre-tokens that a worker keeps merged.
-KEPT = 600_000
+KEPT = 300_000
 
 
 @functools.cache

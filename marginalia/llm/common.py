@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches are cut at this many bytes, so that a run of very long texts does not fill a Python worker.
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
