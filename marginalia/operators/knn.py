@@ -30,7 +30,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 3, above: float = 0.4, i
     a query and block at most.
     """
     n_left, n_right = (max(1, -(-d.count() // block)) for d in (left, right))
-    a = _blocks(left, id_col, vector_col, n_left, "l").withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).cast("long"))
+    a = _blocks(left, id_col, vector_col, n_left, "l").withColumn("r_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))))
     pairs = a.join(_blocks(right, id_col, vector_col, n_right, "r"), "r_block").select("l_ids", "l_m", "r_ids", "r_m")
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,11 +1,595 @@
-"""The library's registered queries, each with the SQL that must agree with it."""
+"""The library's registered queries over the driver's tables, each with the SQL that must agree with it.
+
+Tables stand in for the data model: documents for sections (paper = source), embeddings for their vectors, part for symbols and
+canonical works, lineitem for references (paper = l_orderkey), orders for papers, events for stage runs,
+conversations for memory, benchmark for evaluation.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from marginalia.functions import text as T
+from marginalia.functions import vectors as V
+from marginalia.operators import audit, chunking, evaluate, ingest, knn, references, retrieval, structure
 
 FLAGSHIP = "fusion_search"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# vectors --------------------------------------------------------------------------------------------------------
+
+COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+
+
+def scored(spark, sf_dir, *carried: str) -> DataFrame:
+    """Every vector against that of vec_id 0: one row is sent to all tasks."""
+    e = table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    q = e.filter("vec_id = 0").limit(1).select(F.col("embedding").alias("q"))
+    return e.crossJoin(F.broadcast(q)).select("vec_id", *carried, V.cosine(F.col("embedding"), F.col("q")).alias("s"))
+
+
+@query(f"SELECT e.vec_id, round({COS}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {COS} DESC, e.vec_id LIMIT 30")
+def vec_topk(spark, sf_dir):
+    return scored(spark, sf_dir).orderBy(F.col("s").desc(), "vec_id").limit(30).select("vec_id", F.round("s", 6).alias("score"))
+
+
+@query(f"SELECT e.vec_id, e.label, round({COS}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 1 ORDER BY {COS} DESC, e.vec_id LIMIT 30")
+def vec_topk_scoped(spark, sf_dir):
+    return scored(spark, sf_dir, "label").filter("label = 1").orderBy(F.col("s").desc(), "vec_id").limit(30).select("vec_id", "label", F.round("s", 6).alias("score"))
+
+
+@query(f"SELECT e.vec_id, round({COS}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {COS} >= 0.2")
+def vec_threshold(spark, sf_dir):
+    return scored(spark, sf_dir).filter("s >= 0.2").select("vec_id", F.round("s", 6).alias("score"))
+
+
+@query(
+    """WITH p AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+  r AS (SELECT id, neighbour, s, CAST(row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, neighbour) AS INTEGER) AS rank FROM p WHERE s > 0.2)
+  SELECT id, neighbour, rank, round(s, 6) AS similarity FROM r WHERE rank <= 3"""
+)
+def neighbours_excl_self(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return knn.nearest(e, e, k=3, above=0.2).select("id", "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    """SELECT e.vec_id, e.v = e.embedding AS same FROM (SELECT vec_id, embedding, CAST(CAST(to_json(embedding) AS JSON) AS FLOAT[]) AS v FROM embeddings) e"""
+)
+def vector_text(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", (V.parse(V.render(F.col("embedding"))) == F.col("embedding")).alias("same"))
+
+
+# joins ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_brand, 1.0::DOUBLE AS lexical_score FROM part WHERE lower(p_brand) = lower('brand#12') OR lower(p_type) = lower('brand#12') ORDER BY p_partkey LIMIT 30")
+def exact_match(spark, sf_dir):
+    hit = (F.lower("p_brand") == "brand#12") | (F.lower("p_type") == "brand#12")
+    return table(spark, sf_dir, "part").filter(hit).orderBy("p_partkey").limit(30).select("p_partkey", "p_brand", F.lit(1.0).alias("lexical_score"))
+
+
+@query(
+    f"""SELECT d.doc_id, round({COS}, 6) AS score FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+  WHERE {COS} > 0.3 OR d.text ILIKE '%tion %' ORDER BY score DESC NULLS FIRST, d.doc_id LIMIT 50"""
+)
+def title_or_vector(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    joined = d.join(scored(spark, sf_dir), F.col("doc_id") == F.col("vec_id"), "left")
+    return joined.filter((F.col("s") > 0.3) | F.col("text").ilike("%tion %")).select("doc_id", F.round("s", 6).alias("score")).orderBy(F.col("score").desc_nulls_first(), "doc_id").limit(50)
+
+
+@query("SELECT d.doc_id, d.source, e.label, 'SECTION:' || d.doc_id AS evidence_key, 'SECTION' AS evidence_type, concat_ws(' ', d.source, d.lang) AS content FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id")
+def join_chunk_paper(spark, sf_dir):
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    joined = d.select("doc_id", "source", "lang").join(e, F.col("doc_id") == F.col("vec_id"))
+    return joined.select("doc_id", "source", "label", F.concat(F.lit("SECTION:"), "doc_id").alias("evidence_key"), F.lit("SECTION").alias("evidence_type"), F.concat_ws(" ", "source", "lang").alias("content"))
+
+
+@query("SELECT l.l_orderkey, l.l_linenumber, p.p_name, o.o_orderstatus FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_quantity >= 48")
+def join_ref_canonical_paper(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").filter("l_quantity >= 48").select("l_orderkey", "l_linenumber", "l_partkey")
+    c, p = table(spark, sf_dir, "part").select("p_partkey", "p_name"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return r.join(c, F.col("l_partkey") == F.col("p_partkey")).join(p, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "p_name", "o_orderstatus")
+
+
+@query("SELECT p.p_partkey, p.p_brand, l.l_orderkey, o.o_totalprice FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey AND o.o_orderstatus = 'F' WHERE l.l_quantity = 50")
+def left_reference_paper(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select("l_orderkey", "l_partkey")
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return r.join(p, F.col("l_partkey") == F.col("p_partkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("p_partkey", "p_brand", "l_orderkey", "o_totalprice")
+
+
+@query("SELECT d.doc_id, e.label FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id")
+def left_section_paper(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return table(spark, sf_dir, "documents").select("doc_id").join(e, F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", "label")
+
+
+REF_SQL = "SELECT l_orderkey AS paper_id, CASE WHEN l_linenumber % 2 = 0 THEN '[' || l_linenumber || ']' ELSE CAST(l_linenumber AS VARCHAR) END AS ref_index, l_partkey AS global_ref_id FROM lineitem"
+
+
+def refs(spark, sf_dir) -> DataFrame:
+    n = F.col("l_linenumber").cast("string")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("["), n, F.lit("]"))).otherwise(n).alias("ref_index"), F.col("l_partkey").alias("global_ref_id"))
+
+
+@query(f"SELECT r.paper_id, r.ref_index, p.p_name AS title FROM ({REF_SQL}) r JOIN part p ON r.global_ref_id = p.p_partkey WHERE r.ref_index IN ('2', '[2]')")
+def ref_lookup_bracketed(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("global_ref_id"), F.col("p_name").alias("title"))
+    return references.by_index(refs(spark, sf_dir), "2").join(p, "global_ref_id").select("paper_id", "ref_index", "title")
+
+
+@query(f"SELECT r.paper_id, r.ref_index, p.p_name AS title FROM ({REF_SQL}) r JOIN part p ON r.global_ref_id = p.p_partkey WHERE r.paper_id = 7 AND r.ref_index IN ('1', '[1]')")
+def ref_lookup(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("global_ref_id"), F.col("p_name").alias("title"))
+    return references.by_index(refs(spark, sf_dir).filter("paper_id = 7"), "1").join(p, "global_ref_id").select("paper_id", "ref_index", "title")
+
+
+@query("SELECT p.p_partkey, p.p_name AS title, c.n AS citation_count FROM part p LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) c ON p.p_partkey = c.l_partkey ORDER BY c.n DESC NULLS FIRST, p.p_partkey LIMIT 5")
+def top_cited(spark, sf_dir):
+    counts = references.popularity(table(spark, sf_dir, "lineitem"), "l_partkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
+    return p.join(counts, F.col("p_partkey") == F.col("l_partkey"), "left").orderBy(F.col("citation_count").desc_nulls_first(), "p_partkey").limit(5).select("p_partkey", "title", "citation_count")
+
+
+@query("SELECT l_orderkey AS paper_id, count(*) AS n_references, count(DISTINCT l_partkey) AS n_works FROM lineitem GROUP BY 1")
+def counts_per_paper(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("paper_id")).agg(F.count(F.lit(1)).alias("n_references"), F.countDistinct("l_partkey").alias("n_works"))
+
+
+@query("SELECT p_brand, p_partkey, n FROM (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS n FROM part) WHERE n <= 5")
+def first5_symbols(spark, sf_dir):
+    n = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
+    return table(spark, sf_dir, "part").select("p_brand", "p_partkey", n.alias("n")).filter("n <= 5")
+
+
+@query(f"SELECT paper_id, ref_index, known.p_name AS title FROM (SELECT DISTINCT paper_id, ref_index, global_ref_id FROM ({REF_SQL}) WHERE paper_id % 10 = 0) r LEFT JOIN part known ON r.global_ref_id = known.p_partkey AND known.p_size > 20")
+def cited_works_fallback(spark, sf_dir):
+    r = refs(spark, sf_dir).filter("paper_id % 10 = 0").distinct()
+    p = table(spark, sf_dir, "part").filter("p_size > 20").select(F.col("p_partkey").alias("global_ref_id"), F.col("p_name").alias("title"))
+    return r.join(p, "global_ref_id", "left").select("paper_id", "ref_index", "title")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 10)")
+def canonical_to_insert(spark, sf_dir):
+    known = table(spark, sf_dir, "lineitem").filter("l_quantity > 10").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf_dir, "part").select("p_partkey").join(known, "p_partkey", "left_anti").select(F.col("p_partkey").alias("id"))
+
+
+# lexical and fused search ---------------------------------------------------------------------------------------
+
+def query_text(spark, sf_dir) -> str:
+    return table(spark, sf_dir, "benchmark").filter("item_id = 0").select("text").first()[0]
+
+
+def lexical(spark, sf_dir) -> DataFrame:
+    """doc_id, n: how many distinct words of the query the text has. The query is one row, so its terms are literals."""
+    d = table(spark, sf_dir, "documents")
+    terms = spark.range(1).select(T.query_terms(F.lit(query_text(spark, sf_dir))).alias("t")).first()[0]
+    n = F.size(F.array_intersect(T.query_terms("text"), F.array(*[F.lit(t) for t in terms]))) if terms else F.lit(0)
+    return d.select("doc_id", n.cast("long").alias("n"))
+
+
+LEX_SQL = """SELECT d.doc_id, CAST(len(list_intersect([t for t in list_distinct(regexp_split_to_array(lower(d.text), '[^\\p{L}\\p{N}]+')) if len(t) > 0], q.terms)) AS BIGINT) AS n
+  FROM documents d, (SELECT [t for t in list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) if len(t) > 0] AS terms FROM benchmark WHERE item_id = 0) q"""
+
+
+@query(f"SELECT doc_id, n FROM ({LEX_SQL}) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 30")
+def lex_topk(spark, sf_dir):
+    return lexical(spark, sf_dir).filter("n > 0").orderBy(F.col("n").desc(), "doc_id").limit(30)
+
+
+def channels(spark, sf_dir) -> DataFrame:
+    none = F.lit(None).cast("double")
+    exact = table(spark, sf_dir, "documents").filter("source = 'src3'").select(F.lit(0).alias("qid"), F.col("doc_id").alias("id"), none.alias("semantic_score"), F.lit(1.0).alias("lexical_score"))
+    lex = lexical(spark, sf_dir).filter("n > 0").select(F.lit(0).alias("qid"), F.col("doc_id").alias("id"), none.alias("semantic_score"), F.col("n").cast("double").alias("lexical_score"))
+    vec = scored(spark, sf_dir).filter("s >= 0.2").select(F.lit(0).alias("qid"), F.col("vec_id").alias("id"), F.col("s").alias("semantic_score"), none.alias("lexical_score"))
+    return retrieval.channel(exact, "EXACT_SYMBOL").unionByName(retrieval.channel(lex, "TEXT_SECTION")).unionByName(retrieval.channel(vec, "VECTOR_SECTION"))
+
+
+CHANNELS_SQL = f"""WITH lex AS ({LEX_SQL}),
+ c1 AS (SELECT 1 AS seq, 1.25 AS weight, 'SYMBOL:' || doc_id AS k, 'SYMBOL' AS evidence_type, 'EXACT_SYMBOL' AS channel, row_number() OVER (ORDER BY doc_id) AS rank, 0.0 AS sem, 1.0 AS lexs FROM documents WHERE source = 'src3'),
+ c2 AS (SELECT 2 AS seq, 1.0 AS weight, 'SECTION:' || doc_id AS k, 'SECTION' AS evidence_type, 'TEXT_SECTION' AS channel, row_number() OVER (ORDER BY n DESC, doc_id) AS rank, 0.0 AS sem, CAST(n AS DOUBLE) AS lexs FROM lex WHERE n > 0),
+ v AS (SELECT e.vec_id, {COS} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
+ c5 AS (SELECT 5 AS seq, 1.0 AS weight, 'SECTION:' || vec_id AS k, 'SECTION' AS evidence_type, 'VECTOR_SECTION' AS channel, row_number() OVER (ORDER BY s DESC, vec_id) AS rank, s AS sem, 0.0 AS lexs FROM v WHERE s >= 0.2),
+ cand AS (SELECT * FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c5) WHERE rank <= 30),
+ fused AS (SELECT k AS evidence_key, min(evidence_type) AS evidence_type, sum(CAST(weight AS DOUBLE) / (60 + rank)) AS f, max(CAST(sem AS DOUBLE)) AS sem, max(CAST(lexs AS DOUBLE)) AS lexs, min(seq * 1000 + rank) AS first, count(DISTINCT channel) AS n_channels FROM cand {{where}} GROUP BY k),
+ ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY round(f, 12) DESC, round(greatest(sem, lexs), 9) DESC, first, evidence_key) AS INTEGER) AS position FROM fused)
+ SELECT evidence_key, evidence_type, position, round(f, 6) AS fusion_score, round(sem, 6) AS semantic_score, round(lexs, 6) AS lexical_score, n_channels FROM ranked WHERE position <= {{limit}}"""
+
+
+def fused_sql(where: str, limit: int) -> str:
+    return CHANNELS_SQL.replace("{where}", where).replace("{limit}", str(limit))
+
+
+def shown(fused: DataFrame) -> DataFrame:
+    return fused.select("evidence_key", "evidence_type", "position", F.round("fusion_score", 6).alias("fusion_score"), F.round("semantic_score", 6).alias("semantic_score"), F.round("lexical_score", 6).alias("lexical_score"), F.size("channels").cast("long").alias("n_channels"))
+
+
+@query(fused_sql("", 8))
+def fusion_search(spark, sf_dir):
+    return shown(retrieval.fuse(channels(spark, sf_dir)))
+
+
+@query(fused_sql("", 1000))
+def rrf_fuse_all(spark, sf_dir):
+    return shown(retrieval.fuse(channels(spark, sf_dir), None))
+
+
+@query(fused_sql("WHERE seq >= 5", 8))
+def rrf_mode_vector(spark, sf_dir):
+    return shown(retrieval.fuse(retrieval.in_mode(channels(spark, sf_dir), "vector")))
+
+
+@query(fused_sql("WHERE seq <= 4", 8))
+def rrf_mode_fulltext(spark, sf_dir):
+    return shown(retrieval.fuse(retrieval.in_mode(channels(spark, sf_dir), "fulltext")))
+
+
+@query(
+    "WITH r AS (" + fused_sql("", 8) + """), s AS (SELECT evidence_key, CAST(row_number() OVER (ORDER BY position) AS INTEGER) AS n, fusion_score FROM r WHERE evidence_type = 'SECTION')
+  SELECT evidence_key AS section_key, n FROM s WHERE n <= CASE WHEN (SELECT fusion_score FROM s WHERE n = 1) / (SELECT fusion_score FROM s WHERE n = 2) >= 1.35 THEN 1 ELSE 2 END"""
+)
+def expand_sections(spark, sf_dir):
+    return retrieval.expansions(retrieval.fuse(channels(spark, sf_dir))).select("section_key", "n")
+
+
+@query(
+    """WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents),
+ m AS (SELECT doc_id, t, greatest(0, coalesce(nullif(least(coalesce(nullif(strpos(lower(t), 'tion'), 0), 1000000000), coalesce(nullif(strpos(lower(t), 'ement'), 0), 1000000000)), 1000000000) - 1, 0) - 233) AS a FROM f),
+ e AS (SELECT *, least(length(t), a + 700) AS z FROM m), s AS (SELECT *, CASE WHEN z - a < 700 THEN greatest(0, z - 700) ELSE a END AS b FROM e)
+ SELECT doc_id, CASE WHEN length(t) <= 700 THEN t ELSE (CASE WHEN b > 0 THEN '...' ELSE '' END) || substr(t, CAST(b + 1 AS BIGINT), CAST(z - b AS BIGINT)) || (CASE WHEN z < length(t) THEN '...' ELSE '' END) END AS quote FROM s"""
+)
+def quote_window(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.quote("text", F.lit("Tion ement the")).alias("quote"))
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n = 1")
+def keep_first_by_key(spark, sf_dir):
+    return retrieval.keep_first(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", F.col("n_chars").desc(), "doc_id").select("source", "doc_id")
+
+
+# outlines and lines ---------------------------------------------------------------------------------------------
+
+
+def tree(spark, sf_dir) -> DataFrame:
+    """Documents of a source as a heap-shaped tree."""
+    idx = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", idx.alias("idx"))
+    up = d.select("source", F.col("doc_id").alias("parent_id"), F.col("idx").alias("p_idx"))
+    return d.withColumn("p_idx", F.when(F.col("idx") > 0, F.floor((F.col("idx") - 1) / 2))).join(up, ["source", "p_idx"], "left").select("source", F.col("doc_id").alias("id"), "idx", "parent_id", F.concat(F.lit("h"), "idx").alias("header"))
+
+
+TREE_SQL = """d AS (SELECT source, doc_id AS id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS idx FROM documents),
+ t AS (SELECT d.source, d.id, d.idx, p.id AS parent_id, 'h' || d.idx AS header FROM d LEFT JOIN d p ON d.source = p.source AND d.idx > 0 AND p.idx = (d.idx - 1) // 2)"""
+
+
+@query(f"WITH RECURSIVE {TREE_SQL}, w AS (SELECT id, header AS heading_path, CAST(1 AS INTEGER) AS level FROM t WHERE parent_id IS NULL UNION ALL SELECT t.id, w.heading_path || ' > ' || t.header, w.level + 1 FROM t JOIN w ON t.parent_id = w.id) SELECT * FROM w")
+def heading_path(spark, sf_dir):
+    return structure.heading_paths(tree(spark, sf_dir), depth=12).select("id", "heading_path", "level")
+
+
+@query(f"WITH RECURSIVE {TREE_SQL}, w AS (SELECT source, id, lpad(CAST(idx AS VARCHAR), 12, '0') AS p FROM t WHERE parent_id IS NULL UNION ALL SELECT t.source, t.id, w.p || ' > ' || lpad(CAST(t.idx AS VARCHAR), 12, '0') FROM t JOIN w ON t.parent_id = w.id) SELECT source AS doc, id, CAST(row_number() OVER (PARTITION BY source ORDER BY p, id) AS INTEGER) AS position FROM w")
+def dfs_order(spark, sf_dir):
+    return structure.depth_first(tree(spark, sf_dir), "source", "id", "parent_id", "idx", depth=12)
+
+
+@query(f"WITH {TREE_SQL} SELECT t.id, t.parent_id AS parent, coalesce(c.children, CAST([] AS BIGINT[])) AS children FROM t LEFT JOIN (SELECT parent_id, list(id ORDER BY id) AS children FROM t WHERE parent_id IS NOT NULL GROUP BY 1) c ON t.id = c.parent_id")
+def outline_tree(spark, sf_dir):
+    return structure.outline_nodes(tree(spark, sf_dir), "id", "parent_id")
+
+
+@query(f"WITH {TREE_SQL} SELECT source, id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id FROM t WINDOW w AS (PARTITION BY source ORDER BY idx, id)")
+def siblings(spark, sf_dir):
+    return structure.siblings(tree(spark, sf_dir), "source", "id", "idx")
+
+
+@query(f"WITH {TREE_SQL} SELECT t.id, p.id AS parent, CASE WHEN length(pd.text) > 500 THEN substr(pd.text, 1, 500) || '...' ELSE pd.text END AS preview FROM t JOIN t p ON t.parent_id = p.id JOIN documents pd ON pd.doc_id = p.id")
+def parent_preview(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent"), T.abbreviate("text", 500).alias("preview"))
+    return tree(spark, sf_dir).select("id", F.col("parent_id").alias("parent")).join(d, "parent").select("id", "parent", "preview")
+
+
+LINES_SQL = "l AS (SELECT doc_id AS doc, CAST(unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS INTEGER) AS ln, unnest(string_split(text, chr(10))) AS line FROM documents)"
+
+
+def doc_lines(spark, sf_dir) -> DataFrame:
+    return structure.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(
+    f"""WITH {LINES_SQL}, b AS (SELECT *, trim(line) = '' AS e, lower(trim(line)) IN ('references', 'bibliography') AS r FROM l)
+  SELECT doc, ln, coalesce(lag(e) OVER w, true) AS blank_before, coalesce(lead(e) OVER w, true) AS blank_after,
+    coalesce(max(r) OVER (PARTITION BY doc ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS after_references FROM b WINDOW w AS (PARTITION BY doc ORDER BY ln)"""
+)
+def line_flags(spark, sf_dir):
+    return structure.line_flags(doc_lines(spark, sf_dir)).select("doc", "ln", "blank_before", "blank_after", "after_references")
+
+
+@query()
+def line_kinds(spark, sf_dir):
+    return structure.line_flags(doc_lines(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def marked(spark, sf_dir) -> DataFrame:
+    """Lines with headings: the first is a title, every fourth a section, every seventh a lower one."""
+    n = F.col("ln")
+    line = F.when(n == 0, F.concat(F.lit("# "), F.substring("line", 1, 60))).when(n % 7 == 5, F.concat(F.lit("### "), F.substring("line", 1, 40))).when(n % 4 == 1, F.concat(F.lit("## "), F.substring("line", 1, 40))).otherwise(F.col("line"))
+    return doc_lines(spark, sf_dir).filter(~T.blank("line")).withColumn("line", line)
+
+
+@query()
+def heading_decisions(spark, sf_dir):
+    return structure.decide_headings(structure.line_flags(marked(spark, sf_dir))).select("doc", "ln", "kind", "action", "level", F.round("confidence", 6).alias("confidence"), "reason")
+
+
+@query()
+def outline_confidence(spark, sf_dir):
+    return structure.outline_report(structure.decide_headings(structure.line_flags(marked(spark, sf_dir))))
+
+
+@query()
+def normalised_markdown(spark, sf_dir):
+    return structure.normalised_markdown(structure.decide_headings(structure.line_flags(marked(spark, sf_dir))))
+
+
+@query()
+def sections_from_markdown(spark, sf_dir):
+    return structure.sections(marked(spark, sf_dir))
+
+
+@query()
+def section_parents(spark, sf_dir):
+    return structure.parents(structure.sections(marked(spark, sf_dir)))
+
+
+@query()
+def title_extract(spark, sf_dir):
+    return structure.titles(marked(spark, sf_dir))
+
+
+@query()
+def abstract_extract(spark, sf_dir):
+    return structure.abstracts(structure.sections(marked(spark, sf_dir)))
+
+
+# chunks ---------------------------------------------------------------------------------------------------------
+
+UUID_SQL = """m AS (SELECT *, md5(CAST(doc_id AS VARCHAR) || '|0|' || sha256(text)) AS m FROM documents)"""
+
+
+@query(
+    f"""WITH {UUID_SQL} SELECT doc_id, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-3' || substr(m, 14, 3) || '-' || lower(printf('%02x', (CAST('0x' || substr(m, 17, 2) AS INTEGER) & 63) | 128)) || substr(m, 19, 2) || '-' || substr(m, 21, 12) AS chunk_id,
+   sha256(text) AS content_hash, CAST(greatest(1, (length(text) + 3) // 4) AS INTEGER) AS token_count FROM m"""
+)
+def chunk_ids(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.chunk_id(F.col("doc_id"), F.lit(0), F.col("text")).alias("chunk_id"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), T.token_estimate("text").alias("token_count"))
+
+
+@query()
+def chunks(spark, sf_dir):
+    return chunking.chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select("section_id", "chunk_index", "chunk_id", "token_count")
+
+
+@query(
+    f"""WITH {LINES_SQL}, c AS (SELECT doc, ln AS seq, ln // 5 + 1 AS page, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS t FROM l)
+  SELECT doc, seq, CAST(page AS INTEGER) AS page, CAST(coalesce(sum(length(t) + 1) OVER w, 0) AS BIGINT) AS start, CAST(coalesce(sum(length(t) + 1) OVER w, 0) + length(t) AS BIGINT) AS "end" FROM c WHERE t <> ''
+  WINDOW w AS (PARTITION BY doc ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
+def page_spans(spark, sf_dir):
+    blocks = doc_lines(spark, sf_dir).withColumn("page", F.floor(F.col("ln") / 5))
+    return chunking.page_spans(blocks, "doc", "ln", "line", "page").drop("t")
+
+
+@query()
+def page_locate(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    packed = chunking.chunks(d, "doc_id", "text").select(F.col("section_id").cast("long").alias("doc"), "chunk_index", "content")
+    blocks = doc_lines(spark, sf_dir).select("doc", F.col("ln").alias("seq"), F.col("line").alias("text"), F.floor(F.col("ln") / 5).cast("int").alias("page_index"))
+    return chunking.locate_pages(packed, blocks)
+
+
+# references and symbols -----------------------------------------------------------------------------------------
+
+CITED = "concat('As shown in [', l_linenumber, ', ', l_linenumber + 2, '-', l_linenumber + 4, '] and Smith et al., (19', 90 + l_linenumber, ')')"
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST([l_linenumber, l_linenumber + 2, l_linenumber + 3, l_linenumber + 4] AS BIGINT[]) AS numbers, ['Smith 19' || (90 + l_linenumber)] AS author_years FROM lineitem WHERE l_quantity > 40")
+def citations(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select("l_orderkey", "l_linenumber", F.expr(CITED).alias("t"))
+    return r.select("l_orderkey", "l_linenumber", T.numeric_citations("t").alias("numbers"), T.author_year_citations("t").alias("author_years"))
+
+
+@query("SELECT DISTINCT l_orderkey AS doc, l_orderkey AS section_id, unnest([CAST(l_linenumber AS VARCHAR), CAST(l_linenumber + 2 AS VARCHAR), CAST(l_linenumber + 3 AS VARCHAR), CAST(l_linenumber + 4 AS VARCHAR), 'Smith 19' || (90 + l_linenumber)]) AS ref_index FROM lineitem WHERE l_quantity > 40")
+def citation_links(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select("l_orderkey", F.expr(CITED).alias("t"))
+    return references.citation_links(r, "l_orderkey", "l_orderkey", "t")
+
+
+@query("SELECT o_orderkey AS doc, CAST(unnest([1, 2]) AS INTEGER) AS seq, CAST(unnest([1, 2]) AS VARCHAR) AS ref_index, unnest(['[1] Work ' || o_orderkey || ' goes on. more of it.', '[2] Other work.']) AS raw_text FROM orders")
+def reference_entries(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("[1] Work "), "o_orderkey", F.lit(" goes on.\nmore of it. [2] Other work.")).alias("t"))
+    return references.entries(o, "o_orderkey", "t")
+
+
+@query("SELECT c_custkey, md5('customer' || lpad(CAST(c_custkey % 7 AS VARCHAR), 2, '0') || '|zed|' || (2000 + c_custkey % 5) || '|') AS fingerprint FROM customer")
+def fingerprints(spark, sf_dir):
+    names = F.array(F.lit(" Zed! "), F.concat(F.lit("Customer-"), F.lpad((F.col("c_custkey") % 7).cast("string"), 2, "0")))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.fingerprint(names, 2000 + F.col("c_custkey") % 5).alias("fingerprint"))
+
+
+@query()
+def symbol_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select((F.col("p_size") % 10).alias("doc"), F.col("p_partkey").alias("seq"), F.concat(F.lit(" "), "p_brand").alias("symbol"), F.when(F.col("p_partkey") % 3 == 0, "null").otherwise(F.col("p_name")).alias("description"), (F.col("p_partkey") % 6).alias("root"))
+    return references.merge_symbols(rows)
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents WHERE doc_id % 3 = 0) WHERE n = 1")
+def reference_section(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 3 == 0, "References").otherwise("Body").alias("header"), "text")
+    return references.reference_section(d, "source", "header", "text", "doc_id").select("source", "doc_id")
+
+
+# audit ----------------------------------------------------------------------------------------------------------
+
+
+def relations(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source"), (F.col("vec_id") + 1).alias("target"), "label")
+    return e.select("source", "target", F.when(F.col("label") % 3 == 0, "SUPPORTS").when(F.col("label") % 3 == 1, "extends ").otherwise("odd").alias("type"), (F.col("source") % 11 / 10.0).alias("confidence"), (F.col("source") % 4).alias("n_for"), (F.col("source") % 3).alias("n_against"))
+
+
+REL_SQL = "SELECT vec_id AS source, vec_id + 1 AS target, CASE WHEN label % 3 = 0 THEN 'SUPPORTS' WHEN label % 3 = 1 THEN 'EXTENDS' ELSE 'UNRELATED' END AS type, CASE WHEN least(vec_id % 11 / 10.0, 1.0) >= 0.65 AND vec_id % 4 + vec_id % 3 > 0 THEN 'CONFIRMED' ELSE 'PENDING_REVIEW' END AS audit_status FROM embeddings"
+
+
+def audited(spark, sf_dir) -> DataFrame:
+    return relations(spark, sf_dir).select("source", "target", T.relation_type("type").alias("type"), audit.status(F.col("confidence"), F.col("n_for"), F.col("n_against")).alias("audit_status"))
+
+
+@query(REL_SQL)
+def audit_status(spark, sf_dir):
+    return audited(spark, sf_dir)
+
+
+@query(f"SELECT source AS paper_id, target AS other_id, 'OUTGOING' AS direction, type, audit_status FROM ({REL_SQL}) UNION ALL SELECT target, source, 'INCOMING', type, audit_status FROM ({REL_SQL})")
+def relations_both_ways(spark, sf_dir):
+    return audit.both_ways(audited(spark, sf_dir))
+
+
+@query(f"SELECT * FROM ({REL_SQL}) WHERE source % 5 <> 0 UNION ALL SELECT source, target, 'USES' AS type, 'CONFIRMED' AS audit_status FROM ({REL_SQL}) WHERE source % 5 = 0")
+def relation_upsert(spark, sf_dir):
+    old = audited(spark, sf_dir)
+    new = old.filter("source % 5 = 0").select("source", "target", F.lit("USES").alias("type"), F.lit("CONFIRMED").alias("audit_status"))
+    return audit.upsert(old, new, "source", "target")
+
+
+@query(f"SELECT CASE WHEN source % 4 = 0 THEN 'history' WHEN audit_status = 'CONFIRMED' THEN 'confirmed' ELSE 'pending' END AS bucket, count(*) AS n FROM ({REL_SQL}) GROUP BY 1")
+def relation_buckets(spark, sf_dir):
+    version = F.when(F.col("source") % 4 == 0, "v0").otherwise("v1")
+    return audited(spark, sf_dir).groupBy(audit.bucket(F.col("audit_status"), version, "v1").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT source, CASE WHEN audit_status = 'PENDING_REVIEW' THEN 'Needs review: ' ELSE '' END || 'This paper ' || CASE type WHEN 'SUPPORTS' THEN 'supports' WHEN 'EXTENDS' THEN 'extends' ELSE 'is unrelated to' END || ' paper ' || target || CASE WHEN audit_status = 'PENDING_REVIEW' OR type = 'UNRELATED' THEN '' ELSE '. So it is' END AS said FROM ({REL_SQL})")
+def relation_narrative(spark, sf_dir):
+    return audited(spark, sf_dir).select("source", audit.narrative(F.col("type"), F.lit("OUTGOING"), F.col("audit_status"), F.concat(F.lit("paper "), "target"), F.lit("So it is")).alias("said"))
+
+
+@query("SELECT vec_id AS source, vec_id + 1 AS target, 'SECTION:' || vec_id AS evidence_key, 1 AS seq FROM embeddings")
+def audit_evidence_filter(spark, sf_dir):
+    r = relations(spark, sf_dir).select("source", "target")
+    keys = r.withColumn("keys", F.array(F.lit("SECTION:made-up"), F.concat(F.lit("SECTION:"), "source"), F.concat(F.lit("SECTION:"), "source")))
+    return audit.cited(keys, r.withColumn("evidence_key", F.concat(F.lit("SECTION:"), "source")))
+
+
+# evaluation, ingest, memory -------------------------------------------------------------------------------------
+
+
+@query("WITH r AS (SELECT doc_id AS qid, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE doc_id % 13 + 1 END AS f FROM documents) SELECT round(avg(CASE WHEN f BETWEEN 1 AND 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(CASE WHEN f BETWEEN 1 AND 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(CASE WHEN f BETWEEN 1 AND 10 THEN 1.0 / greatest(f, 1) ELSE 0.0 END), 6) AS mrr_10, round(avg(CASE WHEN f BETWEEN 1 AND 10 THEN 1.0 / log2(f + 1.0) ELSE 0.0 END), 6) AS ndcg_10 FROM r")
+def eval_metrics(spark, sf_dir):
+    r = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 4 == 3, 0).otherwise(F.col("doc_id") % 13 + 1).alias("first_rank"))
+    return evaluate.metrics(r)
+
+
+@query("WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS position FROM documents) SELECT source AS qid, CAST(coalesce(min(CASE WHEN contains(lower('Section ' || doc_id), 'section 1') THEN position END), 0) AS INTEGER) AS first_rank FROM r WHERE position <= 10 GROUP BY 1")
+def eval_first_rank(spark, sf_dir):
+    n = F.row_number().over(W.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id"))
+    r = table(spark, sf_dir, "documents").select(F.col("source").alias("qid"), n.alias("position"), F.concat(F.lit("Section  "), "doc_id").alias("heading"), F.lit("").alias("heading_path")).filter("position <= 10")
+    cases = r.select("qid").distinct().withColumn("expected", F.lit(" SECTION 1"))
+    return evaluate.first_rank(r, cases)
+
+
+@query("SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events")
+def latency_percentiles(spark, sf_dir):
+    return evaluate.percentiles(table(spark, sf_dir, "events"), "value")
+
+
+@query("SELECT md5(text) AS file_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def job_dedupe(spark, sf_dir):
+    jobs = table(spark, sf_dir, "documents").select(F.md5(F.col("text").cast("binary")).alias("file_hash"), "doc_id")
+    return ingest.earliest_by_hash(jobs, "file_hash", "doc_id")
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+def stage_latest(spark, sf_dir):
+    return ingest.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+STATUS = "element_at(array('UPLOADED', 'PARSING', 'PARSED', 'AUDITING', 'READY', 'FAILED'), cast(event_id % 6 + 1 as int))"
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, ts, (['UPLOADED', 'PARSING', 'PARSED', 'AUDITING', 'READY', 'FAILED'])[CAST(event_id % 6 + 1 AS INTEGER)] AS after FROM events),
+  t AS (SELECT user_id, event_id, lag(after) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, after FROM e)
+  SELECT * FROM t WHERE before IS NOT NULL AND before <> after AND before || '>' || after NOT IN ('UPLOADED>PARSING', 'UPLOADED>FAILED', 'PARSING>PARSED', 'PARSING>FAILED', 'PARSED>AUDITING', 'PARSED>FAILED', 'AUDITING>READY', 'AUDITING>FAILED', 'READY>UPLOADED', 'READY>PARSED', 'FAILED>UPLOADED', 'FAILED>PARSED')"""
+)
+def transitions_illegal(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.expr(STATUS).alias("status"))
+    return ingest.transitions(e, "user_id", "ts", "event_id", "status").filter("not legal").drop("legal")
+
+
+@query("SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS updated_at FROM events WHERE event_type <> 'purchase' AND ts < (SELECT max(ts) FROM events) - INTERVAL 130 MINUTE ORDER BY ts, event_id LIMIT 10")
+def recoverable_jobs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    now = F.lit(e.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    jobs = e.select(F.col("event_id").alias("id"), F.col("ts").alias("updated_at"), F.when(F.col("event_type") == "purchase", "READY").otherwise("PARSING").alias("status"), F.lit(None).cast("timestamp_ntz").alias("lease_until"))
+    return ingest.recoverable(jobs, now).select("id", "updated_at")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
+def memory_window(spark, sf_dir):
+    return ingest.memory_window(table(spark, sf_dir, "conversations"), "conv_id", "turn", 3).select("conv_id", "turn", "role")
+
+
+@query("SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'AI: ' END || text, chr(10) ORDER BY turn) AS context FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1")
+def rewrite_context(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
+    said = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("AI: "), "text")
+    return c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))).alias("r")).select("conv_id", F.array_join(F.transform("r", lambda r: r["s"]), "\n").alias("context"))
+
+
+@query("SELECT user_id FROM (SELECT user_id, min(event_id) AS o FROM events WHERE user_id > 0 GROUP BY 1) ORDER BY o, user_id LIMIT 20")
+def scope_ids(spark, sf_dir):
+    return ingest.scope_ids(table(spark, sf_dir, "events"), "user_id", "event_id")
+
+
+@query("SELECT o.o_orderkey AS paper_id, o.o_orderstatus, o.o_totalprice, count(l.l_partkey) AS n_references, CAST(coalesce(sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_returned FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY 1, 2, 3")
+def workspace_bundle(spark, sf_dir):
+    sides = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("paper_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), "o_orderstatus", "o_totalprice")
+    return o.join(sides, "paper_id", "left").select("paper_id", "o_orderstatus", "o_totalprice", F.coalesce("n", F.lit(0)).alias("n_references"), F.coalesce("r", F.lit(0)).alias("n_returned"))
+
+
+@query("SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN NULL ELSE 'v2' END, ''), 'legacy-v0') AS audit_version, coalesce(CASE WHEN event_id % 2 = 0 THEN 'CONFIRMED' END, 'PENDING_REVIEW') AS audit_status FROM events")
+def audit_backfill(spark, sf_dir):
+    n = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(n % 3 == 0, "").when(n % 3 == 2, "v2").alias("audit_version"), F.when(n % 2 == 0, "CONFIRMED").alias("audit_status"))
+    return audit.fill_audit(rows)
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json(T.json_object(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))), "k bigint")["k"].alias("k"))
