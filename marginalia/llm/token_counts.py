@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -121,14 +122,13 @@ class Prefixes(dict):
         return bytes([(b - a) & 255 for a, b in zip([0, *counts], counts)])
 
     def tables(self, rows: list[list[bytes]]) -> list[bytes]:
-        known, new = self, set().union(*rows).difference(self)
-        if new:
-            learnt = self.learn(new)
-            if len(self) + len(learnt) <= KEPT:
-                self.update(learnt)
-            else:
-                known = {x: self[x] for row in rows for x in row if x in self} | learnt
-        return [b"".join(map(known.__getitem__, row)) for row in rows]
+        learnt = self.learn(set(filterfalse(self.__contains__, chain.from_iterable(rows))))
+        self.update(learnt)
+        out = [b"".join(map(self.__getitem__, row)) for row in rows]
+        if len(self) > KEPT:
+            for x in learnt:
+                del self[x]
+        return out
 
     def unit(self, unit: bytes) -> list[int]:
         if unit in CONTRACTIONS:  # its prefixes are an apostrophe and letters

@@ -20,7 +20,9 @@ import functools
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain, filterfalse
 from typing import BinaryIO
 
 import numpy as np
@@ -36,7 +38,9 @@ SKIPPABLE_INDEX, SKIPPABLE_TABLE, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92E
 #: A file is closed at this many compressed bytes.
 FILE_BYTES = 32 << 20
 #: Distinct words that a worker keeps encoded.
-KEPT = 600_000
+KEPT = 400_000
+#: Marks that may end a word.
+TAIL = ".,!?;:|$%*&#"
 
 
 class Words(dict):
@@ -52,22 +56,39 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        new = list(words)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        return {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(new, found)}
+        self.cores: dict[str, bytes] = {"": b""}
+
+    def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words. Marks of TAIL after a letter or number are a pre-token of their own, and ASCII letters are
+        made lower case by the normaliser anyway, so words share what the library encodes."""
+        parts: dict[bytes, tuple[str, str]] = {}
+        for w in new:
+            word = w.decode()
+            core = word.rstrip(TAIL)
+            if not core[-1:].isalnum():
+                core = word
+            parts[w] = (core.lower() if core.isascii() and "<" not in core else core, word[len(core) :])
+        known = self.cores
+        fresh = list({x for pair in parts.values() for x in pair if x and x not in known})
+        found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+        learnt = {x: array("I", e.ids).tobytes() for x, e in zip(fresh, found)}
+        known.update(learnt)
+        out = {w: known[core] + known[tail] for w, (core, tail) in parts.items()}
+        if len(known) > KEPT:
+            for x in learnt:
+                del known[x]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
-        known, new = self, set().union(*split).difference(self) if split else set()
-        if new:
-            learnt = self.learn(new)
-            if len(self) + len(learnt) <= KEPT:
-                self.update(learnt)
-            else:
-                known = {**{w: self[w] for s in split for w in s if w in self}, **learnt}
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        new = set(filterfalse(self.__contains__, chain.from_iterable(split)))
+        learnt = self.learn(new)
+        self.update(learnt)
+        out = [b"".join(map(self.__getitem__, s)) for s in split]
+        if len(self) > KEPT:
+            for w in learnt:
+                del self[w]
+        return out
 
 
 @functools.cache
