@@ -1,13 +1,13 @@
 """Personal data by weak supervision.
 
-Patterns give the base kinds (email, ip, card, phone). Beyond them, candidate spans of further kinds (local phone numbers, national
-numbers, bank accounts, names after a title) are voted on by labelers: the shape, a gazetteer, the words around, a
+Patterns give the base kinds (email, ip, card, phone). Beyond them, candidate spans of further kinds (phone and card numbers that a
+base pattern ran past, national numbers, bank accounts, names after a title) are voted on by labelers: the shape, a gazetteer, the words around, a
 check sum. Expectation-maximisation over the votes' patterns estimates each labeler's reliability and gives every
 candidate of a bounded sample of documents (SAMPLE_DOCS, by hash) a probability; a logistic model over the span's features is trained on those
 and decides, everywhere, which candidates are spans.
 
 Defined results: null and empty texts have no spans; whole texts are scanned; repeated rows are scanned each; a
-candidate that overlaps a base span is left out; without candidates in the sample no candidate is accepted; other columns are ignored.
+candidate that overlaps a base span is left out; without candidates in the sample the prior weights decide; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from marginalia.llm.common import bounded_batches
 from marginalia.llm.spans import Found, find_spans
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("local_phone", "national_id", "account", "name")
+MORE_KINDS = ("local_phone", "card_number", "national_id", "account", "name")
 KINDS = (*BASE_KINDS, *MORE_KINDS)
 #: Documents whose candidates the models are fitted on, about; ACCEPT: the least probability of a span.
 SAMPLE_DOCS, ACCEPT, ROUNDS = 20_000, 0.9, 50
@@ -38,7 +38,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 CANDIDATES = {
-    "local_phone": re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
+    "local_phone": re.compile(r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
+    "card_number": re.compile(r"(?<![0-9A-Za-z])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}(?![0-9A-Za-z])"),
     "national_id": re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     "account": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     "name": re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?"),
@@ -46,12 +47,15 @@ CANDIDATES = {
 #: Words that go with each kind, and first names.
 CONTEXT = {
     "local_phone": ("phone", "call", "tel", "mobile", "cell", "fax", "contact"),
+    "card_number": ("card", "visa", "credit", "debit", "payment"),
     "national_id": ("ssn", "social security", "national id", "insurance", "identity"),
     "account": ("iban", "account", "bank", "konto", "transfer", "compte", "cuenta"),
     "name": ("name", "contact", "signed", "dear", "regards", "patient", "customer"),
 }
 AGAINST = ("version", "isbn", "issue", "page", "figure", "chapter", "volume", "part no", "model", "order no")
 FIRST_NAMES = frozenset("James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Anna Peter Paul Maria Jose Juan Carlos Luis Ana Hans Klaus Ursula Jean Pierre Marie Claude Sophie".split())
+#: First digits of card issuers.
+ISSUERS = ("4", "51", "52", "53", "54", "55", "2", "34", "37", "36", "6")
 WINDOW = 40
 
 
@@ -95,14 +99,17 @@ def votes(text: str, a: int, kind: str, b: int) -> tuple[int, ...]:
     around = before + " " + text[b : b + WINDOW].lower()
     digits = "".join(c for c in word if c.isdigit())
     if kind == "local_phone":
-        shape = 1 if digits[0] in "23456789" and digits[3] in "23456789" else -1
+        shape = 1 if digits[-7] in "23456789" else -1
+    elif kind == "card_number":
+        shape = 1 if luhn(digits) else -1
     elif kind == "national_id":
         shape = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
     elif kind == "account":
         shape = 1 if account_checks(word) else -1
     else:
         shape = 1
-    gazetteer = (1 if any(w in FIRST_NAMES for w in word.split()) else 0) if kind == "name" else (-1 if len(set(digits)) <= 2 else 0)
+    known = word[0] == "+" or kind == "card_number" and digits.startswith(ISSUERS) or kind == "name" and any(w in FIRST_NAMES for w in word.split())
+    gazetteer = 1 if known else -1 if kind != "name" and len(set(digits)) <= 2 else 0
     return shape, gazetteer, 1 if any(w in around for w in CONTEXT[kind]) else 0, -1 if any(w in before for w in AGAINST) else 0
 
 
@@ -117,9 +124,6 @@ def features(text: str, a: int, kind: str, b: int) -> list[float]:
     return [1.0, *(float(kind == k) for k in MORE_KINDS), *map(float, v), n / 30, sum(map(str.isdigit, word)) / n, sum(map(str.isupper, word)) / n, float(text[max(0, a - 2) : a].strip() == ":")]
 
 
-N_FEATURES = 1 + len(MORE_KINDS) + 4 + 4
-
-
 def reliabilities(patterns: Counter) -> dict[tuple[int, ...], float]:
     """Expectation-maximisation over vote patterns: each pattern's probability of being personal data."""
     keys = list(patterns)
@@ -142,13 +146,18 @@ def reliabilities(patterns: Counter) -> dict[tuple[int, ...], float]:
     return dict(zip(keys, p.tolist()))
 
 
+def prior() -> np.ndarray:
+    """Weights to start from: one labeler's vote is not enough, two are, and one against outweighs one for."""
+    return np.array([-2.0, *[0.0] * len(MORE_KINDS), *[2.5] * 4, *[0.0] * 4])
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Newton steps on the logistic loss for soft labels, with a ridge."""
-    w = np.zeros(x.shape[1])
+    """Newton steps on the logistic loss for soft labels, with a ridge towards the prior weights."""
+    w = first = prior()
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + np.eye(x.shape[1])
-        w -= np.linalg.solve(hessian, x.T @ (p - y) + w)
+        w = w - np.linalg.solve(hessian, x.T @ (p - y) + (w - first))
     return w
 
 
@@ -171,7 +180,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.n
     for r in told:
         patterns[tuple(r["votes"])] += r["n"]
     if not patterns:
-        return np.append(-30.0, np.zeros(N_FEATURES - 1))
+        return prior()
     known = reliabilities(patterns)
     x = np.repeat(np.array([r["features"] for r in told]), [min(r["n"], 50) for r in told], axis=0)
     y = np.repeat(np.array([known[tuple(r["votes"])] for r in told]), [min(r["n"], 50) for r in told])

@@ -69,6 +69,11 @@ def test_personal_models(spark, docs, empty):
     found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.personal_data_in(rows).collect()}
     assert np.mean([found[k] != [] for k in range(40)]) > 0.8 and np.mean([found[k] != [] for k in range(80, 120)]) > 0.8
     assert sum(found[k] != [] for k in range(40, 80)) == 0
+    # numbers that the base patterns run past, into what follows
+    beside = ["reach me at +1 (826) 555-4081 190.12.44.7 now", "pay 4111 1111 1111 1111 2024-11-30 please", "item 1234 5678 1234 5678 901234 of"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(beside)], "doc_id bigint, text string")
+    found = {r.doc_id: [beside[r.doc_id][s.start : s.end] for s in r.spans] for r in pii.personal_data_in(rows).collect()}
+    assert "+1 (826) 555-4081" in found[0] and "4111 1111 1111 1111" in found[1] and found[2] == []
     assert pii.personal_data_in(docs).count() == docs.count()
     assert pii.personal_data_in(empty).collect() == []
 
