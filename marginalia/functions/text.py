@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -37,17 +38,26 @@ def query_terms(q: Column | str, least: int = 1) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(_c(q)), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= least))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def quote(text: Column | str, query: Column | str, n: int = QUOTE_LENGTH, lead: int = QUOTE_LEAD) -> Column:
     """A window of n characters around the first query term of four characters or more."""
-    flat = collapse(text)
-    found = F.filter(F.transform(query_terms(query, QUOTE_TERM), lambda t: F.instr(F.lower(flat), t)), lambda p: p > 0)
-    match = F.coalesce(F.array_min(found) - 1, F.lit(0))
-    size = F.length(flat)
-    start = F.greatest(F.lit(0), match - lead)
-    end = F.least(size, start + n)
-    start = F.when(end - start < n, F.greatest(F.lit(0), end - n)).otherwise(start)
-    cut = F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), F.substr(flat, start + 1, end - start), F.when(end < size, F.lit("...")).otherwise(F.lit("")))
-    return F.when(size <= n, flat).otherwise(cut)
+
+    def window(flat: Column, match: Column) -> Column:
+        size = F.length(flat)
+        start = F.greatest(F.lit(0), match - lead)
+        end = F.least(size, start + n)
+        start = F.when(end - start < n, F.greatest(F.lit(0), end - n)).otherwise(start)
+        return F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), F.substr(flat, start + 1, end - start), F.when(end < size, F.lit("...")).otherwise(F.lit("")))
+
+    def first(flat: Column) -> Column:
+        found = let(F.lower(flat), lambda low: F.filter(F.transform(query_terms(query, QUOTE_TERM), lambda t: F.instr(low, t)), lambda p: p > 0))
+        return F.coalesce(F.array_min(found) - 1, F.lit(0))
+
+    return let(collapse(text), lambda flat: F.when(F.length(flat) <= n, flat).otherwise(let(first(flat), lambda match: window(flat, match))))
 
 
 def token_estimate(x: Column | str) -> Column:
@@ -132,14 +142,22 @@ def heading_text(line: Column | str) -> Column:
 
 def heading_key(line: Column | str) -> Column:
     """The heading's bare words, for comparison."""
-    bare = F.regexp_replace(F.lower(heading_text(line)), r"^(?:§?\s*\d+(?:\.\d+)*\.?|[ivxlcdm]+\.|[a-z]\.)\s+", "")
+    return bare_key(heading_text(line))
+
+
+def bare_key(text: Column) -> Column:
+    bare = F.regexp_replace(F.lower(text), r"^(?:§?\s*\d+(?:\.\d+)*\.?|[ivxlcdm]+\.|[a-z]\.)\s+", "")
     return jtrim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
 
 
 def line_kind(line: Column | str, after_references: Column) -> Column:
     """One of twelve kinds; the first that fits."""
-    text, key = heading_text(line), heading_key(line)
-    marked = _c(line).rlike(MARKDOWN)
+    return kind_of(_c(line), heading_text(line), heading_key(line), after_references)
+
+
+def kind_of(line: Column, text: Column, key: Column, after_references: Column) -> Column:
+    """line_kind() from a line's text and key, where they are at hand."""
+    marked = line.rlike(MARKDOWN)
     first = F.element_at(F.split(key, " "), 1)
     numbered = F.when(first.isin(*IMPERATIVE) & ~marked, "LIST_ITEM").otherwise("SECTION")
     rules = [

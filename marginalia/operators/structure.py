@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,13 +61,15 @@ def lines(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
 def line_flags(rows: DataFrame) -> DataFrame:
     """blank_before, blank_after (true at the edges), after_references (not of its own line) and kind."""
     w = W.partitionBy("doc").orderBy("ln")
+    # dealt by document first: the window needs that anyway, and the patterns then run in all tasks, once a line
+    rows = rows.repartition("doc").select("*", T.heading_text("line").alias("__text")).select("*", T.bare_key(F.col("__text")).alias("__key"))
     empty = F.coalesce(T.blank("line"), F.lit(True))
-    is_ref = T.heading_key("line").isin("references", "bibliography")
+    is_ref = F.col("__key").isin("references", "bibliography")
     flagged = rows.select(
         "*", F.coalesce(F.lag(empty).over(w), F.lit(True)).alias("blank_before"), F.coalesce(F.lead(empty).over(w), F.lit(True)).alias("blank_after"),
         F.coalesce(F.max(is_ref).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(False)).alias("after_references"),
     )
-    return flagged.withColumn("kind", T.line_kind("line", F.col("after_references")))
+    return flagged.withColumn("kind", T.kind_of(F.col("line"), F.col("__text"), F.col("__key"), F.col("after_references"))).drop("__text", "__key")
 
 
 DECISION = "doc bigint, ln int, line string, kind string, action string, level int, confidence double, reason string"
@@ -76,15 +79,26 @@ def decide_headings(flags: DataFrame) -> DataFrame:
     """Which lines are headings, and at what level: a fold over each document's lines.
 
     The state carried is the title, the abstract, the references, a noise block, the appendix, the last level and the last main
-    number; a document's lines meet in one group, of the document's size.
+    number; a task folds its documents one after another, as batches come, so no document is held whole.
     """
-    return flags.select("doc", "ln", "line", "kind", "blank_before", "blank_after").groupBy("doc").applyInPandas(_decide, DECISION)
+    rows = flags.select("doc", "ln", "line", "kind", "blank_before", "blank_after")
+    return rows.repartition("doc").sortWithinPartitions("doc", "ln").mapInPandas(_decide, DECISION)
 
 
-def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
-    title_key, seen_abstract, references, noise, appendix, last, main = None, False, False, False, False, 1, 0
+def _decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    state: dict = {}
+    for pdf in frames:
+        yield _decide_lines(pdf, state)
+
+
+def _decide_lines(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
+    """The decisions on a batch of lines, in order; state carries what the last line's document has so far."""
+    fresh = (None, False, False, False, False, 1, 0)
+    doc, (title_key, seen_abstract, references, noise, appendix, last, main) = state.get("doc"), state.get("held", fresh)
     out = []
-    for r in pdf.sort_values("ln").itertuples():
+    for r in pdf.itertuples():
+        if r.doc != doc:
+            doc, (title_key, seen_abstract, references, noise, appendix, last, main) = r.doc, fresh
         line = r.line or ""
         text = re.sub(r"\s+", " ", re.sub(r"^\s*#{1,6}\s+", "", line)).strip()
         key = re.sub(r"[\W_]+", " ", text.lower()).strip()
@@ -132,6 +146,7 @@ def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
         elif r.kind in ("THEOREM_LIKE", "LIST_ITEM"):
             sure, why = 0.9, "a statement or step, not a heading"
         out.append((r.doc, r.ln, line, r.kind, action, level, sure, why))
+    state.update(doc=doc, held=(title_key, seen_abstract, references, noise, appendix, last, main))
     return pd.DataFrame(out, columns=["doc", "ln", "line", "kind", "action", "level", "confidence", "reason"])
 
 
