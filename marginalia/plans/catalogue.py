@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions import vectors as V
-from marginalia.operators import audit, chunking, evaluate, ingest, knn, references, retrieval, structure
+from marginalia.operators import audit, chunking, evaluate, ingest, knn, library, references, retrieval, structure
 
 FLAGSHIP = "fusion_search"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -593,3 +593,59 @@ def audit_backfill(spark, sf_dir):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json(T.json_object(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))), "k bigint")["k"].alias("k"))
+
+
+# library views --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)")
+def rows_by_ids(spark, sf_dir):
+    ids = table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select(F.col("l_orderkey").alias("o_orderkey"))
+    return library.with_ids(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ids, "o_orderkey")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ar')")
+def title_filter(spark, sf_dir):
+    return library.titled(table(spark, sf_dir, "part").select("p_partkey", "p_name"), " AR ", "p_name")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_brand), '#1') OR contains(lower(p_type), 'steel')")
+def symbol_keyword(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    both = library.symbols_like(p, "#1", "p_brand").select("p_partkey").union(library.symbols_like(p, "STEEL", "p_type").select("p_partkey"))
+    return both.distinct()
+
+
+@query("SELECT l_orderkey AS paper_id, CAST(l_partkey % 9 AS VARCHAR) AS ref_index, list(DISTINCT CAST(l_linenumber AS VARCHAR) ORDER BY CAST(l_linenumber AS VARCHAR)) AS section_ids FROM lineitem WHERE l_linenumber <= 7 GROUP BY 1, 2")
+def citing_sections(spark, sf_dir):
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), (F.col("l_partkey") % 9).cast("string").alias("ref_index"), F.col("l_linenumber").cast("string").alias("section_id"))
+    sections = spark.range(1, 8).select(F.col("id").cast("string").alias("id"), F.col("id").alias("idx"))
+    return library.citing_sections(links, sections)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'up' WHEN event_id % 6 = 1 THEN 'busy' WHEN event_id % 6 = 2 THEN 'text' WHEN event_id % 6 = 3 THEN 'busy' WHEN event_id % 6 = 4 THEN 'ok' ELSE 'error' END AS mark FROM events")
+def status_marks(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", library.status_mark(F.expr(STATUS)).alias("mark"))
+
+
+@query("SELECT source AS doc, string_agg('h' || doc_id || chr(10) || lang, chr(10) || chr(10) ORDER BY doc_id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 3 GROUP BY 1")
+def metadata_context(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("h"), "doc_id").alias("header"), "lang")
+    return library.metadata_context(d, "source", "doc_id", "header", "lang")
+
+
+@query("SELECT doc_id, repeat('#', CAST(doc_id % 4 + 1 AS INTEGER)) || ' ' || source AS key FROM documents")
+def outline_keys(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", library.outline_key((F.col("doc_id") % 4 + 1).cast("int"), F.col("source")).alias("key"))
+
+
+@query("SELECT user_id, max(ts) AS updated_at FROM events GROUP BY 1")
+def workspace_order(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("updated_at"))
+    return library.workspaces(e.filter("user_id % 2 = 0"), e, "user_id", "updated_at")
+
+
+@query("SELECT n_nationkey, [n_name] AS surnames, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 2000 END AS year, n_nationkey % 3 <> 0 AS ok FROM nation")
+def metadata_complete(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.array("n_name").alias("surnames"), F.when(F.col("n_nationkey") % 3 == 0, 0).otherwise(2000).alias("year"))
+    return library.whole_metadata(n)

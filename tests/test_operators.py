@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions import vectors as V
-from marginalia.operators import audit, chunking, evaluate, ingest, knn, references, retrieval, structure
+from marginalia.operators import audit, chunking, evaluate, ingest, knn, library, references, retrieval, structure
 
 
 def one(spark, column, **values):
@@ -138,3 +138,32 @@ def test_quotes(spark):
 def test_fingerprint(spark):
     assert one(spark, T.fingerprint(F.array(F.lit(" O'Neil "), F.lit("Abel")), F.lit(2001))) == md5(b"abel|oneil|2001|").hexdigest()
     assert one(spark, T.fingerprint(F.lit(None).cast("array<string>"), F.lit(None).cast("int"))) == md5(b"unknown|0000|").hexdigest()
+
+
+def test_resuming():
+    assert library.resume_from("EMBEDDING") == ["EMBEDDING", "AUDIT", "FINALIZE"]
+    with pytest.raises(ValueError):
+        library.resume_from(None, "PARSE")
+    log = []
+    with pytest.raises(KeyError):
+        library.run_stages(["PARSE", "AUDIT"], {"PARSE": lambda: 1, "AUDIT": lambda: {}["x"]}, lambda *a: log.append(a[:2]))
+    assert log == [("PARSE", "RUNNING"), ("PARSE", "COMPLETED"), ("AUDIT", "RUNNING"), ("AUDIT", "FAILED")]
+
+
+def test_line_splits(spark):
+    head, body = library.split_numbered(F.lit("1.2 A heading of words. The text goes on"))
+    assert (one(spark, head), one(spark, body)) == ("1.2 A heading of words.", "The text goes on")
+    head, body = library.split_standard(F.lit("Acknowledgements: We thank all"))
+    assert (one(spark, head), one(spark, body)) == ("Acknowledgements", "We thank all")
+    assert one(spark, library.upper_share(F.lit("ABc"))) == pytest.approx(2 / 3) and one(spark, library.latin_words(F.lit("an x word 中文"))) == 2
+    assert one(spark, library.reference_like(F.lit("[3] A. Author, 2001"))) and not one(spark, library.reference_like(F.lit("plain words 2001")))
+
+
+def test_provider_errors_give_no_rows(spark):
+    def provider(title, text):
+        if title == "bad":
+            raise ValueError
+        return [{"symbol": "x", "description": text}]
+
+    rows = spark.createDataFrame([(1, "good", "t"), (2, "bad", "u")], "id long, title string, body string")
+    assert [tuple(r) for r in library.extract(rows, provider, "symbol string, description string", "id", "title", "body").collect()] == [(1, "x", "t")]
