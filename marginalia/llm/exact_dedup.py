@@ -83,4 +83,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose doc_id is its group's keeper, with all columns of docs."""
     keep = materialise(groups(recipes(docs, id_col, text_col, F.xxhash64, [])), "groups").select(F.col("keep_id").alias(id_col))
-    return docs.join(keep, id_col, "left_semi").select(*docs.columns)
+    return docs.join(keep.hint("merge"), id_col, "left_semi").select(*docs.columns)  # the kept ids grow with docs: no broadcast at any size

@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the smallest doc_id of their component, with all columns of docs."""
     keep = materialise(near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return docs.join(keep.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
+    kept = keep.select(F.col("doc_id").alias(id_col)).hint("merge")  # the kept ids grow with docs: no broadcast at any size
+    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
 
 
 def hex_fingerprint(fp: str = "fp"):
