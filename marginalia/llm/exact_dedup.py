@@ -7,7 +7,7 @@ for more than one content get an ordinal beside the hash. A text's recipe is the
 identifiers; two texts are equal when their recipes are. Chunks cross the network once (each task sends its distinct
 chunks), documents never do: after the first pass all work is on recipes.
 
-Defined results: a null text counts as empty; all empty texts are equal to one another; rows that repeat a doc_id
+Defined results: a null text counts as empty; a null doc_id is one id, after all others; all empty texts are equal to one another; rows that repeat a doc_id
 carry the same verdict if their texts are equal, count once each in group_size, and share `kept`; an empty table gives an empty table; other
 columns are ignored, and names such as `recipe` or `kept` may be among them.
 """
@@ -58,7 +58,7 @@ def recipes(docs: DataFrame, id_col: str, text_col: str, identifier: Callable[[C
     numbers = hit.select("h", "chunk").distinct().withColumn("n", F.row_number().over(W.partitionBy("h").orderBy("chunk")))
     patch = hit.join(numbers, ["h", "chunk"]).select("doc_id", "t", F.struct("pos", "n").alias("p")).distinct().groupBy("doc_id", "t").agg(F.array_sort(F.collect_list("p")).alias("patch"))
     told = cut.select("doc_id", F.xxhash64("__text").alias("t"), F.length("__text").cast("long").alias("n_points"), F.sha2(F.col("__norm").cast("binary"), 256).alias("sha"), F.transform("__chunks", lambda c: identifier(c)).alias("recipe"), *carried)
-    joined = told.join(patch, ["doc_id", "t"], "left")
+    joined = told.join(patch.withColumnsRenamed({"doc_id": "p_id", "t": "p_t"}), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("t") == F.col("p_t")), "left")
     full = F.concat("recipe", F.flatten(F.transform(F.coalesce("patch", F.array().cast("array<struct<pos:int,n:int>>")), lambda p: F.array(p["pos"].cast("long"), p["n"].cast("long")))))
     return materialise(joined.select("doc_id", "n_points", "sha", full.alias("recipe"), *carried), "recipes")
 
@@ -77,10 +77,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     digest = recipes(docs, id_col, text_col, identifier, [])
     keep = materialise(groups(digest), "groups")
-    return digest.join(keep, "recipe").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), "n_points")
+    return digest.join(keep, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), "n_points")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose doc_id is its group's keeper, with all columns of docs."""
-    keep = materialise(groups(recipes(docs, id_col, text_col, F.xxhash64, [])), "groups").select(F.col("keep_id").alias(id_col))
-    return docs.join(keep.hint("merge"), id_col, "left_semi").select(*docs.columns)  # the kept ids grow with docs: no broadcast at any size
+    keep = materialise(groups(recipes(docs, id_col, text_col, F.xxhash64, [])), "groups").select(F.col("keep_id").alias("__id"))
+    return docs.join(keep.hint("merge"), docs[id_col].eqNullSafe(keep["__id"]), "left_semi").select(*docs.columns)  # the kept ids grow with docs: no broadcast at any size

@@ -98,8 +98,8 @@ def mix(docs: DataFrame, weights: list[int], share_num: int = 3, share_den: int
 
 
 def mixture(docs: DataFrame, weights: list[int], id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed documents themselves: each row of docs as often as it is taken. Documents of size 0 go."""
+    """The mixed documents themselves: each row of docs as often as it is taken. Ids that are all of size 0 go; rows that share an id, null too, are taken alike."""
     taken = mix(docs, weights, id_col=id_col, **options).filter("copies > 0 and size > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     taken = materialise(taken, "taken").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    repeated = docs.join(taken.hint("merge"), docs[id_col] == taken["__id"]).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__pass"))
+    repeated = docs.join(taken.hint("merge"), docs[id_col].eqNullSafe(taken["__id"])).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__pass"))
     return repeated.drop("__pass")

@@ -10,7 +10,7 @@ finds as a forest, so it returns fewer links than it has fingerprints, however m
 Fingerprints are made distinct first: copies never meet one another. Links are joined to components by hooking every
 node to its smallest neighbour and contracting, with a table in the shared folder after each round.
 
-Defined results: a null or empty text has fingerprint 0, linked like any other; a text of fewer words than a shingle
+Defined results: a null or empty text has fingerprint 0, linked like any other; a null doc_id is one id, after all others; a text of fewer words than a shingle
 is one shingle; rows that repeat a doc_id are linked each by their own text; an empty table gives an empty table;
 other columns are ignored.
 """
@@ -210,9 +210,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the smallest doc_id of their component, with all columns of docs."""
-    keep = materialise(near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    kept = keep.select(F.col("doc_id").alias(id_col)).hint("merge")  # the kept ids grow with docs: no broadcast at any size
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    keep = materialise(near_duplicates(docs, id_col, text_col).filter("doc_id <=> component_id").select("doc_id").distinct(), "kept")
+    kept = keep.select(F.col("doc_id").alias("__id")).hint("merge")  # the kept ids grow with docs: no broadcast at any size
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi").select(*docs.columns)
 
 
 def hex_fingerprint(fp: str = "fp"):
