@@ -10,7 +10,7 @@ Files are written by Spark's text writer, whose commit protocol keeps a lost or
 and which reaches any store that Spark reaches: a row is one file's bytes, and the line's end is the format's last
 four bytes. Files are in ascending order of document id, by name.
 
-Defined results: null and empty texts have the end id alone; repeated rows are written each, next to one another,
+Defined results: null and empty texts have the end id alone; a null doc_id comes first; repeated rows are written each, next to one another,
 ordered by their text's hash; an empty table gives no files; other columns are ignored.
 """
 
@@ -22,7 +22,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain, filterfalse
 from typing import BinaryIO
 
 import numpy as np
@@ -35,12 +34,16 @@ from marginalia.llm.common import bounded_batches, materialise, new_path, text_o
 
 #: Fixed values of the zstandard and seekable formats.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
+#: The index holds this for a null id, which comes before all others.
+NO_ID = -(1 << 63)
 #: A file is closed at this many compressed bytes.
 FILE_BYTES = 32 << 20
 #: Distinct words that a worker keeps encoded.
 KEPT = 400_000
 #: Marks that may end a word.
 TAIL = ".,!?;:|$%*&#"
+#: Words of letters encoded in one call, with a space between them.
+TOGETHER = 1000
 
 
 class Words(dict):
@@ -57,6 +60,28 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cores: dict[str, bytes] = {"": b""}
+        # ids of tokens that end a word, by id; nothing where the vocabulary has no word ends
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() if suffix else 0, bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def alone(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word, a call of the library's for each."""
+        return (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+
+    def together(self, words: list[str]) -> Iterator[bytes]:
+        """The same for words of letters only, many in a call: each is one pre-token, whose last token ends a word. Where
+        the normaliser makes marks out of letters there are more ends than words, and the run is encoded word by word."""
+        runs = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) != len(run):
+                yield from self.alone(run)
+                continue
+            data = ids.tobytes()
+            yield from (data[a:b] for a, b in zip([0, *cuts], cuts))
 
     def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
         """The ids of words. Marks of TAIL after a letter or number are a pre-token of their own, and ASCII letters are
@@ -69,9 +94,10 @@ class Words(dict):
                 core = word
             parts[w] = (core.lower() if core.isascii() and "<" not in core else core, word[len(core) :])
         known = self.cores
-        fresh = list({x for pair in parts.values() for x in pair if x and x not in known})
-        found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        learnt = {x: array("I", e.ids).tobytes() for x, e in zip(fresh, found)}
+        fresh = {x for pair in parts.values() for x in pair if x and x not in known}
+        letters = [x for x in fresh if x.isalpha()] if self.ends.size else []
+        rest = list(fresh.difference(letters))
+        learnt = dict(zip(letters, self.together(letters))) | dict(zip(rest, self.alone(rest)))
         known.update(learnt)
         out = {w: known[core] + known[tail] for w, (core, tail) in parts.items()}
         if len(known) > KEPT:
@@ -81,10 +107,10 @@ class Words(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
-        new = set(filterfalse(self.__contains__, chain.from_iterable(split)))
-        learnt = self.learn(new)
+        known = [list(map(self.get, s)) for s in split]
+        learnt = self.learn({w for s, k in zip(split, known) for w, ids in zip(s, k) if ids is None})
         self.update(learnt)
-        out = [b"".join(map(self.__getitem__, s)) for s in split]
+        out = [b"".join([learnt[w] if ids is None else ids for w, ids in zip(s, k)]) for s, k in zip(split, known)]
         if len(self) > KEPT:
             for w in learnt:
                 del self[w]
@@ -140,7 +166,7 @@ def write_ids(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], end_i
         if out.rows:
             yield pa.RecordBatch.from_arrays([pa.array([out.close()], pa.binary())], names=["file"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     files = ordered.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value"))
@@ -190,7 +216,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 rows: list[tuple] = []
                 size = 0
                 for at, (doc_id, data) in enumerate(read_documents(io.BytesIO(content.as_buffer()))):
-                    rows.append((doc_id, name, at, len(data) // 4, zlib.crc32(data), data))
+                    rows.append((None if doc_id == NO_ID else doc_id, name, at, len(data) // 4, zlib.crc32(data), data))
                     size += len(data)
                     if size >= 8 << 20:
                         yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema)

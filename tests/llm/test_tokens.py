@@ -92,3 +92,11 @@ def test_mixture(docs, documents, empty):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs, [3, 1, 2]).collect()))
     assert mixing.mix(empty, [3, 1, 2]).collect() == []
     assert mixing.mixture(docs, [3, 1, 2]).columns == docs.columns
+
+
+def test_words_together_are_words_alone():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    for some in (["plain words", "of letters", "x"], ["क़लम qalam", "İstanbul ﬁne ＡＢ Ω ǅ ｶﾞ 한글", "zebra apple's été don't3x"], ["", " ", "$$$ ..."]):
+        got = token_files.Words(path).encode(some)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
