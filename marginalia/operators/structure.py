@@ -12,31 +12,35 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 
-#: Outlines are at most so deep; a walk up ends there even in a cycle.
-DEPTH = 10
 
+def _checkpoint(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
 
-def heading_paths(sections: DataFrame, id_col: str = "id", parent_col: str = "parent_id", header_col: str = "header", depth: int = DEPTH) -> DataFrame:
-    """id, heading_path (root > ... > own) and level. One equi-join a level; a row that repeats an ancestor stops there.
 
-    An unknown parent makes a root.
+def heading_paths(sections: DataFrame, id_col: str = "id", parent_col: str = "parent_id", header_col: str = "header") -> DataFrame:
+    """id, heading_path (root > ... > own) and level, however deep; a row that repeats an ancestor stops there.
+
+    An unknown parent makes a root. Each round joins every path with that of its next ancestor, so known paths double in
+    length: one equi-join and a checkpoint a doubling, until no row has an ancestor left to add.
     """
-    base = sections.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"), F.col(header_col).alias("header"))
-    up = base.select(F.col("id").alias("p_id"), F.col("parent").alias("p_parent"), F.col("header").alias("p_header"))
-    now = base.select("id", F.col("parent").alias("next"), F.array("header").alias("path"), F.array("id").alias("seen"))
-    for _ in range(depth - 1):
-        fresh = (F.col("next") == F.col("p_id")) & ~F.array_contains("seen", F.col("p_id"))
-        now = now.join(up, fresh, "left").select(
-            "id", F.col("p_parent").alias("next"), F.when(F.col("p_id").isNull(), F.col("path")).otherwise(F.concat(F.array("p_header"), "path")).alias("path"),
-            F.when(F.col("p_id").isNull(), F.col("seen")).otherwise(F.concat("seen", F.array("p_id"))).alias("seen"),
-        )
-    return now.select("id", F.array_join("path", " > ").alias("heading_path"), F.size("path").alias("level"), F.reverse("seen").alias("ancestry"))
-
-
-def depth_first(sections: DataFrame, doc_col: str, id_col: str, parent_col: str, idx_col: str, depth: int = DEPTH) -> DataFrame:
+    base = sections.select(F.col(id_col).alias("id"), F.col(parent_col).alias("next"), F.col(header_col).alias("header"))
+    now = _checkpoint(base.select("id", "next", F.array("header").alias("path"), F.array("id").alias("seen")))  # own first
+    while not now.filter("next is not null").isEmpty():
+        up = now.select(F.col("id").alias("p_id"), F.col("next").alias("p_next"), F.col("path").alias("p_path"), F.col("seen").alias("p_seen"))
+        again = F.get(F.array_intersect("p_seen", "seen"), F.lit(0))  # the first ancestor met a second time
+        more = F.when(again.isNull(), F.size("p_seen")).otherwise(F.array_position("p_seen", again).cast("int") - 1)
+        joined = now.join(up, F.col("next") == F.col("p_id"), "left").withColumn("more", F.coalesce(more, F.lit(0))).withColumn("done", F.col("p_id").isNull() | again.isNotNull())
+        now = _checkpoint(joined.select(
+            "id", F.when(~F.col("done"), F.col("p_next")).alias("next"), F.when(F.col("more") > 0, F.concat("path", F.slice("p_path", F.lit(1), F.col("more")))).otherwise(F.col("path")).alias("path"),
+            F.when(F.col("more") > 0, F.concat("seen", F.slice("p_seen", F.lit(1), F.col("more")))).otherwise(F.col("seen")).alias("seen"),
+        ))
+    return now.select("id", F.array_join(F.reverse("path"), " > ").alias("heading_path"), F.size("path").alias("level"), F.reverse("seen").alias("ancestry"))
+
+
+def depth_first(sections: DataFrame, doc_col: str, id_col: str, parent_col: str, idx_col: str) -> DataFrame:
     """doc, id, position: depth-first order with children by idx, from a sortable path of indices."""
     keyed = sections.select(F.col(doc_col).alias("doc"), F.col(id_col).alias("id"), F.col(parent_col).alias("parent_id"), F.lpad(F.col(idx_col).cast("string"), 12, "0").alias("header"))
-    paths = heading_paths(keyed, depth=depth).select("id", "heading_path")
+    paths = heading_paths(keyed).select("id", "heading_path")
     return keyed.join(paths, "id").select("doc", "id", F.row_number().over(W.partitionBy("doc").orderBy("heading_path", "id")).alias("position"))
 
 

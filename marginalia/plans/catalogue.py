@@ -290,12 +290,12 @@ TREE_SQL = """d AS (SELECT source, doc_id AS id, CAST(row_number() OVER (PARTITI
 
 @query(f"WITH RECURSIVE {TREE_SQL}, w AS (SELECT id, header AS heading_path, CAST(1 AS INTEGER) AS level FROM t WHERE parent_id IS NULL UNION ALL SELECT t.id, w.heading_path || ' > ' || t.header, w.level + 1 FROM t JOIN w ON t.parent_id = w.id) SELECT * FROM w")
 def heading_path(spark, sf_dir):
-    return structure.heading_paths(tree(spark, sf_dir), depth=12).select("id", "heading_path", "level")
+    return structure.heading_paths(tree(spark, sf_dir)).select("id", "heading_path", "level")
 
 
 @query(f"WITH RECURSIVE {TREE_SQL}, w AS (SELECT source, id, lpad(CAST(idx AS VARCHAR), 12, '0') AS p FROM t WHERE parent_id IS NULL UNION ALL SELECT t.source, t.id, w.p || ' > ' || lpad(CAST(t.idx AS VARCHAR), 12, '0') FROM t JOIN w ON t.parent_id = w.id) SELECT source AS doc, id, CAST(row_number() OVER (PARTITION BY source ORDER BY p, id) AS INTEGER) AS position FROM w")
 def dfs_order(spark, sf_dir):
-    return structure.depth_first(tree(spark, sf_dir), "source", "id", "parent_id", "idx", depth=12)
+    return structure.depth_first(tree(spark, sf_dir), "source", "id", "parent_id", "idx")
 
 
 @query(f"WITH {TREE_SQL} SELECT t.id, t.parent_id AS parent, coalesce(c.children, CAST([] AS BIGINT[])) AS children FROM t LEFT JOIN (SELECT parent_id, list(id ORDER BY id) AS children FROM t WHERE parent_id IS NOT NULL GROUP BY 1) c ON t.id = c.parent_id")

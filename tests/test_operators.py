@@ -31,6 +31,29 @@ def test_heading_path_and_cycle(spark):
     assert paths[2] == "Parent > Child" and paths[5] == "Orphan" and paths[3] == "B > A" and paths[4] == "A > B"
 
 
+def test_heading_path_of_any_depth(spark):
+    up = {k: k - 1 or None for k in range(1, 41)} | {50: 51, 51: 52, 52: 50, 53: 50, 54: 53}
+    want = {}
+    for k in up:
+        seen, at = [], k
+        while at in up and at not in seen:
+            seen.append(at)
+            at = up[at]
+        want[k] = (" > ".join(f"h{x}" for x in reversed(seen)), len(seen))
+    rows = spark.createDataFrame([(1, k, p, f"h{k}", k) for k, p in up.items()], "doc long, id long, parent_id long, header string, idx long")
+    assert {r.id: (r.heading_path, r.level) for r in structure.heading_paths(rows).collect()} == want
+    chain = structure.depth_first(rows.filter("id <= 40"), "doc", "id", "parent_id", "idx")
+    assert {r.id: r.position for r in chain.collect()} == {k: k for k in range(1, 41)}
+
+
+def test_depth_first_below_twelve_levels(spark):
+    # two chains of 20 under one root, their idx interleaved
+    up = {1: None} | {k: max(k - 2, 1) for k in range(2, 42)}
+    rows = spark.createDataFrame([(1, k, p, k) for k, p in up.items()], "doc long, id long, parent_id long, idx long")
+    got = structure.depth_first(rows, "doc", "id", "parent_id", "idx").orderBy("position").collect()
+    assert [r.id for r in got] == [1, *range(2, 42, 2), *range(3, 42, 2)]
+
+
 def candidates(spark, rows):
     return spark.createDataFrame(rows, "qid long, channel string, channel_seq int, weight double, rank int, evidence_key string, evidence_type string, semantic_score double, lexical_score double")
 
