@@ -23,6 +23,19 @@ def _blocks(rows: DataFrame, id_col: str, vector_col: str, n: int, prefix: str)
     return dealt.groupBy("block").applyInPandas(pack, f"{prefix}_block bigint, {prefix}_ids binary, {prefix}_m binary")
 
 
+def best(s: np.ndarray, k: int, ids: np.ndarray) -> np.ndarray:
+    """A mask of each row's k best by similarity rounded to 9 places, then by smaller id."""
+    if ids.size <= k:
+        return np.ones(s.shape, bool)
+    order = np.argsort(ids, kind="stable")
+    r = np.floor(s[:, order] * 1e9 + 0.5)
+    least = -np.partition(-r, k - 1, axis=1)[:, k - 1 : k]
+    over, tie = r > least, r == least
+    out = np.empty(s.shape, bool)
+    out[:, order] = over | tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= k - over.sum(axis=1, keepdims=True))
+    return out
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int = 3, above: float = 0.4, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """id, neighbour, similarity, rank: each left row's k nearest right rows of another id with similarity over `above`.
 
@@ -40,10 +53,10 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 3, above: float = 0.4, i
                 lm, rm = (np.frombuffer(row[c]).reshape(n, -1) for c, n in (("l_m", li.size), ("r_m", ri.size)))
                 s = lm @ rm.T
                 s[li[:, None] == ri] = -np.inf
-                top = np.argpartition(-s, min(k + 8, ri.size - 1), axis=1)[:, : k + 8] if ri.size > k + 8 else np.tile(np.arange(ri.size), (li.size, 1))
-                rows, score = np.repeat(np.arange(li.size), top.shape[1]), np.take_along_axis(s, top, 1).ravel()
-                fit = score > above
-                yield pd.DataFrame({"id": li[rows[fit]], "neighbour": ri[top.ravel()[fit]], "similarity": score[fit]})
+                s[np.isnan(s)] = -np.inf
+                fit = best(s, k, ri) & (s > above)
+                rows, at = np.nonzero(fit)
+                yield pd.DataFrame({"id": li[rows], "neighbour": ri[at], "similarity": s[rows, at]})
 
     found = pairs.mapInPandas(multiply, "id bigint, neighbour bigint, similarity double")
     order = W.partitionBy("id").orderBy(F.round("similarity", 9).desc(), "neighbour")

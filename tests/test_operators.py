@@ -3,6 +3,7 @@
 import uuid
 from hashlib import md5
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,19 @@ def test_neighbours(spark):
     assert all(r.id != r.neighbour and r["rank"] <= 2 for r in got) and {r.id for r in got} == {0, 1, 2, 3}
 
 
+def test_neighbours_with_many_ties(spark):
+    draw = np.random.default_rng(4)
+    one, other = draw.random(16), draw.random(16)
+    vectors = {k: other if k % 3 == 0 else one if k < 60 else draw.random(16) for k in draw.permutation(120).tolist()}
+    m = np.array([vectors[k] for k in range(120)], np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = m @ m.T
+    want = {(k, j, r) for k in range(120) for r, j in enumerate(sorted((j for j in range(120) if j != k), key=lambda j: (-round(s[k, j], 9), j))[:3], 1)}
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in vectors.items()], "id long, embedding array<float>")
+    for block in (2048, 50):
+        assert {(r.id, r.neighbour, r["rank"]) for r in knn.nearest(rows, rows, k=3, above=0.1, block=block).collect()} == want
+
+
 def test_metrics_and_scores(spark):
     ranks = spark.createDataFrame([(0,), (1,), (6,), (11,)], "first_rank int")
     m = evaluate.metrics(ranks).first()
