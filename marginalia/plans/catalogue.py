@@ -336,10 +336,19 @@ def line_kinds(spark, sf_dir):
 
 
 def marked(spark, sf_dir) -> DataFrame:
-    """Lines with headings: the first is a title, every fourth a section, every seventh a lower one."""
-    n = F.col("ln")
-    line = F.when(n == 0, F.concat(F.lit("# "), F.substring("line", 1, 60))).when(n % 7 == 5, F.concat(F.lit("### "), F.substring("line", 1, 40))).when(n % 4 == 1, F.concat(F.lit("## "), F.substring("line", 1, 40))).otherwise(F.col("line"))
-    return doc_lines(spark, sf_dir).filter(~T.blank("line")).withColumn("line", line)
+    """Lines with headings: the first line starts with a title, every fourth with a section, every seventh with a lower one.
+
+    A heading has whole words, up to 60 or 40 characters (one longer word is cut); what follows is the next line, so no text is lost. Line ln of the
+    document is 2 ln here, and what follows its heading 2 ln + 1.
+    """
+    n, line = F.col("ln"), F.col("line")
+    head = lambda most: F.regexp_extract("line", rf"(?s)^\s*\S(?:.{{0,{most - 1}}}(?=\s|$)|.{{0,{most - 1}}})", 0)
+    mark = F.when(n == 0, "# ").when(n % 7 == 5, "### ").when(n % 4 == 1, "## ")
+    cut = doc_lines(spark, sf_dir).filter(~T.blank("line")).select("doc", "ln", "line", mark.alias("mark"), F.when(n == 0, head(60)).when(mark.isNotNull(), head(40)).alias("head"))
+    rest = F.substr(line, F.length("head") + 1)
+    heading = F.struct((2 * n).alias("ln"), F.concat("mark", T.jtrim("head")).alias("line"))
+    both = F.when(F.col("mark").isNull(), F.array(F.struct((2 * n).alias("ln"), line.alias("line")))).when(T.blank(rest), F.array(heading)).otherwise(F.array(heading, F.struct((2 * n + 1).alias("ln"), rest.alias("line"))))
+    return cut.select("doc", F.inline(both))
 
 
 @query()

@@ -1,5 +1,6 @@
 """Properties of single operators on small hand-written rows."""
 
+import re
 import uuid
 from hashlib import md5
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as T
 from marginalia.functions import vectors as V
 from marginalia.operators import audit, chunking, evaluate, ingest, knn, library, references, retrieval, structure
+from marginalia.plans import catalogue
 
 
 def one(spark, column, **values):
@@ -132,6 +134,20 @@ def test_headings(spark):
     assert all(r.reason for r in structure.decide_headings(rows).collect())
 
 
+def test_marked_lines_keep_all_text(spark, tmp_path):
+    words = lambda n, tag: " ".join(f"{tag}{k}" for k in range(n))
+    texts = [words(200, "a"), "\n".join(words(30, x) for x in "bcdefghij"), "short\n\n  one\n" + "x" * 100, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = catalogue.marked(spark, f"file://{tmp_path}").orderBy("doc", "ln").collect()
+    assert len({(r.doc, r.ln) for r in got}) == len(got)
+    for k, text in enumerate(texts):
+        mine = [r.line for r in got if r.doc == k]
+        bare = "".join(re.sub(r"^#+ ", "", x) for x in mine)
+        assert re.sub(r"\s", "", bare) == re.sub(r"\s", "", text or "")
+    first = [r.line for r in got if r.doc == 0]
+    assert first[0] == "# " + words(200, "a")[:60].rsplit(" ", 1)[0] and len(first) == 2
+
+
 def test_sections_and_parents(spark):
     lines = ["intro text", "# T", "a line", "goes on.", "new one", "## B", "### C", "## D"]
     s = structure.sections(spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)], "doc long, ln int, line string"))
