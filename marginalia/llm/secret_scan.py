@@ -1,12 +1,14 @@
 """Secret scans: patterns, and character Markov models of random strings and ordinary identifiers.
 
 The base kinds (assign, access, hex) are patterns. Beyond them, long strings without white space are scored by two
-first-order character models, one trained on labelled random strings and one on labelled identifiers: a string whose log-likelihood
-ratio is at least RATIO in all and PER_CHARACTER on average is a span of kind `random`. The samples are a
-parameter; by default they are drawn from a fixed seed by labelled_samples().
-
-Defined results: null and empty texts have no spans; whole texts are scanned; repeated rows are scanned each; a `random`
-span that overlaps a base span is left out; other columns are ignored.
+first-order character models, one trained on labelled random strings and one on labelled identifiers, which may also repeat
+a character (REPEAT): a string whose log-likelihood ratio is at least RATIO in all and PER_CHARACTER on average is a span
+of kind `random`. Where a string as a whole is none, its best-scoring part of SHORTEST_RANDOM characters or more is, if that reaches
+both, out to the next of / + = _ - on both sides; the rest is scored again. The samples are a parameter; by default they are
+drawn from a fixed seed by labelled_samples().
+
+Defined results: null and empty texts have no spans; whole texts are scanned; repeated rows are scanned each; of a string
+that overlaps base spans, the parts outside them are scored; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +29,12 @@ KINDS = (*BASE_KINDS, "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
 SHORTEST = {"assign": 6, "access": 20}
+SHORTEST_RANDOM = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PIECE = re.compile(r"[A-Za-z0-9]+|[+/_=-]+")
 RATIO, PER_CHARACTER, SEED, SAMPLES = 12.0, 0.6, 20240501, 4000
+#: How often an ordinary string repeats a character, as rules and padding do.
+REPEAT = 0.1
 #: Common words of identifiers, for the ordinary class.
 WORDS = """access account action active add address admin agent alert all alpha angle api app apply area array async attr audio author auto average back base batch begin block body bool border box branch buffer build button byte cache call cancel card case cell change char check child class clean clear click client clone close cloud code color column command comment commit common config connect console content context control convert copy core count create current custom data date debug default delete depth detail device dialog dict diff digest disk display document domain double down draft drop duration edit element email empty enable encode end engine entity entry enum error event exception execute exit export extra factory fail field file filter final find first fixed flag float flush folder font footer form format frame from function get global graph group handle hash header height help hidden history host hour http icon image import index info init inner input insert instance int item iterator job join json key kind label language last layer layout left length level library limit line link list listener load local lock log login long loop main manager map mark mask match max media member memory menu merge message method min mode model module month mouse name native network new next node none notify null number object offset open option order origin outer output owner package page panel parent parse part pass path pattern payload pending person phone pixel place plain player plugin point policy pool port position post prefix previous price print private process product profile progress project property protocol proxy public query queue quick random range rank rate read ready record redirect reference region register relation release reload remote remove render repeat replace report request require reset resize resolve resource response rest result return right role root rotate route row rule run sample save scale scan schedule scope score screen script scroll search second section select send sequence server service session set shape share shift show signal simple single size skip slot small sort sound source space split stack stage start state static status step stop storage store stream string style submit success suffix sum switch symbol sync system table tag target task template test text theme thread time title toggle token tool top total trace track transaction transform tree trigger type unit unknown update upload upper url user util valid value variable vector verify version video view visible wait warning watch web weight width window with word work wrap write year zone""".split()
 
@@ -60,9 +66,46 @@ def model(samples: Iterable[str]) -> np.ndarray:
     return np.log((pair + 8 * single) / (pair.sum(axis=1, keepdims=True) + 8))
 
 
-def log_ratio(text: str, table: np.ndarray) -> float:
-    codes = np.frombuffer(text.encode("ascii"), np.uint8)
-    return float(table[codes[:-1], codes[1:]].sum())
+def ratios(secrets: Iterable[str], plain: Iterable[str]) -> np.ndarray:
+    """The log-likelihood ratio of each ASCII character after each."""
+    ordinary = (1 - REPEAT) * np.exp(model(plain))
+    ordinary[np.diag_indices(128)] += REPEAT
+    return model(secrets) - np.log(ordinary)
+
+
+def best_part(score: np.ndarray, least: int) -> tuple[int, int, float]:
+    """(first, end, sum) of the slice of score with the greatest sum, of least entries or more."""
+    total = np.concatenate([[0.0], np.cumsum(score)])
+    low = np.minimum.accumulate(total[: total.size - least])
+    end = int(np.argmax(total[least:] - low))
+    first = int(np.argmin(total[: end + 1]))
+    return first, end + least, float(total[end + least] - total[first])
+
+
+def random_part(word: str, score: np.ndarray) -> tuple[int, int] | None:
+    """Where the best-scoring part of word is that reaches RATIO and PER_CHARACTER, if one does."""
+    if score.sum() >= max(RATIO, PER_CHARACTER * score.size):
+        return 0, len(word)
+    # above PER_CHARACTER on average: a sum over what exceeds it; parts of one character more always reach RATIO
+    for least in (SHORTEST_RANDOM - 1, SHORTEST_RANDOM):
+        if score.size >= least:
+            first, end, over = best_part(score - PER_CHARACTER, least)
+            if over >= 0 and over + PER_CHARACTER * (end - first) >= RATIO - 1e-9:
+                pieces = [m.span() for m in PIECE.finditer(word)]
+                return max(a for a, b in pieces if a <= first < b), min(b for a, b in pieces if a <= end < b)
+    return None
+
+
+def random_spans(text: str, a: int, b: int, table: np.ndarray) -> Found:
+    out, left = [], [(a, b)]
+    while left:
+        a, b = left.pop()
+        if b - a >= SHORTEST_RANDOM:
+            codes = np.frombuffer(text[a:b].encode("ascii"), np.uint8)
+            if part := random_part(text[a:b], table[codes[:-1], codes[1:]]):
+                out.append((a + part[0], "random", a + part[1]))
+                left += [(a, a + part[0]), (a + part[1], b)]
+    return out
 
 
 def base_spans(text: str) -> Found:
@@ -73,19 +116,19 @@ def base_spans(text: str) -> Found:
 
 
 def finder(secrets: list[str], plain: list[str]) -> Callable[[str], Found]:
-    table = model(secrets) - model(plain)
+    table = ratios(secrets, plain)
 
     def find(text: str) -> Found:
         found = base_spans(text)
-        taken = [(a, b) for a, _, b in found]
+        taken, more = sorted((a, b) for a, _, b in found), []
         for m in CANDIDATE.finditer(text):
-            word = m.group()
-            if word.isalpha() or word.isdigit() or not any(map(str.isdigit, word)) or any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            ratio = log_ratio(word, table)
-            if ratio >= RATIO and ratio >= PER_CHARACTER * (len(word) - 1):
-                found.append((m.start(), "random", m.end()))
-        return found
+            at = m.start()
+            for a, b in taken:
+                if a < m.end() and at < b:
+                    more += random_spans(text, at, a, table)
+                    at = b
+            more += random_spans(text, at, m.end(), table)
+        return found + more
 
     return find
 
