@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import byte_bpe, exact_dedup, mixing, quality, simhash
+from marginalia.llm import byte_bpe, exact_dedup, mixing, quality, shingles, simhash
 from marginalia.llm.common import materialise, table
 from marginalia.llm.queries import SOURCE_WEIGHTS
 
@@ -32,8 +32,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each component of near copies: within op2's radius, or with five-word similarity of 0.8 or more."""
+    return simhash.drop_near_duplicates(docs, more=shingles.similar_links(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

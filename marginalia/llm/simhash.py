@@ -197,20 +197,21 @@ def components(links: DataFrame) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable) for every row of docs."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, more: DataFrame | None = None) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable) for every row of docs; more: further links (a, b) of fingerprints."""
     digest = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = materialise(digest.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    joined = components(verified_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    links = verified_links(distinct.select("fp"))
+    joined = components(links if more is None else links.union(more)).withColumnRenamed("node", "fp")
     labelled = materialise(distinct.join(joined, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "labelled")
     smallest = materialise(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     of = materialise(labelled.join(smallest, "root").select("fp", "component_id"), "components")
     return digest.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
     """The rows of docs with the smallest doc_id of their component, with all columns of docs."""
-    keep = materialise(near_duplicates(docs, id_col, text_col).filter("doc_id <=> component_id").select("doc_id").distinct(), "kept")
+    keep = materialise(near_duplicates(docs, id_col, text_col, more=more).filter("doc_id <=> component_id").select("doc_id").distinct(), "kept")
     kept = keep.select(F.col("doc_id").alias("__id")).hint("merge")  # the kept ids grow with docs: no broadcast at any size
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi").select(*docs.columns)
 
