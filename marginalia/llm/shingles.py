@@ -1,7 +1,7 @@
 """Near copies by the similarity of their sets of five-word shingles, for the pipeline's near_dedup stage.
 
 Two texts are linked when their sets have a Jaccard similarity of SIMILARITY or more. Candidates meet on one of BANDS keys of
-ROWS minima each: a pair at 0.8 meets nowhere in 3 of a million cases, a pair at 0.9 in none of 10 ** 11. Every
+ROWS minima each: with ideal hashes a pair at 0.8 meets nowhere in 3 of a million cases (0.5904 ** 24). Every
 candidate is verified on the whole sets: first each set with the smallest of each bucket it is in, then, within the buckets that
 still have several components, all pairs across components. So a large group of near copies costs links in proportion to its
 size, and no pair of a bucket that could join two components goes unverified.
