@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A folder of our own only where the session names none, as in tests."""
+    """The folder that driver and executors share. A folder of our own only where the session names none and runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = f"file://{tempfile.mkdtemp(prefix='marginalia-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -51,10 +55,48 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes as well as by rows, for this session's Python operators."""
+    """Bounds Arrow batches by bytes as well as by rows: the same bounds for every operator here, as the session holds them when a plan runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextlib.contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """A smaller bound on Arrow batches for the jobs run inside, and the former one after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: Names of a row's key.
+ROW = ["__marginalia_a", "__marginalia_b"]
+
+
+def row_key(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes over all columns: rows share them when they are the same in every column."""
+    told = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return [F.xxhash64(F.lit(seed), *told).alias(name) for seed, name in zip((1, 2), ROW)]
+
+
+def one_of_each(docs: DataFrame, chosen: DataFrame, rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """The rows of docs whose key is in chosen (ROW, each once, and carry), each key once, with all columns of docs and carry. rows: the keys of all rows of docs.
+
+    Rows that are alone with their key, as a rule all, pass by a join; only those that repeat in every column are made distinct.
+    The join is by merge: chosen grows with docs.
+    """
+    names = [F.col(f"`{c}`") for c in [*docs.columns, *carry]]
+    repeated = materialise(rows.groupBy(*ROW).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*ROW), "repeated")
+    kept = docs.select("*", *row_key(docs)).join(chosen.select(*ROW, *carry).hint("merge"), ROW)
+    if repeated.isEmpty():
+        return kept.select(*names)
+    single = kept.join(repeated.hint("merge"), ROW, "left_anti")
+    several = kept.join(repeated.hint("merge"), ROW, "left_semi").dropDuplicates(ROW)
+    return single.unionByName(several).select(*names)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

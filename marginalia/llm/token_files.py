@@ -11,12 +11,15 @@ and which reaches any store that Spark reaches: a row is one file's bytes, and t
 four bytes. Files are in ascending order of document id, by name.
 
 Defined results: null and empty texts have the end id alone; a null doc_id comes first; repeated rows are written each, next to one another,
-ordered by their text's hash; an empty table gives no files; other columns are ignored.
+ordered by their text's hash; an empty table gives no files; texts of any length are encoded whole and make one frame each; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+import gc
+import json
 import os
 import struct
 import zlib
@@ -26,6 +29,7 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,83 +42,122 @@ SKIPPABLE_INDEX, SKIPPABLE_TABLE, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92E
 NO_ID = -(1 << 63)
 #: A file is closed at this many compressed bytes.
 FILE_BYTES = 32 << 20
-#: Distinct words that a worker keeps encoded.
-KEPT = 400_000
-#: Marks that may end a word.
-TAIL = ".,!?;:|$%*&#"
-#: Words of letters encoded in one call, with a space between them.
-TOGETHER = 1000
-
-
-class Words(dict):
-    """Words between ASCII white space -> ids as little-endian uint32 bytes, by the tokenizers library.
-
-    No token of this kind of vocabulary spans white space and its normaliser and pre-tokeniser look at nothing beyond
-    it, so a text's ids are its words' ids in a row.
+#: Distinct words that a worker keeps encoded, and their greatest length.
+KEPT, LONGEST_KEPT = 400_000, 64
+#: Texts whose words are made distinct together, by rows and bytes.
+GATHER_ROWS, GATHER_BYTES = 4000, 16 << 20
+#: Marks that may end a word. Letters below LATIN_END but for DOTTED are single letters in lower case too, and never compose with what precedes them.
+TAIL, LATIN_END, DOTTED = ".,!?;:|$%*&#", "\u0250", "\u0130"
+#: The steps and the pattern of vocabularies that are encoded by words.
+STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it prints, else the next of 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+def by_words(tokenizer) -> bool:
+    """Whether a text's ids are its words' ids in a row, letter case aside: the vocabulary's own rules say so."""
+    told = json.loads(tokenizer.to_str())
+    parts = [*(told["normalizer"] or {}).get("normalizers", []), *(told["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    plain = all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] and t["content"][0] == "<" and t["content"][-1] == ">" and len(t["content"].split()) == 1 for t in told["added_tokens"])
+    return plain and [p["type"] for p in parts] == STEPS and parts[3]["pattern"] == {"Regex": PRE_TOKEN} and bool(told["model"].get("end_of_word_suffix")) and not parts[4]["use_regex"] and not parts[4]["add_prefix_space"]
+
+
+class Words:
+    """Texts -> ids as little-endian uint32 bytes, by the tokenizers library.
+
+    Where the vocabulary's rules cut at white space anyway (by_words), a text's ids are its words' ids in a row: a batch's words are made
+    distinct by Arrow, only words not met before go to the library, and ids are gathered by numpy. Any other
+    vocabulary encodes whole texts.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = by_words(self.tokenizer)
+        self.known: dict[bytes, bytes] = {b"": b""}
         self.cores: dict[str, bytes] = {"": b""}
-        # ids of tokens that end a word, by id; nothing where the vocabulary has no word ends
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() if suffix else 0, bool)
-        if suffix:
-            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        self.letters = byte_letters()
 
     def alone(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of each word, a call of the library's for each."""
+        """The ids of each word or text, by the whole tokenizer."""
         return (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
 
-    def together(self, words: list[str]) -> Iterator[bytes]:
-        """The same for words of letters only, many in a call: each is one pre-token, whose last token ends a word. Where
-        the normaliser makes marks out of letters there are more ends than words, and the run is encoded word by word."""
-        runs = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(cuts) != len(run):
-                yield from self.alone(run)
-                continue
-            data = ids.tobytes()
-            yield from (data[a:b] for a, b in zip([0, *cuts], cuts))
-
-    def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words. Marks of TAIL after a letter or number are a pre-token of their own, and ASCII letters are
+    def letters_only(self, words: list[str]) -> Iterator[bytes]:
+        """The same for lower-case words of Latin letters: each is one pre-token that the normaliser leaves alone, so
+        only the library's merging is called."""
+        merge = self.tokenizer.model.tokenize
+        for word in words:
+            yield array("I", [t.id for t in merge(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words. Marks of TAIL after a Latin letter or number are a pre-token of their own (no other letter is cut off:
+        normalising may leave a combining mark at its end, which joins what follows), and Latin letters are
         made lower case by the normaliser anyway, so words share what the library encodes."""
         parts: dict[bytes, tuple[str, str]] = {}
+        letters, rest, known = set(), set(), self.cores
         for w in new:
             word = w.decode()
             core = word.rstrip(TAIL)
-            if not core[-1:].isalnum():
+            last = core[-1:]
+            if not (last.isalnum() and last < LATIN_END and last != DOTTED):
                 core = word
-            parts[w] = (core.lower() if core.isascii() and "<" not in core else core, word[len(core) :])
-        known = self.cores
-        fresh = {x for pair in parts.values() for x in pair if x and x not in known}
-        letters = [x for x in fresh if x.isalpha()] if self.ends.size else []
-        rest = list(fresh.difference(letters))
-        learnt = dict(zip(letters, self.together(letters))) | dict(zip(rest, self.alone(rest)))
+            if core.isascii():
+                plain = core.isalpha()
+                if plain or "<" not in core:
+                    core = core.lower()
+            elif plain := core.isalpha() and max(core) < LATIN_END and DOTTED not in core:
+                core = core.lower()
+            tail = word[len(core) :]
+            parts[w] = core, tail
+            if core not in known:
+                (letters if plain else rest).add(core)
+            if tail not in known:
+                rest.add(tail)
+        learnt = {}
+        for some, how in ((list(letters), self.letters_only), (list(rest), self.alone)):
+            learnt |= dict(zip(some, how(some)))
         known.update(learnt)
         out = {w: known[core] + known[tail] for w, (core, tail) in parts.items()}
         if len(known) > KEPT:
             for x in learnt:
                 del known[x]
+        else:
+            for x in learnt:
+                if len(x) > LONGEST_KEPT:
+                    del known[x]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        known = [list(map(self.get, s)) for s in split]
-        learnt = self.learn({w for s, k in zip(split, known) for w, ids in zip(s, k) if ids is None})
-        self.update(learnt)
-        out = [b"".join([learnt[w] if ids is None else ids for w, ids in zip(s, k)]) for s, k in zip(split, known)]
-        if len(self) > KEPT:
-            for w in learnt:
-                del self[w]
-        return out
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        if not self.by_words:
+            return list(self.alone(texts.to_pylist()))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        distinct, codes, bounds = coded.dictionary, coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+        place = np.frombuffer(distinct.buffers()[1], np.int32)[: len(distinct) + 1].tolist() if len(distinct) else [0]
+        data = distinct.buffers()[2].to_pybytes() if len(distinct) and distinct.buffers()[2] else b""
+        words = [data[a:b] for a, b in zip(place, place[1:])]
+        found = list(map(self.known.get, words))
+        new = [w for w, ids in zip(words, found) if ids is None]
+        learnt = self.learn(new)
+        found = [learnt[w] if ids is None else ids for w, ids in zip(words, found)]
+        if len(self.known) < KEPT:
+            self.known.update((w, ids) for w, ids in learnt.items() if len(w) <= LONGEST_KEPT)
+        # the ids of all words in a row, gathered from the ids of the distinct ones
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, table = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4")
+        size = sizes[codes]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = table[np.repeat(starts[codes] - upto[:-1], size) + np.arange(upto[-1])]
+        cuts = upto[bounds - bounds[0]].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.cache
@@ -128,7 +171,7 @@ class FileBuilder:
     def __init__(self) -> None:
         import zstandard
 
-        self.compress = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True).compress
+        self.compress = zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True).compress
         self.frames: list[bytes] = []
         self.rows: list[tuple[int, int, int, int]] = []
         self.size = 0
@@ -150,19 +193,37 @@ class FileBuilder:
         return b"".join([*self.frames, index, head, table, struct.pack("<IB", len(entries), 0x80)])
 
 
-def write_ids(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= GATHER_ROWS or size >= GATHER_BYTES:
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def write_ids(docs: DataFrame, encode: Callable[[pa.Array], list[bytes]], end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes every row of docs, in ascending order of id, to files below path."""
     bounded_batches(docs.sparkSession)
     end = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = FileBuilder()
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                out.add(doc_id, ids + end)
-                if out.size >= FILE_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([out.close()], pa.binary())], names=["file"])
-                    out = FileBuilder()
+        gc.disable()  # the words kept are many small objects without cycles
+        try:
+            for batch in gathered(batches):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                    out.add(doc_id, ids + end)
+                    if out.size >= FILE_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array([out.close()], pa.binary())], names=["file"])
+                        out = FileBuilder()
+        finally:
+            gc.enable()
         if out.rows:
             yield pa.RecordBatch.from_arrays([pa.array([out.close()], pa.binary())], names=["file"])
 
@@ -233,8 +294,9 @@ def with_starts(documents: DataFrame) -> DataFrame:
     """Adds start: the ids of all documents before, over all files. Prefix sums by file, then within a file."""
     rows = materialise(documents.drop("ids"), "documents")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
-    # one row a file of FILE_BYTES; the part number leads the name, so names are in order
-    base = files.select("file", F.coalesce(F.sum("file_tokens").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    # one row a file of FILE_BYTES; the numbers of its part and of the file within the part give its place
+    number = [F.regexp_extract("file", pattern, 1).cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)")]
+    base = files.select("file", F.coalesce(F.sum("file_tokens").over(W.orderBy(*number).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     upto = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
     within = rows.withColumn("start", F.sum("n_tokens").over(upto) - F.col("n_tokens"))
     return within.join(base, "file").withColumn("start", F.col("base") + F.col("start")).drop("base")

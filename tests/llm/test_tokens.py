@@ -1,14 +1,20 @@
+import hashlib
 import io
 import random
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marginalia.llm import byte_bpe, mixing, pretokens, token_counts, token_files
+from marginalia.llm import byte_bpe, mixing, pretokens, queries, token_counts, token_files
+from marginalia.llm.common import row_key
 
 ALPHABET = ["a", "b", "'", "s", "re", "'s", "'ll", " ", "  ", "\n", "\t", "1", "٣", "é", "中", "!", " ", " ", "😀", "_", "\x1c", "\x85", "ſ", "<|endoftext|>", "hello", "ing", "\r\n"]
 
@@ -60,7 +66,7 @@ def test_token_files(spark, docs, documents, empty, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     some = texts(1000, 30)
-    assert [np.frombuffer(x, np.uint32).tolist() for x in token_files.words(path).encode(some)] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in token_files.words(path).encode(pa.array(some))] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
     out = f"file://{tmp_path}/ids"
     got = token_files.tokenise_to_files(docs, path, 2, out).orderBy("start").collect()
     start = 0
@@ -94,9 +100,67 @@ def test_mixture(docs, documents, empty):
     assert mixing.mixture(docs, [3, 1, 2]).columns == docs.columns
 
 
-def test_words_together_are_words_alone():
-    path = public_tokenizers.path("word_bpe_49k.json")
+def same_as_library(some, path):
     library = Tokenizer.from_file(path)
-    for some in (["plain words", "of letters", "x"], ["क़लम qalam", "İstanbul ﬁne ＡＢ Ω ǅ ｶﾞ 한글", "zebra apple's été don't3x"], ["", " ", "$$$ ..."]):
-        got = token_files.Words(path).encode(some)
-        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    got = token_files.Words(path).encode(pa.array(some))
+    return [t for t, x, e in zip(some, got, library.encode_batch(some, add_special_tokens=False)) if np.frombuffer(x, "<u4").tolist() != e.ids]
+
+
+def test_words_are_the_librarys():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for some in (["plain words", "of letters", "x"], ["क़लम qalam", "İstanbul ﬁne ＡＢ Ω ǅ ｶﾞ 한글", "zebra apple's été don't3x"], ["", " ", "$$$ ...", "<|endoftext|>.", "<|ENDOFTEXT|>!"], ["z" * 300 + " " + "y" * 70 + "."] * 2):
+        assert same_as_library(some, path) == []
+
+
+def test_marks_after_every_letter():
+    """Normalising may leave a combining mark at a word's end, which joins the marks that follow."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    chars = [c for c in map(chr, range(0x3100)) if unicodedata.category(c)[0] in "LMN"] + ["\uac00", "\U00010400", "\U0001d400"]
+    assert same_as_library([c + "." for c in chars] + ["Xy" + c + "!?" for c in chars] + ["é" + c + "a|" for c in chars], path) == []
+    assert same_as_library(["İ.", "फ़.", "ড়!", "İstanbul'a, İİ;"], path) == []
+
+
+def test_other_vocabularies_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not token_files.Words(path).by_words
+    assert same_as_library(["Hello  World\n\n x", "ABC abc", ""], path) == []
+
+
+def test_starts_follow_file_numbers(spark):
+    rows = [(f"part-{n}-x-c{c}.txt", 0, 10 * k + c + 1) for k, n in enumerate(("00000", "99999", "100000")) for c in (0, 999, 1000)]
+    found = token_files.with_starts(spark.createDataFrame([(f, a, n, b"") for f, a, n in rows], "file string, at int, n_tokens bigint, ids binary")).collect()
+    starts, total = {}, 0
+    for f, _, n in rows:
+        starts[f], total = total, total + n
+    assert {r.file: r.start for r in found} == starts
+
+
+def test_digests_of_queries(spark):
+    """The derived columns of op4 and op8 against the libraries, over a whole table."""
+    path, limit = public_tokenizers.path("byte_bpe_50k.tiktoken"), queries.TOKEN_LIMIT
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks(path), special_tokens={})
+    counter = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op8_byte_bpe(spark, sf).collect():
+        ids = np.array(library.encode_ordinary(texts[r.doc_id]), "<u4").tobytes()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+    over = 0
+    for r in queries.op4_token_counts(spark, sf).collect():
+        n = len(counter.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > limit)
+        over += r.over_limit
+    assert over
+
+
+def test_mixture_decides_by_row(spark):
+    """Rows that share an id take their own copies; rows that repeat whole take those of all."""
+    rows = [(7, f"words of row {k} " * (1 + k % 5), f"s{k % 3}") for k in range(40)] + [(None, f"no id {k}", "s1") for k in range(20)] + [(8, "the very same row", "s2")] * 5
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("__pass", F.lit(1)).withColumn("__copies", F.lit(2))
+    told = mixing.mix(docs, [3, 1, 2], carried=[*row_key(docs), F.col("text")]).collect()
+    want = Counter()
+    for r in told:
+        want[r.text] += r.copies
+    got = mixing.mixture(docs, [3, 1, 2])
+    assert got.columns == docs.columns
+    assert Counter(r.text for r in got.collect()) == +want
