@@ -8,7 +8,8 @@ identifiers; two texts are equal when their recipes are. Chunks cross the networ
 chunks), documents never do: after the first pass all work is on recipes.
 
 Defined results: a null text counts as empty; a null doc_id is one id, after all others; all empty texts are equal to one another; rows that repeat a doc_id
-carry the same verdict if their texts are equal, count once each in group_size, and share `kept`; an empty table gives an empty table; other
+carry the same verdict if their texts are equal, count once each in group_size, and share `kept`, while drop_exact_duplicates keeps one row of them;
+an empty table gives an empty table; texts of any length are chunked whole; ids may be any bigint; other
 columns are ignored, and names such as `recipe` or `kept` may be among them.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import discard, materialise, text_or_empty
+from marginalia.llm.common import ROW, discard, materialise, one_of_each, row_key, text_or_empty
 
 CHUNK_MIN, CHUNK_MAX = 256, 4096
 #: A chunk may end after one of these: sentence ends of several scripts, and some digits and letters, for texts without.
@@ -38,14 +39,19 @@ def chunks(norm: Column) -> Column:
     return F.regexp_extract_all(norm, F.lit(pattern), F.lit(0))
 
 
-def recipes(docs: DataFrame, id_col: str, text_col: str, identifier: Callable[[Column], Column], carried: list[str]) -> DataFrame:
-    """doc_id, n_points, sha, recipe (array of bigint) and carried columns, each text read once; identifiers verified."""
+def recipes(docs: DataFrame, id_col: str, text_col: str, identifier: Callable[[Column], Column], carried: list[Column]) -> DataFrame:
+    """doc_id, n_points, sha, recipe and carried columns, each text read once; identifiers verified.
+
+    A recipe is its chunks' identifiers in order, and for identifiers that stand for several contents the numbers of theirs by place.
+    """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("__text"), *carried)
+    carried = [c for c in base.columns if c in ROW]
     cut = base.select("*", normalised(F.col("__text")).alias("__norm")).select("*", chunks(F.col("__norm")).alias("__chunks"))
-    digest = materialise(
-        cut.select("doc_id", F.length("__text").cast("long").alias("n_points"), F.sha2(F.col("__norm").cast("binary"), 256).alias("sha"), F.transform("__chunks", lambda c: identifier(c)).alias("recipe"), *carried), "recipes"
-    )
+    no_patch = F.array().cast("array<struct<pos:int,n:int>>")
+    recipe = lambda patch: F.struct(F.transform("__chunks", lambda c: identifier(c)).alias("chunks"), patch.alias("patch")).alias("recipe")
+    told = ["doc_id", F.length("__text").cast("long").alias("n_points"), F.sha2(F.col("__norm").cast("binary"), 256).alias("sha")]
+    digest = materialise(cut.select(*told, recipe(no_patch), *carried), "recipes")
     # distinct (identifier, content): a hash aggregate on both sides of one shuffle
     distinct = cut.select(F.explode("__chunks").alias("chunk")).select(identifier(F.col("chunk")).alias("h"), "chunk").distinct()
     clashing = materialise(distinct.groupBy("h").count().filter("count > 1").select("h"), "clashes")
@@ -57,16 +63,18 @@ def recipes(docs: DataFrame, id_col: str, text_col: str, identifier: Callable[[C
     hit = rows.join(clashing, "h", "left_semi")
     numbers = hit.select("h", "chunk").distinct().withColumn("n", F.row_number().over(W.partitionBy("h").orderBy("chunk")))
     patch = hit.join(numbers, ["h", "chunk"]).select("doc_id", "t", F.struct("pos", "n").alias("p")).distinct().groupBy("doc_id", "t").agg(F.array_sort(F.collect_list("p")).alias("patch"))
-    told = cut.select("doc_id", F.xxhash64("__text").alias("t"), F.length("__text").cast("long").alias("n_points"), F.sha2(F.col("__norm").cast("binary"), 256).alias("sha"), F.transform("__chunks", lambda c: identifier(c)).alias("recipe"), *carried)
-    joined = told.join(patch.withColumnsRenamed({"doc_id": "p_id", "t": "p_t"}), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("t") == F.col("p_t")), "left")
-    full = F.concat("recipe", F.flatten(F.transform(F.coalesce("patch", F.array().cast("array<struct<pos:int,n:int>>")), lambda p: F.array(p["pos"].cast("long"), p["n"].cast("long")))))
-    return materialise(joined.select("doc_id", "n_points", "sha", full.alias("recipe"), *carried), "recipes")
+    patch = patch.withColumnsRenamed({"doc_id": "p_id", "t": "p_t"})
+    joined = cut.join(patch, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.xxhash64("__text") == F.col("p_t")), "left")
+    discard(spark, digest)
+    return materialise(joined.select(*told, recipe(F.coalesce("patch", no_patch)), *carried), "recipes")
 
 
 def groups(digest: DataFrame) -> DataFrame:
-    """One row for each distinct recipe: partial aggregation keeps a hot group from moving."""
-    best = F.max(F.struct(F.col("n_points"), (-F.col("doc_id")).alias("neg")))
-    return digest.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select("recipe", (-F.col("best.neg")).alias("keep_id"), "group_size")
+    """One row for each distinct recipe: partial aggregation keeps a hot group from moving. best.doc_id: the row that stays; ROW beside it, if carried."""
+    carried = [c for c in ROW if c in digest.columns]
+    best = F.min(F.struct((-F.col("n_points")).alias("fewest"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", *carried))
+    found = digest.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return found.select("recipe", F.col("best.doc_id").alias("keep_id"), "group_size", *[F.col(f"best.{c}").alias(c) for c in carried])
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identifier: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -81,6 +89,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is its group's keeper, with all columns of docs."""
-    keep = materialise(groups(recipes(docs, id_col, text_col, F.xxhash64, [])), "groups").select(F.col("keep_id").alias("__id"))
-    return docs.join(keep.hint("merge"), docs[id_col].eqNullSafe(keep["__id"]), "left_semi").select(*docs.columns)  # the kept ids grow with docs: no broadcast at any size
+    """One row of each group of equal texts, with all columns of docs: the one of the most code points, then of the smallest id
+    (null after all others), then of the smaller row hash. Decided by row: ids may repeat or be null."""
+    digest = recipes(docs, id_col, text_col, F.xxhash64, row_key(docs))
+    chosen = materialise(groups(digest).select(*ROW), "kept")
+    return one_of_each(docs, chosen, digest)

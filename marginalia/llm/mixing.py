@@ -10,21 +10,25 @@ same way, by ranges of virtual time, so only the range in which the budget ends
 
 Defined results: a null text has size 0; a null source is a source, after all others; documents of size 0 finish at
 their predecessor's time and take 0 words; equal times are ordered by source, md5, doc_id; rows that repeat a doc_id are
-documents of their own; sources of size 0 have target 0; an empty table gives an empty table; other columns are ignored.
+documents of their own, ordered within one range; null ids are shuffled by their text; sources of size 0 have target 0; an empty table gives an empty
+table; texts of any length are counted whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialise, text_or_empty
+from marginalia.llm.common import ROW, materialise, one_of_each, row_key, text_or_empty
 
 #: Hash ranges of one source: three hexadecimal digits of md5.
 RANGE_DIGITS = 3
 #: Ranges of virtual time. All targets are met at time 1.
 TIME_RANGES = 4096
+COPIES = "__marginalia_copies"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,14 +62,16 @@ def targets(sources: DataFrame, weights: list[int], share_num: int, share_den: i
     return ranked.join(full, "rank_no", "left").select("source", "source_size", "rank_no", F.coalesce("target", F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[int], share_num: int = 3, share_den: int = 2, repeats: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken (= copies * size) for every row of docs.
+def mix(docs: DataFrame, weights: list[int], share_num: int = 3, share_den: int = 2, repeats: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carried: Sequence[Column] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken (= copies * size) and carried for every row of docs.
 
     weights: of the sources in code point order, repeated as often as needed. share_num / share_den: the total budget as
     a share of all sizes. repeats: how often a document may be taken.
     """
-    md5 = F.md5(F.col(id_col).cast("string").cast("binary"))
-    sized = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_or_empty(text_col)).alias("size"), F.coalesce(md5, F.lit("")).alias("mark")), "sizes")
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("no id "), F.md5(text_or_empty(text_col).cast("binary"))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_or_empty(text_col)).alias("size"), F.md5(name.cast("binary")).alias("mark"), *carried)
+    carried = rows.columns[4:]
+    sized = materialise(rows, "sizes")
     sized = sized.withColumn("part", F.substring("mark", 1, RANGE_DIGITS))
     ranges = materialise(sized.groupBy("source", "part").agg(F.sum("size").alias("range_size")), "ranges")
     shares = materialise(targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share_num, share_den, repeats), "targets")
@@ -73,9 +79,9 @@ def mix(docs: DataFrame, weights: list[int], share_num: int = 3, share_den: int
     upto = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = materialise(ranges.select("source", "part", F.coalesce(F.sum("range_size").over(upto), F.lit(0)).alias("base")).join(shares, ranges["source"].eqNullSafe(shares["source"])).select(ranges["source"], "part", "base", "source_size", "rank_no", "target"), "starts")
     key = (sized["source"].eqNullSafe(starts["source"])) & (sized["part"] == starts["part"])
-    placed = sized.join(starts, key).select("doc_id", "size", "mark", sized["part"], "base", "source_size", "rank_no", "target")
-    within = W.partitionBy("rank_no", "part").orderBy("mark", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    queued = materialise(placed.select("doc_id", "size", "source_size", "rank_no", "target", "mark", (F.col("base") + F.sum("size").over(within)).alias("cum")), "queued")
+    placed = sized.join(starts, key).select("doc_id", "size", "mark", sized["part"], "base", "source_size", "rank_no", "target", *carried)
+    within = W.partitionBy("rank_no", "part").orderBy("mark", "doc_id", "size", *carried).rowsBetween(W.unboundedPreceding, W.currentRow)
+    queued = materialise(placed.select("doc_id", "size", "source_size", "rank_no", "target", "mark", *carried, (F.col("base") + F.sum("size").over(within)).alias("cum")), "queued")
     passes = queued.filter("target > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("pass_no"))
     finish = (F.col("source_size") * F.col("pass_no") + F.col("cum")).cast("double") / F.col("target")
     timed = passes.withColumn("finish", finish).withColumn("slot", F.least(F.floor(F.col("finish") * TIME_RANGES), F.lit(TIME_RANGES * (repeats + 2))))
@@ -94,12 +100,14 @@ def mix(docs: DataFrame, weights: list[int], share_num: int = 3, share_den: int
     sure = sum((F.when(F.floor((F.col("source_size") * p + F.col("cum")).cast("double") / F.col("target") * TIME_RANGES) < at, 1).otherwise(0) for p in range(repeats)), F.lit(0))
     out = queued.join(extra.withColumnsRenamed({k: f"x_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"x_{k}")) for k in keys], "left")
     copies = F.when(F.col("target") > 0, sure + F.coalesce("extra", F.lit(0))).otherwise(0).cast("int")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *carried).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixture(docs: DataFrame, weights: list[int], id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed documents themselves: each row of docs as often as it is taken. Ids that are all of size 0 go; rows that share an id, null too, are taken alike."""
-    taken = mix(docs, weights, id_col=id_col, **options).filter("copies > 0 and size > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = materialise(taken, "taken").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    repeated = docs.join(taken.hint("merge"), docs[id_col].eqNullSafe(taken["__id"])).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__pass"))
-    return repeated.drop("__pass")
+    """The mixed documents themselves: each row of docs as often as it is taken, decided by row. Rows of size 0 go."""
+    told = materialise(mix(docs, weights, id_col=id_col, carried=row_key(docs), **options).select(*ROW, "copies", "size"), "copies")
+    taken = told.filter("copies > 0 and size > 0").groupBy(*ROW).agg(F.sum("copies").cast("int").alias(COPIES))
+    # a row that repeats in every column stands once here, and takes the copies of all
+    once = one_of_each(docs, taken, told, carry=[COPIES])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.select(F.explode(F.array_repeat(row, F.col(COPIES))).alias("row")).select("row.*")

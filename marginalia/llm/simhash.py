@@ -11,20 +11,20 @@ Fingerprints are made distinct first: copies never meet one another. Links are j
 node to its smallest neighbour and contracting, with a table in the shared folder after each round.
 
 Defined results: a null or empty text has fingerprint 0, linked like any other; a null doc_id is one id, after all others; a text of fewer words than a shingle
-is one shingle; rows that repeat a doc_id are linked each by their own text; an empty table gives an empty table;
-other columns are ignored.
+is one shingle; rows that repeat a doc_id are linked each by their own text; an empty table gives an empty table; texts of any
+length are read whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bounded_batches, discard, materialise
+from marginalia.llm.common import ROW, bounded_batches, discard, materialise, one_of_each, row_key
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 BLOCKS = ((0, 21), (21, 42), (42, 64))
@@ -55,16 +55,18 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(a)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed bigint) for every row of docs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carried: Sequence[Column] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed bigint) and carried (bigint columns) for every row of docs."""
     bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carried)
+    names = ["doc_id", "fp", *rows.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x or "", shingle) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def signed(x: int) -> int:
@@ -151,21 +153,31 @@ def meet(key: np.ndarray, fp: np.ndarray, links: Links) -> None:
         links.add(a[near], b[near])
 
 
+def whole_groups(batches: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
+    """Arrays in order of the first, cut so that no value of the first is in two of the pieces given."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for some in batches:
+        if not some[0].size:
+            continue
+        if some[0][0] == some[0][-1] and (not held or held[-1][0][-1] == some[0][0]):
+            held.append(some)  # still inside one large group
+            continue
+        cut = int(np.searchsorted(some[0], some[0][-1]))
+        held.append(tuple(x[:cut] for x in some))
+        yield [np.concatenate(x) for x in zip(*held)]
+        held = [tuple(x[cut:] for x in some)]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def verified_links(distinct: DataFrame) -> DataFrame:
     """a, b: links that join all fingerprints within the radius of one another, for distinct fp."""
     variants = F.inline(F.array(*[F.struct(F.lit(k).alias("keep"), F.lit(x).alias("flip")) for k, x in balls()]))
     keyed = distinct.select("fp", variants).select((F.col("fp").bitwiseAND(F.col("keep"))).bitwiseXOR(F.col("flip")).alias("key"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links, key, fp = Links(), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, batch.column(1).to_numpy()])
-            cut = int(np.searchsorted(key, key[-1])) if key.size else 0
-            if cut:
-                meet(key[:cut], fp[:cut], links)
-                key, fp = key[cut:], fp[cut:]
-        if key.size:
+        links = Links()
+        for key, fp in whole_groups((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches):
             meet(key, fp, links)
         a, b = links.close()
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -197,23 +209,38 @@ def components(links: DataFrame) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, more: DataFrame | None = None) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable) for every row of docs; more: further links (a, b) of fingerprints."""
+def labelled(digest: DataFrame, links: DataFrame) -> DataFrame:
+    """fp and root (a fingerprint of its component, the same for all) of every fingerprint in digest."""
+    distinct = digest.select("fp").distinct()
+    joined = components(links).withColumnRenamed("node", "fp")
+    return materialise(distinct.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "labelled")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable) for every row of docs."""
     digest = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = materialise(digest.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    links = verified_links(distinct.select("fp"))
-    joined = components(links if more is None else links.union(more)).withColumnRenamed("node", "fp")
-    labelled = materialise(distinct.join(joined, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "labelled")
-    smallest = materialise(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    of = materialise(labelled.join(smallest, "root").select("fp", "component_id"), "components")
+    roots = labelled(distinct, verified_links(distinct.select("fp")))
+    named = distinct.join(roots, "fp")
+    smallest = materialise(named.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
+    of = materialise(roots.join(smallest, "root").select("fp", "component_id"), "components")
     return digest.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component, with all columns of docs."""
-    keep = materialise(near_duplicates(docs, id_col, text_col, more=more).filter("doc_id <=> component_id").select("doc_id").distinct(), "kept")
-    kept = keep.select(F.col("doc_id").alias("__id")).hint("merge")  # the kept ids grow with docs: no broadcast at any size
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi").select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+    """One row of each component, with all columns of docs: the one of the smallest id (null after all others), then of the smaller row
+    hash. Decided by row: ids may repeat or be null.
+
+    digest: doc_id, fp and the row's key for every row of docs, where they are at hand; more: further links (a, b) of fingerprints.
+    """
+    if digest is None:
+        digest = materialise(fingerprints(docs, id_col, text_col, carried=row_key(docs)), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *ROW)).alias("first")
+    distinct = materialise(digest.groupBy("fp").agg(first), "distinct")
+    links = verified_links(distinct.select("fp"))
+    roots = labelled(distinct, links if more is None else links.union(more))
+    best = distinct.join(roots, "fp").groupBy("root").agg(F.min("first").alias("best"))
+    return one_of_each(docs, materialise(best.select(*[F.col(f"best.{c}").alias(c) for c in ROW]), "kept"), digest)
 
 
 def hex_fingerprint(fp: str = "fp"):

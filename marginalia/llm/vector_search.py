@@ -1,16 +1,16 @@
 """Exact top-k inner products by vector-approximation files.
 
-Vectors are dealt to blocks of about BLOCK rows. A block keeps, for each dimension, BINS equal cells over its own range,
-each vector's cells (one byte a dimension), and the exact vectors. A query scans the cells for the highest and lowest score
-that each vector can have, then reads exact vectors from the highest bound down until its k-th best score is
-above all bounds left. Queries come in blocks too; a task carries each query's best so far from one block to
-the next, so its bounds prune from the first row on.
+Vectors are dealt to blocks of about BLOCK rows. An approximation file holds, for each block and dimension, BINS equal cells over the block's own range,
+and each vector's cells, one byte a dimension. The first pass reads those only: they give the highest and lowest score that each
+vector can have, and a vector whose highest is below a query's k-th best lowest is out. The second pass reads exact vectors for what is
+left, by (block, place). Queries come in blocks too; a task carries each query's bounds from one block to the next.
 
 Components are whole numbers (floor(scale * x)), so scores are exact. Ties go to the smaller id.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor rows with a null id; a
 query sees every row but those with its own id; vectors of another length than the query's are not compared;
-repeated rows are candidates each, but one query; fewer than k candidates give fewer rows; other columns are ignored.
+repeated rows are candidates each, but one query; fewer than k candidates give fewer rows; an empty table gives no rows; components so
+large that a score could pass 2 ** 50 (for 64 dimensions, about 4,000 at a scale of 1024) raise an error; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialise
+from marginalia.llm.common import few_rows_a_batch, materialise
 
-BLOCK, QUERY_BLOCK, BINS = 2048, 512, 32
+BLOCK, QUERY_BLOCK, BINS = 2048, 512, 256
 #: Queries whose best rows a task holds before it sends them on.
 HELD = 100_000
-FILE = "n_dims int, block bigint, ids binary, low binary, width binary, cells binary, exact binary"
+FILE = "n_dims int, block bigint, ids binary, low binary, width binary, cells binary"
 
 
 def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -38,101 +38,135 @@ def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataF
     return fit.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def approximation_file(rows: DataFrame, block_rows: int = BLOCK) -> DataFrame:
-    """One row for each block of rows (id, v): its approximation and its exact vectors."""
+def first_of_equals(rows: DataFrame, k: int) -> DataFrame:
+    """rows without those that no query can list: of equal vectors, only the k + 1 smallest ids (one may be the query's own), each k times at
+    most, can be among the k best. A hot vector is cut within each task before it moves."""
+    ids, copies = W.partitionBy("v").orderBy("id"), W.partitionBy("v", "id").orderBy("id")
+    near = rows.withColumn("at", F.dense_rank().over(ids)).filter(F.col("at") <= k + 1)
+    return near.withColumn("at", F.row_number().over(copies)).filter(F.col("at") <= k).select("id", "v")
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """rows, or an error where a score could leave the whole numbers that a double holds, with room for bounds: no silent overflow."""
+    worst = rows.agg(F.max(F.size("v")).alias("n"), F.max(F.array_max(F.transform("v", lambda x: F.greatest(x, -x - 1)))).alias("x")).first()
+    if worst["n"] and worst["n"] * (worst["x"] + 1) ** 2 >= 1 << 50:
+        raise ValueError(f"components up to {worst['x']} in {worst['n']} dimensions: scores would not be exact")
+    return rows
+
+
+def approximation_file(rows: DataFrame, block_rows: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """For rows (id, v): one row of cells for each block of rows, and the exact vectors by (n_dims, block, place)."""
     n_blocks = max(1, -(-rows.count() // block_rows))
-    dealt = rows.select(F.size("v").alias("n_dims"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n_blocks)).alias("block"), "id", "v")
+    # the vector is part of the hash: rows that repeat an id spread over blocks
+    dealt = rows.select(F.size("v").alias("n_dims"), F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.lit(n_blocks)).alias("block"), "id", "v")
+    dealt = materialise(dealt.withColumn("place", F.row_number().over(W.partitionBy("n_dims", "block").orderBy("id", "v")) - 1), "exact")
+    whole_rows = pa.schema([("n_dims", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "low", "width", "cells"))])
 
     def build(group: pa.Table) -> pa.Table:
         n_dims = group["n_dims"][0].as_py()
-        flat = group["v"].combine_chunks()
-        exact = np.asarray(flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in flat.chunks]), np.int64).reshape(-1, n_dims)
-        ids = group["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, exact = ids[order], exact[order]
+        order = np.argsort(group["place"].to_numpy())
+        exact = pa.concat_arrays([c.flatten() for c in group["v"].chunks]).to_numpy().reshape(-1, n_dims)[order]
         low = exact.min(axis=0)
         width = np.maximum(1, -(-(exact.max(axis=0) - low + 1) // BINS))
         cells = ((exact - low) // width).astype(np.uint8)
-        row = {"n_dims": n_dims, "block": group["block"][0].as_py(), "ids": ids.tobytes(), "low": low.tobytes(), "width": width.tobytes(), "cells": cells.tobytes(), "exact": exact.tobytes()}
-        return pa.Table.from_pylist([row], schema=pa.schema([("n_dims", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "low", "width", "cells", "exact"))]))
+        row = {"n_dims": n_dims, "block": group["block"][0].as_py(), "ids": group["id"].to_numpy()[order].tobytes(), "low": low.tobytes(), "width": width.tobytes(), "cells": cells.tobytes()}
+        return pa.Table.from_pylist([row], schema=whole_rows)
 
-    return dealt.groupBy("n_dims", "block").applyInArrow(build, FILE)
+    cells = dealt.groupBy("n_dims", "block").applyInArrow(build, FILE)
+    return materialise(cells, "approximation"), dealt
 
 
-class Best:
-    """The k best rows so far of the queries of one block."""
+class Bounds:
+    """The candidates so far of the queries of one block: rows whose highest possible score reaches the k-th best certain one."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int) -> None:
-        self.ids, self.q, self.k = ids, q.astype(float), k
-        self.exact_q = q
-        self.rows: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), in order
-
-    def scan(self, ids: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray, exact: np.ndarray) -> None:
-        least = (low + cells.astype(np.int64) * width).astype(float)
-        most = least + (width - 1)
-        plus, minus = np.maximum(self.q, 0), np.minimum(self.q, 0)
-        upper = plus @ most.T + minus @ least.T
-        lower = plus @ least.T + minus @ most.T
-        k = self.k
-        own = ids == self.ids[:, None]
-        lower[own] = upper[own] = -np.inf
-        for at in range(len(self.ids)):
-            rows, top = self.rows[at], upper[at]
-            # the k-th best certain score: of rows seen, or of lower bounds here
-            certain = -rows[-1][0] if len(rows) == k else -np.inf
-            if top.size > k:
-                certain = max(certain, np.partition(lower[at], top.size - k)[top.size - k])
-            some = np.flatnonzero((top >= certain) & (top > -np.inf))
-            some = some[np.argsort(-top[some], kind="stable")]
-            for a in range(0, some.size, 4 * k):
-                part = some[a : a + 4 * k]
-                if len(rows) == k and top[part[0]] < -rows[-1][0]:
-                    break
-                scores = exact[part] @ self.exact_q[at]
-                rows += zip((-scores).tolist(), ids[part].tolist())
-                rows.sort()
-                del rows[k:]
+        self.ids, self.k = ids, k
+        self.q = q.astype(np.float64)
+        self.certain: list[np.ndarray] = [np.zeros(0)] * ids.size  # the k best lower bounds
+        self.held: list[np.ndarray] = [np.zeros((3, 0))] * ids.size  # upper bounds, blocks, places
+
+    def scan(self, block: int, ids: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray) -> None:
+        # a score lies between its value at the cells' middles and that plus or minus the query's reach over half a cell
+        half = (width - 1) / 2
+        middle = self.q @ (cells * width.astype(np.float64)).T + (self.q @ (low + half))[:, None]
+        reach = (np.abs(self.q) @ half)[:, None]
+        for at in range(self.ids.size):
+            most, own = middle[at] + reach[at], ids == self.ids[at]
+            if own.any():
+                most = np.where(own, -np.inf, most)
+            best = np.concatenate([self.certain[at], most - 2 * reach[at]])
+            if best.size > self.k:
+                best = np.partition(best, best.size - self.k)[best.size - self.k :]
+            self.certain[at] = best
+            some = np.flatnonzero((most >= self.bar(at)) & (most > -np.inf))
+            if some.size:
+                held = np.hstack([self.held[at], [most[some], np.full(some.size, block), some]])
+                self.held[at] = held[:, held[0] >= self.bar(at)]
+
+    def bar(self, at: int) -> float:
+        # bounds are sums of halves, exact in doubles
+        return self.certain[at].min() if self.certain[at].size == self.k else -np.inf
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of each query's k best rows. queries: which rows are queries."""
-    rows = whole(vectors, id_col, vector_col, scale)
-    files = materialise(approximation_file(rows), "approximation")
-    asked = whole(vectors.filter(queries), id_col, vector_col, scale)
+    """query_id, rank (from 1), vec_id and score of each query's k best rows. queries: which rows are queries.
+
+    First pass: each block of queries scans the cells of every block of vectors, and a task keeps each query's candidates. The k-th best lower bound of a
+    query over all tasks then rules out most of them. Second pass: exact vectors are read for what is left only,
+    by (block, place).
+    """
+    spark = vectors.sparkSession
+    rows = checked(materialise(first_of_equals(whole(vectors, id_col, vector_col, scale), k), "vectors"))
+    files, exact = approximation_file(rows)
+    asked = whole(vectors.filter(queries), id_col, vector_col, scale).dropDuplicates(["id", "v"])
     n_parts = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.select(F.size("v").alias("n_dims"), F.pmod(F.xxhash64("id", F.lit(11)), F.lit(n_parts)).alias("part"), "id", "v").distinct()
+    # a query's number tells vectors of one id apart
+    asked = materialise(asked.select(F.size("v").alias("n_dims"), F.pmod(F.xxhash64("id", "v"), F.lit(n_parts)).alias("part"), "id", "v", F.xxhash64("v").alias("q_hash")), "asked")
+    parts = pa.schema([("n_dims", pa.int32()), ("part", pa.int64()), ("q_ids", pa.binary()), ("q_hash", pa.binary()), ("q", pa.binary())])
 
     def pack(group: pa.Table) -> pa.Table:
-        q = np.array(group["v"].to_pylist(), np.int64)
-        row = {"n_dims": group["n_dims"][0].as_py(), "part": group["part"][0].as_py(), "q_ids": group["id"].to_numpy().tobytes(), "q": q.tobytes()}
-        return pa.Table.from_pylist([row], schema=pa.schema([("n_dims", pa.int32()), ("part", pa.int64()), ("q_ids", pa.binary()), ("q", pa.binary())]))
+        q = pa.concat_arrays([c.flatten() for c in group["v"].chunks]).to_numpy()
+        row = {"n_dims": group["n_dims"][0].as_py(), "part": group["part"][0].as_py(), "q_ids": group["id"].to_numpy().tobytes(), "q_hash": group["q_hash"].to_numpy().tobytes(), "q": q.tobytes()}
+        return pa.Table.from_pylist([row], schema=parts)
 
-    packed = asked.groupBy("n_dims", "part").applyInArrow(pack, "n_dims int, part bigint, q_ids binary, q binary")
-    blocks = materialise(files.select("n_dims", "block"), "blocks")
+    packed = asked.groupBy("n_dims", "part").applyInArrow(pack, "n_dims int, part bigint, q_ids binary, q_hash binary, q binary")
+    blocks = files.select("n_dims", "block")
     # each block of queries goes to each block of vectors: the query set is stated, and the vectors do not move again
     meetings = packed.join(blocks, "n_dims").join(files, ["n_dims", "block"])
-    ordered = meetings.sortWithinPartitions("n_dims", "part")
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    ordered = meetings.sortWithinPartitions("n_dims", "part").select("n_dims", "part", "q_ids", "q_hash", "q", "block", "ids", "low", "width", "cells")
+
+    names, kinds = ["n_dims", "query_id", "q_hash", "bar", "most", "block", "place"], [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, int], Best] = {}
+        held: dict[tuple[int, int], tuple[Bounds, np.ndarray]] = {}
 
-        def send() -> pa.RecordBatch:
-            found = [(q, i, -s) for b in best.values() for q, own in zip(b.ids.tolist(), b.rows) for s, i in own]
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+        def send() -> Iterator[pa.RecordBatch]:
+            for (n, _), (bounds, hashes) in held.items():
+                for at, query in enumerate(bounds.ids.tolist()):
+                    most, block, place = bounds.held[at]
+                    same = [np.full(most.size, x) for x in (n, query, hashes[at], bounds.bar(at))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*same, most, block.astype(np.int64), place.astype(np.int32)], kinds)], names=names)
 
         for batch in batches:
             for r in batch.to_pylist():
                 n, key = r["n_dims"], (r["n_dims"], r["part"])
-                if key not in best:
-                    if sum(len(b.ids) for b in best.values()) >= HELD:
-                        yield send()
-                        best.clear()
-                    best[key] = Best(np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"], np.int64).reshape(-1, n), k)
-                best[key].scan(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["low"], np.int64), np.frombuffer(r["width"], np.int64), np.frombuffer(r["cells"], np.uint8).reshape(-1, n), np.frombuffer(r["exact"], np.int64).reshape(-1, n))
-        yield send()
-
-    found = ordered.select("n_dims", "part", "q_ids", "q", "ids", "low", "width", "cells", "exact").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+                if key not in held:
+                    if sum(b.ids.size for b, _ in held.values()) >= HELD:
+                        yield from send()
+                        held.clear()
+                    ids = np.frombuffer(r["q_ids"], np.int64)
+                    held[key] = Bounds(ids, np.frombuffer(r["q"], np.int64).reshape(-1, n), k), np.frombuffer(r["q_hash"], np.int64)
+                held[key][0].scan(r["block"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["low"], np.int64), np.frombuffer(r["width"], np.int64), np.frombuffer(r["cells"], np.uint8).reshape(-1, n))
+        yield from send()
+
+    # a row of a meeting is some hundred KB: few a batch, for this pass alone
+    with few_rows_a_batch(spark, 8):
+        near = materialise(ordered.mapInArrow(run, "n_dims int, query_id bigint, q_hash bigint, bar double, most double, block bigint, place int"), "candidates")
+    bar = near.groupBy("n_dims", "query_id", "q_hash").agg(F.max("bar").alias("least"))
+    left = near.join(bar, ["n_dims", "query_id", "q_hash"]).filter("most >= least").select("n_dims", "query_id", "q_hash", "block", "place")
+    query = asked.select("n_dims", F.col("id").alias("query_id"), "q_hash", F.col("v").alias("q"))
+    both = left.join(exact, ["n_dims", "block", "place"]).join(query, ["n_dims", "query_id", "q_hash"])
+    score = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    scored = both.select("query_id", F.col("id").alias("vec_id"), score.alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

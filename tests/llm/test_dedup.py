@@ -24,7 +24,7 @@ def test_exact_against_brute_force(docs, documents, empty):
     assert exact_dedup.exact_duplicates(empty).collect() == []
     kept = exact_dedup.drop_exact_duplicates(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {k for _, k, _, _ in want}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({k for _, k, _, _ in want})
 
 
 def brute_fingerprint(text):
@@ -77,3 +77,26 @@ def test_links_of_chains_and_dense_groups(spark):
         groups[of[d]].add(f)
         mine[found.get(f, f)].add(f)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+
+
+REPEATED = [(7, "twice the same"), (7, "twice the same"), (5, "a copy of one"), (1, "a copy of one"), (5, "something of its own entirely"), (None, "a copy  of one"), (-(1 << 63), "least id"), (3, "least id"), (None, None), (None, ""), (9, "  ")]
+
+
+def test_stages_decide_by_row(spark):
+    """Ids that repeat or are null keep no copy alive, and rows that repeat whole leave one."""
+    docs = spark.createDataFrame([(d, t, "x") for d, t in REPEATED], "doc_id bigint, text string, kept string")
+    found = exact_dedup.exact_duplicates(docs).collect()
+    assert {r.keep_id for r in found if r.doc_id in (3, -(1 << 63))} == {-(1 << 63)} and len(found) == len(REPEATED)
+    want = [(-(1 << 63), "least id"), (5, "something of its own entirely"), (7, "twice the same"), (9, "  "), (None, "a copy  of one")]
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(((r.doc_id, r.text) for r in exact_dedup.drop_exact_duplicates(docs).collect()), key=key) == want
+    near = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()), key=key)
+    assert near == [(-(1 << 63), "least id"), (1, "a copy of one"), (5, "something of its own entirely"), (7, "twice the same"), (9, "  ")]
+    assert exact_dedup.drop_exact_duplicates(docs.limit(0)).collect() == []
+
+
+def test_groups_are_whole():
+    parts = [np.array(x) for x in ([1, 1, 2], [2], [2, 2, 2], [2, 3], [3, 4], [], [4])]
+    out = [x[0].tolist() for x in simhash.whole_groups((p,) for p in parts)]
+    assert sum(out, []) == [1, 1, 2, 2, 2, 2, 2, 2, 3, 3, 4, 4]
+    assert not any(set(a) & set(b) for a, b in combinations(out, 2))
