@@ -33,7 +33,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: within op2's radius, or with five-word similarity of 0.8 or more."""
-    return simhash.drop_near_duplicates(docs, more=shingles.similar_links(docs))
+    told = shingles.sketches(docs)
+    return simhash.drop_near_duplicates(docs, digest=told, more=shingles.similar_links(docs, told))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
