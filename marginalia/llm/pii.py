@@ -2,12 +2,13 @@
 
 Patterns give the base kinds (email, ip, card, phone). Beyond them, candidate spans of further kinds (phone and card numbers that a
 base pattern ran past, national numbers, bank accounts, names after a title) are voted on by labelers: the shape, a gazetteer, the words around, a
-check sum. Expectation-maximisation over the votes' patterns estimates each labeler's reliability and gives every
-candidate of a bounded sample of documents (SAMPLE_DOCS, by hash) a probability; a logistic model over the span's features is trained on those
+check sum. Expectation-maximisation over the votes of all documents' candidates estimates each labeler's reliability, kind by kind, and gives every
+pattern of votes a probability; a logistic model over the span's features is trained on those (on SAMPLE_ROWS distinct rows at most, about, by hash)
 and decides, everywhere, which candidates are spans.
 
-Defined results: null and empty texts have no spans; whole texts are scanned; repeated rows are scanned each; a
-candidate that overlaps a base span is left out; without candidates in the sample the prior weights decide; other columns are ignored.
+Defined results: null and empty texts have no spans; whole texts are scanned, at any length in time linear in their spans; repeated rows are scanned
+each, and null ids stay null; a candidate that overlaps a base span is left out; spans that share a start stand in the order of KINDS; without
+candidates the prior weights stand; an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bounded_batches
-from marginalia.llm.spans import Found, find_spans
+from marginalia.llm.common import bounded_batches, discard, materialise
+from marginalia.llm.spans import Found, covered, find_spans, overlapping
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("local_phone", "card_number", "national_id", "account", "name")
 KINDS = (*BASE_KINDS, *MORE_KINDS)
-#: Documents whose candidates the models are fitted on, about; ACCEPT: the least probability of a span.
-SAMPLE_DOCS, ACCEPT, ROUNDS = 20_000, 0.9, 50
+#: Distinct rows of features that the classifier is fitted on, about; ACCEPT: the least probability of a span.
+SAMPLE_ROWS, ACCEPT, ROUNDS = 20_000, 0.9, 50
 
 #: The base patterns. Look-behinds only spare starts inside a run whose first start has failed already.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -115,7 +116,8 @@ def votes(text: str, a: int, kind: str, b: int) -> tuple[int, ...]:
 
 def candidates(text: str, taken: Found) -> Found:
     out = [(m.start(), kind, m.end()) for kind, pattern in CANDIDATES.items() for m in pattern.finditer(text)]
-    return [c for c in out if not any(a < c[2] and c[0] < b for a, _, b in taken)] if out else out
+    ranges = covered(taken) if out else []
+    return [c for c in out if not overlapping(ranges, c[0], c[2])]
 
 
 def features(text: str, a: int, kind: str, b: int) -> list[float]:
@@ -151,40 +153,49 @@ def prior() -> np.ndarray:
     return np.array([-2.0, *[0.0] * len(MORE_KINDS), *[2.5] * 4, *[0.0] * 4])
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Newton steps on the logistic loss for soft labels, with a ridge towards the prior weights."""
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Newton steps on the logistic loss for soft labels of rows that count n times, with a ridge towards the prior weights."""
     w = first = prior()
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.eye(x.shape[1])
-        w = w - np.linalg.solve(hessian, x.T @ (p - y) + (w - first))
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + np.eye(x.shape[1])
+        w = w - np.linalg.solve(hessian, x.T @ (n * (p - y)) + (w - first))
     return w
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The span classifier's weights, from the candidates of about SAMPLE_DOCS documents."""
+def fit(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The span classifier's weights. The votes of all documents' candidates give the labelers' reliabilities, kind by kind; the model is fitted on
+    about SAMPLE_ROWS of the distinct rows of features, chosen by hash, each by its count."""
     bounded_batches(docs.sparkSession)
-    part = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
-    sample = docs.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(part * (1 << 30))).select(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 for a, kind, b in candidates(text, base_spans(text)) if text else ():
-                    rows[votes(text, a, kind, b), tuple(features(text, a, kind, b))] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([list(k[0]) for k in rows], pa.list_(pa.int32())), pa.array([list(k[1]) for k in rows], pa.list_(pa.float64())), pa.array(list(rows.values()), pa.int64())], names=["votes", "features", "n"])
-
-    told = sample.mapInArrow(run, "votes array<int>, features array<double>, n bigint").groupBy("votes", "features").agg(F.sum("n").alias("n")).orderBy("votes", "features").limit(SAMPLE_DOCS).collect()
-    patterns: Counter = Counter()
-    for r in told:
-        patterns[tuple(r["votes"])] += r["n"]
-    if not patterns:
+                    rows[kind, votes(text, a, kind, b), tuple(features(text, a, kind, b))] += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in rows], pa.string()), pa.array([list(k[1]) for k in rows], pa.list_(pa.int32())), pa.array([list(k[2]) for k in rows], pa.list_(pa.float64())), pa.array(list(rows.values()), pa.int64())],
+                names=["kind", "votes", "features", "n"],
+            )
+
+    found = docs.select(text_col).mapInArrow(run, "kind string, votes array<int>, features array<double>, n bigint")
+    rows = materialise(found.groupBy("kind", "votes", "features").agg(F.sum("n").alias("n")), "votes")
+    known: dict[tuple, float] = {}
+    patterns: dict[str, Counter] = {}
+    # at most 3 ** 4 patterns of votes a kind
+    for r in rows.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect():
+        patterns.setdefault(r["kind"], Counter())[tuple(r["votes"])] = r["n"]
+    for kind, counted in patterns.items():
+        known |= {(kind, v): p for v, p in reliabilities(counted).items()}
+    if not known:
         return prior()
-    known = reliabilities(patterns)
-    x = np.repeat(np.array([r["features"] for r in told]), [min(r["n"], 50) for r in told], axis=0)
-    y = np.repeat(np.array([known[tuple(r["votes"])] for r in told]), [min(r["n"], 50) for r in told])
-    return logistic(x, y)
+    part = min(1.0, SAMPLE_ROWS / max(rows.count(), 1))
+    told = rows.filter(F.pmod(F.xxhash64("kind", "votes", "features"), F.lit(1 << 30)) < int(part * (1 << 30))).orderBy("kind", "votes", "features").collect()
+    discard(docs.sparkSession, rows)
+    if not told:
+        return prior()
+    return logistic(np.array([r["features"] for r in told]), np.array([known[r["kind"], tuple(r["votes"])] for r in told]), np.array([float(r["n"]) for r in told]))
 
 
 def finder(weights: np.ndarray) -> Callable[[str], Found]:
@@ -198,5 +209,5 @@ def finder(weights: np.ndarray) -> Callable[[str], Found]:
 
 def personal_data_in(docs: DataFrame, weights: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans for every row of docs."""
-    learnt = fit(docs, id_col, text_col) if weights is None else weights
+    learnt = fit(docs, text_col) if weights is None else weights
     return find_spans(docs, lambda: finder(learnt), KINDS, id_col, text_col)

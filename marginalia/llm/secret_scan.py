@@ -7,8 +7,9 @@ of kind `random`. Where a string as a whole is none, its best-scoring part of SH
 both, out to the next of / + = _ - on both sides; the rest is scored again. The samples are a parameter; by default they are
 drawn from a fixed seed by labelled_samples().
 
-Defined results: null and empty texts have no spans; whole texts are scanned; repeated rows are scanned each; of a string
-that overlaps base spans, the parts outside them are scored; other columns are ignored.
+Defined results: null and empty texts have no spans; whole texts are scanned, at any length in time linear in their spans; repeated rows are scanned each, and null
+ids stay null; of a string that overlaps base spans, the parts outside them are scored; of equally good parts the first counts; spans of several kinds may share a start
+and stand in the order of KINDS; an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 from pyspark.sql import DataFrame
 
-from marginalia.llm.spans import Found, find_spans
+from marginalia.llm.spans import Found, covered, find_spans, overlapping
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "random")
@@ -120,13 +121,12 @@ def finder(secrets: list[str], plain: list[str]) -> Callable[[str], Found]:
 
     def find(text: str) -> Found:
         found = base_spans(text)
-        taken, more = sorted((a, b) for a, _, b in found), []
+        taken, more = covered(found), []
         for m in CANDIDATE.finditer(text):
             at = m.start()
-            for a, b in taken:
-                if a < m.end() and at < b:
-                    more += random_spans(text, at, a, table)
-                    at = b
+            for a, b in overlapping(taken, at, m.end()):
+                more += random_spans(text, at, a, table)
+                at = b
             more += random_spans(text, at, m.end(), table)
         return found + more
 

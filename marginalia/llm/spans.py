@@ -5,6 +5,7 @@ A span is (start, kind, end) with offsets in code points, end exclusive.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,6 +24,23 @@ def ordered(spans: Found, kinds: tuple[str, ...]) -> Found:
     return sorted(spans, key=lambda s: (s[0], place[s[1]], s[2]))
 
 
+def covered(spans: Found) -> list[tuple[int, int]]:
+    """What spans cover, as disjoint ranges in order."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def overlapping(ranges: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+    """Those of disjoint ranges in order that overlap [a, b)."""
+    first = bisect.bisect_right(ranges, a, key=lambda r: r[1])
+    return ranges[first : bisect.bisect_left(ranges, b, lo=first, key=lambda r: r[0])]
+
+
 def find_spans(docs: DataFrame, finder: Callable[[], Callable[[str], Found]], kinds: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans (array of kind, start, end, in order) for every row of docs. finder() is called once a task."""
     bounded_batches(docs.sparkSession)

@@ -1,6 +1,8 @@
+import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -8,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import pii, quality, queries, secret_scan, vector_search
+from marginalia.llm import spans as span_columns
 
 SF = "/root/testdata/sf0.01"
 
@@ -29,15 +32,33 @@ def brute(pattern, text, fits):
     return [(m.start(), m.end()) for m in re.finditer(pattern, text) if fits(m)]
 
 
+def secret_base(text):
+    found = {
+        "assign": brute(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, lambda m: len(m[2]) >= 6),
+        "access": brute(r"AKIA[A-Z0-9]+", text, lambda m: len(m[0]) >= 20),
+        "hex": brute(r"[0-9a-f]+", text, lambda m: len(m[0]) >= 24),
+    }
+    return [(a, b, k) for k, spans in found.items() for a, b in spans]
+
+
+def personal_base(text):
+    luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda m: re.sub(r"[^0-9]", "", m[0])
+    found = {
+        "email": brute(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text, lambda m: True),
+        "ip": brute(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text, lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+        "card": brute(r"[0-9]([\x20-]?[0-9])+", text, lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        "phone": brute(r"\+[0-9][\x20().0-9-]+[0-9]", text, lambda m: 9 <= len(digits(m)) <= 15),
+    }
+    return [(a, b, k) for k, spans in found.items() for a, b in spans]
+
+
 def test_secret_base_kinds():
     draw = random.Random(2)
     al = ["secret=token:abcdefgh", "password", "=", ": ", '"', "AKIA", "ABCD1234EFGH5678", "0123456789abcdef01234567", "deadbeef", " ", "API_KEY='xyz12345'", "ſecret=abcdefg", "\n", "é"]
     for _ in range(2000):
         text = "".join(draw.choice(al) for _ in range(draw.randrange(12)))
-        want = [(a, "assign", b) for a, b in brute(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, lambda m: len(m[2]) >= 6)]
-        want += [(a, "access", b) for a, b in brute(r"AKIA[A-Z0-9]+", text, lambda m: len(m[0]) >= 20)]
-        want += [(a, "hex", b) for a, b in brute(r"[0-9a-f]+", text, lambda m: len(m[0]) >= 24)]
-        assert sorted(secret_scan.base_spans(text)) == sorted(want)
+        assert sorted((a, b, k) for a, k, b in secret_scan.base_spans(text)) == sorted(secret_base(text))
 
 
 def test_secret_models(docs, empty):
@@ -67,15 +88,9 @@ def test_secrets_of_letters_and_behind_paths():
 def test_personal_base_kinds():
     draw = random.Random(4)
     al = ["a", "b.c", "@", "@x.com", ".", "x-y", "1", "255", "256", "1.2.3.4", "001.2.3", "4111 1111 1111 1111", "-", " ", "+49 (30) 12345", "+", "é", "4", "0", "9999", "\n"]
-    luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
-    digits = lambda m: re.sub(r"[^0-9]", "", m[0])
     for _ in range(4000):
         text = "".join(draw.choice(al) for _ in range(draw.randrange(14)))
-        want = [(a, "email", b) for a, b in brute(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text, lambda m: True)]
-        want += [(a, "ip", b) for a, b in brute(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text, lambda m: all(int(x) <= 255 for x in m[0].split(".")))]
-        want += [(a, "card", b) for a, b in brute(r"[0-9]([\x20-]?[0-9])+", text, lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m)))]
-        want += [(a, "phone", b) for a, b in brute(r"\+[0-9][\x20().0-9-]+[0-9]", text, lambda m: 9 <= len(digits(m)) <= 15)]
-        assert sorted(pii.base_spans(text)) == sorted(want)
+        assert sorted((a, b, k) for a, k, b in pii.base_spans(text)) == sorted(personal_base(text))
 
 
 def test_personal_models(spark, docs, empty):
@@ -93,6 +108,42 @@ def test_personal_models(spark, docs, empty):
     assert pii.personal_data_in(empty).collect() == []
 
 
+def listed(spans, kinds):
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], kinds.index(s[2]), s[1])))
+
+
+@pytest.mark.parametrize("query", [queries.op7_secrets, queries.op9_personal_data])
+def test_columns_of_span_queries(spark, query):
+    """Every column that a query returns, against plain patterns, over a whole table."""
+    sf = SF
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    module, base = (secret_scan, secret_base) if query is queries.op7_secrets else (pii, personal_base)
+    found = 0
+    for r in query(spark, sf).collect():
+        want = base(texts[r.doc_id])
+        assert [r[f"n_{k}"] for k in module.BASE_KINDS] == [sum(s[2] == k for s in want) for k in module.BASE_KINDS]
+        assert r.base_sha256 == hashlib.sha256(listed(want, module.BASE_KINDS).encode()).hexdigest()
+        spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert r.spans == listed(spans, module.KINDS) and set(want) <= set(spans)
+        assert not any(a < y and x < b for a, b, k in spans if k not in module.BASE_KINDS for x, y, _ in want)
+        found += len(spans)
+    assert found
+
+
+def test_overlaps_are_found_in_order():
+    draw = random.Random(9)
+    for _ in range(500):
+        spans = [(a := draw.randrange(60), "k", a + draw.randrange(1, 12)) for _ in range(draw.randrange(8))]
+        ranges = span_columns.covered(spans)
+        assert {x for a, _, b in spans for x in range(a, b)} == {x for a, b in ranges for x in range(a, b)} and all(x[1] <= y[0] for x, y in zip(ranges, ranges[1:]))
+        a = draw.randrange(60)
+        b = a + draw.randrange(1, 20)
+        assert span_columns.overlapping(ranges, a, b) == [r for r in ranges if r[0] < b and a < r[1]]
+    begun = time.perf_counter()
+    pii.candidates("1.2.3.4 Mr. Jones " * 20_000, pii.base_spans("1.2.3.4 Mr. Jones " * 20_000))
+    assert time.perf_counter() - begun < 20
+
+
 @pytest.mark.parametrize("dims", [3, 17])
 def test_vector_search(spark, dims):
     rng = np.random.default_rng(dims)
@@ -109,3 +160,59 @@ def test_vector_search(spark, dims):
             want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     assert got == sorted(want)
     assert vector_search.top_k(table.limit(0), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def walked(trees, row):
+    """A row's score by walking tree after tree in plain Python."""
+    total = trees.base
+    for at in trees.roots.tolist():
+        while trees.left[at] != at:
+            at = int(trees.left[at] if row[trees.feature[at]] <= trees.limit[at] else trees.right[at])
+        total += trees.value[at]
+    return 1 / (1 + math.exp(-total))
+
+
+def plain_statistics(text):
+    """Some statistics by plain counting."""
+    words, data = text.split(), text.encode()
+    lines = text.split("\n")
+    return {
+        "log_bytes": math.log1p(len(data)), "log_words": math.log1p(len(words)), "digit": sum(48 <= c < 58 for c in data) / max(len(data), 1), "not_ascii": sum(c > 127 for c in data) / max(len(data), 1),
+        "exclamation": data.count(b"!") / max(len(data), 1), "word_bytes": sum(len(w.encode()) for w in words) / max(len(words), 1), "distinct_words": len(set(words)) / max(len(words), 1),
+        "line_bytes": len(data) / len(lines), "letters": sum(chr(c).isalpha() for c in data if c < 128) / max(len(data), 1),
+    }
+
+
+def test_trees_and_statistics_against_plain_code(spark, documents):
+    rng = np.random.default_rng(5)
+    x = rng.random((400, len(quality.STATISTICS)))
+    trees = quality.grow(x, (x[:, 3] + x[:, 7] * x[:, 1] > 0.8).astype(float))
+    assert np.allclose(trees.score(x[:100]), [walked(trees, r) for r in x[:100]])
+    assert ((trees.score(x) >= 0.5) == (x[:, 3] + x[:, 7] * x[:, 1] > 0.8)).mean() > 0.95
+    for text in ("one two  two three!\nFour 4", "no digits", "a b\n\nc"):
+        got = dict(zip(quality.STATISTICS, quality.statistics(text)))
+        for name, value in plain_statistics(text).items():
+            assert math.isclose(got[name], value, abs_tol=1e-9), name
+    labels = spark.createDataFrame([(d[0], d[0] % 2) for d in documents], "doc_id bigint, quality int")
+    docs = spark.createDataFrame([(d[0], d[1]) for d in documents] * 3, "doc_id bigint, text string")
+    once, often = quality.train(docs.dropDuplicates(), labels), quality.train(docs, labels)
+    assert np.array_equal(once.limit, often.limit) and np.array_equal(once.value, often.value)
+
+
+def test_equal_vectors_and_large_components(spark):
+    """One vector in a third of the rows, under ids of its own and under one id; and no silent overflow."""
+    rng = np.random.default_rng(1)
+    rows = [(k, rng.normal(size=4).tolist()) for k in range(150)] + [(k, [1.0, 2.0, 0.5, 1.0]) for k in range(150, 280)] + [(200, [1.0, 2.0, 0.5, 1.0])] * 30
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in vector_search.top_k(table, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
+    fit = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    want = []
+    for q, v in dict(fit).items():
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fit if i != q)[:10]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with pytest.raises(ValueError):
+        vector_search.top_k(spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 1.0])], "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
