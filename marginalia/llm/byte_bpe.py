@@ -5,7 +5,8 @@ Pre-tokens come from the vectorised scan of pretokens.py; each distinct pre-toke
 so a range of bytes can be decoded without the rest.
 
 Defined results: null and empty texts have no ids and decode to empty bytes; special strings are ordinary text; texts
-are encoded whole at any length; repeated rows are encoded each; other columns are ignored.
+are encoded whole at any length; repeated rows are encoded each; a null id stays null; an empty table gives an empty table; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 from marginalia.llm.common import bounded_batches
 from marginalia.llm.pretokens import pieces
 
-#: Distinct pre-tokens that a worker keeps merged.
-KEPT = 300_000
+#: Distinct pre-tokens that a worker keeps merged, and their greatest length.
+KEPT, LONGEST_KEPT = 300_000, 64
 
 
 @functools.cache
@@ -48,7 +49,7 @@ class Merged(dict):
 
     def __missing__(self, piece: bytes) -> bytes:
         ids = np.array(self.merge(piece), np.uint32).tobytes()
-        if len(self) < KEPT:
+        if len(self) < KEPT and len(piece) <= LONGEST_KEPT:
             self[piece] = ids
         return ids
 

@@ -5,9 +5,9 @@ rows (SAMPLE, chosen by hash of the id among all labelled rows), and flattened i
 all trees at once in numpy.
 
 Defined results: null and empty texts have statistics of zeros and a score like any other; a label that is null or
-whose document is missing teaches nothing, of several labels of one document the lowest counts; without two kinds of
-labels every score is the labels' share (0.5 without labels); repeated rows are scored each; other columns are
-ignored.
+whose document is missing teaches nothing, of several labels of one document the lowest counts, of several texts of one labelled id the least;
+without two kinds of labels every score is the labels' share (0.5 without labels); repeated rows are scored each, and null ids stay null; equal
+statistics score alike; an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -142,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(label_col).cast("int").alias("__label"))
     part = min(1.0, SAMPLE / max(known.count(), 1))
     sample = known.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(part * (1 << 30))).limit(2 * SAMPLE)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id").select("__id", "__label", "__text")
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
+    rows = rows.groupBy("__id").agg(F.min("__label").alias("__label"), F.min(F.coalesce("__text", F.lit(""))).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

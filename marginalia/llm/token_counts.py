@@ -12,7 +12,7 @@ word are one unit here, whose table says what each of its prefixes gives alone.
 where it is complete, and as ordinary text before.
 
 Defined results: null and empty texts have 0 tokens and an empty table; whole texts count at any length; repeated
-rows are counted each; other columns are ignored.
+rows are counted each, and null ids stay null; an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from marginalia.llm.common import bounded_batches
 from marginalia.llm.pretokens import LONG, SHORT, WHITE_SPACE, pieces
 
 #: Distinct units that a worker keeps, and pairs of tokens.
-KEPT, KEPT_PAIRS = 250_000, 300_000
+KEPT, KEPT_PAIRS, LONGEST_KEPT = 250_000, 300_000, 64
 BLANKS = b"\x20\t\n\x0b\x0c\r"
 BLANK, WHITE = frozenset(BLANKS), frozenset(map(chr, WHITE_SPACE))
 CONTRACTIONS = frozenset(f"'{x}".encode() for x in (*SHORT, *LONG))
@@ -114,19 +114,24 @@ class Prefixes(dict):
                 plain[unit.decode("latin-1").translate(self.show)] = unit
         texts = sorted(plain)
         for text, count in zip(texts, self.walk(texts)):
-            out[plain[text]] = bytes([(b - a) & 255 for a, b in zip(count, count[1:])])
+            out[plain[text]] = self.changes(count[1:], count[0])
         return out
 
     @staticmethod
-    def changes(counts: list[int]) -> bytes:
-        return bytes([(b - a) & 255 for a, b in zip([0, *counts], counts)])
+    def changes(counts: list[int], first: int = 0) -> bytes:
+        """Each count less the one before, as signed bytes. One more byte of text changes a count by more only where a merge of over 127 tokens comes undone."""
+        steps = [b - a for a, b in zip([first, *counts], counts)]
+        if steps and not (min(steps) >= -128 and max(steps) <= 127):
+            raise ValueError("a count changes by more than a signed byte holds")
+        return bytes([x & 255 for x in steps])
 
     def tables(self, rows: list[list[bytes]]) -> list[bytes]:
         learnt = self.learn(set(filterfalse(self.__contains__, chain.from_iterable(rows))))
         self.update(learnt)
         out = [b"".join(map(self.__getitem__, row)) for row in rows]
-        if len(self) > KEPT:
-            for x in learnt:
+        full = len(self) > KEPT
+        for x in learnt:
+            if full or len(x) > LONGEST_KEPT:
                 del self[x]
         return out
 
