@@ -126,9 +126,9 @@ def citations(text: Column | str) -> Column:
 
 #: Names of standard sections, and openers of statements that look like headings.
 STANDARD = ("abstract", "introduction", "background", "related work", "preliminaries", "method", "methods", "methodology", "experiments", "results", "discussion", "conclusion", "conclusions", "acknowledgements", "acknowledgments", "data availability", "references", "bibliography")
-THEOREM_LIKE = ("theorem", "lemma", "proposition", "corollary", "definition", "proof", "remark", "example", "assumption", "claim", "algorithm", "figure", "fig", "table")
+THEOREM_LIKE = r"(?i)^(?:theorem|lemma|proposition|definition|corollary|remark|example|proof|fig\.?|figure|table)\b"
 IMPERATIVE = ("compute", "set", "let", "return", "for", "if", "while", "update", "initialize", "initialise", "sample", "repeat", "choose", "select", "add", "remove", "calculate", "output", "input")
-MARKDOWN, DECIMAL, NUMBERED = r"^\s*#{1,6}\s+", r"^\d+(?:\.\d+)+\.?\s+\S", r"^\d+\.?\s+\S"
+MARKDOWN, DECIMAL, NUMBERED = r"^\s*#{1,6}\s+", r"^\d+(?:\.\d+)+\.?\s+\S", r"^\d+\.\s+\S"
 SECTION_SIGN, ROMAN, LETTER = r"^§\s*\d", r"^[IVXLCDM]+\.\s+\S", r"^[A-Z]\.\s+\S"
 APPENDIX, CHAPTER = r"(?i)^appendix\b", r"(?i)^(chapter|part|section)\s+(\d+|[ivxlc]+)\b"
 REFERENCE_ITEM = r"^(?:\[\d+\]|\d+\.\s|\(\d+\))"
@@ -164,7 +164,7 @@ def kind_of(line: Column, text: Column, key: Column, after_references: Column) -
         (blank(text), F.lit("BODY")),
         (after_references & text.rlike(REFERENCE_ITEM), F.lit("REFERENCE_ITEM")),
         (text.rlike(NOISE), F.lit("NOISE")),
-        (first.isin(*THEOREM_LIKE) & text.rlike(r"(?i)^\p{L}+\.?\s*\d"), F.lit("THEOREM_LIKE")),
+        (text.rlike(THEOREM_LIKE), F.lit("THEOREM_LIKE")),
         (key == "abstract", F.lit("ABSTRACT")),
         (key.isin("references", "bibliography"), F.lit("REFERENCES")),
         (text.rlike(APPENDIX), F.lit("APPENDIX")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -41,7 +42,8 @@ def pack(text: str | None, most: int = MOST, overlap: int = OVERLAP) -> list[str
                 if not tail and len(part) > overlap:
                     tail = [part[-overlap:]] if overlap else []
                     break
-                if size([part, *tail]) > overlap:
+                # the tail's own length: separators do not count here
+                if len(part) + sum(map(len, tail)) > overlap:
                     break
                 tail.insert(0, part)
             held = tail if size([*tail, unit]) <= most else []
@@ -90,7 +92,12 @@ def locate_pages(chunk_rows: DataFrame, blocks: DataFrame) -> DataFrame:
                 spans.append((len(source), len(source) + len(t), int(r.page_index) + 1))
                 source += t
         at, out = 0, []
-        page = lambda x: next((p for a, z, p in spans if a <= x < z), None)
+        begins = [a for a, _, _ in spans]
+
+        def page(x: int) -> int | None:
+            k = bisect.bisect_right(begins, x) - 1
+            return spans[k][2] if k >= 0 and x < spans[k][1] else None
+
         for r in c.sort_values("chunk_index").itertuples():
             t, hit = " ".join((r.content or "").split()), -1
             if len(t) >= LEAST_LOCATED and source:
@@ -105,4 +112,5 @@ def locate_pages(chunk_rows: DataFrame, blocks: DataFrame) -> DataFrame:
             out.append((r.doc, r.chunk_index, page(hit) if hit >= 0 else None, page(min(hit + len(t), len(source)) - 1) if hit >= 0 else None))
         return pd.DataFrame(out, columns=["doc", "chunk_index", "page_start", "page_end"])
 
-    return chunk_rows.select("doc", "chunk_index", "content").groupBy("doc").cogroup(blocks.select("doc", "seq", "text", "page_index").groupBy("doc")).applyInPandas(run, "doc bigint, chunk_index int, page_start int, page_end int")
+    kind = chunk_rows.schema["doc"].dataType.simpleString()
+    return chunk_rows.select("doc", "chunk_index", "content").groupBy("doc").cogroup(blocks.select("doc", "seq", "text", "page_index").groupBy("doc")).applyInPandas(run, f"doc {kind}, chunk_index int, page_start int, page_end int")

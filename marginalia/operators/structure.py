@@ -76,7 +76,7 @@ def line_flags(rows: DataFrame) -> DataFrame:
     return flagged.withColumn("kind", T.kind_of(F.col("line"), F.col("__text"), F.col("__key"), F.col("after_references"))).drop("__text", "__key")
 
 
-DECISION = "doc bigint, ln int, line string, kind string, action string, level int, confidence double, reason string"
+DECISION = "ln int, line string, kind string, action string, level int, confidence double, reason string"
 
 
 def decide_headings(flags: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def decide_headings(flags: DataFrame) -> DataFrame:
     number; a task folds its documents one after another, as batches come, so no document is held whole.
     """
     rows = flags.select("doc", "ln", "line", "kind", "blank_before", "blank_after")
-    return rows.repartition("doc").sortWithinPartitions("doc", "ln").mapInPandas(_decide, DECISION)
+    return rows.repartition("doc").sortWithinPartitions("doc", "ln").mapInPandas(_decide, f"doc {flags.schema['doc'].dataType.simpleString()}, {DECISION}")
 
 
 def _decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,12 +201,29 @@ def titles(rows: DataFrame, default: str = "Untitled") -> DataFrame:
     return found.select("doc", F.coalesce(T.heading_text(F.col("a.line")), T.heading_text(F.col("b.line")), F.lit(default)).alias("title"))
 
 
-def abstracts(rows: DataFrame, missing: str = "No abstract found") -> DataFrame:
-    """doc, abstract from sections: by header, else from the word on, else the first long paragraph of the first half."""
-    half = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("doc")))
+#: Phrases of a paragraph that is an abstract without saying so, and the answer where there is none.
+CUES, NO_ABSTRACT = ("IN THIS PAPER", "WE PROPOSE", "STUDY", "RESULTS SHOW"), "Abstract Not Found"
+
+
+def abstracts(rows: DataFrame, missing: str = NO_ABSTRACT) -> DataFrame:
+    """doc, abstract from sections (doc, idx, header, content).
+
+    (a) The first section named so: its text. (b) Without one, the first section from the word on. (c) Where both give nothing, in the first half of
+    the sections, of 100 characters or more: from the word up to the introduction, or the first paragraph of 301 to 2,499 characters with a cue.
+    """
+    w = W.partitionBy("doc").orderBy("idx")
+    at = rows.select("doc", "idx", "content", F.upper("header").contains("ABSTRACT").alias("named"), F.row_number().over(w).alias("place"), F.count(F.lit(1)).over(W.partitionBy("doc")).alias("n"))
     up = F.upper("content")
-    by_header = F.min(F.when(F.upper("header").contains("ABSTRACT") & ~T.blank("content"), F.struct("idx", F.col("content").alias("t"))))
-    by_word = F.min(F.when(up.contains("ABSTRACT"), F.struct("idx", F.substr(F.col("content"), F.instr(up, "ABSTRACT")).alias("t"))))
-    by_cue = F.min(F.when((F.col("idx") <= F.col("n") / 2) & F.length("content").between(301, 2499) & F.lower("content").rlike("in this paper|we propose|we present|this work"), F.struct("idx", F.col("content").alias("t"))))
-    found = half.groupBy("doc").agg(by_header.alias("a"), by_word.alias("b"), by_cue.alias("c"))
-    return found.select("doc", T.clean_abstract(F.coalesce(F.col("a.t"), F.col("b.t"), F.col("c.t"), F.lit(missing))).alias("abstract"))
+    from_word = F.when(up.contains("ABSTRACT"), F.substr("content", F.instr(up, "ABSTRACT")))
+    intro = F.instr(F.upper("word"), "INTRODUCTION")
+    upto = F.when(intro > 0, F.substring("word", F.lit(1), intro - 1)).otherwise(F.col("word"))
+    cued = lambda p: F.length(p).between(301, 2499) & F.reduce(F.array(*map(F.lit, CUES)), F.lit(False), lambda found, cue: found | F.upper(p).contains(cue))
+    paragraph = F.try_element_at(F.filter(F.split("content", "\n\n"), cued), F.lit(1))
+    at = at.withColumn("word", from_word)
+    scan = (F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") / 2))) & (F.length("content") >= 100)
+    told = at.groupBy("doc").agg(
+        F.min(F.when(F.col("named"), F.struct("idx", F.col("content").alias("t")))).alias("a"), F.max(F.when(F.col("place") == 1, F.col("word"))).alias("b"),
+        F.min(F.when(scan & F.coalesce("word", paragraph).isNotNull(), F.struct("idx", F.when(F.col("word").isNotNull(), upto).otherwise(paragraph).alias("t")))).alias("c"),
+    )
+    explicit = F.when(F.col("a").isNotNull(), F.nullif(F.col("a.t"), F.lit(""))).otherwise(F.col("b"))
+    return told.select("doc", F.coalesce(T.clean_abstract(F.coalesce(explicit, F.nullif(F.col("c.t"), F.lit("")))), F.lit(missing)).alias("abstract"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions import vectors as V
-from marginalia.operators import audit, chunking, evaluate, ingest, knn, library, references, retrieval, structure
+from marginalia.operators import audit, chunking, evaluate, evidence, ingest, knn, library, outline, references, retrieval, structure
 
 FLAGSHIP = "fusion_search"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,11 +167,46 @@ def first5_symbols(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_brand", "p_partkey", n.alias("n")).filter("n <= 5")
 
 
-@query(f"SELECT paper_id, ref_index, known.p_name AS title FROM (SELECT DISTINCT paper_id, ref_index, global_ref_id FROM ({REF_SQL}) WHERE paper_id % 10 = 0) r LEFT JOIN part known ON r.global_ref_id = known.p_partkey AND known.p_size > 20")
+@query(f"SELECT DISTINCT r.paper_id, r.section_id, r.ref_index, coalesce(known.p_name, 'work ' || r.global_ref_id) AS title FROM (SELECT *, global_ref_id % 3 AS section_id FROM ({REF_SQL})) r LEFT JOIN part known ON r.global_ref_id = known.p_partkey AND known.p_size > 20")
 def cited_works_fallback(spark, sf_dir):
-    r = refs(spark, sf_dir).filter("paper_id % 10 = 0").distinct()
-    p = table(spark, sf_dir, "part").filter("p_size > 20").select(F.col("p_partkey").alias("global_ref_id"), F.col("p_name").alias("title"))
-    return r.join(p, "global_ref_id", "left").select("paper_id", "ref_index", "title")
+    r = refs(spark, sf_dir).withColumnRenamed("paper_id", "doc").withColumn("title", F.concat(F.lit("work "), F.col("global_ref_id").cast("string")))
+    links = r.select("doc", (F.col("global_ref_id") % 3).alias("section_id"), "ref_index")
+    known = table(spark, sf_dir, "part").filter("p_size > 20").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    return references.cited_works(links, r, known).withColumnRenamed("doc", "paper_id")
+
+
+@query("SELECT doc_id, 'Heading path: ' || coalesce(source, '') || chr(10) || 'Content: ' || coalesce(text, '') AS chunk_text, 'Section: ' || coalesce(lang, '') || chr(10) || 'Content: ' || substr(coalesce(text, ''), 1, 500) AS section_text FROM documents")
+def embedding_inputs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", evidence.chunk_embedding_text("source", "text").alias("chunk_text"), evidence.section_embedding_text("lang", "text").alias("section_text"))
+
+
+@query("SELECT p_partkey, 'Symbol: ' || p_name || '; Meaning: ' || p_type || '; LaTeX Representation: ' || p_brand || CASE WHEN p_size > 25 THEN '; Definition Formula: ' || p_size ELSE '' END AS symbol_text FROM part")
+def symbol_embedding_inputs(spark, sf_dir):
+    formula = F.when(F.col("p_size") > 25, F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", evidence.symbol_embedding_text("p_name", "p_type", "p_brand", formula).alias("symbol_text"))
+
+
+@query("SELECT p.p_partkey AS id, p.p_size % 10 AS fingerprint, (SELECT min(s_suppkey) FROM supplier s WHERE s.s_nationkey = p.p_size % 10) AS linked_paper_id FROM part p")
+def linked_papers(spark, sf_dir):
+    works = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).alias("fingerprint"))
+    papers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("paper_id"), F.col("s_nationkey").alias("fingerprint"))
+    return evidence.link_papers(works, papers).select("id", "fingerprint", "linked_paper_id")
+
+
+@query("SELECT o_orderkey, 'source=' || o_orderstatus || ';target=' || coalesce(o_orderpriority, '') AS versions FROM orders")
+def joined_versions(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", evidence.joined_versions("o_orderstatus", "o_orderpriority").alias("versions"))
+
+
+@query(r"SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(text, '^[\x00-\x20]+', ''), '[\x00-\x20]+$', ''), 1, 300), '[\r\n]+', ' ', 'g') AS context FROM documents")
+def context_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", evidence.one_line("text", 300).alias("context"))
+
+
+@query()
+def recovered_headings(spark, sf_dir):
+    return outline.recover_headings(structure.lines(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 @query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 10)")

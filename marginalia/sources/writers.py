@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +13,28 @@ STAGE_TABLES = {"PERSIST": ("sections",), "SYMBOLS": ("symbols",), "CITATIONS":
 
 
 def replace_chunks(chunks: DataFrame, path: str, expected: DataFrame | None = None) -> int:
-    """Replaces the chunks of the papers in `chunks`, if every one has its vector. Papers of `expected` without chunks lose theirs."""
-    if chunks.filter(F.col("embedding").isNull()).limit(1).count():
-        raise ValueError("a chunk has no vector")
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("paper_id").parquet(path)
-    if expected is not None:
-        spark = chunks.sparkSession
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for (paper,) in expected.join(chunks, "paper_id", "left_anti").select("paper_id").distinct().toLocalIterator():
-            gone = fs_path(f"{path}/paper_id={paper}")
-            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
-    return chunks.count()
+    """Replaces the chunks of the papers in `chunks`, if every one has its vector. Papers of `expected` without chunks lose theirs.
+
+    `chunks` is computed once, into a folder beside path: what is tested is what is written, and a provider of vectors runs once.
+    """
+    spark = chunks.sparkSession
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    beside = f"{path.rstrip('/')}-incoming-{uuid.uuid4().hex}"
+    try:
+        chunks.write.parquet(beside)
+        told = spark.read.schema(chunks.schema).parquet(beside)
+        found = told.agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("vectors")).first()
+        if found["n"] > found["vectors"]:
+            raise ValueError("a chunk has no vector")
+        told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("paper_id").parquet(path)
+        if expected is not None:
+            for (paper,) in expected.join(told, "paper_id", "left_anti").select("paper_id").distinct().toLocalIterator():
+                gone = hadoop(f"{path}/paper_id={paper}")
+                gone.getFileSystem(conf).delete(gone, True)
+        return found["n"]
+    finally:
+        left = hadoop(beside)
+        left.getFileSystem(conf).delete(left, True)
 
 
 def write_upsert(old: DataFrame, new: DataFrame, path: str, *key: str) -> None:
@@ -51,7 +64,26 @@ def metadata_json(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(F.to_json(F.struct(*columns)).alias("value"))
 
 
+def report_lines(decisions: DataFrame, header: dict[str, str], warnings: list[str]) -> DataFrame:
+    """value: a report whole, as the text writer takes it: key=value lines, warnings, then the decisions in order, in one file a document set."""
+    spark = decisions.sparkSession
+    top = [f"{k}={v}" for k, v in header.items()] + [f"WARNING {w}" for w in warnings]
+    first = spark.createDataFrame([(0, k, x) for k, x in enumerate(top)], "part int, ln long, value string") if top else None
+    rest = decision_report(decisions).select(F.lit(1).alias("part"), F.col("ln").cast("long").alias("ln"), "doc", "value")
+    rows = rest if first is None else first.select("part", "ln", F.lit(None).cast(rest.schema["doc"].dataType).alias("doc"), "value").unionByName(rest)
+    return rows.orderBy("part", "doc", "ln").select("value")
+
+
+def put_memory(old: DataFrame, new: DataFrame, key: str = "session_id", content: str = "messages") -> DataFrame:
+    """old with the memories of new in place; an empty memory is refused."""
+    if new.filter(F.coalesce(F.size(content) == 0, F.lit(True))).limit(1).count():
+        raise ValueError("a memory must not be empty")
+    return upsert(old, new, key)
+
+
 def write_report(rows: DataFrame, path: str) -> None:
+    """CSV files with a header, each with a byte order mark at its start."""
+    rows = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
     rows.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marginalia.operators.ingest import is_legal
 
+LEAST_MINUTES = 10
 STATE, OUT = "status string", "job string, seq bigint, before string, after string, legal boolean"
 
 
@@ -30,6 +31,11 @@ def state_machine(events: DataFrame) -> DataFrame:
     return events.select("job", "seq", "status").groupBy("job").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def heartbeat_seconds(minutes: int = 120, wanted: int = 30) -> int:
+    """How often a holder renews: at most a third of the lease, and no oftener than every five seconds."""
+    return max(5, min(wanted, max(minutes, LEAST_MINUTES) * 60 // 3))
+
+
 def leases(requests: DataFrame, minutes: int = 120) -> DataFrame:
     """job, worker, granted for a stream of (job, worker, action: acquire, renew or release): one holder a job, until it releases or the lease runs out."""
 
@@ -37,20 +43,26 @@ def leases(requests: DataFrame, minutes: int = 120) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        holder, rows = state.get[0] if state.exists else None, []
+        now = state.getCurrentProcessingTimeMs()
+        held = state.get if state.exists else (None, 0)
+        holder, until, rows = held[0], held[1], []
         for r in pd.concat(list(frames)).itertuples():
+            if holder is not None and until <= now:
+                holder = None
             fine = holder in (None, r.worker) if r.action == "acquire" else holder == r.worker
-            holder = (None if r.action == "release" else r.worker) if fine else holder
+            if fine:
+                holder, until = (None, 0) if r.action == "release" else (r.worker, now + max(minutes, LEAST_MINUTES) * 60_000)
             rows.append((key[0], r.worker, r.action, bool(fine)))
         if holder is None:
             if state.exists:
                 state.remove()
         else:
-            state.update((holder,))
-            state.setTimeoutDuration(minutes * 60_000)
+            # a request that is denied leaves the lease's end where it was
+            state.update((holder, until))
+            state.setTimeoutDuration(max(until - now, 1))
         yield pd.DataFrame(rows, columns=["job", "worker", "action", "granted"])
 
-    return requests.select("job", "worker", "action").groupBy("job").applyInPandasWithState(step, "job string, worker string, action string, granted boolean", "holder string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.select("job", "worker", "action").groupBy("job").applyInPandasWithState(step, "job string, worker string, action string, granted boolean", "holder string, until bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def push(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False):
