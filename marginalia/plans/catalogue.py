@@ -167,7 +167,7 @@ def first5_symbols(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_brand", "p_partkey", n.alias("n")).filter("n <= 5")
 
 
-@query(f"SELECT DISTINCT r.paper_id, r.section_id, r.ref_index, coalesce(known.p_name, 'work ' || r.global_ref_id) AS title FROM (SELECT *, global_ref_id % 3 AS section_id FROM ({REF_SQL})) r LEFT JOIN part known ON r.global_ref_id = known.p_partkey AND known.p_size > 20")
+@query(f"WITH r AS ({REF_SQL}), links AS (SELECT paper_id, ref_index, global_ref_id % 3 AS section_id FROM r) SELECT DISTINCT r.paper_id, links.section_id, r.ref_index, coalesce(known.p_name, 'work ' || r.global_ref_id) AS title FROM links JOIN r USING (paper_id, ref_index) LEFT JOIN part known ON r.global_ref_id = known.p_partkey AND known.p_size > 20")
 def cited_works_fallback(spark, sf_dir):
     r = refs(spark, sf_dir).withColumnRenamed("paper_id", "doc").withColumn("title", F.concat(F.lit("work "), F.col("global_ref_id").cast("string")))
     links = r.select("doc", (F.col("global_ref_id") % 3).alias("section_id"), "ref_index")
