@@ -108,16 +108,16 @@ def join_chunk_paper(spark, sf_dir):
     return joined.select("doc_id", "source", "label", F.concat(F.lit("SECTION:"), "doc_id").alias("evidence_key"), F.lit("SECTION").alias("evidence_type"), F.concat_ws(" ", "source", "lang").alias("content"))
 
 
-@query("SELECT l.l_orderkey, l.l_linenumber, p.p_name, o.o_orderstatus FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_quantity >= 48")
+@query("SELECT l.l_orderkey, l.l_linenumber, p.p_name, o.o_orderstatus FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey")
 def join_ref_canonical_paper(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").filter("l_quantity >= 48").select("l_orderkey", "l_linenumber", "l_partkey")
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     c, p = table(spark, sf_dir, "part").select("p_partkey", "p_name"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     return r.join(c, F.col("l_partkey") == F.col("p_partkey")).join(p, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "p_name", "o_orderstatus")
 
 
-@query("SELECT p.p_partkey, p.p_brand, l.l_orderkey, o.o_totalprice FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey AND o.o_orderstatus = 'F' WHERE l.l_quantity = 50")
+@query("SELECT p.p_partkey, p.p_brand, l.l_orderkey, o.o_totalprice FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey AND o.o_orderstatus = 'F'")
 def left_reference_paper(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select("l_orderkey", "l_partkey")
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     return r.join(p, F.col("l_partkey") == F.col("p_partkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("p_partkey", "p_brand", "l_orderkey", "o_totalprice")
@@ -211,8 +211,10 @@ def recovered_headings(spark, sf_dir):
 
 @query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 10)")
 def canonical_to_insert(spark, sf_dir):
-    known = table(spark, sf_dir, "lineitem").filter("l_quantity > 10").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey").join(known, "p_partkey", "left_anti").select(F.col("p_partkey").alias("id"))
+    known = table(spark, sf_dir, "lineitem").filter("l_quantity > 10").select(F.col("l_partkey").alias("fingerprint")).distinct().withColumn("id", F.col("fingerprint"))
+    found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("fingerprint"))
+    _, new = references.canonicalise(found, known)
+    return new.select(F.col("fingerprint").alias("id"))
 
 
 # lexical and fused search ---------------------------------------------------------------------------------------
@@ -463,15 +465,15 @@ def page_locate(spark, sf_dir):
 CITED = "concat('As shown in [', l_linenumber, ', ', l_linenumber + 2, '-', l_linenumber + 4, '] and Smith et al., (19', 90 + l_linenumber, ')')"
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST([l_linenumber, l_linenumber + 2, l_linenumber + 3, l_linenumber + 4] AS BIGINT[]) AS numbers, ['Smith 19' || (90 + l_linenumber)] AS author_years FROM lineitem WHERE l_quantity > 40")
+@query("SELECT l_orderkey, l_linenumber, CAST([l_linenumber, l_linenumber + 2, l_linenumber + 3, l_linenumber + 4] AS BIGINT[]) AS numbers, ['Smith 19' || (90 + l_linenumber)] AS author_years FROM lineitem")
 def citations(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select("l_orderkey", "l_linenumber", F.expr(CITED).alias("t"))
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(CITED).alias("t"))
     return r.select("l_orderkey", "l_linenumber", T.numeric_citations("t").alias("numbers"), T.author_year_citations("t").alias("author_years"))
 
 
-@query("SELECT DISTINCT l_orderkey AS doc, l_orderkey AS section_id, unnest([CAST(l_linenumber AS VARCHAR), CAST(l_linenumber + 2 AS VARCHAR), CAST(l_linenumber + 3 AS VARCHAR), CAST(l_linenumber + 4 AS VARCHAR), 'Smith 19' || (90 + l_linenumber)]) AS ref_index FROM lineitem WHERE l_quantity > 40")
+@query("SELECT DISTINCT l_orderkey AS doc, l_orderkey AS section_id, unnest([CAST(l_linenumber AS VARCHAR), CAST(l_linenumber + 2 AS VARCHAR), CAST(l_linenumber + 3 AS VARCHAR), CAST(l_linenumber + 4 AS VARCHAR), 'Smith 19' || (90 + l_linenumber)]) AS ref_index FROM lineitem")
 def citation_links(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select("l_orderkey", F.expr(CITED).alias("t"))
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(CITED).alias("t"))
     return references.citation_links(r, "l_orderkey", "l_orderkey", "t")
 
 
