@@ -97,25 +97,28 @@ SPAN_LIMIT = 1000
 def expand_numbers(listing: Column) -> Column:
     """`1, 3-5` becomes [1, 3, 4, 5]; a reversed range or one of more than SPAN_LIMIT numbers gives none."""
 
-    def one(part: Column) -> Column:
-        ends = F.split(part, r"\s*[-–—]\s*")
-        a, b = F.element_at(ends, 1).cast("long"), F.element_at(ends, -1).cast("long")
-        fit = a.isNotNull() & b.isNotNull() & (b >= a) & (b - a <= SPAN_LIMIT)
-        return F.when(fit, F.sequence(a, F.when(fit, b).otherwise(a))).otherwise(F.array().cast("array<bigint>"))
+    first, last = (lambda e: F.element_at(e, 1)), (lambda e: F.element_at(e, -1))
+    ends = F.transform(F.split(jtrim(listing), r"\s*,\s*"), lambda part: F.transform(F.split(part, r"\s*[-–—]\s*"), lambda x: x.try_cast("long")))
+    fit = F.filter(ends, lambda e: (last(e) >= first(e)) & (last(e) - first(e) <= SPAN_LIMIT))
+    return F.flatten(F.transform(fit, lambda e: F.sequence(first(e), last(e))))
 
-    return F.flatten(F.transform(F.split(jtrim(listing), r"\s*,\s*"), one))
+
+def matches(text: Column, pattern: str, group: int, *hints: str) -> Column:
+    """All matches of a pattern, which needs one of hints: texts without any are told by a search of plain strings."""
+    hinted = reduce(lambda a, b: a | b, [text.contains(h) for h in hints])
+    return F.when(hinted, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def numeric_citations(text: Column | str) -> Column:
     """Sorted distinct reference numbers cited in any numeric form."""
-    forms = [F.flatten(F.transform(F.regexp_extract_all(_c(text), F.lit(p), F.lit(1)), expand_numbers)) for p in NUMERIC_FORMS]
+    forms = [F.flatten(F.transform(matches(_c(text), p, 1, hint), expand_numbers)) for p, hint in zip(NUMERIC_FORMS, ("[", "<sup>", "$", "^{"))]
     return F.array_sort(F.array_distinct(F.concat(*forms)))
 
 
 def author_year_citations(text: Column | str) -> Column:
     """Sorted distinct `Surname 1999a`."""
-    names, years = (F.regexp_extract_all(_c(text), F.lit(AUTHOR_YEAR), F.lit(g)) for g in (1, 2))
-    return F.array_sort(F.array_distinct(F.zip_with(names, years, lambda n, y: F.concat_ws(" ", n, y))))
+    whole = matches(_c(text), AUTHOR_YEAR, 0, "19", "20")
+    return F.array_sort(F.array_distinct(F.transform(whole, lambda m: F.concat_ws(" ", *[F.regexp_extract(m, f"^{AUTHOR_YEAR}$", g) for g in (1, 2)]))))
 
 
 def citations(text: Column | str) -> Column:
