@@ -11,10 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+from marginalia.operators.lineage import cut
 
 
 def heading_paths(sections: DataFrame, id_col: str = "id", parent_col: str = "parent_id", header_col: str = "header") -> DataFrame:
@@ -24,13 +21,13 @@ def heading_paths(sections: DataFrame, id_col: str = "id", parent_col: str = "pa
     length: one equi-join and a checkpoint a doubling, until no row has an ancestor left to add.
     """
     base = sections.select(F.col(id_col).alias("id"), F.col(parent_col).alias("next"), F.col(header_col).alias("header"))
-    now = _checkpoint(base.select("id", "next", F.array("header").alias("path"), F.array("id").alias("seen")))  # own first
+    now = cut(base.select("id", "next", F.array("header").alias("path"), F.array("id").alias("seen")))  # own first
     while not now.filter("next is not null").isEmpty():
         up = now.select(F.col("id").alias("p_id"), F.col("next").alias("p_next"), F.col("path").alias("p_path"), F.col("seen").alias("p_seen"))
         again = F.get(F.array_intersect("p_seen", "seen"), F.lit(0))  # the first ancestor met a second time
         more = F.when(again.isNull(), F.size("p_seen")).otherwise(F.array_position("p_seen", again).cast("int") - 1)
         joined = now.join(up, F.col("next") == F.col("p_id"), "left").withColumn("more", F.coalesce(more, F.lit(0))).withColumn("done", F.col("p_id").isNull() | again.isNotNull())
-        now = _checkpoint(joined.select(
+        now = cut(joined.select(
             "id", F.when(~F.col("done"), F.col("p_next")).alias("next"), F.when(F.col("more") > 0, F.concat("path", F.slice("p_path", F.lit(1), F.col("more")))).otherwise(F.col("path")).alias("path"),
             F.when(F.col("more") > 0, F.concat("seen", F.slice("p_seen", F.lit(1), F.col("more")))).otherwise(F.col("seen")).alias("seen"),
         ))
