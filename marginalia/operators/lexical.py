@@ -1,7 +1,7 @@
 """Full-text match and rank: `english` (stemmed, without stop words) and `simple` terms, web-style queries, cover density.
 
-Terms are kept as arrays at index time. Matching runs on arrays in the JVM; stemming and cover density are Arrow UDFs over
-matched rows only.
+index() makes one row a term and field of a row, without a shuffle; write_index() sorts them by term, so that a set of queries reads
+little but its own terms. match() ranks in the JVM: one shuffle by query and row, whatever the number of queries.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: English stop words.
@@ -90,9 +90,9 @@ def parse_query(query: str, config: str = "english") -> list[list[tuple[tuple[st
         if word.lower() == "or" and not minus:
             out.append([])
             continue
-        found = tuple(t for t in terms(phrase or word, config) if t)
-        if found:
-            out[-1].append((found, not minus))
+        found = (tuple(t for t in terms(phrase or word, config) if t), not minus)
+        if found[0] and found not in out[-1]:
+            out[-1].append(found)
     return [x for x in out if any(wanted for _, wanted in x)]
 
 
@@ -101,9 +101,9 @@ def _places(phrase: tuple[str, ...], at: list[str]) -> list[int]:
 
 
 def rank(query: list[list[tuple[tuple[str, ...], bool]]], heading: list[str], body: list[str]) -> float | None:
-    """Cover density over heading and body, or None where the query does not match.
+    """Cover density of one text, or None where the query does not match; match() gives the same for all rows of an index.
 
-    Each shortest stretch that holds all phrases of an alternative adds its weight over its length.
+    Each shortest stretch that holds the start of all phrases of an alternative adds its weight over its length.
     """
     best = None
     for parts in query:
@@ -112,21 +112,125 @@ def rank(query: list[list[tuple[tuple[str, ...], bool]]], heading: list[str], bo
             continue
         score = 0.0
         for at, weight in ((heading, HEADING_WEIGHT), (body, BODY_WEIGHT)):
-            hits = sorted((k, j) for j, p in enumerate(wanted) for k in _places(p, at))
-            last: dict[int, int] = {}
-            for k, j in hits:
-                last[j] = k
-                if len(last) == len(wanted):
-                    score += weight / (k - min(last.values()) + 1)
-                    del last[min(last, key=last.get)]
+            where, last, done = [_places(p, at) for p in wanted], [-1] * len(wanted), -1
+            for k in sorted({k for places in where for k in places}):
+                last = [k if k in places else before for places, before in zip(where, last)]
+                if min(last) > done:
+                    done = min(last)
+                    score += weight / (k - done + 1)
         for p in wanted if score == 0 else ():  # spread over heading and body
             score += HEADING_WEIGHT * 0.1 if _places(p, heading) else BODY_WEIGHT * 0.1
         best = max(best or 0.0, score)
     return best
 
 
+POSTINGS = "array<struct<term:string,at:array<int>>>"
+#: So many query terms at most are sent to every task and to the scan as a list; larger sets are joined by shuffle.
+TERMS = 1000
+
+
+def _postings(words: pd.Series, english: bool) -> pd.Series:
+    def of(row) -> list[dict]:
+        at: dict[str, list[int]] = {}
+        for k, word in enumerate(row):
+            at.setdefault(word, []).append(k)
+        if english:  # a stop word keeps its position
+            stemmed: dict[str, list[int]] = {}
+            for word in at:
+                if word not in STOP:
+                    stemmed.setdefault(stem(word), []).extend(at[word])
+            at = {term: sorted(places) for term, places in stemmed.items()}
+        return [{"term": term, "at": places} for term, places in at.items()]
+
+    return words.map(of)
+
+
+def index(rows: DataFrame, id_col: str, heading_col: str, body_col: str, config: str = "english") -> DataFrame:
+    """id, field (h or b), term, at: a row for each distinct term of a heading or body, with its positions in order.
+
+    Ids are distinct; rows without an id take no part, null texts are empty. Words are cut in the JVM; an Arrow function groups a
+    text's positions by term where the text is, so nothing is shuffled.
+    """
+    english = config != "simple"
+    group = F.pandas_udf(lambda words: _postings(words, english), POSTINGS)
+    words = [F.struct(F.lit(field).alias("field"), F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words")) for field, c in (("h", heading_col), ("b", body_col))]
+    cut = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.inline(F.array(*words)))
+    return cut.select("id", "field", F.inline(group("words"))).select("id", "field", "term", "at")
+
+
+def write_index(postings: DataFrame, path: str) -> None:
+    """Sorted by term over all files, then by id: a term's rows are few row groups, and a very frequent term is in many files."""
+    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("errorifexists").parquet(path)
+
+
+def query_terms(queries: DataFrame, config: str = "english") -> DataFrame:
+    """A row for each term of queries (qid, query): its alternative, phrase (part), place in the phrase, and whether it is wanted."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for qid, query in zip(pdf["qid"], pdf["query"]):
+                for alternative, parts in enumerate(parse_query(query or "", config)):
+                    ordered = sorted(parts, key=lambda p: not p[1])  # wanted ones first: their numbers are places in an array
+                    n_wanted = sum(wanted for _, wanted in parts)
+                    out += [(qid, alternative, part, wanted, len(phrase), n_wanted, k, term) for part, (phrase, wanted) in enumerate(ordered) for k, term in enumerate(phrase)]
+            yield pd.DataFrame(out, columns=["qid", "alternative", "part", "wanted", "n_terms", "n_wanted", "offset", "term"])
+
+    kind = queries.schema["qid"].dataType.simpleString()
+    return queries.select("qid", "query").mapInPandas(run, f"qid {kind}, alternative int, part int, wanted boolean, n_terms int, n_wanted int, offset int, term string")
+
+
+def _density(hits: Column, n: Column, weight: float) -> Column:
+    """The sum over shortest stretches that hold all parts of weight / length, from sorted (at, part): one pass."""
+    none, start = F.lit(-1), F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("now"), F.lit(-1).alias("done"), F.lit(0.0).alias("score"))
+
+    def step(s: Column, x: Column) -> Column:
+        least = F.array_min(s["last"])
+        whole = (x["at"] != s["now"]) & (least > s["done"])  # all hits of the position before are in
+        return F.struct(
+            F.transform(s["last"], lambda v, j: F.when(j == x["part"], x["at"]).otherwise(v)).alias("last"), x["at"].alias("now"),
+            F.when(whole, least).otherwise(s["done"]).alias("done"), (s["score"] + F.when(whole, F.lit(weight) / (s["now"] - least + 1)).otherwise(F.lit(0.0))).alias("score"),
+        )
+
+    end = F.array(F.struct(F.lit(2**31 - 1).alias("at"), none.alias("part")))
+    return F.aggregate(F.concat(hits, end), start, step, lambda s: s["score"])
+
+
+def match(postings: DataFrame, queries: DataFrame, config: str = "english") -> DataFrame:
+    """qid, id, lexical_score (9 places) of the rows that match, by an index and queries (qid, query); qids are distinct.
+
+    The scan gets the terms of a small set of queries as a filter. A row's postings for a query meet in one place, as many as
+    the query has terms, twice; a frequent term is spread by id.
+    """
+    wanted_terms = query_terms(queries, config)
+    some = [r[0] for r in wanted_terms.select("term").distinct().limit(TERMS + 1).collect()]
+    if len(some) <= TERMS and wanted_terms.limit(TERMS + 1).count() <= TERMS:
+        joined = postings.filter(F.col("term").isin(some)).join(F.broadcast(wanted_terms), "term")
+    else:
+        joined = postings.join(wanted_terms.hint("merge"), "term")
+    by = ["qid", "id", "alternative", "n_wanted"]
+    moved = lambda x: F.transform(x["at"], lambda p: p - x["offset"])
+    # one shuffle serves the three groupings: each has the query and the row among its keys
+    parts = joined.repartition("qid", "id").groupBy(*by, "part", "wanted", "n_terms", "field").agg(F.collect_list(F.struct("offset", "at")).alias("words"))
+    starts = F.aggregate(F.slice("words", F.lit(2), F.size("words")), moved(F.col("words")[0]), lambda a, x: F.array_intersect(a, moved(x)))
+    places = parts.filter(F.size("words") == F.col("n_terms")).withColumn("at", starts).filter(F.size("at") > 0)
+    held = lambda field: F.array_sort(F.flatten(F.collect_list(F.when(F.col("wanted") & (F.col("field") == field), F.transform("at", lambda p: F.struct(p.alias("at"), F.col("part").alias("part")))))))
+    told = places.groupBy(*by).agg(
+        F.bool_or(~F.col("wanted")).alias("barred"), F.size(F.collect_set("part")).alias("n"), F.size(F.collect_set(F.when(F.col("field") == "h", F.col("part")))).alias("n_heading"),
+        held("h").alias("h"), held("b").alias("b"),
+    ).filter(~F.col("barred") & (F.col("n") == F.col("n_wanted")))
+    score = _density(F.col("h"), F.col("n"), HEADING_WEIGHT) + _density(F.col("b"), F.col("n"), BODY_WEIGHT)
+    spread = 0.1 * (HEADING_WEIGHT * F.col("n_heading") + BODY_WEIGHT * (F.col("n") - F.col("n_heading")))  # over heading and body
+    scored = told.withColumn("score", score).select("qid", "id", F.when(F.col("score") > 0, F.col("score")).otherwise(spread).alias("score"))
+    return scored.groupBy("qid", "id").agg(F.round(F.max("score"), 9).alias("lexical_score"))
+
+
+def one_query(spark: SparkSession, query: str) -> DataFrame:
+    return spark.createDataFrame([(0, query)], "qid int, query string")
+
+
 def search(rows: DataFrame, query: str, id_col: str, heading_col: str, body_col: str, config: str = "english") -> DataFrame:
-    """id, lexical_score of the rows that match. A row is sent to Python only if it holds a term of the query in some form."""
+    """id, lexical_score of the rows that match one query, without a stored index: only rows that hold a term in some form are indexed."""
     parsed = parse_query(query, config)
     if not parsed:
         return rows.select(F.col(id_col).alias("id"), F.lit(0.0).alias("lexical_score")).limit(0)
@@ -134,11 +238,4 @@ def search(rows: DataFrame, query: str, id_col: str, heading_col: str, body_col:
     heads = {t[: max(2, len(t) - 1)] for alternative in parsed for p, wanted in alternative if wanted for t in p}
     both = F.lower(F.concat_ws(" ", heading_col, body_col))
     near = functools.reduce(lambda a, b: a | b, [both.contains(h) for h in sorted(heads)])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            scores = [rank(parsed, terms(h, config), terms(b, config)) for h, b in zip(pdf["h"], pdf["b"])]
-            yield pd.DataFrame({"id": pdf["id"], "lexical_score": scores}).dropna(subset=["lexical_score"])
-
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.filter(near).select(F.col(id_col).alias("id"), F.col(heading_col).alias("h"), F.col(body_col).alias("b")).mapInPandas(run, f"id {kind}, lexical_score double")
+    return match(index(rows.filter(near), id_col, heading_col, body_col, config), one_query(rows.sparkSession, query), config).select("id", "lexical_score")

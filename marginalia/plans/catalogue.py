@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions import vectors as V
-from marginalia.operators import audit, chunking, evaluate, evidence, ingest, knn, library, outline, references, retrieval, structure
+from marginalia.operators import audit, chunking, evaluate, evidence, ingest, knn, lexical as fulltext, library, outline, references, retrieval, structure
 
 FLAGSHIP = "fusion_search"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -305,6 +305,76 @@ def quote_window(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.quote("text", F.lit("Tion ement the")).alias("quote"))
 
 
+# full-text search by an index of terms --------------------------------------------------------------------------
+
+#: A set of requests in the web style: all words, phrases, alternatives, exclusions.
+REQUESTS = {1: "the of", 2: '"of the"', 3: "tion or orantion", 4: "the -and", 5: '"in the" that', 6: "src3 de", 7: 'the of and or "de la"', 8: "-the", 9: "Thatin THATIN inoran"}
+
+
+def requests(spark) -> DataFrame:
+    return spark.createDataFrame(list(REQUESTS.items()), "qid int, query string")
+
+
+def request_values() -> str:
+    """The requests' terms as SQL values."""
+    rows = []
+    for qid, text in REQUESTS.items():
+        for alternative, parts in enumerate(fulltext.parse_query(text, "simple")):
+            n = sum(wanted for _, wanted in parts)
+            rows += [f"({qid}, {alternative}, {part}, {wanted}, {len(phrase)}, {n}, {k}, '{term}')" for part, (phrase, wanted) in enumerate(sorted(parts, key=lambda p: not p[1])) for k, term in enumerate(phrase)]
+    return ", ".join(rows)
+
+
+FULLTEXT_SQL = f"""q(qid, alt, part, wanted, n_terms, n, off, term) AS (VALUES {request_values()}),
+ words AS (SELECT doc_id AS id, 'h' AS field, regexp_extract_all(lower(coalesce(source, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents UNION ALL SELECT doc_id, 'b', regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') FROM documents),
+ tok AS (SELECT id, field, unnest(w) AS term, unnest(range(len(w))) AS pos FROM words),
+ place AS (SELECT qid, alt, part, wanted, n, id, field, pos - off AS spot FROM tok JOIN q USING (term) GROUP BY qid, alt, part, wanted, n, n_terms, id, field, pos - off HAVING count(*) = n_terms),
+ hit AS (SELECT qid, alt, id, n, count(DISTINCT CASE WHEN field = 'h' THEN part END) AS n_h FROM place GROUP BY 1, 2, 3, 4 HAVING bool_and(wanted) AND count(DISTINCT part) = n),
+ latest AS (SELECT DISTINCT qid, alt, id, p.field, p.n, spot, max(CASE WHEN part = 0 THEN spot END) OVER w AS l0, max(CASE WHEN part = 1 THEN spot END) OVER w AS l1, max(CASE WHEN part = 2 THEN spot END) OVER w AS l2
+   FROM place p JOIN hit USING (qid, alt, id) WINDOW w AS (PARTITION BY qid, alt, id, p.field ORDER BY spot RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ stretch AS (SELECT qid, alt, id, field, least(l0, coalesce(l1, l0), coalesce(l2, l0)) AS a, min(spot) AS z FROM latest
+   WHERE l0 IS NOT NULL AND (n < 2 OR l1 IS NOT NULL) AND (n < 3 OR l2 IS NOT NULL) GROUP BY 1, 2, 3, 4, 5),
+ dense AS (SELECT qid, alt, id, sum(CASE WHEN field = 'h' THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END / (z - a + 1)) AS score FROM stretch GROUP BY 1, 2, 3),
+ ft AS (SELECT qid, id, round(max(coalesce(score, 0.1::DOUBLE * (n_h + 0.4::DOUBLE * (n - n_h)))), 9) AS score FROM hit LEFT JOIN dense USING (qid, alt, id) GROUP BY 1, 2)"""
+
+
+def ranked_texts(spark, sf_dir, config: str) -> DataFrame:
+    return fulltext.match(fulltext.index(table(spark, sf_dir, "documents"), "doc_id", "source", "text", config), requests(spark), config)
+
+
+@query(f"WITH {FULLTEXT_SQL} SELECT CAST(qid AS INTEGER) AS qid, id, round(score, 6) AS lexical_score FROM ft")
+def fulltext_rank(spark, sf_dir):
+    return ranked_texts(spark, sf_dir, "simple").withColumn("lexical_score", F.round("lexical_score", 6))
+
+
+@query()
+def fulltext_english(spark, sf_dir):
+    return ranked_texts(spark, sf_dir, "english").withColumn("lexical_score", F.round("lexical_score", 6))
+
+
+def request_channels(spark, sf_dir) -> DataFrame:
+    """For each request: texts by full-text rank, and vectors by that of vec_id = qid."""
+    lex = ranked_texts(spark, sf_dir, "simple").select("qid", "id", F.lit(None).cast("double").alias("semantic_score"), "lexical_score")
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter(F.col("vec_id").isin(*REQUESTS)).select(F.col("vec_id").cast("int").alias("qid"), F.col("embedding").alias("vector"), F.lit(0.2).alias("min_score"), F.lit(None).cast("bigint").alias("paper_id"))
+    return retrieval.channel(lex, "TEXT_SECTION").unionByName(retrieval.channel(retrieval.vector_scores(e, asked, "vec_id", "embedding"), "VECTOR_SECTION"))
+
+
+@query(
+    f"""WITH {FULLTEXT_SQL},
+ c2 AS (SELECT 2 AS seq, 1.0 AS weight, qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, 0.0::DOUBLE AS sem, score AS lexs FROM ft),
+ v AS (SELECT q.vec_id AS qid, e.vec_id AS id, {COS} AS s FROM embeddings e JOIN embeddings q ON q.vec_id BETWEEN 1 AND {len(REQUESTS)}),
+ c5 AS (SELECT 5 AS seq, 1.0 AS weight, qid, id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank, s AS sem, 0.0::DOUBLE AS lexs FROM v WHERE s >= 0.2),
+ cand AS (SELECT * FROM (SELECT * FROM c2 UNION ALL SELECT * FROM c5) WHERE rank <= 30),
+ fused AS (SELECT qid, 'SECTION:' || id AS evidence_key, sum(CAST(weight AS DOUBLE) / (60 + rank)) AS f, max(sem) AS sem, max(lexs) AS lexs, min(seq * 1000 + rank) AS first, count(DISTINCT seq) AS n_channels FROM cand GROUP BY 1, 2),
+ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(f, 12) DESC, round(greatest(sem, lexs), 9) DESC, first, evidence_key) AS INTEGER) AS position FROM fused)
+ SELECT CAST(qid AS INTEGER) AS qid, evidence_key, 'SECTION' AS evidence_type, position, round(f, 6) AS fusion_score, round(sem, 6) AS semantic_score, round(lexs, 6) AS lexical_score, n_channels FROM ranked WHERE position <= 8"""
+)
+def hybrid_requests(spark, sf_dir):
+    fused = retrieval.fuse(request_channels(spark, sf_dir))
+    return fused.select("qid", *shown(fused).columns[:3], *[F.round(c, 6).alias(c) for c in ("fusion_score", "semantic_score", "lexical_score")], F.size("channels").cast("long").alias("n_channels"))
+
+
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n = 1")
 def keep_first_by_key(spark, sf_dir):
     return retrieval.keep_first(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", F.col("n_chars").desc(), "doc_id").select("source", "doc_id")
