@@ -138,6 +138,11 @@ REFERENCE_ITEM = r"^(?:\[\d+\]|\d+\.\s|\(\d+\))"
 NOISE = r"(?i)(^page\s+\d+(\s+of\s+\d+)?$|^\d{1,4}$|all rights reserved|^(https?://|www\.)\S+$|^doi[:\s]|^issn\b|©|^arxiv:|^received\b.*accepted|^vol(ume|\.)\s*\d+)"
 
 
+#: Headings that open a block of a publisher's own text, an abstract on its heading's line, end sections whose text may follow their name.
+BLOCK_OPENERS = ("paper", "affiliations", "contents", "aip advances", "why publish with us", "you may also like", "articles you may be interested in")
+INLINE_ABSTRACT, END_SECTION = r"(?i)^(abstract)\s*[:.]\s+(.+)$", r"^(?:acknowledgements|acknowledgments|data availability)\b"
+
+
 def heading_text(line: Column | str) -> Column:
     """The line without marks of Markdown or emphasis."""
     return collapse(F.regexp_replace(F.regexp_replace(_c(line), MARKDOWN, ""), r"^[*_`\"']+|[*_`\"']+$", ""))
@@ -166,9 +171,9 @@ def kind_of(line: Column, text: Column, key: Column, after_references: Column) -
     rules = [
         (blank(text), F.lit("BODY")),
         (after_references & text.rlike(REFERENCE_ITEM), F.lit("REFERENCE_ITEM")),
-        (text.rlike(NOISE), F.lit("NOISE")),
+        (text.rlike(NOISE) | key.isin(*BLOCK_OPENERS), F.lit("NOISE")),
         (text.rlike(THEOREM_LIKE), F.lit("THEOREM_LIKE")),
-        (key == "abstract", F.lit("ABSTRACT")),
+        ((key == "abstract") | text.rlike(INLINE_ABSTRACT), F.lit("ABSTRACT")),
         (key.isin("references", "bibliography"), F.lit("REFERENCES")),
         (text.rlike(APPENDIX), F.lit("APPENDIX")),
         (text.rlike(CHAPTER), F.lit("SECTION")),
@@ -177,7 +182,7 @@ def kind_of(line: Column, text: Column, key: Column, after_references: Column) -
         (text.rlike(NUMBERED), numbered),
         (text.rlike(ROMAN), F.lit("SECTION")),
         (text.rlike(LETTER), F.lit("SUBSECTION")),
-        (key.isin(*STANDARD), F.lit("SECTION")),
+        (key.isin(*STANDARD) | key.rlike(END_SECTION), F.lit("SECTION")),
         (marked, F.lit("UNCERTAIN")),
     ]
     return reduce(lambda rest, r: F.when(r[0], r[1]).otherwise(rest), reversed(rules), F.lit("BODY"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -73,87 +74,165 @@ def line_flags(rows: DataFrame) -> DataFrame:
     return flagged.withColumn("kind", T.kind_of(F.col("line"), F.col("__text"), F.col("__key"), F.col("after_references"))).drop("__text", "__key")
 
 
-DECISION = "ln int, line string, kind string, action string, level int, confidence double, reason string"
+DECISION = "ln int, line string, kind string, action string, level int, confidence double, reason string, heading string, body string"
+#: How titles of main sections begin, subheadings that stand below the heading before, text after a heading's first sentence, letters that
+#: count as Roman numbers.
+MAJOR = ("introduction", "background", "method", "model", "experiment", "result", "discussion", "conclusion", "summary")
+LOCAL, SENTENCE, ROMAN_LETTERS = re.compile(r"(?:the )?algorithm|method\s+\d+"), re.compile(r"(.{8,100}?\.)\s+([A-Z].+)"), "IVX"
+NUMBERING = re.compile(r"(?P<decimal>\d+(?:\.\d+)+)\.?\s+|(?P<numbered>\d{1,9})\.\s+|§\s*(?P<sign>\d+)\.\s+|(?P<letter>[A-Z])\.\s+|(?P<roman>[IVXLCDM]+)\.\s+")
+CHAPTER_LINE, MAIN_NUMBER = re.compile(r"(?i)chapter\s+\d+\b"), re.compile(r"(\d{1,9})[.\s]\s+.")
+LEAST_TITLE, LEAST_WORDS, UPPER = 8, 3, 0.65
 
 
 def decide_headings(flags: DataFrame) -> DataFrame:
     """Which lines are headings, and at what level: a fold over each document's lines.
 
-    The state carried is the title, the abstract, the references, a noise block, the appendix, the last level and the last main
+    action is HEADING, SPLIT (the line holds a heading and the text after it), TEXT or DROP; heading and body are what a HEADING or SPLIT gives. The state
+    carried is the title, the abstract, the references, a noise block, the appendix, the last level and the last main
     number; a task folds its documents one after another, as batches come, so no document is held whole.
     """
-    rows = flags.select("doc", "ln", "line", "kind", "blank_before", "blank_after")
+    rows = flags.select("doc", "ln", "line", "kind")
     return rows.repartition("doc").sortWithinPartitions("doc", "ln").mapInPandas(_decide, f"doc {flags.schema['doc'].dataType.simpleString()}, {DECISION}")
 
 
 def _decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    state: dict = {}
+    doc, fold = None, Outline()
     for pdf in frames:
-        yield _decide_lines(pdf, state)
-
-
-def _decide_lines(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
-    """The decisions on a batch of lines, in order; state carries what the last line's document has so far."""
-    fresh = (None, False, False, False, False, 1, 0)
-    doc, (title_key, seen_abstract, references, noise, appendix, last, main) = state.get("doc"), state.get("held", fresh)
-    out = []
-    for r in pdf.itertuples():
-        if r.doc != doc:
-            doc, (title_key, seen_abstract, references, noise, appendix, last, main) = r.doc, fresh
-        line = r.line or ""
-        text = re.sub(r"\s+", " ", re.sub(r"^\s*#{1,6}\s+", "", line)).strip()
-        key = re.sub(r"[\W_]+", " ", text.lower()).strip()
+        out = []
+        for r in pdf.itertuples():
+            if r.doc != doc:
+                doc, fold = r.doc, Outline()
+            out.append((r.doc, r.ln, r.line or "", r.kind, *fold.decide(r.line or "", r.kind)))
+        yield pd.DataFrame(out, columns=["doc", "ln", "line", "kind", "action", "level", "confidence", "reason", "heading", "body"])
+
+
+def _key(text: str) -> str:
+    return re.sub(r"[\W_]+", " ", re.sub(r"^(?:§?\s*\d+(?:\.\d+)*\.?|[ivxlcdm]+\.|[a-z]\.)\s+", "", text.lower())).strip()
+
+
+def _major(title: str) -> bool:
+    """Does a numbered title name a main section: in capitals, or by its first word."""
+    if title.split(" ")[0].lower() in T.IMPERATIVE:
+        return False
+    letters = [c for c in title if c.isalpha()]
+    return bool(letters) and sum(c.isupper() for c in letters) >= max(3, math.ceil(UPPER * len(letters))) or title.lower().startswith(MAJOR)
+
+
+def _title_like(text: str) -> bool:
+    number = NUMBERING.match(text)
+    return len(text) >= LEAST_TITLE and _key(text) not in (*T.STANDARD, "index") and not (number and number.lastgroup in ("numbered", "roman", "letter"))
+
+
+class Outline:
+    """What a document's lines so far say about the next one."""
+
+    def __init__(self) -> None:
+        self.title: str | None = None
+        self.abstract = self.references = self.noise = self.appendix = False
+        self.last, self.main = 1, 0
+
+    def decide(self, line: str, kind: str) -> tuple[str, int, float, str, str | None, str | None]:
+        """(action, level, confidence, reason, heading, body) of the next line."""
+        text = re.sub(r"\s+", " ", re.sub(r"^\s*#{1,6}\s+", "", line)).strip().strip("*_`")
         marks = len(m[1]) if (m := re.match(r"\s*(#{1,6})\s", line)) else 0
-        action, level, sure, why = "TEXT", 0, 1.0, "body"
-        words = len(re.findall(r"[A-Za-z]{2,}", text))
-        structural = r.kind in ("ABSTRACT", "REFERENCES", "APPENDIX", "SECTION", "SUBSECTION", "UNCERTAIN")
-        if noise and not (structural and r.blank_before):
-            action, sure, why = "DROP", 0.98, "inside a noise block"
-        elif not text:
-            action, why = ("TEXT", "blank") if title_key else ("DROP", "blank before the title")
-        elif r.kind == "NOISE":
-            action, sure, why, noise = "DROP", 0.9, "noise", bool(r.blank_before)
-        elif title_key is None and marks:
-            action, level, sure, why, title_key = "HEADING", 1, 0.98, "marked title", key
-        elif title_key is None and words >= 3 and r.blank_after:
-            action, level, sure, why, title_key = "HEADING", 1, 0.82, "bare title", key
-        elif title_key is None:
-            action, sure, why = "DROP", 0.75, "before the title"
-        elif key == title_key and structural:
-            action, sure, why = "DROP", 0.95, "repeats the title"
-        elif references and r.kind not in ("APPENDIX",):
-            action, sure, why = "TEXT", 0.98, "inside the references"
-        elif r.kind == "UNCERTAIN" and not seen_abstract:
-            action, sure, why = "DROP", 0.88, "uncertain heading before the abstract"
-        elif structural and (marks or r.kind in ("ABSTRACT", "REFERENCES", "APPENDIX") or r.blank_before and r.blank_after and len(text) <= 120):
-            number = re.match(r"(\d+(?:\.\d+)*)", text)
-            if r.kind in ("ABSTRACT", "REFERENCES", "APPENDIX"):
-                level = 2
-            elif number and "." in number[1]:
-                level = min(number[1].count(".") + 2, 4)
-            elif number:
-                n = int(number[1])
-                level = 3 if appendix else 4 if last >= 3 and n <= main else 2
-                main = n if level == 2 else main
-            elif re.match(r"[A-Z]\.\s", text) and text[0] not in "IVX":
-                level = 3
-            elif r.kind == "SECTION":
-                level = 2
-            else:
-                level = 3 if appendix else min(max(marks, 2), 4)
-            action, sure, why, noise = "HEADING", 0.95 if marks else 0.8, f"{r.kind.lower()} heading", False
-            seen_abstract |= r.kind != "UNCERTAIN"
-            references, appendix, last = r.kind == "REFERENCES", appendix or r.kind == "APPENDIX", level
-        elif r.kind in ("THEOREM_LIKE", "LIST_ITEM"):
-            sure, why = 0.9, "a statement or step, not a heading"
-        out.append((r.doc, r.ln, line, r.kind, action, level, sure, why))
-    state.update(doc=doc, held=(title_key, seen_abstract, references, noise, appendix, last, main))
-    return pd.DataFrame(out, columns=["doc", "ln", "line", "kind", "action", "level", "confidence", "reason"])
+        if self.noise and not (text and marks and (kind in ("ABSTRACT", "REFERENCES", "SECTION", "SUBSECTION", "APPENDIX") or kind not in ("NOISE", "THEOREM_LIKE") and _title_like(text))):
+            return "DROP", 0, 0.98, "inside a noise block", None, None
+        self.noise = False
+        if not text:
+            return ("DROP", 0, 1.0, "blank before the title", None, None) if self.title is None else ("TEXT", 0, 1.0, "blank", None, None)
+        if kind == "NOISE":
+            self.noise = _key(text) in T.BLOCK_OPENERS
+            return "DROP", 0, 0.99, "noise", None, None
+        if self.title is None:
+            if _title_like(text) and (marks or sum(bool(re.search("[A-Za-z]{2}", w)) for w in text.split()) >= LEAST_WORDS):
+                self.title = _key(text)
+                return "HEADING", 1, 0.98 if marks else 0.82, "marked title" if marks else "bare title", text, None
+            return "DROP", 0, 0.75, "before the title", None, None
+        if marks and self.title and _key(text) == self.title:
+            return "DROP", 0, 0.95, "repeats the title", None, None
+        if marks and kind == "UNCERTAIN" and not self.abstract:
+            return "DROP", 0, 0.88, "uncertain heading before the abstract", None, None
+        if self.references and kind != "REFERENCES":
+            return "TEXT", 0, 0.98, "inside the references", None, None
+        found = self.after_title(text, kind, marks)
+        if found[0] in ("HEADING", "SPLIT"):
+            self.follow(kind, found[1], found[4])
+        return found
+
+    def follow(self, kind: str, level: int, heading: str) -> None:
+        """The state after a heading."""
+        self.last = level
+        self.references |= kind == "REFERENCES"
+        self.abstract |= kind == "ABSTRACT"
+        self.appendix = kind == "APPENDIX" or self.appendix and level > 2
+        if level == 2 and (number := MAIN_NUMBER.match(heading)):
+            self.main = int(number[1])
+
+    def after_title(self, text: str, kind: str, marks: int) -> tuple[str, int, float, str, str | None, str | None]:
+        number = NUMBERING.match(text)
+        form = number.lastgroup if number else None
+        if kind in ("THEOREM_LIKE", "LIST_ITEM", "REFERENCE_ITEM"):
+            return "TEXT", 0, 0.95, "a statement, step or reference, not a heading", None, None
+        if kind == "ABSTRACT":
+            inline = re.match(T.INLINE_ABSTRACT, text)
+            return self.headed(2, 0.99, "abstract", "Abstract", inline[2] if inline else "")
+        if kind == "REFERENCES":
+            return self.headed(2, 0.99, "references", "References", "")
+        if kind == "APPENDIX":
+            named = re.match(r"(?i)(appendix\s+[A-Z])[:.]?\s+(.+)$", text)
+            head, body = self.sentence(named[2]) if named else (text, "")
+            return self.headed(2, 0.92, "appendix", f"{named[1]}. {head}" if named else head, body)
+        if kind == "SECTION" and (end := re.match(T.END_SECTION, _key(text))):
+            return self.headed(2, 0.9, "an end section", end[0].title(), re.sub(r"^[:.]\s*", "", text[len(end[0]) :].strip()))
+        head, body = self.parts(text, number)
+        if marks:
+            return self.headed(self.level(text, number, marks), 0.9, "marked heading", head, body)
+        if kind == "SUBSECTION" and form == "decimal":
+            return self.headed(3, 0.86, "bare decimal subsection", head, body)
+        sure = _major(text[number.end() :]) if form == "numbered" else form in ("roman", "letter") or _key(text) in T.STANDARD
+        if kind == "SECTION" and sure:
+            return self.headed(self.level(text, number, 0), 0.84, "bare section", head, body)
+        return "TEXT", 0, 0.65, "body", None, None
+
+    def headed(self, level: int, sure: float, why: str, heading: str, body: str) -> tuple[str, int, float, str, str | None, str | None]:
+        return ("SPLIT" if body else "HEADING"), level, sure, why, heading, body or None
+
+    def sentence(self, text: str) -> tuple[str, str]:
+        """A heading and the text after its first sentence."""
+        split = SENTENCE.fullmatch(text)
+        return (split[1], split[2]) if split else (text, "")
+
+    def parts(self, text: str, number: re.Match | None) -> tuple[str, str]:
+        """Heading and body of a numbered line; others are heading throughout."""
+        if not number or number.lastgroup not in ("decimal", "numbered", "sign"):
+            return text, ""
+        head, body = self.sentence(text[number.end() :])
+        return f"{number[number.lastgroup]}. {head}", body
+
+    def level(self, text: str, number: re.Match | None, marks: int) -> int:
+        """A heading's level by its own form, then by the headings before; marks is 0 for bare lines."""
+        form = number.lastgroup if number else None
+        if _key(text) in T.STANDARD or CHAPTER_LINE.match(text) or form in ("sign", "roman"):
+            return 2
+        if form == "decimal":
+            return min(number["decimal"].count(".") + 2, 4)
+        if form == "letter":
+            return 2 if number["letter"] in ROMAN_LETTERS else 3
+        if form == "numbered":
+            if self.appendix:
+                return 3
+            goes_on = 0 < self.main < int(number["numbered"])
+            return 4 if marks and not goes_on and self.last >= 3 and not _major(text[number.end() :]) else 2
+        if self.appendix:
+            return 3
+        if self.last >= 3 and LOCAL.fullmatch(_key(text)):
+            return min(self.last + 1, 4)
+        return min(max(marks, 2), 4)
 
 
 def outline_report(decisions: DataFrame) -> DataFrame:
     """doc, n_headings, mean_confidence (0 if none), has_title, has_references."""
-    heading = F.col("action") == "HEADING"
+    heading = F.col("action").isin("HEADING", "SPLIT")
     return decisions.groupBy("doc").agg(
         F.count_if(heading).alias("n_headings"), F.coalesce(F.avg(F.when(heading, F.col("confidence"))), F.lit(0.0)).alias("mean_confidence"),
         F.bool_or(heading & (F.col("level") == 1)).alias("has_title"), F.bool_or(heading & (F.col("kind") == "REFERENCES")).alias("has_references"),
@@ -161,7 +240,8 @@ def outline_report(decisions: DataFrame) -> DataFrame:
 
 
 def normalised_markdown(decisions: DataFrame) -> DataFrame:
-    text = F.when(F.col("action") == "HEADING", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), T.heading_text("line"))).otherwise(F.col("line"))
+    heading = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("heading"))
+    text = F.when(F.col("action").isin("HEADING", "SPLIT"), F.concat_ws("\n", heading, F.col("body"))).otherwise(F.col("line"))
     kept = decisions.filter("action <> 'DROP'").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("ln", text.alias("t")))).alias("rows"))
     return kept.select("doc", F.array_join(F.transform("rows", lambda r: r["t"]), "\n").alias("markdown"))
 
