@@ -158,6 +158,11 @@ def bare_key(text: Column) -> Column:
     return jtrim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
 
 
+def is_noise(text: Column, key: Column) -> Column:
+    """Is a line, by its text and key, a page's or a publisher's own."""
+    return ~blank(text) & (text.rlike(NOISE) | key.isin(*BLOCK_OPENERS))
+
+
 def line_kind(line: Column | str, after_references: Column) -> Column:
     """One of twelve kinds; the first that fits."""
     return kind_of(_c(line), heading_text(line), heading_key(line), after_references)
@@ -171,7 +176,7 @@ def kind_of(line: Column, text: Column, key: Column, after_references: Column) -
     rules = [
         (blank(text), F.lit("BODY")),
         (after_references & text.rlike(REFERENCE_ITEM), F.lit("REFERENCE_ITEM")),
-        (text.rlike(NOISE) | key.isin(*BLOCK_OPENERS), F.lit("NOISE")),
+        (is_noise(text, key), F.lit("NOISE")),
         (text.rlike(THEOREM_LIKE), F.lit("THEOREM_LIKE")),
         ((key == "abstract") | text.rlike(INLINE_ABSTRACT), F.lit("ABSTRACT")),
         (key.isin("references", "bibliography"), F.lit("REFERENCES")),

@@ -10,7 +10,9 @@ import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,38 +126,46 @@ def rank(query: list[list[tuple[tuple[str, ...], bool]]], heading: list[str], bo
     return best
 
 
-POSTINGS = "array<struct<term:string,at:array<int>>>"
 #: So many query terms at most are sent to every task and to the scan as a list; larger sets are joined by shuffle.
 TERMS = 1000
 
 
-def _postings(words: pd.Series, english: bool) -> pd.Series:
-    def of(row) -> list[dict]:
-        at: dict[str, list[int]] = {}
-        for k, word in enumerate(row):
-            at.setdefault(word, []).append(k)
-        if english:  # a stop word keeps its position
-            stemmed: dict[str, list[int]] = {}
-            for word in at:
-                if word not in STOP:
-                    stemmed.setdefault(stem(word), []).extend(at[word])
-            at = {term: sorted(places) for term, places in stemmed.items()}
-        return [{"term": term, "at": places} for term, places in at.items()]
-
-    return words.map(of)
+def _postings(ids: pa.Array, words: pa.ListArray, field: str, english: bool) -> pa.RecordBatch:
+    """id, field, term, at of a batch: words by number, then one stable sort by row and term."""
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    coded = words.flatten().dictionary_encode()
+    codes, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    sizes = np.diff(words.offsets.to_numpy())
+    row = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(codes.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    if english:  # a stop word goes and keeps its position
+        numbers: dict[str, int] = {}
+        again = np.array([-1 if w in STOP else numbers.setdefault(stem(w), len(numbers)) for w in known], np.int64)
+        codes, known = again[codes] if codes.size else codes, list(numbers)
+        row, at, codes = (x[codes >= 0] for x in (row, at, codes))
+    key = row * max(1, len(known)) + codes
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    picked = order[first]
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, order.size), pa.int32()), pa.array(at[order], pa.int32()))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row[picked])), pa.array([field] * picked.size, pa.string()), pa.array(known, pa.string()).take(pa.array(codes[picked])), places], ["id", "field", "term", "at"])
 
 
 def index(rows: DataFrame, id_col: str, heading_col: str, body_col: str, config: str = "english") -> DataFrame:
     """id, field (h or b), term, at: a row for each distinct term of a heading or body, with its positions in order.
 
-    Ids are distinct; rows without an id take no part, null texts are empty. Words are cut in the JVM; an Arrow function groups a
-    text's positions by term where the text is, so nothing is shuffled.
+    Ids are distinct; rows without an id take no part, null texts are empty. Words are cut in the JVM; an Arrow function groups
+    positions by term where the texts are, so nothing is shuffled.
     """
-    english = config != "simple"
-    group = F.pandas_udf(lambda words: _postings(words, english), POSTINGS)
-    words = [F.struct(F.lit(field).alias("field"), F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words")) for field, c in (("h", heading_col), ("b", body_col))]
-    cut = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.inline(F.array(*words)))
-    return cut.select("id", "field", F.inline(group("words"))).select("id", "field", "term", "at")
+    words = [F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias(field) for field, c in (("h", heading_col), ("b", body_col))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for field in ("h", "b"):
+                yield _postings(batch.column("id"), batch.column(field), field, config != "simple")
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *words).mapInArrow(run, f"id {kind}, field string, term string, at array<int>")
 
 
 def write_index(postings: DataFrame, path: str) -> None:

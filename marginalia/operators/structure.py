@@ -250,14 +250,15 @@ def sections(rows: DataFrame) -> DataFrame:
     """doc, idx, header, level, content from lines: a new section at each `#` heading; a line joins the one before unless
     that ends a sentence. The part before the first heading is section 0, if it has text."""
     w = W.partitionBy("doc").orderBy("ln")
-    heading = F.col("line").rlike(r"^#{1,9}\s+\S")
-    numbered = rows.filter(heading | ~T.line_kind("line", F.lit(False)).isin("NOISE")).select("*", F.sum(heading.cast("int")).over(w).alias("idx"), heading.alias("is_heading"))
+    # text and key pass a window before the filter that tests them, so their patterns run once a line
+    told = rows.repartition("doc").select("*", F.col("line").rlike(r"^#{1,9}\s+\S").alias("is_heading"), T.heading_text("line").alias("text")).select("*", T.bare_key(F.col("text")).alias("key"))
+    numbered = told.select("*", F.sum(F.col("is_heading").cast("int")).over(w).alias("idx")).filter(F.col("is_heading") | ~T.is_noise(F.col("text"), F.col("key")))
     body = numbered.filter(~F.col("is_heading") & ~T.blank("line")).select("doc", "idx", "ln", T.jtrim("line").alias("t"))
     inner = W.partitionBy("doc", "idx").orderBy("ln")
     joiner = F.when(F.lag("t").over(inner).isNull(), F.lit("")).when(F.lag("t").over(inner).rlike(r"[.!?:;]$"), F.lit("\n")).otherwise(F.lit(" "))
     text = body.select("doc", "idx", F.struct("ln", F.concat(joiner, "t").alias("t")).alias("r")).groupBy("doc", "idx").agg(F.array_sort(F.collect_list("r")).alias("rows"))
     content = text.select("doc", "idx", F.array_join(F.transform("rows", lambda r: r["t"]), "").alias("content"))
-    heads = numbered.filter("is_heading").select("doc", "idx", T.heading_text("line").alias("header"), F.least(F.length(F.regexp_extract("line", r"^(#+)", 1)), F.lit(9)).alias("level"))
+    heads = numbered.filter("is_heading").select("doc", "idx", F.col("text").alias("header"), F.least(F.length(F.regexp_extract("line", r"^(#+)", 1)), F.lit(9)).alias("level"))
     both = heads.join(content, ["doc", "idx"], "full").select("doc", "idx", F.coalesce("header", F.lit("")).alias("header"), F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("content", F.lit("")).alias("content"))
     return both
 

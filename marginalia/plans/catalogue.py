@@ -437,7 +437,36 @@ def line_flags(spark, sf_dir):
     return structure.line_flags(doc_lines(spark, sf_dir)).select("doc", "ln", "blank_before", "blank_after", "after_references")
 
 
-@query()
+def trim_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
+
+
+def heading_sql(x: str) -> str:
+    bare = rf"""regexp_replace(regexp_replace({x}, '{T.MARKDOWN}', ''), '^[*_`"'']+|[*_`"'']+$', '', 'g')"""
+    return trim_sql(rf"regexp_replace({bare}, '\s+', ' ', 'g')")
+
+
+def key_sql(text: str) -> str:
+    number = rf"regexp_replace(lower({text}), '^(?:§?\s*\d+(?:\.\d+)*\.?|[ivxlcdm]+\.|[a-z]\.)\s+', '')"
+    return trim_sql(rf"regexp_replace({number}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')")
+
+
+def names_sql(names) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+NOISE_SQL = f"(t <> '' AND (regexp_matches(t, '{T.NOISE}') OR key IN {names_sql(T.BLOCK_OPENERS)}))"
+KINDS_SQL = f"""WITH {LINES_SQL}, a AS (SELECT *, {heading_sql('line')} AS t FROM l), b AS (SELECT *, {key_sql('t')} AS key FROM a),
+ c AS (SELECT *, regexp_matches(line, '{T.MARKDOWN}') AS marked, coalesce(max(key IN ('references', 'bibliography')) OVER (PARTITION BY doc ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS after FROM b),
+ k AS (SELECT CASE WHEN t = '' THEN 'BODY' WHEN after AND regexp_matches(t, '{T.REFERENCE_ITEM}') THEN 'REFERENCE_ITEM' WHEN {NOISE_SQL} THEN 'NOISE' WHEN regexp_matches(t, '{T.THEOREM_LIKE}') THEN 'THEOREM_LIKE'
+   WHEN key = 'abstract' OR regexp_matches(t, '{T.INLINE_ABSTRACT}') THEN 'ABSTRACT' WHEN key IN ('references', 'bibliography') THEN 'REFERENCES' WHEN regexp_matches(t, '{T.APPENDIX}') THEN 'APPENDIX'
+   WHEN regexp_matches(t, '{T.CHAPTER}') OR regexp_matches(t, '{T.SECTION_SIGN}') THEN 'SECTION' WHEN regexp_matches(t, '{T.DECIMAL}') THEN 'SUBSECTION'
+   WHEN regexp_matches(t, '{T.NUMBERED}') THEN CASE WHEN split_part(key, ' ', 1) IN {names_sql(T.IMPERATIVE)} AND NOT marked THEN 'LIST_ITEM' ELSE 'SECTION' END WHEN regexp_matches(t, '{T.ROMAN}') THEN 'SECTION'
+   WHEN regexp_matches(t, '{T.LETTER}') THEN 'SUBSECTION' WHEN key IN {names_sql(T.STANDARD)} OR regexp_matches(key, '{T.END_SECTION}') THEN 'SECTION' WHEN marked THEN 'UNCERTAIN' ELSE 'BODY' END AS kind FROM c)
+ SELECT kind, count(*) AS n FROM k GROUP BY 1"""
+
+
+@query(KINDS_SQL)
 def line_kinds(spark, sf_dir):
     return structure.line_flags(doc_lines(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -458,6 +487,23 @@ def marked(spark, sf_dir) -> DataFrame:
     return cut.select("doc", F.inline(both))
 
 
+def head_sql(most: int) -> str:
+    return rf"coalesce(nullif(regexp_extract(line, '(?s)^(\s*\S.{{0,{most - 1}}})(?:\s|$)', 1), ''), regexp_extract(line, '(?s)^\s*\S.{{0,{most - 1}}}'))"
+
+
+MARKED_SQL = rf"""{LINES_SQL}, m1 AS (SELECT *, CASE WHEN ln = 0 THEN '# ' WHEN ln % 7 = 5 THEN '### ' WHEN ln % 4 = 1 THEN '## ' END AS mark FROM l WHERE {trim_sql('line')} <> ''),
+ m2 AS (SELECT *, CASE WHEN ln = 0 THEN {head_sql(60)} ELSE {head_sql(40)} END AS head FROM m1), m3 AS (SELECT *, substr(line, length(head) + 1) AS rest FROM m2),
+ m4 AS (SELECT doc, 2 * ln AS ln, coalesce(mark || {trim_sql('head')}, line) AS line FROM m3 UNION ALL SELECT doc, 2 * ln + 1, rest FROM m3 WHERE mark IS NOT NULL AND {trim_sql('rest')} <> ''),
+ m5 AS (SELECT *, {heading_sql('line')} AS t FROM m4), md AS (SELECT *, {key_sql('t')} AS key FROM m5)"""
+SECTIONS_SQL = rf"""{MARKED_SQL}, s1 AS (SELECT *, regexp_matches(line, '^#{{1,9}}\s+\S') AS is_heading FROM md),
+ s2 AS (SELECT *, CAST(sum(CAST(is_heading AS INTEGER)) OVER (PARTITION BY doc ORDER BY ln) AS BIGINT) AS idx FROM s1 WHERE is_heading OR NOT {NOISE_SQL}),
+ s3 AS (SELECT doc, idx, ln, {trim_sql('line')} AS u FROM s2 WHERE NOT is_heading AND {trim_sql('line')} <> ''),
+ s4 AS (SELECT *, lag(u) OVER (PARTITION BY doc, idx ORDER BY ln) AS before FROM s3),
+ s5 AS (SELECT doc, idx, string_agg(CASE WHEN before IS NULL THEN '' WHEN regexp_matches(before, '[.!?:;]$') THEN chr(10) ELSE ' ' END || u, '' ORDER BY ln) AS content FROM s4 GROUP BY 1, 2),
+ s6 AS (SELECT doc, idx, t AS header, least(length(regexp_extract(line, '^(#+)', 1)), 9) AS level FROM s2 WHERE is_heading),
+ sections AS (SELECT doc, idx, coalesce(header, '') AS header, CAST(coalesce(level, 0) AS INTEGER) AS level, coalesce(content, '') AS content FROM s6 FULL JOIN s5 USING (doc, idx))"""
+
+
 @query()
 def heading_decisions(spark, sf_dir):
     return structure.decide_headings(structure.line_flags(marked(spark, sf_dir))).select("doc", "ln", "kind", "action", "level", F.round("confidence", 6).alias("confidence"), "reason")
@@ -473,17 +519,19 @@ def normalised_markdown(spark, sf_dir):
     return structure.normalised_markdown(structure.decide_headings(structure.line_flags(marked(spark, sf_dir))))
 
 
-@query()
+@query(f"WITH {SECTIONS_SQL} SELECT * FROM sections")
 def sections_from_markdown(spark, sf_dir):
     return structure.sections(marked(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {SECTIONS_SQL} SELECT a.doc, a.idx, a.level, CASE WHEN a.level > 1 THEN (SELECT max(b.idx) FROM sections b WHERE b.doc = a.doc AND b.idx < a.idx AND b.level BETWEEN 1 AND a.level - 1) END AS parent_idx FROM sections a")
 def section_parents(spark, sf_dir):
     return structure.parents(structure.sections(marked(spark, sf_dir)))
 
 
-@query()
+@query(
+    rf"""WITH {MARKED_SQL} SELECT doc, coalesce(arg_min(t, ln) FILTER (regexp_matches(line, '^#\s+\S')), arg_min(t, ln) FILTER (regexp_matches(line, '^##\s+\S') AND key NOT IN {names_sql(T.STANDARD)}), 'Untitled') AS title FROM md GROUP BY doc"""
+)
 def title_extract(spark, sf_dir):
     return structure.titles(marked(spark, sf_dir))
 
@@ -559,7 +607,13 @@ def fingerprints(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.fingerprint(names, 2000 + F.col("c_custkey") % 5).alias("fingerprint"))
 
 
-@query()
+NO_DESCRIPTION = "lower({0}) IN ('', 'null', 'none')"
+
+
+@query(
+    f"""WITH g AS (SELECT p_size % 10 AS doc, p_brand AS symbol, list(CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE p_name END ORDER BY p_partkey) AS told, list_sort(list(DISTINCT p_partkey % 6)) AS scopes FROM part WHERE length(p_brand) BETWEEN 1 AND 10 GROUP BY 1, 2)
+  SELECT doc, symbol, list_reduce(told, lambda held, new: CASE WHEN NOT {NO_DESCRIPTION.format('new')} AND ({NO_DESCRIPTION.format('held')} OR length(new) > length(held) + 5) THEN new ELSE held END) AS description, scopes, len(scopes) > 3 AS is_global FROM g"""
+)
 def symbol_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select((F.col("p_size") % 10).alias("doc"), F.col("p_partkey").alias("seq"), F.concat(F.lit(" "), "p_brand").alias("symbol"), F.when(F.col("p_partkey") % 3 == 0, "null").otherwise(F.col("p_name")).alias("description"), (F.col("p_partkey") % 6).alias("root"))
     return references.merge_symbols(rows)
