@@ -74,6 +74,12 @@ def neighbours_excl_self(spark, sf_dir):
     return knn.nearest(e, e, k=3, above=0.2).select("id", "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def neighbours_listed(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return knn.nearest_listed(e, e, k=3, above=0.2).select("id", "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 @query(
     """SELECT e.vec_id, e.v = e.embedding AS same FROM (SELECT vec_id, embedding, CAST(CAST(to_json(embedding) AS JSON) AS FLOAT[]) AS v FROM embeddings) e"""
 )
