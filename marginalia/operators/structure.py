@@ -133,6 +133,8 @@ class Outline:
 
     def decide(self, line: str, kind: str) -> tuple[str, int, float, str, str | None, str | None]:
         """(action, level, confidence, reason, heading, body) of the next line."""
+        if kind == "BODY" and line[:1].isalnum() and self.title is not None and not self.noise:  # most lines: not blank, no mark, no heading's form
+            return ("TEXT", 0, 0.98, "inside the references", None, None) if self.references else ("TEXT", 0, 0.65, "body", None, None)
         text = re.sub(r"\s+", " ", re.sub(r"^\s*#{1,6}\s+", "", line)).strip().strip("*_`")
         marks = len(m[1]) if (m := re.match(r"\s*(#{1,6})\s", line)) else 0
         if self.noise and not (text and marks and (kind in ("ABSTRACT", "REFERENCES", "SECTION", "SUBSECTION", "APPENDIX") or kind not in ("NOISE", "THEOREM_LIKE") and _title_like(text))):
