@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import byte_bpe, exact_dedup, mixing, pii, quality, secret_scan, simhash, token_counts, token_files, vector_search
+from marginalia.llm import byte_bpe, exact_dedup, infill, mixing, pii, quality, secret_scan, simhash, token_counts, token_files, vector_search
 from marginalia.llm import spans as span_columns
 from marginalia.llm.common import table
 
@@ -74,8 +74,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    hashes = [F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256")]
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_token_files, op2_simhash, op3_quality, op4_token_counts, op5_vector_search, op6_mixing, op7_secrets, op8_byte_bpe, op9_personal_data, op10_exact_dedup,
+    op11_fill_in_middle,
 )}
 
 ORACLE_SQL: dict[str, str] = {
@@ -127,5 +134,18 @@ WITH n AS (
 best AS (
   SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, (-n_points, doc_id)) AS keep_id FROM n GROUP BY text_sha256)
 SELECT n.doc_id, best.keep_id, best.group_size, n.doc_id = best.keep_id AS kept, n.text_sha256 FROM n JOIN best USING (text_sha256)
+""",
+    "op11_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
+drawn AS (
+  SELECT *, CAST(length(t) AS BIGINT) AS n, CAST('0x' || mark[1:8] AS BIGINT) AS h1, CAST('0x' || mark[9:16] AS BIGINT) AS h2,
+    CAST('0x' || mark[17:24] AS BIGINT) AS h3, CAST('0x' || mark[25:32] AS BIGINT) AS h4 FROM d),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM parts
 """,
 }
