@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import byte_bpe, exact_dedup, infill, mixing, pii, quality, secret_scan, simhash, token_counts, token_files, vector_search
+from marginalia.llm import byte_bpe, exact_dedup, infill, mixing, pii, prefix_trie, quality, secret_scan, simhash, token_counts, token_files, vector_search
 from marginalia.llm import spans as span_columns
 from marginalia.llm.common import table
 
@@ -80,9 +80,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_token_files, op2_simhash, op3_quality, op4_token_counts, op5_vector_search, op6_mixing, op7_secrets, op8_byte_bpe, op9_personal_data, op10_exact_dedup,
-    op11_fill_in_middle,
+    op11_fill_in_middle, op12_prefix_trie,
 )}
 
 ORACLE_SQL: dict[str, str] = {
@@ -147,5 +151,33 @@ parts AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
   sha256(t) AS restored_sha256 FROM parts
+""",
+    "op12_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc_steps AS (
+  WITH RECURSIVE bits(i, v, k) AS (
+    SELECT i, CAST(i AS UBIGINT), 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS UBIGINT)) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8)
+  SELECT list(v ORDER BY i) AS step FROM bits WHERE k = 8),
+convs AS (
+  SELECT conv_id, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), [CAST(ord(x) AS UBIGINT) for x in string_split(CAST(conv_id AS VARCHAR), '')]),
+      lambda c, x: xor(c >> 8, step[CAST(xor(c & 255, x) AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) % 4 AS BIGINT) AS h
+  FROM (SELECT DISTINCT conv_id FROM t), crc_steps),
+built AS (
+  SELECT c.conv_id, 0 AS part, t.place, {'r': t.role, 't': t.text} AS turn FROM convs c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.place < c.h
+  UNION ALL SELECT c.conv_id, 1, t.place, {'r': t.role, 't': t.text} FROM convs c JOIN t ON t.conv_id = c.conv_id AND t.place >= c.h),
+seqs AS (SELECT c.conv_id, coalesce(s.turns, []) AS turns FROM convs c LEFT JOIN (SELECT conv_id, list(turn ORDER BY part, place) AS turns FROM built GROUP BY conv_id) s ON c.conv_id = s.conv_id),
+members AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM seqs),
+keyed AS (SELECT conv_id, depth, len(turns) AS size, turns[1:depth] AS prefix FROM members),
+nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '') AS ends FROM keyed GROUP BY prefix, depth),
+weighed AS (SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(prefix[depth]['t'], '[^\x20\x09-\x0D]+')) END AS own FROM nodes),
+children AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (SELECT w.prefix[1:u.k] AS prefix, w.own, c.prefix IS NULL AS leaf FROM weighed w LEFT JOIN children c ON w.prefix = c.prefix, LATERAL (SELECT unnest(range(0, w.depth + 1)) AS k) u),
+sums AS (SELECT prefix, count(*) FILTER (WHERE leaf) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM below GROUP BY prefix)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(c.n_children, 0) AS BIGINT) AS n_children, s.n_leaves, s.saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s ON n.prefix = s.prefix LEFT JOIN children c ON n.prefix = c.prefix LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
 """,
 }
