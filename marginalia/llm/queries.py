@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import byte_bpe, exact_dedup, infill, mixing, pii, prefix_trie, quality, secret_scan, simhash, token_counts, token_files, vector_search
+from marginalia.llm import byte_bpe, exact_dedup, infill, mixing, ngram_join, pii, prefix_trie, quality, secret_scan, simhash, token_counts, token_files, vector_search
 from marginalia.llm import spans as span_columns
 from marginalia.llm.common import table
 
@@ -84,9 +84,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_token_files, op2_simhash, op3_quality, op4_token_counts, op5_vector_search, op6_mixing, op7_secrets, op8_byte_bpe, op9_personal_data, op10_exact_dedup,
-    op11_fill_in_middle, op12_prefix_trie,
+    op11_fill_in_middle, op12_prefix_trie, op13_ngram_join,
 )}
 
 ORACLE_SQL: dict[str, str] = {
