@@ -1,4 +1,4 @@
-"""Sinks. A replacement is computed as a table and written to a new path or by partition; readers never see half of one."""
+"""Sinks. A replacement is a change of a versioned store, or a table at a new path; readers never see half of one."""
 
 from __future__ import annotations
 
@@ -8,33 +8,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.audit import upsert
+from marginalia.sources.store import Change, Store
 
 STAGE_TABLES = {"PERSIST": ("sections",), "SYMBOLS": ("symbols",), "CITATIONS": ("links", "references"), "EMBEDDING": ("chunks",), "AUDIT": ("relations",)}
 
 
-def replace_chunks(chunks: DataFrame, path: str, expected: DataFrame | None = None) -> int:
-    """Replaces the chunks of the papers in `chunks`, if every one has its vector. Papers of `expected` without chunks lose theirs.
+def replace_chunks(store: Store, chunks: DataFrame, expected: DataFrame | None = None) -> int:
+    """Replaces the chunks of the papers in `chunks`, if every one has its vector; the number of chunks. Papers of `expected` without chunks lose theirs.
 
-    `chunks` is computed once, into a folder beside path: what is tested is what is written, and a provider of vectors runs once.
+    `chunks` is computed once, into the store, so a provider of vectors runs once. The files of other papers are not touched, and all papers change in one version.
     """
-    spark = chunks.sparkSession
-    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
-    beside = f"{path.rstrip('/')}-incoming-{uuid.uuid4().hex}"
+    spark, beside = chunks.sparkSession, f"{store.path}/data/incoming-{uuid.uuid4().hex}"
+    base = store.version()
     try:
         chunks.write.parquet(beside)
         told = spark.read.schema(chunks.schema).parquet(beside)
         found = told.agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("vectors")).first()
         if found["n"] > found["vectors"]:
             raise ValueError("a chunk has no vector")
-        told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("paper_id").parquet(path)
-        if expected is not None:
-            for (paper,) in expected.join(told, "paper_id", "left_anti").select("paper_id").distinct().toLocalIterator():
-                gone = hadoop(f"{path}/paper_id={paper}")
-                gone.getFileSystem(conf).delete(gone, True)
+        store.change(Change("chunks", told, "paper_id", expected, settled=True), base=base)
         return found["n"]
     finally:
-        left = hadoop(beside)
-        left.getFileSystem(conf).delete(left, True)
+        store._fs.delete(store._path(beside), True)
+
+
+def replace_relations(store: Store, relations: DataFrame) -> int:
+    """Replaces the relations of (source, target, audit_version), all others of the same sources stay; the store's version."""
+    base, key = store.version(), ["source", "target", "audit_version"]
+    if "relations" not in base["tables"]:
+        return store.change(Change("relations", relations, "source"), base=base)
+    old = store.read_keys("relations", relations.select("source"), base["version"])
+    return store.change(Change("relations", upsert(old, relations, *key), "source"), base=base)
+
+
+def reset_from(store: Store, stage: str, papers: DataFrame, key: str = "paper_id") -> int:
+    """Deletes what was derived for papers from `stage` on, in all tables as one version; the store's version."""
+    base = store.version()
+    gone = [t for t in downstream_of(stage) if t in base["tables"]]
+    none = {t: store.read(t, base["version"]).limit(0) for t in gone}
+    return store.change(*[Change(t, none[t], base["tables"][t]["key"], papers.select(F.col(key).alias(base["tables"][t]["key"]))) for t in gone], base=base)
 
 
 def write_upsert(old: DataFrame, new: DataFrame, path: str, *key: str) -> None:

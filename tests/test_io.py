@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.sources import readers, writers
+from marginalia.sources.store import Store
 from marginalia.streaming import jobs
 
 
@@ -39,13 +40,15 @@ def test_evaluation_set(spark, tmp_path):
 
 
 def test_replace_chunks(spark, tmp_path):
-    path = str(tmp_path / "chunks")
+    store = Store(spark, str(tmp_path / "store"))
     make = lambda rows: spark.createDataFrame(rows, "paper_id long, chunk_index int, embedding array<float>")
-    writers.replace_chunks(make([(1, 0, [1.0]), (1, 1, [1.0]), (2, 0, [2.0])]), path)
-    writers.replace_chunks(make([(1, 0, [3.0])]), path, spark.createDataFrame([(2,)], "paper_id long"))
-    assert [(r.paper_id, r.chunk_index) for r in spark.read.parquet(path).collect()] == [(1, 0)]
+    writers.replace_chunks(store, make([(1, 0, [1.0]), (1, 1, [1.0]), (2, 0, [2.0])]))
+    writers.replace_chunks(store, make([(1, 0, [3.0])]), spark.createDataFrame([(2,)], "paper_id long"))
+    assert [(r.paper_id, r.chunk_index) for r in store.read("chunks").collect()] == [(1, 0)]
     with pytest.raises(ValueError):
-        writers.replace_chunks(make([(1, 0, None)]), path)
+        writers.replace_chunks(store, make([(1, 0, None)]))
+    assert writers.replace_chunks(store, make([]), spark.createDataFrame([(1,)], "paper_id long")) == 0
+    assert store.read("chunks").collect() == []
 
 
 def test_state_machine_stream(spark, tmp_path):

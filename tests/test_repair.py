@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import chunking, evidence, outline, providers, structure
 from marginalia.sources import writers
+from marginalia.sources.store import Store
 from marginalia.streaming import jobs
 
 
@@ -149,8 +150,9 @@ def test_sinks(spark, tmp_path):
         return [float(x)]
 
     rows = spark.createDataFrame([(1, 0), (1, 1)], "paper_id long, chunk_index int").withColumn("embedding", F.udf(embed, "array<float>")("chunk_index"))
-    assert writers.replace_chunks(rows, str(tmp_path / "chunks")) == 2 and calls.value == 2
-    assert [p.name for p in tmp_path.iterdir()] == ["chunks"]
+    store = Store(spark, str(tmp_path / "store"))
+    assert writers.replace_chunks(store, rows) == 2 and calls.value == 2
+    assert not [p for p in (tmp_path / "store" / "data").iterdir() if p.name.startswith("incoming")]
     writers.write_report(spark.createDataFrame([(1, "x")], "a int, b string").coalesce(1), str(tmp_path / "report"))
     assert next((tmp_path / "report").glob("part-*")).read_bytes() == b"\xef\xbb\xbfa,b\n1,x\n"
     told = spark.createDataFrame([("d", 1, "SECTION", "HEADING", 2, 0.9, "why", "Methods")], "doc string, ln int, kind string, action string, level int, confidence double, reason string, line string")
