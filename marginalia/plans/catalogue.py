@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions import vectors as V
-from marginalia.operators import audit, chunking, evaluate, evidence, ingest, knn, lexical as fulltext, library, outline, references, retrieval, structure
+from marginalia.operators import audit, chunking, evaluate, evidence, ingest, knn, lexical as fulltext, library, outline, references, retrieval, stages, structure
 
 FLAGSHIP = "fusion_search"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -825,3 +825,30 @@ def workspace_order(spark, sf_dir):
 def metadata_complete(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.array("n_name").alias("surnames"), F.when(F.col("n_nationkey") % 3 == 0, 0).otherwise(2000).alias("year"))
     return library.whole_metadata(n)
+
+
+STALE_SQL = """
+WITH p AS (SELECT doc_id AS paper_id, doc_id % 7 = 0 AS edited, doc_id % 13 = 0 AS is_new, doc_id % 11 = 0 AS failed, doc_id % 17 = 0 AS unseen FROM documents WHERE text IS NOT NULL),
+t AS (
+  SELECT paper_id, CASE WHEN is_new THEN 'NEW' WHEN failed THEN 'FAILED' WHEN edited THEN 'CHANGED' END AS sections, CASE WHEN failed THEN 'FAILED' END AS own_symbols,
+    CASE WHEN unseen THEN 'NEW' END AS own_vectors FROM p),
+s AS (SELECT paper_id, sections, coalesce(own_symbols, CASE WHEN sections IS NOT NULL THEN 'UPSTREAM' END) AS symbols, own_vectors FROM t),
+v AS (SELECT paper_id, sections, symbols, coalesce(own_vectors, CASE WHEN sections IS NOT NULL OR symbols IS NOT NULL THEN 'UPSTREAM' END) AS vectors FROM s)
+SELECT paper_id, 'PERSIST' AS stage, sections AS reason FROM v WHERE sections IS NOT NULL UNION ALL SELECT paper_id, 'SYMBOLS', symbols FROM v WHERE symbols IS NOT NULL
+UNION ALL SELECT paper_id, 'EMBEDDING', vectors FROM v WHERE vectors IS NOT NULL
+"""
+
+
+@query(STALE_SQL)
+def stale_stages(spark, sf_dir):
+    """What a run would compute, and why, after some documents were edited, some came and some stages failed."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("paper_id"), "text")
+    graph = [stages.Stage("PERSIST", ("parsed",), None), stages.Stage("SYMBOLS", ("persist",), None), stages.Stage("EMBEDDING", ("persist", "symbols"), None)]
+    prints = {"parsed": stages.fingerprints(docs), "persist": stages.fingerprints(docs.select("paper_id", F.upper("text").alias("content"))), "symbols": stages.fingerprints(docs.select("paper_id", F.substring("text", 1, 8).alias("symbol")))}
+    last = lambda s, edited: stages.input_print({n: stages.fingerprints(docs.withColumn("text", F.when(edited, F.concat("text", F.lit("."))).otherwise(F.col("text")))) if n == "parsed" else prints[n] for n in s.reads}, s.version)
+    status = F.when(F.col("paper_id") % 11 == 0, "FAILED").otherwise("COMPLETED")
+    ledgers = {s.name: last(s, F.col("paper_id") % 7 == 0) for s in graph}
+    ledgers["PERSIST"] = ledgers["PERSIST"].filter("paper_id % 13 <> 0").withColumn("status", status)
+    ledgers["SYMBOLS"] = ledgers["SYMBOLS"].withColumn("status", status)
+    ledgers["EMBEDDING"] = ledgers["EMBEDDING"].filter("paper_id % 17 <> 0").withColumn("status", F.lit("COMPLETED"))
+    return stages.stale(graph, prints, ledgers)
