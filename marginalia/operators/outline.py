@@ -1,10 +1,10 @@
-"""Outline repair: parent headings and the references heading that a parser lost, chapter lines told twice, levels of numbered sections."""
+"""Outline repair: headings that a parser lost, chapter lines told twice, levels of numbered sections.
 
-from __future__ import annotations
+A line is parsed once, by `parsed`, into its form, its numbers and its title; every rule asks these fields.
+"""
 
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as T
 from marginalia.operators.structure import parents
 
-#: The patterns of the outline.
-DECIMAL, TOP, BARE_TOP = r"^(\d+)\.\d+(?:\.|\s).*$", r"^(\d+)(?:\.\s+|\s+).*$", r"^(\d{1,2})\.?\s+([A-Z].*)$"
-INLINE, ITEM = r"^(.{8,100}?\.)(\s+)([A-Z].+)$", r"^(?:\[\d+]|\$\^\{?\d+\}?\$)\s*.+$"
-CHAPTER, CHAPTER_TITLE = re.compile(r"(?i)^chapter\s+(\d+)\b.*$"), re.compile(r"(?i)^chapter\s+(\d+)\.\s*(.+)$")
-LOOK_BACK = 4
+#: Numbers at the start of a line: a path of two or more needs a dot or a blank after it, a single one a blank, with or without a dot.
+NUMBERS = r"^((?i:chapter)\s+)?(\d+(?:\.\d+)+(?=[.\s])|\d+(?=\.?\s|\.?$))\.?\s*"
+#: Where a heading's first sentence may end, in characters, and how many headings back a chapter may have been told.
+SENTENCE_FROM, SENTENCE_TO, LOOK_BACK = 8, 100, 4
 #: Headings that own no numbered children.
-NO_PARENT, NO_PARENT_PREFIX = ("abstract", "references", "bibliography"), ("acknowledg", "appendix")
+CHILDLESS, CHILDLESS_START = ("abstract", "references", "bibliography"), ("acknowledg", "appendix")
+MOST_BARE = 99
 
 
 def marker(line: Column | str) -> tuple[Column, Column]:
@@ -34,8 +34,24 @@ def normal_kind(kind: Column, text: Column, level: Column) -> Column:
     return F.when((kind == "SECTION") & ((level >= 3) | single), "SUBSECTION").when((kind == "SUBSECTION") & (level <= 2) & ~single, "SECTION").otherwise(kind)
 
 
-def _number(pattern: str, text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("int")
+def words_of(text: Column) -> Column:
+    """A heading's words alone, in lower case."""
+    return T.jtrim(F.regexp_replace(F.lower(text), r"[\W_]+", " "))
+
+
+def parsed(text: Column) -> Column:
+    """form (chapter, path, number or plain), numbers, title and words of a line's text."""
+    numbers = F.transform(F.split(F.nullif(F.regexp_extract(text, NUMBERS, 2), F.lit("")), r"\."), lambda x: x.try_cast("int"))
+    chapter = F.regexp_extract(text, NUMBERS, 1) != ""
+    form = F.when(numbers.isNull(), "plain").when(chapter, "chapter").when(F.size(numbers) > 1, "path").otherwise("number")
+    return F.struct(form.alias("form"), numbers.alias("numbers"), F.regexp_replace(text, NUMBERS, "").alias("title"), words_of(text).alias("words"))
+
+
+def first_sentence(title: Column) -> tuple[Column, Column]:
+    """A title up to the end of its first sentence, and the text after it: null where nothing follows."""
+    ends = F.regexp_instr(F.substr(title, F.lit(SENTENCE_FROM + 1)), F.lit(r"\.\s+[A-Z]."))
+    cut = F.when(ends.between(1, SENTENCE_TO - SENTENCE_FROM + 1), ends + SENTENCE_FROM)
+    return F.when(cut.isNull(), title).otherwise(F.substr(title, F.lit(1), cut)), F.ltrim(F.substr(title, cut + 1))
 
 
 def recover_headings(lines: DataFrame) -> DataFrame:
@@ -46,72 +62,64 @@ def recover_headings(lines: DataFrame) -> DataFrame:
     has no heading gets one. A document's lines are in one window, as its order needs.
     """
     w = W.partitionBy("doc").orderBy("ln")
-    text = T.heading_text("line")
-    rows = lines.select("doc", "ln", "line", text.alias("t"), F.col("line").rlike(r"^\s*#{1,6}\s+\S").alias("marked"))
-    is_refs = T.bare_key(F.col("t")).isin("references", "bibliography")
-    rows = rows.select("*", is_refs.alias("refs"), F.col("t").rlike(ITEM).alias("item"), _number(TOP, F.col("t")).alias("top"), _number(DECIMAL, F.col("t")).alias("decimal"))
-    ends = F.min(F.when(F.col("refs") | F.col("item"), F.col("ln"))).over(W.partitionBy("doc"))
-    told = F.when(F.col("refs"), F.lit(-1)).when(F.col("top").isNotNull(), F.lit(-1)).otherwise(F.col("decimal"))
-    ahead = F.first(told, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
-    rows = rows.select("*", ends.alias("ends"), ahead.alias("ahead"))
-    title = T.jtrim(F.regexp_extract("t", BARE_TOP, 2))
-    first_word = F.lower(F.regexp_extract(title, r"^([A-Za-z]+)", 1))
-    reference_like = title.rlike(r"\b(?:19|20)\d{2}\b") & title.rlike(r"(?i)\bet al\b|\bpp\.|\bvol\.|\bdoi\b")
-    lost = ~F.col("marked") & F.col("t").rlike(BARE_TOP) & (F.col("ahead") == F.regexp_extract("t", BARE_TOP, 1).try_cast("int")) & ~first_word.isin(*T.IMPERATIVE) & ~reference_like
-    lost = F.coalesce(lost & (F.col("ends").isNull() | (F.col("ln") < F.col("ends"))), F.lit(False))
-    clean = T.collapse(title)
-    head = F.when(clean.rlike(INLINE), F.regexp_extract(clean, INLINE, 1)).otherwise(clean)
-    rest = F.nullif(F.regexp_extract(clean, INLINE, 3), F.lit(""))
-    heading = F.concat(F.lit("## "), F.regexp_extract("t", BARE_TOP, 1), F.lit(". "), head)
+    rows = lines.select("doc", "ln", "line", T.heading_text("line").alias("t"), F.col("line").rlike(r"^\s*#{1,6}\s+\S").alias("marked")).select("*", parsed(F.col("t")).alias("p"))
+    refs = T.bare_key(F.col("t")).isin("references", "bibliography")
+    rows = rows.select("*", refs.alias("refs"), F.col("t").rlike(r"^(?:\[\d+\]|\$\^(?:\d+|\{\d+\})\$)\s*\S").alias("item"))
+    # what the next line that bears on the outline is: the first number of a path, or none of them
+    told = F.when(F.col("refs") | (F.col("p.form") == "number"), F.lit(-1)).when(F.col("p.form") == "path", F.col("p.numbers")[0])
+    rows = rows.select(
+        "*", F.min(F.when(F.col("refs") | F.col("item"), F.col("ln"))).over(W.partitionBy("doc")).alias("ends"),
+        F.first(told, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("ahead"),
+    )
+    title, number = T.collapse("p.title"), F.col("p.numbers")[0]
+    cited = title.rlike(r"\b(?:19|20)\d{2}\b") & title.rlike(r"(?i)\bet al\b|\bpp\.|\bvol\.|\bdoi\b")
+    order = F.element_at(F.split(words_of(title), " "), 1).isin(*T.IMPERATIVE)
+    bare = (F.col("p.form") == "number") & ~F.col("marked") & (number <= MOST_BARE) & title.rlike("^[A-Z]") & ~order & ~cited
+    lost = F.coalesce(bare & (F.col("ahead") == number) & (F.col("ends").isNull() | (F.col("ln") < F.col("ends"))), F.lit(False))
+    head, rest = first_sentence(title)
+    heading = F.concat(F.lit("## "), number.cast("string"), F.lit(". "), head)
     opened = (F.col("ln") == F.col("ends")) & F.col("item") & ~F.col("refs")
     parts = F.when(lost, F.array_compact(F.array(heading, rest))).when(opened, F.array(F.lit("## References"), F.col("line"))).otherwise(F.array("line"))
     return rows.select("doc", "ln", F.posexplode(parts).alias("part", "line"))
 
 
-def _key(header: str | None) -> str:
-    return re.sub(r"[\W_]+", " ", (header or "").lower()).strip()
-
-
-def _first_number(pattern: str, header: str | None) -> int | None:
-    found = re.match(pattern, (header or "").strip())
-    return int(found[1]) if found else None
-
-
-def repaired(sections: list[tuple[int, str | None, int]]) -> list[tuple[int, str | None, int]]:
-    """The sections (idx, header, level) of one document, in order, without chapter lines told twice, and with levels of numbered sections without a parent set to 2."""
-    kept: list[tuple[int, str | None, int]] = []
-    parents: set[int] = set()
-    for idx, header, level in sections:
-        if chapter := CHAPTER_TITLE.match((header or "").strip()):
-            before = {_key(h) for _, h, _ in kept[-LOOK_BACK:]}
-            if {f"chapter {chapter[1]}", _key(chapter[2])} <= before:
-                continue
-        child = _first_number(DECIMAL, header)
-        if level >= 3 and child is not None and child not in parents:
-            last = kept[-1] if kept else None
-            name = _key(last[1]) if last else ""
-            owner = last and last[2] == 2 and _first_number(TOP, last[1]) is None and name not in NO_PARENT and not name.startswith(NO_PARENT_PREFIX) and not CHAPTER.match((last[1] or "").strip())
-            if owner:
-                parents.add(child)
-            else:
-                level = 2
-        kept.append((idx, header, level))
-        main = _first_number(TOP, header)
-        if level == 2 and main is not None:
-            parents.add(main)
-    return kept
-
-
 def repair(sections: DataFrame) -> DataFrame:
-    """sections (doc, idx, header, level) after repair. A fold over each document's outline, which is as long as its headings are many."""
-    schema = sections.select("doc", "idx", "header", "level").schema
+    """sections (doc, idx, header, level) of documents, without chapter lines told twice, and with numbered sections that have no parent raised to level 2.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("idx")
-        out = repaired(list(zip(rows["idx"].tolist(), [h if isinstance(h, str) else None for h in rows["header"]], rows["level"].tolist())))
-        return pd.DataFrame([(rows["doc"].iloc[0], *r) for r in out], columns=["doc", "idx", "header", "level"])
-
-    return sections.select("doc", "idx", "header", "level").groupBy("doc").applyInPandas(run, schema)
+    `Chapter n. Title` goes where `Chapter n` and `Title` stand among the LOOK_BACK headings kept before it. A section `n.m` of level 3 or more has a parent
+    where `n` was a section of level 2, or where the heading just before is a plain one of level 2 that may own it, which then is
+    `n`. A fold in the JVM over a document's outline, which is as long as its headings are many; only what changes is kept in its state.
+    """
+    p = parsed(F.trim(F.coalesce("header", F.lit(""))))
+    row = F.struct("idx", "header", "level", p.alias("p"), words_of(p["title"]).alias("of_title"))
+    docs = sections.groupBy("doc").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    empty = F.struct(
+        F.array().cast("array<string>").alias("last"), F.lit(False).alias("owner"), F.array().cast("array<int>").alias("known"),
+        F.array().cast("array<bigint>").alias("gone"), F.array().cast("array<bigint>").alias("raised"),
+    )
+
+    def step(s: Column, x: Column) -> Column:
+        first = F.get(x["p"]["numbers"], F.lit(0))
+        told = F.concat(F.lit("chapter "), first.cast("string"))
+        twice = (x["p"]["form"] == "chapter") & (x["of_title"] != "") & F.array_contains(s["last"], told) & F.array_contains(s["last"], x["of_title"])
+        orphan = (x["p"]["form"] == "path") & (x["level"] >= 3) & ~F.array_contains(s["known"], first)
+        raised = orphan & ~s["owner"]
+        second = raised | (x["level"] == 2)
+        names = F.when(orphan & s["owner"] | second & (x["p"]["form"] == "number"), F.array(first)).otherwise(F.array().cast("array<int>"))
+        childless = x["p"]["words"].isin(*CHILDLESS)
+        for start in CHILDLESS_START:
+            childless = childless | x["p"]["words"].startswith(start)
+        at = F.array(x["idx"].cast("bigint"))
+        after = F.struct(
+            F.slice(F.concat(F.array(x["p"]["words"]), s["last"]), 1, LOOK_BACK).alias("last"), (second & (x["p"]["form"] == "plain") & ~childless).alias("owner"), F.array_union(s["known"], names).alias("known"),
+            s["gone"].alias("gone"), F.when(raised, F.concat(s["raised"], at)).otherwise(s["raised"]).alias("raised"),
+        )
+        dropped = F.struct(s["last"].alias("last"), s["owner"].alias("owner"), s["known"].alias("known"), F.concat(s["gone"], at).alias("gone"), s["raised"].alias("raised"))
+        return F.when(F.coalesce(twice, F.lit(False)), dropped).otherwise(after)
+
+    told = docs.select("doc", "rows", F.aggregate("rows", empty, step).alias("s")).select("doc", "s", F.explode("rows").alias("x"))
+    level = F.when(F.array_contains("s.raised", F.col("x.idx").cast("bigint")), F.lit(2)).otherwise(F.col("x.level")).cast(sections.schema["level"].dataType)
+    return told.filter(~F.array_contains("s.gone", F.col("x.idx").cast("bigint"))).select("doc", "x.idx", "x.header", level.alias("level"))
 
 
 def repair_with_parents(sections: DataFrame) -> DataFrame:

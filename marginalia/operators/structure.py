@@ -81,7 +81,7 @@ MAJOR = ("introduction", "background", "method", "model", "experiment", "result"
 LOCAL, SENTENCE, ROMAN_LETTERS = re.compile(r"(?:the )?algorithm|method\s+\d+"), re.compile(r"(.{8,100}?\.)\s+([A-Z].+)"), "IVX"
 NUMBERING = re.compile(r"(?P<decimal>\d+(?:\.\d+)+)\.?\s+|(?P<numbered>\d{1,9})\.\s+|§\s*(?P<sign>\d+)\.\s+|(?P<letter>[A-Z])\.\s+|(?P<roman>[IVXLCDM]+)\.\s+")
 CHAPTER_LINE, MAIN_NUMBER = re.compile(r"(?i)chapter\s+\d+\b"), re.compile(r"(\d{1,9})[.\s]\s+.")
-LEAST_TITLE, LEAST_WORDS, UPPER = 8, 3, 0.65
+LEAST_TITLE, LEAST_WORDS, LEAST_CAPITALS, UPPER = 8, 3, 3, 0.65
 
 
 def decide_headings(flags: DataFrame) -> DataFrame:
@@ -111,11 +111,12 @@ def _key(text: str) -> str:
 
 
 def _major(title: str) -> bool:
-    """Does a numbered title name a main section: in capitals, or by its first word."""
-    if title.split(" ")[0].lower() in T.IMPERATIVE:
+    """Does a numbered title name a main section: by its first word, or in capitals throughout; an order to do something never does."""
+    words = _key(title).split()
+    if not words or words[0] in T.IMPERATIVE:
         return False
-    letters = [c for c in title if c.isalpha()]
-    return bool(letters) and sum(c.isupper() for c in letters) >= max(3, math.ceil(UPPER * len(letters))) or title.lower().startswith(MAJOR)
+    capitals, letters = (sum(map(test, title)) for test in (str.isupper, str.isalpha))
+    return title.lower().startswith(MAJOR) or capitals >= max(LEAST_CAPITALS, UPPER * letters)
 
 
 def _title_like(text: str) -> bool:

@@ -210,14 +210,34 @@ def context_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", evidence.one_line("text", 300).alias("context"))
 
 
-@query()
+LOST_SQL = """
+WITH d AS (SELECT doc_id AS doc, doc_id % 20 + 1 AS n, doc_id % 3 = 0 AS deep, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source FROM documents),
+l AS (
+  SELECT doc, 0 AS ln, 0 AS part, 'A study in ' || lang AS line FROM d UNION ALL SELECT doc, 1, 0, '## ' || n || '. Methods of ' || source || '.' FROM d UNION ALL SELECT doc, 1, 1, 'They are told here' FROM d
+  UNION ALL SELECT doc, 2, 0, 'of document ' || doc FROM d UNION ALL SELECT doc, 3, 0, n || '.1 Data' FROM d
+  UNION ALL SELECT doc, 4, 0, CASE WHEN deep THEN '## ' || (n + 1) || '. Results' ELSE (n + 1) || ' Results' END FROM d
+  UNION ALL SELECT doc, 5, 0, CASE WHEN deep THEN (n + 1) || '.1 Detail' ELSE (n + 2) || ' Discussion' END FROM d
+  UNION ALL SELECT doc, 6, 0, '## References' FROM d UNION ALL SELECT doc, 6, 1, '[1] A. Author, 2001' FROM d UNION ALL SELECT doc, 7, 0, '[2] B. Author' FROM d
+  UNION ALL SELECT doc, 8, 0, (n + 3) || ' Late' FROM d UNION ALL SELECT doc, 9, 0, (n + 3) || '.1 After' FROM d)
+SELECT * FROM l
+"""
+
+
+@query(LOST_SQL)
 def recovered_headings(spark, sf_dir):
-    return outline.recover_headings(structure.lines(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    """Every document's outline with headings lost; the SQL writes out what must come back."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 20 + 1).alias("n"), (F.col("doc_id") % 3 == 0).alias("deep"), *[F.coalesce(c, F.lit("none")).alias(c) for c in ("lang", "source")])
+    at = lambda k, title: F.concat((F.col("n") + k).cast("string"), F.lit(title))
+    lines = F.array(
+        F.concat(F.lit("A study in "), "lang"), F.concat(at(0, " Methods of "), "source", F.lit(". They are told here")), F.concat(F.lit("of document "), F.col("doc_id").cast("string")), at(0, ".1 Data"),
+        at(1, " Results"), F.when(F.col("deep"), at(1, ".1 Detail")).otherwise(at(2, " Discussion")), F.lit("[1] A. Author, 2001"), F.lit("[2] B. Author"), at(3, " Late"), at(3, ".1 After"),
+    )
+    return outline.recover_headings(d.select(F.col("doc_id").alias("doc"), F.posexplode(lines).alias("ln", "line")))
 
 
-@query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 10)")
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def canonical_to_insert(spark, sf_dir):
-    known = table(spark, sf_dir, "lineitem").filter("l_quantity > 10").select(F.col("l_partkey").alias("fingerprint")).distinct().withColumn("id", F.col("fingerprint"))
+    known = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("fingerprint")).distinct().withColumn("id", F.col("fingerprint"))
     found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("fingerprint"))
     _, new = references.canonicalise(found, known)
     return new.select(F.col("fingerprint").alias("id"))

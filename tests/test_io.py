@@ -59,11 +59,3 @@ def test_state_machine_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = sorted((r.job, r.seq, r.before, r.after, r.legal) for r in spark.table("told").collect())
     assert got == [("j", 1, None, "UPLOADED", True), ("j", 2, "UPLOADED", "PARSING", True), ("j", 3, "PARSING", "READY", False), ("j", 4, "PARSING", "PARSED", True), ("k", 1, None, "FAILED", True), ("k", 2, "FAILED", "UPLOADED", True)]
-
-
-def test_lease_stream(spark, tmp_path):
-    spark.createDataFrame([("j", "a", "acquire"), ("j", "b", "acquire"), ("j", "b", "release"), ("j", "a", "renew"), ("j", "a", "release"), ("j", "b", "acquire")], "job string, worker string, action string").coalesce(1).write.json(str(tmp_path / "in"))
-    stream = spark.readStream.schema("job string, worker string, action string").json(str(tmp_path / "in"))
-    q = jobs.leases(stream).writeStream.format("memory").queryName("leased").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert [r.granted for r in spark.table("leased").collect()] == [True, False, False, True, True, True]

@@ -21,16 +21,27 @@ def test_lost_headings(spark):
 
 
 def test_outline_repair(spark):
-    # a chapter line told again, with its title, within the last four
-    assert [h for _, h, _ in outline.repaired([(0, "Chapter 1", 1), (1, "Basics", 2), (2, "Chapter 1. Basics", 2), (3, "Chapter 2. More", 2)])] == ["Chapter 1", "Basics", "Chapter 2. More"]
-    far = [(0, "Chapter 1", 1), (1, "Basics", 2), *[(k, f"s{k}", 2) for k in range(2, 6)], (6, "Chapter 1. Basics", 2)]
-    assert len(outline.repaired(far)) == 7
-    # a numbered section without its parent goes up, unless the heading before can be that parent
-    assert outline.repaired([(0, "Abstract", 2), (1, "3.1 Data", 3)])[1][2] == 2
-    assert outline.repaired([(0, "Methods", 2), (1, "3.1 Data", 3), (2, "3.2 More", 3)]) == [(0, "Methods", 2), (1, "3.1 Data", 3), (2, "3.2 More", 3)]
-    assert outline.repaired([(0, "3 Methods", 2), (1, "3.1 Data", 3), (2, "4.1 Other", 3), (3, None, 2)])[1:3] == [(1, "3.1 Data", 3), (2, "4.1 Other", 2)]
-    rows = spark.createDataFrame([("d", k, h, v) for k, (h, v) in enumerate([("3 Methods", 2), ("3.1 Data", 3), ("4.1 Other", 3)])], "doc string, idx int, header string, level int")
-    assert [r.level for r in outline.repair(rows).orderBy("idx").collect()] == [2, 3, 2]
+    cases = {
+        # a chapter line told again, with its title, within the last four kept
+        "twice": [("Chapter 1", 1), ("Basics", 2), ("Chapter 1. Basics", 2), ("Chapter 2. More", 2)],
+        "far": [("Chapter 1", 1), ("Basics", 2), *[(f"s{k}", 2) for k in range(2, 6)], ("Chapter 1. Basics", 2)],
+        "kept only": [("Chapter 1", 1), ("Basics", 2), ("x", 2), ("Chapter 1. Basics", 2), ("y", 2), ("Chapter 1. Basics", 2)],
+        # a numbered section without its parent goes up, unless the heading before can be that parent
+        "childless": [("Abstract", 2), ("3.1 Data", 3)], "owner": [("Methods", 2), ("3.1 Data", 3), ("3.2 More", 3)],
+        "others": [("3 Methods", 2), ("3.1 Data", 3), ("4.1 Other", 3), (None, 2)], "acknowledged": [("Acknowledgements", 2), ("5.1 x", 4)],
+        "raised owns": [("Title", 1), ("2.1 A", 3), ("2.2 B", 3)], "chapter": [("Chapter 4", 2), ("4.1 x", 3)],
+    }
+    rows = spark.createDataFrame([(d, k, h, v) for d, told in cases.items() for k, (h, v) in enumerate(told)], "doc string, idx int, header string, level int")
+    got = {}
+    for r in outline.repair(rows).orderBy("doc", "idx").collect():
+        got.setdefault(r.doc, []).append((r.header, r.level))
+    want = {d: list(told) for d, told in cases.items()}
+    want["twice"] = [("Chapter 1", 1), ("Basics", 2), ("Chapter 2. More", 2)]
+    want["kept only"] = [("Chapter 1", 1), ("Basics", 2), ("x", 2), ("y", 2)]
+    want["childless"][1], want["acknowledged"][1], want["others"][2], want["chapter"][1] = ("3.1 Data", 2), ("5.1 x", 2), ("4.1 Other", 2), ("4.1 x", 2)
+    want["raised owns"] = [("Title", 1), ("2.1 A", 2), ("2.2 B", 2)]
+    assert got == want
+    assert {(r.doc, r.idx): r.parent_idx for r in outline.repair_with_parents(rows).filter("doc = 'owner'").collect()} == {("owner", 0): None, ("owner", 1): 0, ("owner", 2): 0}
 
 
 def test_markers(spark):
@@ -99,49 +110,11 @@ def test_relation_audit(spark):
     assert (got[4].type, got[4].confidence, got[4].audit_status) == ("UNRELATED", 0.0, "PENDING_REVIEW")
 
 
-def test_denied_requests_do_not_renew():
-    class State:
-        def __init__(self):
-            self.exists, self.get, self.left = False, None, None
-
-        def getCurrentProcessingTimeMs(self):
-            return self.now
-
-        def update(self, value):
-            self.exists, self.get = True, value
-
-        def remove(self):
-            self.exists, self.get = False, None
-
-        def setTimeoutDuration(self, ms):
-            self.left = ms
-
-        hasTimedOut = False
-
-    class Rows:
-        def select(self, *_):
-            return self
-
-        groupBy = select
-
-        def applyInPandasWithState(self, step, *_):
-            return step
-
-    import pandas as pd
-
-    step, state = jobs.leases(Rows(), minutes=120), State()
-
-    def ask(now, worker, action):
-        state.now = now
-        return next(step(("j",), iter([pd.DataFrame([("j", worker, action)], columns=["job", "worker", "action"])]), state)).granted.iloc[0]
-
-    assert ask(0, "a", "acquire") and state.left == 7_200_000
-    assert not ask(3_600_000, "b", "acquire") and state.left == 3_600_000
-    assert not ask(7_100_000, "b", "acquire") and state.left == 100_000
-    assert ask(7_200_000, "b", "acquire") and not ask(7_200_001, "a", "renew")
+def test_heartbeat():
     assert jobs.heartbeat_seconds() == 30 and jobs.heartbeat_seconds(10, 900) == 200 and jobs.heartbeat_seconds(120, 1) == 5
 
 
+
 def test_sinks(spark, tmp_path):
     calls = spark.sparkContext.accumulator(0)
 
