@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 from marginalia.operators.ingest import is_legal
 
-LEAST_MINUTES = 10
+LEAST_MINUTES, KEEP_MS = 10, 7 * 86_400_000
 STATE, OUT = "status string", "job string, seq bigint, before string, after string, legal boolean"
 
 
@@ -46,8 +46,8 @@ class Leases(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # state of a job that nobody asks for again goes by itself, a lease after the timer
-        self.held = handle.getValueState("held", "holder string, until bigint", 2 * self.lease_ms)
+        # the timer clears a lease that ran out; state outlives it by KEEP_MS, so that a stream that stood still for long can still tell
+        self.held = handle.getValueState("held", "holder string, until bigint", self.lease_ms + KEEP_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
