@@ -84,45 +84,48 @@ def fingerprint(surnames: Column, year: Column) -> Column:
 
 # citations ------------------------------------------------------------------------------------------------------
 
-NUMERIC_FORMS = (
-    r"\[(\d+(?:\s*[,\-–]\s*\d+)*)\]",
-    r"<sup>\s*\[?(\d+(?:\s*[,\-–—]\s*\d+)*)\]?\s*</sup>",
-    r"\$\s*\^\s*\{\s*\[?(\d+(?:\s*[,\-–—]\s*\d+)*)\]?\s*\}\s*\$",
-    r"(?<!\$)\^\{\s*\[?(\d+(?:\s*[,\-–—]\s*\d+)*)\]?\s*\}",
-)
-AUTHOR_YEAR = r"([A-Z][A-Za-z'’\-]+)(?:\s+et\s+al\.?|\s+(?:and|&)\s+[A-Z][A-Za-z'’\-]+)?,?\s*\(?((?:19|20)\d{2}[a-z]?)"
-SPAN_LIMIT = 1000
+#: The four forms of a numeric citation, an author's name, an author with years in parentheses, and the longest range of numbers.
+NUMERIC = r"\[[\d\s,\-–]+\]|<sup>[\d\s,\-–]+</sup>|\$\^\{[\d\s,\-–]+\}\$|\^\{[\d\s,\-–]+\}"
+NAME, YEAR, SPAN_LIMIT = r"[A-Z][a-zA-Z\-À-ÿ]+", r"\d{4}[a-z]?", 1000
+AUTHOR_YEARS = rf"{NAME}(?:\s+et\s+al\.|\s+and\s+{NAME})?\s*\({YEAR}(?:[,;]\s*{YEAR})*\)"
 
 
 def expand_numbers(listing: Column) -> Column:
-    """`1, 3-5` becomes [1, 3, 4, 5]; a reversed range or one of more than SPAN_LIMIT numbers gives none."""
+    """`1, 3-5` becomes 1, 3, 4, 5, as text; a reversed range, one of more than SPAN_LIMIT numbers and a part of other form give none."""
 
-    first, last = (lambda e: F.element_at(e, 1)), (lambda e: F.element_at(e, -1))
-    ends = F.transform(F.split(jtrim(listing), r"\s*,\s*"), lambda part: F.transform(F.split(part, r"\s*[-–—]\s*"), lambda x: x.try_cast("long")))
-    fit = F.filter(ends, lambda e: (last(e) >= first(e)) & (last(e) - first(e) <= SPAN_LIMIT))
-    return F.flatten(F.transform(fit, lambda e: F.sequence(first(e), last(e))))
+    def numbers(part: Column) -> Column:
+        ends = F.transform(F.split(F.regexp_replace(part, "[-–—]+$", ""), "[-–—]"), lambda x: F.trim(x).try_cast("int"))
+        first, last = F.element_at(ends, 1), F.element_at(ends, -1)
+        fit = (F.size(ends) == 2) & (last >= first) & (last - first <= SPAN_LIMIT)
+        ranged = F.when(fit, F.transform(F.sequence(first, last), lambda n: n.cast("string")))
+        return F.coalesce(F.when(part.rlike(r"^\d+$"), F.array(part)).when(part.rlike("[-–—]"), ranged), F.array().cast("array<string>"))
 
+    return F.flatten(F.transform(F.split(listing, "[,，]"), lambda part: numbers(jtrim(part))))
 
-def matches(text: Column, pattern: str, group: int, *hints: str) -> Column:
+
+def matches(text: Column, pattern: str, *hints: str) -> Column:
     """All matches of a pattern, which needs one of hints: texts without any are told by a search of plain strings."""
     hinted = reduce(lambda a, b: a | b, [text.contains(h) for h in hints])
-    return F.when(hinted, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.when(hinted, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def numeric_citations(text: Column | str) -> Column:
-    """Sorted distinct reference numbers cited in any numeric form."""
-    forms = [F.flatten(F.transform(matches(_c(text), p, 1, hint), expand_numbers)) for p, hint in zip(NUMERIC_FORMS, ("[", "<sup>", "$", "^{"))]
-    return F.array_sort(F.array_distinct(F.concat(*forms)))
+    """Sorted distinct reference numbers, as text, cited in any numeric form: one scan finds all forms."""
+    bare = lambda m: F.regexp_replace(m, r"</?sup>|[\[\]{}$^]", "")
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(matches(_c(text), NUMERIC, "[", "<sup>", "^{"), lambda m: expand_numbers(bare(m))))))
 
 
 def author_year_citations(text: Column | str) -> Column:
-    """Sorted distinct `Surname 1999a`."""
-    whole = matches(_c(text), AUTHOR_YEAR, 0, "19", "20")
-    return F.array_sort(F.array_distinct(F.transform(whole, lambda m: F.concat_ws(" ", *[F.regexp_extract(m, f"^{AUTHOR_YEAR}$", g) for g in (1, 2)]))))
+    """Sorted distinct `Surname 1999a`, the first author with each year in the parentheses."""
+
+    def keys(m: Column) -> Column:
+        return let(F.regexp_extract(m, NAME, 0), lambda name: F.transform(F.regexp_extract_all(m, F.lit(YEAR), F.lit(0)), lambda year: F.concat_ws(" ", name, year)))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(matches(_c(text), AUTHOR_YEARS, "("), keys))))
 
 
 def citations(text: Column | str) -> Column:
-    return F.array_union(F.transform(numeric_citations(text), lambda n: n.cast("string")), author_year_citations(text))
+    return F.array_union(numeric_citations(text), author_year_citations(text))
 
 
 # headings -------------------------------------------------------------------------------------------------------

@@ -8,23 +8,37 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 
-ENTRY = r"^(?:<sup>\s*(\d+)\s*</sup>|\[(\d+)\]|\$\s*\^\{?(\d+)\}?\s*\$|(\d{1,4})\.?\s+\S)"
-GLUED = r"(?<=[.\])])\s+(?=(?:\[\d{1,4}\]|\d{1,4}\.)\s+[A-Z])"
+#: How a numbered entry begins, an entry by author and year, and a number that opens an entry within a line.
+NUMBERED = r"^(?:<sup>(\d+)</sup>|\[(\d+)\]|\$\^\{?(\d+)\}?\$|(\d+)\.?)\s*"
+AUTHOR_YEAR, GLUED = r"^([A-Z][a-zA-Z\-.].*?)\s*\((\d{4}[a-z]?)\)[.\s]", r"(?<=[\s.;])(\d+\.\s+)(?=[A-Z])"
 SYMBOL_LENGTH, SCOPES = 10, 3
-#: Symbols that say nothing.
-TRIVIAL = ("0", "1", "2", "e", "i", "π", "∞")
+#: Symbols that say nothing, in lower case; what a reference section's heading holds.
+TRIVIAL, REFERENCE_NAMES = ("pi", "e", "i", "=", "+", "-", "0", "1"), ("REFERENCE", "BIBLIOGRAPHY", "NOTES", "ACKNOWLEDGMENTS")
+
+
+def surname(author: Column) -> Column:
+    """An author's surname: what stands before the first comma, else the last word that is not of `et al.`."""
+    words = F.filter(F.split(author, r"\s+"), lambda w: w != "")
+    named = F.filter(words, lambda w: ~F.lower(w).isin("et", "al."))
+    last = F.coalesce(F.try_element_at(named, F.lit(-1)), author)
+    return F.regexp_replace(F.when(F.contains(author, F.lit(",")), F.substring_index(author, ",", 1)).otherwise(last), r"[^a-zA-Z\-]", "")
 
 
 def entries(refs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
-    """doc, seq, ref_index, raw_text: glued entries are broken, and lines that start none continue the one before."""
-    broken = F.split(F.regexp_replace(F.col(text_col), GLUED, "\n"), "\n")
+    """doc, seq, ref_index, raw_text: glued entries are broken, and lines that start none continue the one before.
+
+    A numbered entry's text comes without its number; an entry by author and year is known as `Surname 1999a`. Lines before the first entry are of none.
+    """
+    broken = F.split(F.regexp_replace(F.col(text_col), GLUED, "\n$1"), "\n")
     rows = refs.select(F.col(doc_col).alias("doc"), F.posexplode(broken).alias("ln", "line")).filter(~T.blank("line")).withColumn("line", T.jtrim("line"))
-    number = F.nullif(F.concat(*[F.regexp_extract("line", ENTRY, g) for g in range(1, 5)]), F.lit(""))
-    author = F.when(F.col("line").rlike(r"^[A-Z][A-Za-z'’\-]+,\s.*\b(19|20)\d{2}[a-z]?\b"), F.concat_ws(" ", F.regexp_extract("line", r"^([A-Z][A-Za-z'’\-]+)", 1), F.regexp_extract("line", r"\b((?:19|20)\d{2}[a-z]?)\b", 1)))
-    rows = rows.withColumn("ref_index", F.coalesce(number, author))
+    number = F.nullif(F.concat(*[F.regexp_extract("line", NUMBERED, g) for g in range(1, 5)]), F.lit(""))
+    author = F.when(F.col("line").rlike(AUTHOR_YEAR), F.concat_ws(" ", surname(F.regexp_extract("line", AUTHOR_YEAR, 1)), F.regexp_extract("line", AUTHOR_YEAR, 2)))
+    rows = rows.withColumn("number", number).withColumn("ref_index", F.coalesce("number", author))
+    rows = rows.withColumn("line", F.when(F.col("number").isNotNull(), F.regexp_replace("line", NUMBERED, "")).otherwise(F.col("line")))
     rows = rows.withColumn("seq", F.sum(F.col("ref_index").isNotNull().cast("int")).over(W.partitionBy("doc").orderBy("ln"))).filter("seq > 0")
     told = rows.groupBy("doc", "seq").agg(F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("rows"), F.max("ref_index").alias("ref_index"))
-    return told.select("doc", F.col("seq").cast("int").alias("seq"), "ref_index", F.array_join(F.transform("rows", lambda r: r["line"]), " ").alias("raw_text"))
+    text = T.jtrim(F.array_join(F.transform("rows", lambda r: r["line"]), " "))
+    return told.select("doc", F.col("seq").cast("int").alias("seq"), "ref_index", text.alias("raw_text"))
 
 
 def citation_links(sections: DataFrame, doc_col: str, id_col: str, text_col: str) -> DataFrame:
@@ -56,8 +70,8 @@ def popularity(references: DataFrame, key: str) -> DataFrame:
 
 def reference_section(sections: DataFrame, doc_col: str, header_col: str, text_col: str, idx_col: str) -> DataFrame:
     """Each document's reference section: the longest of those named so (the first, on ties), else the last section."""
-    named = F.lower(header_col).rlike("reference|bibliograph|literature cited")
-    order = W.partitionBy(doc_col).orderBy(named.desc(), F.when(named, F.length(text_col)).desc_nulls_last(), F.when(named, F.col(idx_col)).asc_nulls_last(), F.col(idx_col).desc())
+    named = F.coalesce(F.upper(header_col).rlike("|".join(REFERENCE_NAMES)), F.lit(False))
+    order = W.partitionBy(doc_col).orderBy(named.desc(), F.when(named, F.length(F.coalesce(text_col, F.lit("")))).desc_nulls_last(), F.when(named, F.col(idx_col)).asc_nulls_last(), F.col(idx_col).desc())
     return sections.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
@@ -74,7 +88,7 @@ def merge_symbols(rows: DataFrame) -> DataFrame:
     A description takes the place of the one held when it is valid and that is not, or is over 5 characters longer: a fold
     over each symbol's rows in order, in the JVM.
     """
-    fit = rows.select("*", T.jtrim("symbol").alias("s")).filter((F.length("s") <= SYMBOL_LENGTH) & (F.col("s") != "") & ~F.col("s").isin(*TRIVIAL))
+    fit = rows.select("*", T.jtrim("symbol").alias("s")).filter((F.length("s") <= SYMBOL_LENGTH) & (F.col("s") != "") & ~F.lower("s").isin(*TRIVIAL))
     grouped = fit.groupBy("doc", F.col("s").alias("symbol")).agg(F.array_sort(F.collect_list(F.struct("seq", "description"))).alias("rows"), F.array_sort(F.collect_set("root")).alias("scopes"))
 
     def step(held, row):

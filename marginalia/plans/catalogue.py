@@ -606,25 +606,45 @@ def page_locate(spark, sf_dir):
 
 # references and symbols -----------------------------------------------------------------------------------------
 
-CITED = "concat('As shown in [', l_linenumber, ', ', l_linenumber + 2, '-', l_linenumber + 4, '] and Smith et al., (19', 90 + l_linenumber, ')')"
+#: Eight texts by line, with numbers a, b and c: every form of citation, and what only looks like one.
+CITED = """CASE CAST((l_orderkey + l_linenumber) % 8 AS INT) WHEN 0 THEN concat('As in [', a, ', ', b, '-', c, '] we see') WHEN 1 THEN concat('x<sup>', a, '</sup> and <sup>', b, ',', c, '</sup>')
+  WHEN 2 THEN concat('told$^{', a, '–', c, '}$') WHEN 3 THEN concat('x^{', a, '}, but not [', c, '-', a, '] nor [see ', b, ']') WHEN 4 THEN 'Smith et al. (2019; 2020a) told it, and [1-2000] did not'
+  WHEN 5 THEN 'By Müller and Kaya (1789, 2018b) and by O-Neil (2001)' WHEN 6 THEN concat('In 2019 we saw [', a, ' ', b, ']. Since 1999, Smith 2001 and (Kaya, 2002)') ELSE concat('[', a, ', ', a, '] by Kaya (2001) and Kaya (2001)') END"""
+CITED_SQL = """
+WITH t AS (SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 8 AS k, l_linenumber AS a, l_linenumber + 2 AS b, l_linenumber + 4 AS c FROM lineitem),
+n AS (
+  SELECT *, CASE k WHEN 0 THEN [a, b, b + 1, c] WHEN 1 THEN [a, b, c] WHEN 2 THEN [a, a + 1, a + 2, a + 3, a + 4] WHEN 3 THEN [a] WHEN 7 THEN [a] ELSE [] END AS numbers,
+    CASE k WHEN 4 THEN ['Smith 2019', 'Smith 2020a'] WHEN 5 THEN ['Müller 1789', 'Müller 2018b', 'O-Neil 2001'] WHEN 7 THEN ['Kaya 2001'] ELSE [] END AS author_years FROM t),
+told AS (SELECT l_orderkey, l_linenumber, list_sort([CAST(x AS VARCHAR) for x in numbers]) AS numbers, CAST(author_years AS VARCHAR[]) AS author_years FROM n)
+"""
+
+
+def cited_texts(spark, sf_dir) -> DataFrame:
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("a"), (F.col("l_linenumber") + 2).alias("b"), (F.col("l_linenumber") + 4).alias("c"))
+    return r.select("l_orderkey", "l_linenumber", F.expr(CITED).alias("t"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST([l_linenumber, l_linenumber + 2, l_linenumber + 3, l_linenumber + 4] AS BIGINT[]) AS numbers, ['Smith 19' || (90 + l_linenumber)] AS author_years FROM lineitem")
+@query(CITED_SQL + "SELECT * FROM told")
 def citations(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(CITED).alias("t"))
-    return r.select("l_orderkey", "l_linenumber", T.numeric_citations("t").alias("numbers"), T.author_year_citations("t").alias("author_years"))
+    return cited_texts(spark, sf_dir).select("l_orderkey", "l_linenumber", T.numeric_citations("t").alias("numbers"), T.author_year_citations("t").alias("author_years"))
 
 
-@query("SELECT DISTINCT l_orderkey AS doc, l_orderkey AS section_id, unnest([CAST(l_linenumber AS VARCHAR), CAST(l_linenumber + 2 AS VARCHAR), CAST(l_linenumber + 3 AS VARCHAR), CAST(l_linenumber + 4 AS VARCHAR), 'Smith 19' || (90 + l_linenumber)]) AS ref_index FROM lineitem")
+@query(CITED_SQL + "SELECT DISTINCT l_orderkey AS doc, l_orderkey AS section_id, unnest(numbers || author_years) AS ref_index FROM told")
 def citation_links(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(CITED).alias("t"))
-    return references.citation_links(r, "l_orderkey", "l_orderkey", "t")
+    return references.citation_links(cited_texts(spark, sf_dir), "l_orderkey", "l_orderkey", "t")
 
 
-@query("SELECT o_orderkey AS doc, CAST(unnest([1, 2]) AS INTEGER) AS seq, CAST(unnest([1, 2]) AS VARCHAR) AS ref_index, unnest(['[1] Work ' || o_orderkey || ' goes on. more of it.', '[2] Other work.']) AS raw_text FROM orders")
+@query(
+    """WITH e AS (SELECT unnest(range(1, 9)) AS k), o AS (SELECT o_orderkey FROM orders)
+  SELECT o_orderkey AS doc, CAST(k AS INTEGER) AS seq, ['1', '2', '3', '4', '5', 'Beale 1984', 'Altafini 2012a', 'Smith 1999'][k] AS ref_index,
+    ['Work ' || o_orderkey || ' goes on. more of it.', 'R. C. Other, 2001.;', 'Third one', 'Fourth', 'Fifth', 'J. T. Beale (1984). On it', 'Altafini, C. (2012a) Consensus', 'Smith et al. (1999) Title and a line more'][k] AS raw_text FROM o, e"""
+)
 def reference_entries(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("[1] Work "), "o_orderkey", F.lit(" goes on.\nmore of it. [2] Other work.")).alias("t"))
-    return references.entries(o, "o_orderkey", "t")
+    text = F.concat(
+        F.lit("of no entry\n[1] Work "), "o_orderkey", F.lit(" goes on.\nmore of it. 2. R. C. Other, 2001.; 3. Third one\n<sup>4</sup> Fourth\n$^{5}$ Fifth\n"),
+        F.lit("J. T. Beale (1984). On it\n Altafini, C. (2012a) Consensus\nSmith et al. (1999) Title\n\n  and a line more"),
+    )
+    return references.entries(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t")), "o_orderkey", "t")
 
 
 @query("SELECT c_custkey, md5('customer' || lpad(CAST(c_custkey % 7 AS VARCHAR), 2, '0') || '|zed|' || (2000 + c_custkey % 5) || '|') AS fingerprint FROM customer")

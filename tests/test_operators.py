@@ -91,14 +91,41 @@ def test_page_location(spark):
 
 
 def test_citations(spark):
-    text = "see [1, 3-5] and <sup>7</sup>, $^{9}$ or ^{11,12}; reversed [9-4]; Smith et al. (2001a) and Jones and Roe, 1999"
-    assert one(spark, T.numeric_citations(F.lit(text))) == [1, 3, 4, 5, 7, 9, 11, 12]
-    assert one(spark, T.author_year_citations(F.lit(text))) == ["Jones 1999", "Smith 2001a"]
+    numbers = {
+        "see [1, 3-5] and <sup>7</sup>, $^{9}$ or ^{11,12}; reversed [9-4]": ["1", "11", "12", "3", "4", "5", "7", "9"], "[007] [1 2] [3-] [-4] [5-6-] [1-2-3] [x1]": ["007", "5", "6"],
+        "[1-1001] [1-1002]": None, "<sup> 2 </sup> $ ^{3}$ [4": ["2", "3"], "": [],
+    }
+    for text, want in numbers.items():
+        got = one(spark, T.numeric_citations(F.lit(text)))
+        assert got == want if want is not None else (len(got), "1001" in got, "1002" in got) == (1001, True, False)
+    years = {
+        "Smith et al. (2001a) and Jones and Roe (1999)": ["Jones 1999", "Smith 2001a"], "Smith et al. (2019; 2020)": ["Smith 2019", "Smith 2020"], "In 2019 we saw. Since 1999": [],
+        "Müller and Kaya (2018a, 2018b)": ["Müller 2018a", "Müller 2018b"], "Jones and Roe, 1999": [], "Smith et al (2001)": [], "Smith(1850)": ["Smith 1850"], "Roe (2001, p. 4)": [],
+    }
+    for text, want in years.items():
+        assert one(spark, T.author_year_citations(F.lit(text))) == want
 
 
 def test_reference_entries(spark):
-    rows = spark.createDataFrame([(1, "[1] First work\ngoes on. [2] Second Work.\nSmith, J. (2001) Third.")], "doc long, t string")
-    assert [(r.seq, r.ref_index, r.raw_text) for r in references.entries(rows, "doc", "t").orderBy("seq").collect()] == [(1, "1", "[1] First work goes on."), (2, "2", "[2] Second Work."), (3, "Smith 2001", "Smith, J. (2001) Third.")]
+    texts = [
+        "[1] First work\ngoes on. [2] Second Work.\nSmith, J. (2001) Third.", "12 R. 50586 2. R. C. Other; 3. Next one", "J. T. Beale (1984). Title\nBeale et al. (1985) More\nno (1986)entry", "words\n\nand more",
+        "$^4$ Four\n$^{5}$ Five\n<sup>6</sup> Six\n7.Seven\n8",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc long, t string")
+    got = [(r.doc, r.ref_index, r.raw_text) for r in references.entries(rows, "doc", "t").orderBy("doc", "seq").collect()]
+    assert got == [
+        (0, "1", "First work goes on. [2] Second Work."), (0, "Smith 2001", "Smith, J. (2001) Third."), (1, "12", "R. 50586"), (1, "2", "R. C. Other;"), (1, "3", "Next one"),
+        (2, "Beale 1984", "J. T. Beale (1984). Title"), (2, "Beale 1985", "Beale et al. (1985) More no (1986)entry"), (4, "4", "Four"), (4, "5", "Five"), (4, "6", "Six"), (4, "7", "Seven"), (4, "8", ""),
+    ]
+
+
+def test_symbols_and_reference_sections(spark):
+    rows = spark.createDataFrame([(1, k, s, "what", 1) for k, s in enumerate(["pi", "PI", "=", "-", "E", "i", "1", "0", "2", "π", "∞", " x "])], "doc long, seq int, symbol string, description string, root int")
+    assert sorted(r.symbol for r in references.merge_symbols(rows).collect()) == ["2", "x", "π", "∞"]
+    told = [("a", 0, "Notes", "long text"), ("a", 1, "References", "text"), ("b", 0, "Acknowledgments", "x"), ("b", 1, "Literature cited", "longer"), ("c", 0, "One", "x"), ("c", 1, "Two", "x"), ("d", 0, "REFERENCES", "xx"), ("d", 1, "Bibliography", "yy")]
+    rows = spark.createDataFrame(told, "doc string, idx int, header string, content string")
+    assert {r.doc: r.idx for r in references.reference_section(rows, "doc", "header", "content", "idx").collect()} == {"a": 0, "b": 0, "c": 1, "d": 0}
+
 
 
 def test_symbol_merge(spark):
