@@ -130,51 +130,102 @@ def citations(text: Column | str) -> Column:
 
 # headings -------------------------------------------------------------------------------------------------------
 
-#: Names of standard sections, and openers of statements that look like headings.
-STANDARD = ("abstract", "introduction", "background", "related work", "preliminaries", "method", "methods", "methodology", "experiments", "results", "discussion", "conclusion", "conclusions", "acknowledgements", "acknowledgments", "data availability", "references", "bibliography")
+#: Forms of a line, each with what it has to hold after its number or name.
+MARKED, DECIMAL, NUMBERED = r"^#{1,6}\s+(?=\S)", r"^\d+(?:\.\d+)+\.?\s+.", r"^\d+\.\s+."
+SECTION_SIGN, ROMAN, LETTER, CHAPTER = r"^§\s*\d+\.\s+.", r"^[IVXLCDM]+\.\s+.", r"^[A-Z]\.\s+.", r"(?i)^chapter\s+\d+\b"
 THEOREM_LIKE = r"(?i)^(?:theorem|lemma|proposition|definition|corollary|remark|example|proof|fig\.?|figure|table)\b"
-IMPERATIVE = ("compute", "set", "let", "return", "for", "if", "while", "update", "initialize", "initialise", "sample", "repeat", "choose", "select", "add", "remove", "calculate", "output", "input")
-MARKDOWN, DECIMAL, NUMBERED = r"^\s*#{1,6}\s+", r"^\d+(?:\.\d+)+\.?\s+\S", r"^\d+\.\s+\S"
-SECTION_SIGN, ROMAN, LETTER = r"^§\s*\d", r"^[IVXLCDM]+\.\s+\S", r"^[A-Z]\.\s+\S"
-APPENDIX, CHAPTER = r"(?i)^appendix\b", r"(?i)^(chapter|part|section)\s+(\d+|[ivxlc]+)\b"
-REFERENCE_ITEM = r"^(?:\[\d+\]|\d+\.\s|\(\d+\))"
-NOISE = r"(?i)(^page\s+\d+(\s+of\s+\d+)?$|^\d{1,4}$|all rights reserved|^(https?://|www\.)\S+$|^doi[:\s]|^issn\b|©|^arxiv:|^received\b.*accepted|^vol(ume|\.)\s*\d+)"
-
-
-#: Headings that open a block of a publisher's own text, an abstract on its heading's line, end sections whose text may follow their name.
+REFERENCE_ITEM = r"^(?:\[\d+\]|\$\^\{?\d+\}?\$|\d+\.|[A-Z][a-zA-ZÀ-ÿ'\-]+,?\s+[A-Z].*)\s+.+$"
+INLINE_ABSTRACT, END_SECTION = r"(?i)^(abstract)\s*[:.]\s+(.+)$", r"^(?:acknowledgements|acknowledgments|data availability)"
+#: First words of a step of an algorithm; keys of the references; keys of standard sections, and how others of them begin.
+IMPERATIVE = ("sample", "set", "obtain", "denote", "choose", "draw", "generate", "repeat", "return", "compute", "solve", "let")
+REFERENCES, STANDARD, STANDARD_START = ("references", "bibliography"), ("abstract", "references"), ("acknowledg", "data availability", "orcid", "appendix")
+#: Headings of a publisher's own, those of them that open a block of such text, and front matter by its beginning, a part of it, or the whole.
 BLOCK_OPENERS = ("paper", "affiliations", "contents", "aip advances", "why publish with us", "you may also like", "articles you may be interested in")
-INLINE_ABSTRACT, END_SECTION = r"(?i)^(abstract)\s*[:.]\s+(.+)$", r"^(?:acknowledgements|acknowledgments|data availability)\b"
+NOISE_HEADINGS = (*BLOCK_OPENERS, "a preprint", "preprint", "cc creative commons", "common deed", "commons deed")
+FRONT_START = ("to cite this article", "view the article online", "check for updates", "research article \\|", "cite as:", "submitted:", "published online:", "received:", "accepted:")
+FRONT_PART = ("creative commons", "commons deed", "legal code", "disclaimer", "all rights reserved", "著作权", "저작권", "비영리")
+FRONT_WHOLE = ("chorus", "aip publishing", "learn more", r"\d{1,2}\s+[a-z]+\s+\d{4}\s+\d{1,2}:\d{2}:\d{2}")
+FRONT = rf"^(?:{'|'.join(FRONT_START)})|{'|'.join(FRONT_PART)}|^(?:{'|'.join(FRONT_WHOLE)})$"
+IMAGE = r"^!\[[^\]]*\]\([^)]+\)\s*$"
+#: What a page's header or footer holds, what it never looks like, and how long it may be.
+JOURNAL = (
+    r"(?i)\b(?:Chaos|Vol\.|No\.|pp\.|doi|ISSN|ISBN|Phys\.|Math\.|Theor\.|Rev\.|Lett\.|Proc\.|Conf\.|Physics|Institute|University|Society|Journal|Transactions|IEEE|ACM|Springer|Elsevier|Nature|Science)\b"
+)
+RIGHTS, PAGE_NUMBER = r"(?i)©|\(c\)|copyright|downloaded from|rights reserved", r"(?i)^(?:page\s*)?\d+(?:\s*of\s*\d+)?$"
+YEAR_WORD, ET_AL, ARTICLE_ID = r"\b(?:19|20)\d{2}\b", r"(?i)\bet\s+al\b", r"\b\d{5,7}(?:-\d+)?\b"
+ENTRY_LIKE, NUMBERED_HEADING = r"^(?:\[\d+\]|\d+\.|\(\d+\))", r"^#{1,6}\s+(?:\d+(?:\.\d+)*|[IVXLCDM]+|[A-Z])\.\s+."
+STANDARD_HEADING, LONGEST_NOISE, LONGEST_PAGE = r"(?i)^#{1,6}\s+(?:abstract|references|acknowledge?ments?|data availability|appendix\b.*)$", 120, 20
+TITLE_LENGTH, TITLE_WORDS, QUOTES = 8, 3, 3
+
+
+def clean(x: Column | str) -> Column:
+    """Longer runs of white space become one blank; ends are trimmed; quotes around the whole go, up to QUOTES pairs."""
+    text = jtrim(F.regexp_replace(_c(x), r"\s{2,}", " "))
+    inner = text
+    for _ in range(QUOTES):
+        inner = let(inner, lambda t: F.when(t.rlike(r'(?s)^(?:".*"|“.*”)$'), jtrim(F.substr(t, F.lit(2), F.length(t) - 2))).otherwise(t))
+    return F.when(text.rlike('^["“]'), inner).otherwise(text)
 
 
 def heading_text(line: Column | str) -> Column:
-    """The line without marks of Markdown or emphasis."""
-    return collapse(F.regexp_replace(F.regexp_replace(_c(line), MARKDOWN, ""), r"^[*_`\"']+|[*_`\"']+$", ""))
+    """The line without marks of a heading."""
+    return clean(F.regexp_replace(jtrim(line), MARKED, ""))
+
+
+def clean_title(text: Column) -> Column:
+    """A title without the marks that publishers put after it."""
+    told = clean(text)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(told, r"\s+\*$", ""), r"(?i)\s+(?:FREE|EP)$", ""), r"\s*[☐☑✓✔]\s*$", "")
+    return F.when(told.rlike(r"(?i)(?:\s\*|\s(?:FREE|EP)|[☐☑✓✔]\s*)$"), jtrim(bare)).otherwise(told)
+
+
+def heading_key(text: Column | str) -> Column:
+    """A heading's text for comparison."""
+    return F.lower(clean_title(F.regexp_replace(_c(text), r"^#+\s*", "")))
 
 
-def heading_key(line: Column | str) -> Column:
-    """The heading's bare words, for comparison."""
-    return bare_key(heading_text(line))
+def is_standard(key: Column) -> Column:
+    return reduce(lambda found, start: found | key.startswith(start), STANDARD_START, key.isin(*STANDARD))
 
 
-def bare_key(text: Column) -> Column:
-    bare = F.regexp_replace(F.lower(text), r"^(?:§?\s*\d+(?:\.\d+)*\.?|[ivxlcdm]+\.|[a-z]\.)\s+", "")
-    return jtrim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
+def is_front_matter(text: Column) -> Column:
+    return F.lower(text).rlike(FRONT) | text.rlike(IMAGE)
 
 
 def is_noise(text: Column, key: Column) -> Column:
-    """Is a line, by its text and key, a page's or a publisher's own."""
-    return ~blank(text) & (text.rlike(NOISE) | key.isin(*BLOCK_OPENERS))
+    """Is a line, by its text and key, a publisher's own."""
+    return ~blank(text) & (key.isin(*NOISE_HEADINGS) | is_front_matter(text))
+
+
+def page_noise(line: Column | str) -> Column:
+    """Is a line a page's header or footer. Entries of a list and headings of sections never are."""
+    x = jtrim(line)
+    year, journal, others, number = x.rlike(YEAR_WORD), x.rlike(JOURNAL), x.rlike(ET_AL), x.rlike(ARTICLE_ID)
+    page = (F.length(x) < LONGEST_PAGE) & x.rlike(PAGE_NUMBER)
+    pairs = (year & (journal | others)) | (journal & (number | others)) | (x.startswith("#") & (journal | number | others))
+    return F.coalesce((F.length(x) <= LONGEST_NOISE) & (x != "") & (x.rlike(RIGHTS) | page | pairs) & ~x.rlike(ENTRY_LIKE) & ~x.rlike(NUMBERED_HEADING) & ~x.rlike(STANDARD_HEADING), F.lit(False))
+
+
+def is_title(text: Column, key: Column, kind: Column) -> Column:
+    """May a line of that kind be the paper's title."""
+    fits = (F.length(clean_title(text)) >= TITLE_LENGTH) & ~is_standard(key) & (key != "index")
+    return ~blank(text) & (kind != "NOISE") & fits & ~text.rlike(rf"{NUMBERED}|{ROMAN}|{LETTER}")
+
+
+def latin_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(clean_title(text), r"\s+"), lambda w: w.rlike("[A-Za-z]{2}")))
 
 
 def line_kind(line: Column | str, after_references: Column) -> Column:
     """One of twelve kinds; the first that fits."""
-    return kind_of(_c(line), heading_text(line), heading_key(line), after_references)
+    text = heading_text(line)
+    return kind_of(_c(line), text, heading_key(text), after_references)
 
 
 def kind_of(line: Column, text: Column, key: Column, after_references: Column) -> Column:
     """line_kind() from a line's text and key, where they are at hand."""
-    marked = line.rlike(MARKDOWN)
-    first = F.element_at(F.split(key, " "), 1)
+    marked = jtrim(line).rlike(MARKED)
+    first = F.lower(F.regexp_extract(clean(F.regexp_replace(text, r"^\d+\.\s+", "")), r"^(\S+)", 1))
     numbered = F.when(first.isin(*IMPERATIVE) & ~marked, "LIST_ITEM").otherwise("SECTION")
     rules = [
         (blank(text), F.lit("BODY")),
@@ -182,15 +233,14 @@ def kind_of(line: Column, text: Column, key: Column, after_references: Column) -
         (is_noise(text, key), F.lit("NOISE")),
         (text.rlike(THEOREM_LIKE), F.lit("THEOREM_LIKE")),
         ((key == "abstract") | text.rlike(INLINE_ABSTRACT), F.lit("ABSTRACT")),
-        (key.isin("references", "bibliography"), F.lit("REFERENCES")),
-        (text.rlike(APPENDIX), F.lit("APPENDIX")),
-        (text.rlike(CHAPTER), F.lit("SECTION")),
-        (text.rlike(SECTION_SIGN), F.lit("SECTION")),
+        (key.isin(*REFERENCES), F.lit("REFERENCES")),
+        (key.startswith("appendix"), F.lit("APPENDIX")),
+        (text.rlike(CHAPTER) | text.rlike(SECTION_SIGN), F.lit("SECTION")),
         (text.rlike(DECIMAL), F.lit("SUBSECTION")),
         (text.rlike(NUMBERED), numbered),
         (text.rlike(ROMAN), F.lit("SECTION")),
         (text.rlike(LETTER), F.lit("SUBSECTION")),
-        (key.isin(*STANDARD) | key.rlike(END_SECTION), F.lit("SECTION")),
+        (is_standard(key), F.lit("SECTION")),
         (marked, F.lit("UNCERTAIN")),
     ]
     return reduce(lambda rest, r: F.when(r[0], r[1]).otherwise(rest), reversed(rules), F.lit("BODY"))

@@ -63,7 +63,7 @@ def recover_headings(lines: DataFrame) -> DataFrame:
     """
     w = W.partitionBy("doc").orderBy("ln")
     rows = lines.select("doc", "ln", "line", T.heading_text("line").alias("t"), F.col("line").rlike(r"^\s*#{1,6}\s+\S").alias("marked")).select("*", parsed(F.col("t")).alias("p"))
-    refs = T.bare_key(F.col("t")).isin("references", "bibliography")
+    refs = T.heading_key("t").isin(*T.REFERENCES)
     rows = rows.select("*", refs.alias("refs"), F.col("t").rlike(r"^(?:\[\d+\]|\$\^(?:\d+|\{\d+\})\$)\s*\S").alias("item"))
     # what the next line that bears on the outline is: the first number of a path, or none of them
     told = F.when(F.col("refs") | (F.col("p.form") == "number"), F.lit(-1)).when(F.col("p.form") == "path", F.col("p.numbers")[0])

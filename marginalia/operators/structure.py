@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,27 +62,29 @@ def lines(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
 
 
 def line_flags(rows: DataFrame) -> DataFrame:
-    """blank_before, blank_after (true at the edges), after_references (not of its own line) and kind."""
+    """blank_before, blank_after (true at the edges), after_references (not of its own line), text and key (see heading_text, heading_key) and kind."""
     w = W.partitionBy("doc").orderBy("ln")
-    # dealt by document first: the window needs that anyway, and the patterns then run in all tasks, once a line
-    rows = rows.repartition("doc").select("*", T.heading_text("line").alias("__text")).select("*", T.bare_key(F.col("__text")).alias("__key"))
+    # dealt by document first: the window needs that anyway, and the patterns then run in all tasks, once a line, as text and key pass the window
+    rows = rows.repartition("doc").select("*", T.heading_text("line").alias("text")).select("*", T.heading_key("text").alias("key"))
     empty = F.coalesce(T.blank("line"), F.lit(True))
-    is_ref = F.col("__key").isin("references", "bibliography")
+    is_ref = F.col("key").isin(*T.REFERENCES)
     flagged = rows.select(
         "*", F.coalesce(F.lag(empty).over(w), F.lit(True)).alias("blank_before"), F.coalesce(F.lead(empty).over(w), F.lit(True)).alias("blank_after"),
         F.coalesce(F.max(is_ref).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(False)).alias("after_references"),
     )
-    return flagged.withColumn("kind", T.kind_of(F.col("line"), F.col("__text"), F.col("__key"), F.col("after_references"))).drop("__text", "__key")
+    return flagged.withColumn("kind", T.kind_of(F.col("line"), F.col("text"), F.col("key"), F.col("after_references")))
 
 
 DECISION = "ln int, line string, kind string, action string, level int, confidence double, reason string, heading string, body string"
 #: How titles of main sections begin, subheadings that stand below the heading before, text after a heading's first sentence, letters that
 #: count as Roman numbers.
 MAJOR = ("introduction", "background", "method", "model", "experiment", "result", "discussion", "conclusion", "summary")
-LOCAL, SENTENCE, ROMAN_LETTERS = re.compile(r"(?:the )?algorithm|method\s+\d+"), re.compile(r"(.{8,100}?\.)\s+([A-Z].+)"), "IVX"
+LOCAL, SENTENCE, ROMAN_LETTERS = re.compile(r"(?:the )?algorithm|method\s+\d+\.?"), re.compile(r"(.{8,100}?\.)\s+([A-Z].+)"), "IVX"
 NUMBERING = re.compile(r"(?P<decimal>\d+(?:\.\d+)+)\.?\s+|(?P<numbered>\d{1,9})\.\s+|§\s*(?P<sign>\d+)\.\s+|(?P<letter>[A-Z])\.\s+|(?P<roman>[IVXLCDM]+)\.\s+")
 CHAPTER_LINE, MAIN_NUMBER = re.compile(r"(?i)chapter\s+\d+\b"), re.compile(r"(\d{1,9})[.\s]\s+.")
-LEAST_TITLE, LEAST_WORDS, LEAST_CAPITALS, UPPER = 8, 3, 3, 0.65
+LEAST_CAPITALS, UPPER = 3, 0.65
+#: Kinds of marked lines that end a noise block.
+RESTART = ("ABSTRACT", "REFERENCES", "SECTION", "SUBSECTION", "APPENDIX")
 
 
 def decide_headings(flags: DataFrame) -> DataFrame:
@@ -91,7 +94,9 @@ def decide_headings(flags: DataFrame) -> DataFrame:
     carried is the title, the abstract, the references, a noise block, the appendix, the last level and the last main
     number; a task folds its documents one after another, as batches come, so no document is held whole.
     """
-    rows = flags.select("doc", "ln", "line", "kind")
+    title = T.is_title(F.col("text"), F.col("key"), F.col("kind"))
+    wordy = F.when(title, T.latin_words(F.col("text")) >= T.TITLE_WORDS)
+    rows = flags.select("doc", "ln", "line", "kind", "text", "key", T.is_standard(F.col("key")).alias("standard"), title.alias("title"), wordy.alias("wordy"))
     return rows.repartition("doc").sortWithinPartitions("doc", "ln").mapInPandas(_decide, f"doc {flags.schema['doc'].dataType.simpleString()}, {DECISION}")
 
 
@@ -102,26 +107,34 @@ def _decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in pdf.itertuples():
             if r.doc != doc:
                 doc, fold = r.doc, Outline()
-            out.append((r.doc, r.ln, r.line or "", r.kind, *fold.decide(r.line or "", r.kind)))
+            out.append((r.doc, r.ln, r.line or "", r.kind, *fold.decide(Line(r.line or "", r.kind, r.text or "", r.key or "", r.standard is True, r.title is True, r.wordy is True))))
         yield pd.DataFrame(out, columns=["doc", "ln", "line", "kind", "action", "level", "confidence", "reason", "heading", "body"])
 
 
-def _key(text: str) -> str:
-    return re.sub(r"[\W_]+", " ", re.sub(r"^(?:§?\s*\d+(?:\.\d+)*\.?|[ivxlcdm]+\.|[a-z]\.)\s+", "", text.lower())).strip()
+class Line(NamedTuple):
+    """A line with what its text says by itself: text and key, whether it names a standard section, may be a title, has words enough for a bare one."""
+
+    line: str
+    kind: str
+    text: str
+    key: str
+    standard: bool
+    title: bool
+    wordy: bool
+
+    @property
+    def marks(self) -> int:
+        found = re.match(r"[\x00-\x20]*(#{1,6})\s+\S", self.line)
+        return len(found[1]) if found else 0
 
 
 def _major(title: str) -> bool:
-    """Does a numbered title name a main section: by its first word, or in capitals throughout; an order to do something never does."""
-    words = _key(title).split()
+    """Does a numbered title name a main section: by its first word, or in capitals throughout; a step of an algorithm never does."""
+    words = title.lower().split()
     if not words or words[0] in T.IMPERATIVE:
         return False
     capitals, letters = (sum(map(test, title)) for test in (str.isupper, str.isalpha))
-    return title.lower().startswith(MAJOR) or capitals >= max(LEAST_CAPITALS, UPPER * letters)
-
-
-def _title_like(text: str) -> bool:
-    number = NUMBERING.match(text)
-    return len(text) >= LEAST_TITLE and _key(text) not in (*T.STANDARD, "index") and not (number and number.lastgroup in ("numbered", "roman", "letter"))
+    return title.lower().startswith(MAJOR) or capitals >= max(LEAST_CAPITALS, math.ceil(UPPER * letters))
 
 
 class Outline:
@@ -132,34 +145,33 @@ class Outline:
         self.abstract = self.references = self.noise = self.appendix = False
         self.last, self.main = 1, 0
 
-    def decide(self, line: str, kind: str) -> tuple[str, int, float, str, str | None, str | None]:
+    def decide(self, x: Line) -> tuple[str, int, float, str, str | None, str | None]:
         """(action, level, confidence, reason, heading, body) of the next line."""
-        if kind == "BODY" and line[:1].isalnum() and self.title is not None and not self.noise:  # most lines: not blank, no mark, no heading's form
+        if x.kind == "BODY" and x.line[:1].isalnum() and self.title is not None and not self.noise:  # most lines: not blank, no mark, no heading's form
             return ("TEXT", 0, 0.98, "inside the references", None, None) if self.references else ("TEXT", 0, 0.65, "body", None, None)
-        text = re.sub(r"\s+", " ", re.sub(r"^\s*#{1,6}\s+", "", line)).strip().strip("*_`")
-        marks = len(m[1]) if (m := re.match(r"\s*(#{1,6})\s", line)) else 0
-        if self.noise and not (text and marks and (kind in ("ABSTRACT", "REFERENCES", "SECTION", "SUBSECTION", "APPENDIX") or kind not in ("NOISE", "THEOREM_LIKE") and _title_like(text))):
+        marks = x.marks
+        if self.noise and not (x.text and marks and x.kind not in ("NOISE", "THEOREM_LIKE") and (x.kind in RESTART or x.standard or x.title)):
             return "DROP", 0, 0.98, "inside a noise block", None, None
         self.noise = False
-        if not text:
+        if not x.text:
             return ("DROP", 0, 1.0, "blank before the title", None, None) if self.title is None else ("TEXT", 0, 1.0, "blank", None, None)
-        if kind == "NOISE":
-            self.noise = _key(text) in T.BLOCK_OPENERS
+        if x.kind == "NOISE":
+            self.noise = x.key in T.BLOCK_OPENERS
             return "DROP", 0, 0.99, "noise", None, None
         if self.title is None:
-            if _title_like(text) and (marks or sum(bool(re.search("[A-Za-z]{2}", w)) for w in text.split()) >= LEAST_WORDS):
-                self.title = _key(text)
-                return "HEADING", 1, 0.98 if marks else 0.82, "marked title" if marks else "bare title", text, None
+            if x.title and (marks or x.wordy):
+                self.title = x.key
+                return "HEADING", 1, 0.98 if marks else 0.82, "marked title" if marks else "bare title", x.text, None
             return "DROP", 0, 0.75, "before the title", None, None
-        if marks and self.title and _key(text) == self.title:
+        if marks and self.title and x.key == self.title:
             return "DROP", 0, 0.95, "repeats the title", None, None
-        if marks and kind == "UNCERTAIN" and not self.abstract:
+        if marks and x.kind == "UNCERTAIN" and not self.abstract:
             return "DROP", 0, 0.88, "uncertain heading before the abstract", None, None
-        if self.references and kind != "REFERENCES":
+        if self.references and x.kind != "REFERENCES":
             return "TEXT", 0, 0.98, "inside the references", None, None
-        found = self.after_title(text, kind, marks)
+        found = self.after_title(x, marks)
         if found[0] in ("HEADING", "SPLIT"):
-            self.follow(kind, found[1], found[4])
+            self.follow(x.kind, found[1], found[4])
         return found
 
     def follow(self, kind: str, level: int, heading: str) -> None:
@@ -171,30 +183,31 @@ class Outline:
         if level == 2 and (number := MAIN_NUMBER.match(heading)):
             self.main = int(number[1])
 
-    def after_title(self, text: str, kind: str, marks: int) -> tuple[str, int, float, str, str | None, str | None]:
+    def after_title(self, x: Line, marks: int) -> tuple[str, int, float, str, str | None, str | None]:
+        text, kind = x.text, x.kind
         number = NUMBERING.match(text)
         form = number.lastgroup if number else None
         if kind in ("THEOREM_LIKE", "LIST_ITEM", "REFERENCE_ITEM"):
             return "TEXT", 0, 0.95, "a statement, step or reference, not a heading", None, None
         if kind == "ABSTRACT":
             inline = re.match(T.INLINE_ABSTRACT, text)
-            return self.headed(2, 0.99, "abstract", "Abstract", inline[2] if inline else "")
+            return self.headed(2, 0.99, "abstract", "Abstract", inline[2].strip() if inline else "")
         if kind == "REFERENCES":
             return self.headed(2, 0.99, "references", "References", "")
         if kind == "APPENDIX":
             named = re.match(r"(?i)(appendix\s+[A-Z])[:.]?\s+(.+)$", text)
             head, body = self.sentence(named[2]) if named else (text, "")
             return self.headed(2, 0.92, "appendix", f"{named[1]}. {head}" if named else head, body)
-        if kind == "SECTION" and (end := re.match(T.END_SECTION, _key(text))):
+        if kind == "SECTION" and (end := re.match(T.END_SECTION, x.key)):
             return self.headed(2, 0.9, "an end section", end[0].title(), re.sub(r"^[:.]\s*", "", text[len(end[0]) :].strip()))
         head, body = self.parts(text, number)
         if marks:
-            return self.headed(self.level(text, number, marks), 0.9, "marked heading", head, body)
+            return self.headed(self.level(x, number, marks), 0.9, "marked heading", head, body)
         if kind == "SUBSECTION" and form == "decimal":
             return self.headed(3, 0.86, "bare decimal subsection", head, body)
-        sure = _major(text[number.end() :]) if form == "numbered" else form in ("roman", "letter") or _key(text) in T.STANDARD
+        sure = _major(text[number.end() :]) if form == "numbered" else form in ("roman", "letter") or x.standard
         if kind == "SECTION" and sure:
-            return self.headed(self.level(text, number, 0), 0.84, "bare section", head, body)
+            return self.headed(self.level(x, number, 0), 0.84, "bare section", head, body)
         return "TEXT", 0, 0.65, "body", None, None
 
     def headed(self, level: int, sure: float, why: str, heading: str, body: str) -> tuple[str, int, float, str, str | None, str | None]:
@@ -212,10 +225,10 @@ class Outline:
         head, body = self.sentence(text[number.end() :])
         return f"{number[number.lastgroup]}. {head}", body
 
-    def level(self, text: str, number: re.Match | None, marks: int) -> int:
+    def level(self, x: Line, number: re.Match | None, marks: int) -> int:
         """A heading's level by its own form, then by the headings before; marks is 0 for bare lines."""
-        form = number.lastgroup if number else None
-        if _key(text) in T.STANDARD or CHAPTER_LINE.match(text) or form in ("sign", "roman"):
+        text, form = x.text, number.lastgroup if number else None
+        if x.standard or CHAPTER_LINE.match(text) or form in ("sign", "roman"):
             return 2
         if form == "decimal":
             return min(number["decimal"].count(".") + 2, 4)
@@ -228,7 +241,7 @@ class Outline:
             return 4 if marks and not goes_on and self.last >= 3 and not _major(text[number.end() :]) else 2
         if self.appendix:
             return 3
-        if self.last >= 3 and LOCAL.fullmatch(_key(text)):
+        if self.last >= 3 and LOCAL.fullmatch(x.key):
             return min(self.last + 1, 4)
         return min(max(marks, 2), 4)
 
@@ -254,14 +267,15 @@ def sections(rows: DataFrame) -> DataFrame:
     that ends a sentence. The part before the first heading is section 0, if it has text."""
     w = W.partitionBy("doc").orderBy("ln")
     # text and key pass a window before the filter that tests them, so their patterns run once a line
-    told = rows.repartition("doc").select("*", F.col("line").rlike(r"^#{1,9}\s+\S").alias("is_heading"), T.heading_text("line").alias("text")).select("*", T.bare_key(F.col("text")).alias("key"))
-    numbered = told.select("*", F.sum(F.col("is_heading").cast("int")).over(w).alias("idx")).filter(F.col("is_heading") | ~T.is_noise(F.col("text"), F.col("key")))
+    heading = r"^\s*(#{1,9})\s+(\S.*)$"
+    told = rows.repartition("doc").select("*", F.col("line").rlike(heading).alias("is_heading"), T.page_noise("line").alias("noise"))
+    numbered = told.select("*", F.sum(F.col("is_heading").cast("int")).over(w).alias("idx")).filter("is_heading or not noise")
     body = numbered.filter(~F.col("is_heading") & ~T.blank("line")).select("doc", "idx", "ln", T.jtrim("line").alias("t"))
     inner = W.partitionBy("doc", "idx").orderBy("ln")
     joiner = F.when(F.lag("t").over(inner).isNull(), F.lit("")).when(F.lag("t").over(inner).rlike(r"[.!?:;]$"), F.lit("\n")).otherwise(F.lit(" "))
     text = body.select("doc", "idx", F.struct("ln", F.concat(joiner, "t").alias("t")).alias("r")).groupBy("doc", "idx").agg(F.array_sort(F.collect_list("r")).alias("rows"))
     content = text.select("doc", "idx", F.array_join(F.transform("rows", lambda r: r["t"]), "").alias("content"))
-    heads = numbered.filter("is_heading").select("doc", "idx", F.col("text").alias("header"), F.least(F.length(F.regexp_extract("line", r"^(#+)", 1)), F.lit(9)).alias("level"))
+    heads = numbered.filter("is_heading").select("doc", "idx", T.jtrim(F.regexp_extract("line", heading, 2)).alias("header"), F.length(F.regexp_extract("line", heading, 1)).alias("level"))
     both = heads.join(content, ["doc", "idx"], "full").select("doc", "idx", F.coalesce("header", F.lit("")).alias("header"), F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("content", F.lit("")).alias("content"))
     return both
 
@@ -275,11 +289,20 @@ def parents(rows: DataFrame) -> DataFrame:
     return at.select("doc", "idx", "level", F.when(F.col("level") > 1, pick).alias("parent_idx"))
 
 
-def titles(rows: DataFrame, default: str = "Untitled") -> DataFrame:
-    """doc, title: the first `# ` heading, else the first `## ` heading that is no standard section, else the default."""
-    one, two = F.col("line").rlike(r"^#\s+\S"), F.col("line").rlike(r"^##\s+\S") & ~T.heading_key("line").isin(*T.STANDARD)
-    found = rows.groupBy("doc").agg(F.min(F.when(one, F.struct("ln", "line"))).alias("a"), F.min(F.when(two, F.struct("ln", "line"))).alias("b"))
-    return found.select("doc", F.coalesce(T.heading_text(F.col("a.line")), T.heading_text(F.col("b.line")), F.lit(default)).alias("title"))
+#: Headings of the second level that are no titles, and how others of them begin.
+NOT_TITLES, NOT_TITLES_START = ("abstract", "index"), ("introduction", "author")
+
+
+def titles(rows: DataFrame, default: str = "Untitled Paper") -> DataFrame:
+    """doc, title: of the lines that are no page's own, the first `# ` heading or the first `## ` heading that names no section, whichever comes first; else the default."""
+    line = T.jtrim("line")
+    bare = T.jtrim(F.regexp_replace(F.regexp_replace(line, r"^#+\s*", ""), "[*_]", ""))
+    named = F.lower(bare).isin(*NOT_TITLES)
+    for start in NOT_TITLES_START:
+        named = named | F.lower(bare).startswith(start)
+    fits = (line.startswith("# ") | line.startswith("## ") & ~named) & ~T.page_noise("line")
+    found = rows.groupBy("doc").agg(F.min(F.when(fits, F.struct("ln", bare.alias("title")))).alias("a"))
+    return found.select("doc", F.coalesce("a.title", F.lit(default)).alias("title"))
 
 
 #: Phrases of a paragraph that is an abstract without saying so, and the answer where there is none.

@@ -467,34 +467,57 @@ def trim_sql(x: str) -> str:
     return f"regexp_replace({x}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
 
 
-def heading_sql(x: str) -> str:
-    bare = rf"""regexp_replace(regexp_replace({x}, '{T.MARKDOWN}', ''), '^[*_`"'']+|[*_`"'']+$', '', 'g')"""
-    return trim_sql(rf"regexp_replace({bare}, '\s+', ' ', 'g')")
-
-
-def key_sql(text: str) -> str:
-    number = rf"regexp_replace(lower({text}), '^(?:§?\s*\d+(?:\.\d+)*\.?|[ivxlcdm]+\.|[a-z]\.)\s+', '')"
-    return trim_sql(rf"regexp_replace({number}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')")
-
-
 def names_sql(names) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-NOISE_SQL = f"(t <> '' AND (regexp_matches(t, '{T.NOISE}') OR key IN {names_sql(T.BLOCK_OPENERS)}))"
-KINDS_SQL = f"""WITH {LINES_SQL}, a AS (SELECT *, {heading_sql('line')} AS t FROM l), b AS (SELECT *, {key_sql('t')} AS key FROM a),
- c AS (SELECT *, regexp_matches(line, '{T.MARKDOWN}') AS marked, coalesce(max(key IN ('references', 'bibliography')) OVER (PARTITION BY doc ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS after FROM b),
- k AS (SELECT CASE WHEN t = '' THEN 'BODY' WHEN after AND regexp_matches(t, '{T.REFERENCE_ITEM}') THEN 'REFERENCE_ITEM' WHEN {NOISE_SQL} THEN 'NOISE' WHEN regexp_matches(t, '{T.THEOREM_LIKE}') THEN 'THEOREM_LIKE'
-   WHEN key = 'abstract' OR regexp_matches(t, '{T.INLINE_ABSTRACT}') THEN 'ABSTRACT' WHEN key IN ('references', 'bibliography') THEN 'REFERENCES' WHEN regexp_matches(t, '{T.APPENDIX}') THEN 'APPENDIX'
-   WHEN regexp_matches(t, '{T.CHAPTER}') OR regexp_matches(t, '{T.SECTION_SIGN}') THEN 'SECTION' WHEN regexp_matches(t, '{T.DECIMAL}') THEN 'SUBSECTION'
-   WHEN regexp_matches(t, '{T.NUMBERED}') THEN CASE WHEN split_part(key, ' ', 1) IN {names_sql(T.IMPERATIVE)} AND NOT marked THEN 'LIST_ITEM' ELSE 'SECTION' END WHEN regexp_matches(t, '{T.ROMAN}') THEN 'SECTION'
-   WHEN regexp_matches(t, '{T.LETTER}') THEN 'SUBSECTION' WHEN key IN {names_sql(T.STANDARD)} OR regexp_matches(key, '{T.END_SECTION}') THEN 'SECTION' WHEN marked THEN 'UNCERTAIN' ELSE 'BODY' END AS kind FROM c)
+def page_sql(x: str) -> str:
+    """Is x a page's header or footer: the survey's rules, written out here a second time."""
+    year, journal, more = (f"regexp_matches({x}, '{p}')" for p in (
+        r"\b(19|20)\d{2}\b", r"(?i)\b(chaos|vol\.|no\.|pp\.|doi|issn|isbn|phys\.|math\.|theor\.|rev\.|lett\.|proc\.|conf\.|physics|institute|university|society|journal|transactions|ieee|acm|springer|elsevier|nature|science)\b",
+        r"(?i)\bet\s+al\b",
+    ))
+    number = rf"regexp_matches({x}, '\b\d{{5,7}}(-\d+)?\b')"
+    return rf"""({x} <> '' AND length({x}) <= 120 AND NOT regexp_matches({x}, '^(\[\d+\]|\d+\.|\(\d+\))') AND NOT regexp_matches({x}, '^#{{1,6}}\s+(\d+(\.\d+)*|[IVXLCDM]+|[A-Z])\.\s+.')
+  AND NOT regexp_matches({x}, '(?i)^#{{1,6}}\s+(abstract|references|acknowledge?ments?|data availability|appendix\b.*)$') AND (regexp_matches({x}, '(?i)©|\(c\)|copyright|downloaded from|rights reserved')
+  OR length({x}) < 20 AND regexp_matches({x}, '(?i)^(page\s*)?\d+(\s*of\s*\d+)?$') OR {year} AND ({journal} OR {more}) OR {journal} AND ({number} OR {more}) OR starts_with({x}, '#') AND ({journal} OR {number} OR {more})))"""
+
+
+#: Lines of every kind: whether the references came before, the line, its kind.
+KIND_LINES = (
+    (False, "", "BODY"), (False, "plain words", "BODY"), (True, "[3] A work of note", "REFERENCE_ITEM"), (True, "Smith, J. A work", "REFERENCE_ITEM"), (True, "4. A work", "REFERENCE_ITEM"), (True, "lower case goes on", "BODY"),
+    (False, "Contents", "NOISE"), (False, "Published online: 3 May", "NOISE"), (False, "![a](b.png)", "NOISE"), (False, "12 may 2020 10:11:12", "NOISE"), (False, "Theorem 2 holds", "THEOREM_LIKE"), (False, "Fig. 3", "THEOREM_LIKE"),
+    (False, "## ABSTRACT", "ABSTRACT"), (False, "Abstract. We do", "ABSTRACT"), (False, "Bibliography", "REFERENCES"), (False, "7. References", "SECTION"), (False, "Appendix A: Proofs", "APPENDIX"), (False, "Chapter 3", "SECTION"),
+    (False, "Part 3", "BODY"), (False, "§ 3. Sign", "SECTION"), (False, "2.1 Data", "SUBSECTION"), (False, "2. Data", "SECTION"), (False, "1. Draw a sample", "LIST_ITEM"), (False, "## 1. Draw a sample", "SECTION"), (False, "1. For each", "SECTION"),
+    (False, "IV. Results", "SECTION"), (False, "B. Proofs", "SUBSECTION"), (False, "Acknowledgment", "SECTION"), (False, "ORCID iDs", "SECTION"), (False, "### Methods", "UNCERTAIN"), (False, "Methods", "BODY"),
+)
+#: The same rules in SQL for the documents' own lines, and a line of the list above for each document with the kind that it must get.
+KINDS_SQL = rf"""WITH {LINES_SQL}, a AS (SELECT *, {trim_sql('line')} AS u FROM l), b AS (SELECT *, regexp_matches(u, '^#{{1,6}}\s+\S') AS marked, {trim_sql("regexp_replace(regexp_replace(u, '^#{1,6}\s+', ''), '\s{2,}', ' ', 'g')")} AS t FROM a),
+ c AS (SELECT *, lower({trim_sql("regexp_replace(regexp_replace(regexp_replace(t, '\s+\*$', ''), '(?i)\s+(FREE|EP)$', ''), '\s*[☐☑✓✔]\s*$', '')")}) AS key FROM b),
+ d AS (SELECT *, coalesce(max(key IN ('references', 'bibliography')) OVER (PARTITION BY doc ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS after FROM c),
+ k AS (SELECT CASE WHEN t = '' THEN 'BODY' WHEN after AND regexp_matches(t, '^(\[\d+\]|\$\^\{{?\d+\}}?\$|\d+\.|[A-Z][a-zA-ZÀ-ÿ''\-]+,?\s+[A-Z].*)\s+.+$') THEN 'REFERENCE_ITEM'
+   WHEN key IN ('paper', 'affiliations', 'a preprint', 'preprint', 'aip advances', 'why publish with us', 'contents', 'cc creative commons', 'common deed', 'commons deed', 'you may also like', 'articles you may be interested in')
+     OR regexp_matches(lower(t), '^(to cite this article|view the article online|check for updates|research article \||cite as:|submitted:|published online:|received:|accepted:)|creative commons|commons deed|legal code|disclaimer|all rights reserved|著作权|저작권|비영리|^(chorus|aip publishing|learn more|\d{{1,2}}\s+[a-z]+\s+\d{{4}}\s+\d{{1,2}}:\d{{2}}:\d{{2}})$')
+     OR regexp_matches(t, '^!\[[^\]]*\]\([^)]+\)\s*$') THEN 'NOISE'
+   WHEN regexp_matches(t, '(?i)^(theorem|lemma|proposition|definition|corollary|remark|example|proof|fig\.?|figure|table)\b') THEN 'THEOREM_LIKE' WHEN key = 'abstract' OR regexp_matches(t, '(?i)^abstract\s*[:.]\s+.') THEN 'ABSTRACT'
+   WHEN key IN ('references', 'bibliography') THEN 'REFERENCES' WHEN starts_with(key, 'appendix') THEN 'APPENDIX' WHEN regexp_matches(t, '(?i)^chapter\s+\d+\b') OR regexp_matches(t, '^§\s*\d+\.\s+.') THEN 'SECTION'
+   WHEN regexp_matches(t, '^\d+(\.\d+)+\.?\s+.') THEN 'SUBSECTION'
+   WHEN regexp_matches(t, '^\d+\.\s+.') THEN CASE WHEN lower(regexp_extract(t, '^\d+\.\s+(\S+)', 1)) IN ('sample', 'set', 'obtain', 'denote', 'choose', 'draw', 'generate', 'repeat', 'return', 'compute', 'solve', 'let') AND NOT marked THEN 'LIST_ITEM' ELSE 'SECTION' END
+   WHEN regexp_matches(t, '^[IVXLCDM]+\.\s+.') THEN 'SECTION' WHEN regexp_matches(t, '^[A-Z]\.\s+.') THEN 'SUBSECTION'
+   WHEN key IN ('abstract', 'references') OR regexp_matches(key, '^(acknowledg|data availability|orcid|appendix)') THEN 'SECTION' WHEN marked THEN 'UNCERTAIN' ELSE 'BODY' END AS kind FROM d
+   UNION ALL SELECT ([{', '.join(f"'{k}'" for _, _, k in KIND_LINES)}])[CAST(doc_id % {len(KIND_LINES)} + 1 AS INTEGER)] FROM documents)
  SELECT kind, count(*) AS n FROM k GROUP BY 1"""
 
 
 @query(KINDS_SQL)
 def line_kinds(spark, sf_dir):
-    return structure.line_flags(doc_lines(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """The kinds of all lines of the documents, and of a line of KIND_LINES for each document."""
+    pick = lambda k, kind: F.element_at(F.array(*[F.lit(r[k]) for r in KIND_LINES]), (F.col("doc_id") % len(KIND_LINES) + 1).cast("int")).cast(kind)
+    ids = table(spark, sf_dir, "documents").select("doc_id", pick(0, "boolean").alias("after"), pick(1, "string").alias("line"))
+    made = ids.select(F.concat(F.lit("made "), F.col("doc_id").cast("string")).alias("doc"), F.posexplode(F.when(F.col("after"), F.array(F.lit("References"), "line")).otherwise(F.array("line"))).alias("ln", "line"))
+    own = structure.line_flags(doc_lines(spark, sf_dir)).select("kind")
+    told = structure.line_flags(made).filter("ln = 1 or line <> 'References'").select("kind")
+    return own.unionByName(told).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def marked(spark, sf_dir) -> DataFrame:
@@ -520,13 +543,13 @@ def head_sql(most: int) -> str:
 MARKED_SQL = rf"""{LINES_SQL}, m1 AS (SELECT *, CASE WHEN ln = 0 THEN '# ' WHEN ln % 7 = 5 THEN '### ' WHEN ln % 4 = 1 THEN '## ' END AS mark FROM l WHERE {trim_sql('line')} <> ''),
  m2 AS (SELECT *, CASE WHEN ln = 0 THEN {head_sql(60)} ELSE {head_sql(40)} END AS head FROM m1), m3 AS (SELECT *, substr(line, length(head) + 1) AS rest FROM m2),
  m4 AS (SELECT doc, 2 * ln AS ln, coalesce(mark || {trim_sql('head')}, line) AS line FROM m3 UNION ALL SELECT doc, 2 * ln + 1, rest FROM m3 WHERE mark IS NOT NULL AND {trim_sql('rest')} <> ''),
- m5 AS (SELECT *, {heading_sql('line')} AS t FROM m4), md AS (SELECT *, {key_sql('t')} AS key FROM m5)"""
-SECTIONS_SQL = rf"""{MARKED_SQL}, s1 AS (SELECT *, regexp_matches(line, '^#{{1,9}}\s+\S') AS is_heading FROM md),
- s2 AS (SELECT *, CAST(sum(CAST(is_heading AS INTEGER)) OVER (PARTITION BY doc ORDER BY ln) AS BIGINT) AS idx FROM s1 WHERE is_heading OR NOT {NOISE_SQL}),
+ md AS (SELECT *, {trim_sql('line')} AS u FROM m4)"""
+SECTIONS_SQL = rf"""{MARKED_SQL}, s1 AS (SELECT *, regexp_matches(line, '^\s*#{{1,9}}\s+\S') AS is_heading FROM md),
+ s2 AS (SELECT *, CAST(sum(CAST(is_heading AS INTEGER)) OVER (PARTITION BY doc ORDER BY ln) AS BIGINT) AS idx FROM s1 WHERE is_heading OR NOT {page_sql('u')}),
  s3 AS (SELECT doc, idx, ln, {trim_sql('line')} AS u FROM s2 WHERE NOT is_heading AND {trim_sql('line')} <> ''),
  s4 AS (SELECT *, lag(u) OVER (PARTITION BY doc, idx ORDER BY ln) AS before FROM s3),
  s5 AS (SELECT doc, idx, string_agg(CASE WHEN before IS NULL THEN '' WHEN regexp_matches(before, '[.!?:;]$') THEN chr(10) ELSE ' ' END || u, '' ORDER BY ln) AS content FROM s4 GROUP BY 1, 2),
- s6 AS (SELECT doc, idx, t AS header, least(length(regexp_extract(line, '^(#+)', 1)), 9) AS level FROM s2 WHERE is_heading),
+ s6 AS (SELECT doc, idx, {trim_sql("regexp_replace(u, '^#+', '')")} AS header, length(regexp_extract(u, '^(#+)', 1)) AS level FROM s2 WHERE is_heading),
  sections AS (SELECT doc, idx, coalesce(header, '') AS header, CAST(coalesce(level, 0) AS INTEGER) AS level, coalesce(content, '') AS content FROM s6 FULL JOIN s5 USING (doc, idx))"""
 
 
@@ -556,7 +579,9 @@ def section_parents(spark, sf_dir):
 
 
 @query(
-    rf"""WITH {MARKED_SQL} SELECT doc, coalesce(arg_min(t, ln) FILTER (regexp_matches(line, '^#\s+\S')), arg_min(t, ln) FILTER (regexp_matches(line, '^##\s+\S') AND key NOT IN {names_sql(T.STANDARD)}), 'Untitled') AS title FROM md GROUP BY doc"""
+    rf"""WITH {MARKED_SQL}, t AS (SELECT *, {trim_sql("regexp_replace(regexp_replace(u, '^#+', ''), '[*_]', '', 'g')")} AS title FROM md),
+  f AS (SELECT * FROM t WHERE (starts_with(u, '# ') OR starts_with(u, '## ') AND NOT regexp_matches(lower(title), '^(abstract$|index$|introduction|author)')) AND NOT {page_sql('u')})
+  SELECT doc, coalesce(arg_min(f.title, f.ln), 'Untitled Paper') AS title FROM md LEFT JOIN f USING (doc, ln) GROUP BY doc"""
 )
 def title_extract(spark, sf_dir):
     return structure.titles(marked(spark, sf_dir))
@@ -892,3 +917,22 @@ def stale_stages(spark, sf_dir):
     ledgers["SYMBOLS"] = ledgers["SYMBOLS"].withColumn("status", status)
     ledgers["EMBEDDING"] = ledgers["EMBEDDING"].filter("paper_id % 17 <> 0").withColumn("status", F.lit("COMPLETED"))
     return stages.stale(graph, prints, ledgers)
+
+
+#: A paper with every rule of levels, and what must become of each line: (line, action, level).
+OUTLINE = (
+    ("", "DROP", 0), ("Published online: 3 May", "DROP", 0), ("# A Title of Some Words", "HEADING", 1), ("## Odd heading", "DROP", 0), ("Abstract: We do things.", "SPLIT", 2), ("Contents", "DROP", 0), ("1 Data 3", "DROP", 0),
+    ("## 1. Introduction", "HEADING", 2), ("plain words", "TEXT", 0), ("", "TEXT", 0), ("## 1.1 Rows", "HEADING", 3), ("## 1. First step", "HEADING", 4), ("## 2. Data", "HEADING", 2), ("2.1.3 Deep", "HEADING", 3),
+    ("## 2.1.3 Deep. It goes on here.", "HEADING", 4), ("3. METHODS AND MORE", "HEADING", 2), ("4. Things we saw", "TEXT", 0), ("1. Draw a sample", "TEXT", 0), ("Theorem 2 holds", "TEXT", 0), ("## A. Letter", "HEADING", 3),
+    ("## IV. Roman", "HEADING", 2), ("### Odd again", "HEADING", 3), ("#### The Algorithm", "HEADING", 4), ("# A Title of Some Words", "DROP", 0), ("Acknowledgements: we thank all.", "SPLIT", 2), ("## Appendix A: Proofs", "HEADING", 2),
+    ("## 1. Lemmas", "HEADING", 3), ("## Other", "HEADING", 3), ("5. Results of all. They are told here.", "SPLIT", 3), ("## References", "HEADING", 2), ("[1] A work", "TEXT", 0), ("## 6. Late", "TEXT", 0),
+)
+OUTLINE_SQL = f"""SELECT doc_id AS doc, CAST(k AS INTEGER) AS ln, ([{', '.join(f"'{a}'" for _, a, _ in OUTLINE)}])[k + 1] AS action, CAST(([{', '.join(str(v) for *_, v in OUTLINE)}])[k + 1] AS INTEGER) AS level
+ FROM documents, (SELECT unnest(range({len(OUTLINE)})) AS k)"""
+
+
+@query(OUTLINE_SQL)
+def outline_rules(spark, sf_dir):
+    """The decisions over a paper with every kind of heading, for each document; the SQL writes out what must come."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.array(*[F.lit(x) for x, *_ in OUTLINE])).alias("ln", "line"))
+    return structure.decide_headings(structure.line_flags(docs)).select("doc", "ln", "action", "level")

@@ -1,5 +1,8 @@
 import pytest
 
+from pyspark.sql import functions as F
+
+from marginalia.functions import text as T
 from marginalia.operators import structure
 
 FRONT = ["# A Title of Some Words", "## Abstract", "We do things."]
@@ -25,7 +28,7 @@ def decided(spark, lines):
         (["4. RESULTS AND MORE", "4. Things we saw", "4. Method used here. We went on."], [("HEADING", 2, "4. RESULTS AND MORE", None), ("TEXT", 0, None, None), ("SPLIT", 2, "4. Method used here.", "We went on.")]),
         (["Acknowledgements: we thank all."], [("SPLIT", 2, "Acknowledgements", "we thank all.")]),
         (["## References", "## Appendix B. More", "[1] A work"], [("HEADING", 2, "References", None), ("TEXT", 0, None, None), ("TEXT", 0, None, None)]),
-        (["Contents", "1 Data 3", "## Method", "more"], [("DROP", 0, None, None), ("DROP", 0, None, None), ("HEADING", 2, "Method", None), ("TEXT", 0, None, None)]),
+        (["Contents", "1 Data 3", "## Method", "## Methodology", "more"], [("DROP", 0, None, None), ("DROP", 0, None, None), ("DROP", 0, None, None), ("HEADING", 2, "Methodology", None), ("TEXT", 0, None, None)]),
         (["# A Title of Some Words"], [("DROP", 0, None, None)]),
     ],
 )
@@ -34,7 +37,7 @@ def test_rules(spark, lines, want):
 
 
 def test_before_the_title(spark):
-    got = decided(spark, ["", "## Introduction", "short", "a bare line of words", "", "Abstract. It all goes.", "## Odd"])
+    got = decided(spark, ["", "## Abstract", "short", "a bare line of words", "", "Abstract. It all goes.", "## Odd"])
     assert [a for a, *_ in got] == ["DROP", "DROP", "DROP", "HEADING", "TEXT", "SPLIT", "HEADING"]
     assert got[5] == ("SPLIT", 2, "Abstract", "It all goes.")
     assert decided(spark, ["# A Title of Some Words", "## Odd"])[1][0] == "DROP"  # an odd heading before the abstract
@@ -51,3 +54,38 @@ def test_rendered(spark):
     assert structure.normalised_markdown(decisions).first().markdown == "# A Title of Some Words\n## Abstract\nWe do things.\n## 4. Method used here.\nWe went on."
     report = structure.outline_report(decisions).first()
     assert (report.n_headings, report.has_title, report.has_references) == (3, True, False) and report.mean_confidence == pytest.approx((0.98 + 0.99 + 0.84) / 3)
+
+
+#: (after the references, line, kind): what decides is written out, not taken from the library.
+KINDS = [
+    (False, "", "BODY"), (False, "plain words", "BODY"), (True, "[3] A work of note", "REFERENCE_ITEM"), (True, "$^{3}$ A work", "REFERENCE_ITEM"), (True, "4. A work", "REFERENCE_ITEM"), (True, "Smith, J. A work", "REFERENCE_ITEM"),
+    (True, "lower case goes on", "BODY"), (False, "[3] A work", "BODY"), (False, "Contents", "NOISE"), (False, "## A Preprint", "NOISE"), (False, "Published online: 3 May", "NOISE"), (False, "Cite as: x", "NOISE"),
+    (False, "![a](b.png)", "NOISE"), (False, "12 may 2020 10:11:12", "NOISE"), (False, "All rights reserved", "NOISE"), (False, "Received: today", "NOISE"), (False, "Theorem 2 holds", "THEOREM_LIKE"), (False, "Fig. 3", "THEOREM_LIKE"),
+    (False, "Tables are", "BODY"), (False, "## ABSTRACT", "ABSTRACT"), (False, "Abstract. We do", "ABSTRACT"), (False, "Abstract *", "ABSTRACT"), (False, "Bibliography", "REFERENCES"), (False, "7. References", "SECTION"),
+    (False, "Appendix A: Proofs", "APPENDIX"), (False, "Appendices", "BODY"), (False, "Chapter 3", "SECTION"), (False, "Part 3", "BODY"), (False, "§ 3. Sign", "SECTION"), (False, "§ 3 Sign", "BODY"), (False, "2.1 Data", "SUBSECTION"),
+    (False, "2.1. Data", "SUBSECTION"), (False, "2. Data", "SECTION"), (False, "1. Draw a sample", "LIST_ITEM"), (False, "1. Solve it", "LIST_ITEM"), (False, "## 1. Draw a sample", "SECTION"), (False, "1. For each", "SECTION"),
+    (False, "IV. Results", "SECTION"), (False, "B. Proofs", "SUBSECTION"), (False, "C. Proofs", "SECTION"), (False, "Acknowledgment", "SECTION"), (False, "ORCID iDs", "SECTION"), (False, "Data availability", "SECTION"),
+    (False, "### Methods", "UNCERTAIN"), (False, "Methods", "BODY"), (False, "Introduction", "BODY"), (False, '"Quoted  words"', "BODY"), (False, "####### Seven", "BODY"), (False, "“References”", "REFERENCES"),
+]
+
+
+def test_kinds(spark):
+    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(KINDS)], "n int, after boolean, line string, kind string")
+    got = rows.withColumn("found", T.line_kind("line", F.col("after"))).orderBy("n").collect()
+    assert [(r.after, r.line, r.found) for r in got] == KINDS
+
+
+def test_page_noise(spark):
+    noise = ["© 2020 Them", "8", "Page 8", "8 of 12", "J. Phys.A 2024", "Smith et al. 2019", "Journal 055201", "Nature, Smith et al", "# Smith et al", "# 055201-3", "Downloaded from there"]
+    kept = ["", None, "[1] Journal 2020", "1. Nature 2020", "(2) Science 2001", "## 2. Nature 2020", "## References", "In 2020 we", "Journal", "article 055201", "J. Phys. 2024", "x" * 100 + " Journal of 2020 et al", "18 things on Page 8 of it"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(noise + kept)], "n int, line string")
+    assert [r[0] for r in rows.orderBy("n").select(T.page_noise("line")).collect()] == [True] * len(noise) + [False] * len(kept)
+
+
+def test_titles(spark):
+    docs = {
+        "first of either": (["text", "## Odd *name*", "# Later"], "Odd name"), "sections": (["## Abstract", "## Introduction to it", "## Authors", "## Index", "# **The** Title"], "The Title"),
+        "page": (["# Smith et al 2020", "# Real"], "Real"), "none": (["#no", "### deep"], "Untitled Paper"), "led": (["  ## In", "# x"], "In"),
+    }
+    rows = spark.createDataFrame([(d, k, x) for d, (told, _) in docs.items() for k, x in enumerate(told)], "doc string, ln int, line string")
+    assert {r.doc: r.title for r in structure.titles(rows).collect()} == {d: t for d, (_, t) in docs.items()}
