@@ -5,16 +5,19 @@ and each vector's cells, one byte a dimension. The first pass reads those only:
 vector can have, and a vector whose highest is below a query's k-th best lowest is out. The second pass reads exact vectors for what is
 left, by (block, place). Queries come in blocks too; a task carries each query's bounds from one block to the next.
 
-Components are whole numbers (floor(scale * x)), so scores are exact. Ties go to the smaller id.
+Components are whole numbers (floor(scale * x)), so scores are exact. Ties go to the smaller id. Where a vector is so large that a score of it could
+leave the whole numbers of a double (ROOM), its scores are worked out in whole numbers of any size instead, block by block: those of large queries with all
+vectors, and of the other queries with large vectors. Such a task keeps each query's k best only.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor rows with a null id; a
-query sees every row but those with its own id; vectors of another length than the query's are not compared;
-repeated rows are candidates each, but one query; fewer than k candidates give fewer rows; an empty table gives no rows; components so
-large that a score could pass 2 ** 50 (for 64 dimensions, about 4,000 at a scale of 1024) raise an error; other columns are ignored, whatever their names.
+query sees every row but those with its own id; queries that share an id are one query, whose list is the best of both; vectors of another length than the query's are not
+compared; repeated rows are candidates each, but one query; fewer than k candidates give fewer rows; an empty table gives no rows; a score beyond 64 bits counts
+as the nearest that they hold; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import fractions
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +28,29 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import few_rows_a_batch, materialise
 
-BLOCK, QUERY_BLOCK, BINS = 2048, 512, 256
+BLOCK, QUERY_BLOCK, BINS, LARGE_BLOCK = 2048, 512, 256, 256
+ROOM = float(1 << 50)
 #: Queries whose best rows a task holds before it sends them on.
 HELD = 100_000
 FILE = "n_dims int, block bigint, ids binary, low binary, width binary, cells binary"
 
 
-def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id and v (array of bigint) of the rows that take part."""
+def fitting(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id and x (array of double) of the rows that take part."""
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     fit = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).filter(finite)
-    return fit.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    return fit.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("x"))
+
+
+def is_large(scale: int) -> Column:
+    """Could a score of two vectors like this one leave the whole numbers that a double holds, with room for bounds. Vectors without components have no cells either."""
+    most = F.coalesce(F.array_max(F.transform("x", F.abs)), F.lit(0.0)) * scale + 1
+    return (F.size("x") == 0) | (F.size("x") * most * most >= ROOM)
+
+
+def whole(rows: DataFrame, scale: int) -> DataFrame:
+    """id and v (array of bigint) from id and x."""
+    return rows.select("id", F.transform("x", lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
 def first_of_equals(rows: DataFrame, k: int) -> DataFrame:
@@ -46,12 +61,36 @@ def first_of_equals(rows: DataFrame, k: int) -> DataFrame:
     return near.withColumn("at", F.row_number().over(copies)).filter(F.col("at") <= k).select("id", "v")
 
 
-def checked(rows: DataFrame) -> DataFrame:
-    """rows, or an error where a score could leave the whole numbers that a double holds, with room for bounds: no silent overflow."""
-    worst = rows.agg(F.max(F.size("v")).alias("n"), F.max(F.array_max(F.transform("v", lambda x: F.greatest(x, -x - 1)))).alias("x")).first()
-    if worst["n"] and worst["n"] * (worst["x"] + 1) ** 2 >= 1 << 50:
-        raise ValueError(f"components up to {worst['x']} in {worst['n']} dimensions: scores would not be exact")
-    return rows
+def whole_numbers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as Python integers, exact at any size."""
+    return np.array([int(scale * fractions.Fraction(v) // 1) for v in x.tolist()], object)
+
+
+def exact_scores(asked: DataFrame, rows: DataFrame, k: int, scale: int) -> DataFrame:
+    """query_id, vec_id, score: the k best rows (id, x) of each query (id, x), in whole numbers of any size, blocks of queries against blocks of rows."""
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        n = max(1, -(-df.count() // LARGE_BLOCK))
+        dealt = df.select(F.size("x").alias("n_dims"), F.pmod(F.xxhash64("id", "x", F.monotonically_increasing_id()), F.lit(n)).alias("block"), "id", "x")
+        return dealt.groupBy("n_dims", "block").agg(F.collect_list(F.struct("id", "x")).alias(name)).drop("block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for queries, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = [r["id"] for r in others]
+                table = [whole_numbers(np.array(r["x"]), scale) for r in others]
+                out = []
+                for q in queries:
+                    mine = whole_numbers(np.array(q["x"]), scale)
+                    found = ((int(mine @ v) if v.size else 0, i) for v, i in zip(table, ids) if i != q["id"])
+                    told = sorted(((-min(max(s, -(1 << 63)), (1 << 63) - 1), i) for s, i in found))[:k]
+                    out += [(q["id"], i, -s) for s, i in told]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+
+    met = blocks(asked, "queries").join(blocks(rows, "others"), "n_dims").select("queries", "others")
+    with few_rows_a_batch(asked.sparkSession, 1):
+        return materialise(met.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint"), "large")
 
 
 def approximation_file(rows: DataFrame, block_rows: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -115,10 +154,22 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, i
     query over all tasks then rules out most of them. Second pass: exact vectors are read for what is left only,
     by (block, place).
     """
-    spark = vectors.sparkSession
-    rows = checked(materialise(first_of_equals(whole(vectors, id_col, vector_col, scale), k), "vectors"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    fit, asking = fitting(vectors, id_col, vector_col), fitting(vectors.filter(queries), id_col, vector_col)
+    scored = _by_cells(fit.filter(~is_large(scale)), asking.filter(~is_large(scale)), k, scale)
+    large = fit.filter(is_large(scale))
+    if not large.isEmpty():
+        asking = asking.dropDuplicates(["id", "x"])
+        scored = scored.unionByName(exact_scores(asking.filter(is_large(scale)), fit, k, scale)).unionByName(exact_scores(asking.filter(~is_large(scale)), large, k, scale))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _by_cells(fit: DataFrame, asking: DataFrame, k: int, scale: int) -> DataFrame:
+    """query_id, vec_id, score of the rows that may be among each query's k best."""
+    spark = fit.sparkSession
+    rows = materialise(first_of_equals(whole(fit, scale), k), "vectors")
     files, exact = approximation_file(rows)
-    asked = whole(vectors.filter(queries), id_col, vector_col, scale).dropDuplicates(["id", "v"])
+    asked = whole(asking, scale).dropDuplicates(["id", "v"])
     n_parts = max(1, -(-asked.count() // QUERY_BLOCK))
     # a query's number tells vectors of one id apart
     asked = materialise(asked.select(F.size("v").alias("n_dims"), F.pmod(F.xxhash64("id", "v"), F.lit(n_parts)).alias("part"), "id", "v", F.xxhash64("v").alias("q_hash")), "asked")
@@ -167,6 +218,4 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, i
     query = asked.select("n_dims", F.col("id").alias("query_id"), "q_hash", F.col("v").alias("q"))
     both = left.join(exact, ["n_dims", "block", "place"]).join(query, ["n_dims", "query_id", "q_hash"])
     score = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
-    scored = both.select("query_id", F.col("id").alias("vec_id"), score.alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return both.select("query_id", F.col("id").alias("vec_id"), score.alias("score"))

@@ -4,6 +4,7 @@ import random
 import re
 import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -212,7 +213,22 @@ def test_equal_vectors_and_large_components(spark):
             best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fit if i != q)[:10]
             want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     assert got == sorted(want)
+
+
+def test_finite_vectors_of_any_size_have_scores(spark):
+    """One vector of 1e9 among others, ones beyond 64 bits, halves, and vectors without components."""
+    rng = np.random.default_rng(2)
+    rows = [(k, (rng.normal(size=3) * 10.0 ** rng.integers(-3, 4)).tolist()) for k in range(150)]
+    rows += [(200, [1e9, -1e9, 0.5]), (201, [1e9, 1e9, 0.1]), (300, [1e6, 2e6, -3e6]), (301, [1e30, 1.0, -1e30]), (302, [-1e300, 0.0, 1.0]), (400, [1e308, 1e308, 1e308]), (500, []), (501, [])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    with pytest.raises(ValueError):
-        vector_search.top_k(spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 1.0])], "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0)
+    got = [tuple(r) for r in vector_search.top_k(table, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
+    fit = [(i, [int(1024 * Fraction(x) // 1) for x in v]) for i, v in rows]
+    want = []
+    for q, v in fit:
+        if q % 100 == 0:
+            scores = ((i, sum(a * b for a, b in zip(v, w))) for i, w in fit if i != q and len(w) == len(v))
+            best = sorted((-min(max(s, -(2**63)), 2**63 - 1), i) for i, s in scores)[:10]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
