@@ -38,8 +38,6 @@ from marginalia.llm.common import bounded_batches, materialise, new_path, text_o
 
 #: Fixed values of the zstandard and seekable formats.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: The index holds this for a null id, which comes before all others.
-NO_ID = -(1 << 63)
 #: A file is closed at this many compressed bytes.
 FILE_BYTES = 32 << 20
 #: Distinct words that a worker keeps encoded, and their greatest length.
@@ -173,10 +171,10 @@ class FileBuilder:
 
         self.compress = zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True).compress
         self.frames: list[bytes] = []
-        self.rows: list[tuple[int, int, int, int]] = []
+        self.rows: list[tuple[int | None, int, int, int]] = []
         self.size = 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         import xxhash
 
         frame = self.compress(ids)
@@ -185,7 +183,9 @@ class FileBuilder:
         self.size += len(frame)
 
     def close(self) -> bytes:
-        index = np.array([r[0] for r in self.rows], "<i8").tobytes()
+        # a byte for each document says whether it has an id
+        known = bytes(r[0] is not None for r in self.rows)
+        index = np.array([r[0] or 0 for r in self.rows], "<i8").tobytes() + known
         index = struct.pack("<II", SKIPPABLE_INDEX, len(index)) + index
         entries = [(a, b, c) for _, a, b, c in self.rows] + [(len(index), 0, 0)]
         table = b"".join(struct.pack("<III", *e) for e in entries)
@@ -227,15 +227,15 @@ def write_ids(docs: DataFrame, encode: Callable[[pa.Array], list[bytes]], end_id
         if out.rows:
             yield pa.RecordBatch.from_arrays([pa.array([out.close()], pa.binary())], names=["file"])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     files = ordered.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value"))
     files.write.option("lineSep", struct.pack("<I", FOOTER_MAGIC).decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
-def seek_table(f: BinaryIO) -> tuple[np.ndarray, np.ndarray]:
-    """Document ids, and for each its frame's (offset, size, ids' size, checksum), from the end of a file."""
+def seek_table(f: BinaryIO) -> tuple[list[int | None], np.ndarray]:
+    """Document ids (none for a null id), and for each its frame's (offset, size, ids' size, checksum), from the end of a file."""
     f.seek(-9, os.SEEK_END)
     n, kind, magic = struct.unpack("<IBI", f.read(9))
     if magic != FOOTER_MAGIC or kind != 0x80:
@@ -244,18 +244,18 @@ def seek_table(f: BinaryIO) -> tuple[np.ndarray, np.ndarray]:
     table = np.frombuffer(f.read(12 * n), "<u4").reshape(n, 3).astype(np.int64)
     offset = np.concatenate([[0], np.cumsum(table[:, 0])])
     f.seek(int(offset[n - 1]) + 8)
-    ids = np.frombuffer(f.read(8 * (n - 1)), "<i8")
-    return ids, np.column_stack([offset[: n - 1], table[: n - 1]])
+    ids, known = np.frombuffer(f.read(8 * (n - 1)), "<i8").tolist(), f.read(n - 1)
+    return [x if there else None for x, there in zip(ids, known)], np.column_stack([offset[: n - 1], table[: n - 1]])
 
 
-def read_documents(f: BinaryIO, wanted: set[int] | None = None) -> Iterator[tuple[int, bytes]]:
+def read_documents(f: BinaryIO, wanted: set[int | None] | None = None) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids as bytes) of the documents wanted, or of all; no other frame is read. Checksums are held."""
     import xxhash
     import zstandard
 
     decompress = zstandard.ZstdDecompressor().decompress
     ids, frames = seek_table(f)
-    for doc_id, (at, size, full, checksum) in zip(ids.tolist(), frames.tolist()):
+    for doc_id, (at, size, full, checksum) in zip(ids, frames.tolist()):
         if wanted is None or doc_id in wanted:
             f.seek(at)
             data = decompress(f.read(size), max_output_size=full)
@@ -277,7 +277,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 rows: list[tuple] = []
                 size = 0
                 for at, (doc_id, data) in enumerate(read_documents(io.BytesIO(content.as_buffer()))):
-                    rows.append((None if doc_id == NO_ID else doc_id, name, at, len(data) // 4, zlib.crc32(data), data))
+                    rows.append((doc_id, name, at, len(data) // 4, zlib.crc32(data), data))
                     size += len(data)
                     if size >= 8 << 20:
                         yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema)
