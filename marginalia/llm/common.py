@@ -78,7 +78,9 @@ ROW = ["__marginalia_a", "__marginalia_b"]
 
 def row_key(df: DataFrame) -> list[Column]:
     """Two 64-bit hashes over all columns: rows share them when they are the same in every column."""
-    told = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    # maps have no hash of their own: their entries in order do
+    flat = {f.name: F.to_json(F.array_sort(F.map_entries(f"`{f.name}`"))) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in df.schema}
+    told = [x for c in flat.values() for x in (c.isNull(), c)]
     return [F.xxhash64(F.lit(seed), *told).alias(name) for seed, name in zip((1, 2), ROW)]
 
 

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marginalia.llm import byte_bpe, mixing, pretokens, queries, token_counts, token_files
+from marginalia.llm import byte_bpe, exact_dedup, mixing, pretokens, queries, token_counts, token_files
 from marginalia.llm.common import row_key
 
 ALPHABET = ["a", "b", "'", "s", "re", "'s", "'ll", " ", "  ", "\n", "\t", "1", "٣", "é", "中", "!", " ", " ", "😀", "_", "\x1c", "\x85", "ſ", "<|endoftext|>", "hello", "ing", "\r\n"]
@@ -85,6 +85,20 @@ def test_token_files(spark, docs, documents, empty, tmp_path):
     assert zstandard.ZstdDecompressor().stream_reader(io.BytesIO(name.read_bytes()), read_across_frames=True).read() == every
 
 
+def test_every_id_comes_back(spark):
+    """Null ids come first, then the least bigint: neither is taken for the other."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(-(2**63), "least"), (None, "none"), (3, "three"), (2**63 - 1, "most"), (None, "none too"), (0, None)], "doc_id bigint, text string")
+    got = [r.doc_id for r in token_files.tokenise_to_files(docs, path, 2).orderBy("start").collect()]
+    assert got == [None, None, -(2**63), 0, 3, 2**63 - 1]
+
+
+def test_maps_and_repeated_rows(spark):
+    rows = [(1, "a b", {"x": 1, "y": 2}), (1, "a b", {"y": 2, "x": 1}), (2, "a  b", None), (3, "c", {})]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, extra map<string,int>")
+    assert sorted((r.doc_id, r.text) for r in exact_dedup.drop_exact_duplicates(docs).collect()) == [(2, "a  b"), (3, "c")]
+
+
 def test_mixture(docs, documents, empty):
     rows = mixing.mix(docs, [3, 1, 2]).collect()
     assert len(rows) == len(documents)
