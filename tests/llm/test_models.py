@@ -71,6 +71,29 @@ def test_secret_models(docs, empty):
     assert secret_scan.secrets_in(empty).collect() == []
 
 
+def test_secrets_held_out(spark):
+    """Precision and recall on strings that no model has seen: random ones, identifiers of other words, long words and compounds of the documents' languages."""
+    texts = spark.read.parquet(f"{SF}/documents.parquet")
+    train, test = secret_scan.WORDS[::2], secret_scan.WORDS[1::2]
+    # the documents are halved too: words counted on one half, strings made of words met in the other half alone
+    counted = secret_scan.word_pairs(texts.filter("doc_id % 2 = 0"))
+    met = [{w for r in texts.filter(f"doc_id % 2 = {k}").collect() for w in secret_scan.WORD.findall(r.text or "")} for k in (0, 1)]
+    unseen = sorted(met[1] - met[0])
+    find = secret_scan.finder(*secret_scan.labelled_samples(words=train), counted)
+    told = lambda x: any(kind == "random" for _, kind, _ in find(x))
+    draw = random.Random(9)
+    secrets, plain = secret_scan.labelled_samples(1000, 99, test)
+    secrets = [x for x in secrets if not secret_scan.base_spans(x)]
+    compounds = [x for x in ("".join(draw.choices(unseen, k=draw.randrange(2, 5))) for _ in range(1000)) if len(x) >= 20]
+    chains = ["_".join(draw.choices(unseen, k=4)) for _ in range(1000)]
+    long = sorted({w for r in texts.collect() for w in secret_scan.CANDIDATE.findall(r.text or "") if w.isalpha()})
+    odd = ["EXC_BAD_ACCESS_KERN_INVALID_ADDRESS_0x0000", "xmlns_xsi_schemaLocation", "abcdefghijklmnopqrstuvwxyz", "550e8400-e29b-41d4-a716-446655440000", "====================="]
+    ordinary = [*plain, *compounds, *chains, *long, *odd]
+    right, wrong = sum(map(told, secrets)), sum(map(told, ordinary))
+    assert right / len(secrets) >= 0.95 and right / (right + wrong) >= 0.95 and wrong / len(ordinary) <= 0.005
+    assert not any(map(told, [*long, *odd]))
+
+
 def test_secrets_of_letters_and_behind_paths():
     draw, find = random.Random(6), secret_scan.finder(*secret_scan.labelled_samples())
     letters = "".join(chr(65 + k) + chr(97 + k) for k in range(26))
