@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -80,37 +79,30 @@ def page_spans(blocks: DataFrame, doc_col: str, seq_col: str, text_col: str, pag
 def locate_pages(chunk_rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc, chunk_index, page_start, page_end. chunk_rows: doc, chunk_index, content; blocks: doc, seq, text, page_index.
 
-    Chunks are searched in order, each from where the one before was found, and from the start when that fails; both sides of a
-    document meet in one cogroup, of the document's size.
+    A chunk is found by its first ANCHOR characters, from just after where the chunk before was found; else by its first SHORT_ANCHOR from there; else by the
+    last of these from the beginning. Chunks of fewer than LEAST_LOCATED characters and those not found have no pages, nor has an offset between two blocks. A document's
+    text, spans and chunks are a row, as long as the document; the chunks are searched in their order by a fold in the JVM.
     """
-
-    def run(c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        spans, source = [], ""
-        for r in b.sort_values("seq").itertuples():
-            if t := " ".join((r.text or "").split()):
-                source += " " if source else ""
-                spans.append((len(source), len(source) + len(t), int(r.page_index) + 1))
-                source += t
-        at, out = 0, []
-        begins = [a for a, _, _ in spans]
-
-        def page(x: int) -> int | None:
-            k = bisect.bisect_right(begins, x) - 1
-            return spans[k][2] if k >= 0 and x < spans[k][1] else None
-
-        for r in c.sort_values("chunk_index").itertuples():
-            t, hit = " ".join((r.content or "").split()), -1
-            if len(t) >= LEAST_LOCATED and source:
-                anchor = t[:ANCHOR]
-                hit = source.find(anchor, at)
-                if hit < 0 and len(t) > SHORT_ANCHOR:
-                    anchor = t[:SHORT_ANCHOR]
-                    hit = source.find(anchor, at)
-                hit = source.find(anchor) if hit < 0 else hit
-            if hit >= 0:
-                at = hit
-            out.append((r.doc, r.chunk_index, page(hit) if hit >= 0 else None, page(min(hit + len(t), len(source)) - 1) if hit >= 0 else None))
-        return pd.DataFrame(out, columns=["doc", "chunk_index", "page_start", "page_end"])
-
-    kind = chunk_rows.schema["doc"].dataType.simpleString()
-    return chunk_rows.select("doc", "chunk_index", "content").groupBy("doc").cogroup(blocks.select("doc", "seq", "text", "page_index").groupBy("doc")).applyInPandas(run, f"doc {kind}, chunk_index int, page_start int, page_end int")
+    spans = page_spans(blocks, "doc", "seq", "text", "page_index")
+    texts = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end", "page", "t"))).alias("spans"))
+    texts = texts.select("doc", F.array_join(F.transform("spans", lambda x: x["t"]), " ").alias("source"), F.transform("spans", lambda x: x.dropFields("t")).alias("spans"))
+    told = chunk_rows.select("doc", F.struct("chunk_index", T.collapse("content").alias("t")).alias("c")).groupBy("doc").agg(F.array_sort(F.collect_list("c")).alias("chunks"))
+    both = told.join(texts, "doc", "left")
+
+    def find(anchor: Column, after: Column) -> Column:
+        return F.nullif(F.call_function("locate", anchor, F.col("source"), after + 1), F.lit(0))
+
+    def step(state: Column, c: Column) -> Column:
+        size = F.length(c["t"])
+        short = F.when(size > SHORT_ANCHOR, F.substring(c["t"], 1, SHORT_ANCHOR))
+        long = F.substring(c["t"], 1, ANCHOR)
+        hit = F.when(size >= LEAST_LOCATED, F.coalesce(find(long, state["after"]), find(short, state["after"]), find(F.coalesce(short, long), F.lit(0)))) - 1
+        after = F.when(hit.isNotNull(), F.least(F.length("source"), hit + 1)).otherwise(state["after"])
+        return F.struct(after.alias("after"), F.concat(state["found"], F.array(F.struct(c["chunk_index"].alias("chunk_index"), hit.alias("hit"), size.alias("size")))).alias("found"))
+
+    empty = F.struct(F.lit(0).alias("after"), F.array().cast("array<struct<chunk_index:int,hit:int,size:int>>").alias("found"))
+    found = both.select("doc", "spans", F.length("source").alias("n"), F.explode(F.aggregate("chunks", empty, step)["found"]).alias("f")).select("doc", "spans", "n", "f.*")
+    page = lambda at: F.get(F.filter("spans", lambda x: (x["start"] <= at) & (at < x["end"])), F.lit(0))["page"]
+    # least and greatest pass over nulls: a chunk that was not found has no end either
+    last = F.when(F.col("hit").isNotNull(), F.greatest(F.col("hit"), F.least(F.col("hit") + F.col("size"), F.col("n")) - 1))
+    return found.select("doc", "chunk_index", page(F.col("hit")).alias("page_start"), page(last).alias("page_end"))

@@ -492,8 +492,8 @@ KIND_LINES = (
     (False, "IV. Results", "SECTION"), (False, "B. Proofs", "SUBSECTION"), (False, "Acknowledgment", "SECTION"), (False, "ORCID iDs", "SECTION"), (False, "### Methods", "UNCERTAIN"), (False, "Methods", "BODY"),
 )
 #: The same rules in SQL for the documents' own lines, and a line of the list above for each document with the kind that it must get.
-KINDS_SQL = rf"""WITH {LINES_SQL}, a AS (SELECT *, {trim_sql('line')} AS u FROM l), b AS (SELECT *, regexp_matches(u, '^#{{1,6}}\s+\S') AS marked, {trim_sql("regexp_replace(regexp_replace(u, '^#{1,6}\s+', ''), '\s{2,}', ' ', 'g')")} AS t FROM a),
- c AS (SELECT *, lower({trim_sql("regexp_replace(regexp_replace(regexp_replace(t, '\s+\*$', ''), '(?i)\s+(FREE|EP)$', ''), '\s*[☐☑✓✔]\s*$', '')")}) AS key FROM b),
+KINDS_SQL = rf"""WITH {LINES_SQL}, a AS (SELECT *, {trim_sql('line')} AS u FROM l), b AS (SELECT *, regexp_matches(u, '^#{{1,6}}\s+\S') AS marked, {trim_sql(r"regexp_replace(regexp_replace(u, '^#{1,6}\s+', ''), '\s{2,}', ' ', 'g')")} AS t FROM a),
+ c AS (SELECT *, lower({trim_sql(r"regexp_replace(regexp_replace(regexp_replace(t, '\s+\*$', ''), '(?i)\s+(FREE|EP)$', ''), '\s*[☐☑✓✔]\s*$', '')")}) AS key FROM b),
  d AS (SELECT *, coalesce(max(key IN ('references', 'bibliography')) OVER (PARTITION BY doc ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS after FROM c),
  k AS (SELECT CASE WHEN t = '' THEN 'BODY' WHEN after AND regexp_matches(t, '^(\[\d+\]|\$\^\{{?\d+\}}?\$|\d+\.|[A-Z][a-zA-ZÀ-ÿ''\-]+,?\s+[A-Z].*)\s+.+$') THEN 'REFERENCE_ITEM'
    WHEN key IN ('paper', 'affiliations', 'a preprint', 'preprint', 'aip advances', 'why publish with us', 'contents', 'cc creative commons', 'common deed', 'commons deed', 'you may also like', 'articles you may be interested in')
@@ -579,7 +579,7 @@ def section_parents(spark, sf_dir):
 
 
 @query(
-    rf"""WITH {MARKED_SQL}, t AS (SELECT *, {trim_sql("regexp_replace(regexp_replace(u, '^#+', ''), '[*_]', '', 'g')")} AS title FROM md),
+    rf"""WITH {MARKED_SQL}, t AS (SELECT *, {trim_sql(r"regexp_replace(regexp_replace(u, '^#+', ''), '[*_]', '', 'g')")} AS title FROM md),
   f AS (SELECT * FROM t WHERE (starts_with(u, '# ') OR starts_with(u, '## ') AND NOT regexp_matches(lower(title), '^(abstract$|index$|introduction|author)')) AND NOT {page_sql('u')})
   SELECT doc, coalesce(arg_min(f.title, f.ln), 'Untitled Paper') AS title FROM md LEFT JOIN f USING (doc, ln) GROUP BY doc"""
 )
@@ -621,12 +621,35 @@ def page_spans(spark, sf_dir):
     return chunking.page_spans(blocks, "doc", "ln", "line", "page").drop("t")
 
 
-@query()
+#: Slices of each text in swapped pairs, so that every second is found by going back to the beginning; some with another end, some that are nowhere, some too short.
+LOCATED_SQL = f"""WITH RECURSIVE {LINES_SQL}, b AS (SELECT doc, ln AS seq, ln // 5 + 1 AS page, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS t FROM l),
+ p AS (SELECT doc, page, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(t) AS n, seq, t FROM b WHERE t <> ''),
+ s AS (SELECT doc, string_agg(t, ' ' ORDER BY seq) AS source FROM p GROUP BY doc),
+ k AS (SELECT doc_id AS doc, text, unnest(range(0, length(text) // 400 + 1)) AS k FROM documents),
+ c AS (
+  SELECT doc, k, trim(regexp_replace(CASE WHEN k % 11 = 3 THEN 'these words are nowhere to be found in any of the texts' WHEN k % 13 = 5 THEN substr(text, 400 * xor(k, 1) + 1, 20)
+    WHEN k % 5 = 0 THEN substr(text, 400 * xor(k, 1) + 1, 120) || ' and another end of it that goes on for long enough to be in the anchor' ELSE substr(text, 400 * xor(k, 1) + 1, 700) END, '\\s+', ' ', 'g')) AS t FROM k),
+ r AS (
+  SELECT doc, CAST(-1 AS BIGINT) AS k, CAST(0 AS BIGINT) AS after, CAST(NULL AS BIGINT) AS hit, CAST(0 AS BIGINT) AS size FROM (SELECT DISTINCT doc FROM c)
+  UNION ALL SELECT doc, k, CASE WHEN hit IS NULL THEN after ELSE least(length(source), hit + 1) END, hit, size FROM (
+    SELECT r.doc, c.k, r.after, s.source, length(c.t) AS size, CASE WHEN length(c.t) < 24 THEN NULL WHEN strpos(substr(s.source, r.after + 1), substr(c.t, 1, 180)) > 0 THEN r.after + strpos(substr(s.source, r.after + 1), substr(c.t, 1, 180)) - 1
+      WHEN length(c.t) > 100 AND strpos(substr(s.source, r.after + 1), substr(c.t, 1, 100)) > 0 THEN r.after + strpos(substr(s.source, r.after + 1), substr(c.t, 1, 100)) - 1
+      ELSE nullif(strpos(s.source, substr(c.t, 1, CASE WHEN length(c.t) > 100 THEN 100 ELSE 180 END)), 0) - 1 END AS hit
+    FROM r JOIN c ON c.doc = r.doc AND c.k = r.k + 1 LEFT JOIN s ON s.doc = r.doc))
+ SELECT r.doc, CAST(r.k AS INTEGER) AS chunk_index, CAST(a.page AS INTEGER) AS page_start, CAST(z.page AS INTEGER) AS page_end FROM r LEFT JOIN s ON s.doc = r.doc
+ LEFT JOIN p a ON a.doc = r.doc AND r.hit >= a.a AND r.hit < a.a + a.n
+ LEFT JOIN p z ON r.hit IS NOT NULL AND z.doc = r.doc AND greatest(r.hit, least(r.hit + r.size, length(s.source)) - 1) >= z.a AND greatest(r.hit, least(r.hit + r.size, length(s.source)) - 1) < z.a + z.n WHERE r.k >= 0"""
+
+
+@query(LOCATED_SQL)
 def page_locate(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    packed = chunking.chunks(d, "doc_id", "text").select(F.col("section_id").cast("long").alias("doc"), "chunk_index", "content")
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    k = d.select(F.col("doc_id").alias("doc"), "text", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 400).cast("int"))).alias("k"))
+    cut = lambda n: F.substr("text", 400 * F.col("k").bitwiseXOR(1) + 1, F.lit(n))
+    content = F.when(F.col("k") % 11 == 3, "these words are nowhere to be found in any of the texts").when(F.col("k") % 13 == 5, cut(20))
+    content = content.when(F.col("k") % 5 == 0, F.concat(cut(120), F.lit(" and another end of it that goes on for long enough to be in the anchor"))).otherwise(cut(700))
     blocks = doc_lines(spark, sf_dir).select("doc", F.col("ln").alias("seq"), F.col("line").alias("text"), F.floor(F.col("ln") / 5).cast("int").alias("page_index"))
-    return chunking.locate_pages(packed, blocks)
+    return chunking.locate_pages(k.select("doc", F.col("k").alias("chunk_index"), content.alias("content")), blocks)
 
 
 # references and symbols -----------------------------------------------------------------------------------------

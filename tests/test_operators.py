@@ -90,6 +90,19 @@ def test_page_location(spark):
     assert got == {0: (2, 2), 1: (None, None)}
 
 
+def test_page_location_order_and_anchors(spark):
+    same = "the very same words stand on both of these pages here"
+    long = " ".join(f"w{k}" for k in range(60))
+    pages = [same, long, same, "the last page"]
+    blocks = spark.createDataFrame([(1, k, x, k) for k, x in enumerate(pages)] + [(1, 9, " \n ", 9)], "doc long, seq int, text string, page_index int")
+    told = [same, same, same, long[:150] + " another end " + "x" * 40, long[:90] + " another end of it", "too short", None, long + "  " + same + " the  last page", same]
+    c = spark.createDataFrame([(1, k, x) for k, x in enumerate(told)] + [(2, 0, same)], "doc long, chunk_index int, content string")
+    got = {(r.doc, r.chunk_index): (r.page_start, r.page_end) for r in chunking.locate_pages(c, blocks).collect()}
+    none = (None, None)
+    # one after another, then from the beginning; by the short anchor; not by fewer characters than it; over pages
+    assert [got[1, k] for k in range(9)] == [(1, 1), (3, 3), (1, 1), (2, 2), none, none, none, (2, 4), (3, 3)] and got[2, 0] == none
+
+
 def test_citations(spark):
     numbers = {
         "see [1, 3-5] and <sup>7</sup>, $^{9}$ or ^{11,12}; reversed [9-4]": ["1", "11", "12", "3", "4", "5", "7", "9"], "[007] [1 2] [3-] [-4] [5-6-] [1-2-3] [x1]": ["007", "5", "6"],
