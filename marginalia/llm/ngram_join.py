@@ -11,8 +11,8 @@ documents are told there, and the block carries its count alone.
 
 Candidates. Keys that several sets share are lists. Each member is first paired with the list's smallest, pairs are made distinct and verified once on whole
 sets, and links are contracted to components. Then, in the lists that still hold several components, members outside the largest component are compared with all
-others of another component, by length, position and suffix, and on whole sets; only links that join components come back, fewer than
-rows. Lists of equal members are compared once. A list is cut in parts of PART_BYTES of sets, and pairs of parts are dealt to tasks of
+others of another component: by length and position, which needs no set; then, where a row has a partner left, by suffix and on whole sets. Only links that join components come
+back, fewer than rows. Lists of equal members are compared once. A list is cut in parts of PART_BYTES of sets, and pairs of parts are dealt to tasks of
 their own, so no task holds a whole list; rows of the largest component are copied only for the parts of the others.
 
 The filters are exact bounds on the overlap: sizes; with the common key at ranks i and j, what may come before (unique shingles cannot) and after it; and for the
@@ -300,56 +300,104 @@ def overlaps(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
 
 
-def cell_links(kind: int, part: np.ndarray, largest: np.ndarray, sid: np.ndarray, root: np.ndarray, n: np.ndarray, alone: np.ndarray, place: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Links that join the components of one cell, fewer than its rows. kind 0: members outside the largest component with those in it; 1: the former with one another."""
-    root, ranges = root.copy(), np.array([np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=RANGES) for x in sets])
-    one_part = part.min() == part.max()
-    for k in np.flatnonzero(~largest).tolist():
-        other = root != root[k]
-        other &= largest if kind == 0 else (sid > sid[k]) if one_part else (part > part[k])
-        other = np.flatnonzero(other)
-        other = other[100 * np.minimum(n[other], n[k]) >= PERCENT * np.maximum(n[other], n[k])]
-        most = np.minimum(place[other] - alone[other], place[k] - alone[k]) + np.minimum(n[other] - place[other], n[k] - place[k])
-        other = other[enough(most, n[other] + n[k])]
-        other = other[enough(np.minimum(ranges[other], ranges[k]).sum(axis=1), n[other] + n[k])]
-        step = max(1, SLICE // max(int(n[k]), 1))
-        for at in range(0, other.size, step):
-            some = other[at : at + step]
-            some = some[root[some] != root[k]]
-            if some.size:
-                for j in some[enough(overlaps(sets[k], [sets[x] for x in some.tolist()]), n[some] + n[k])].tolist():
-                    if root[j] != root[k]:
-                        yield int(sid[k]), int(sid[j])
-                        root[root == root[j]] = root[k]
+class Cell:
+    """Rows of a list that are compared in one task. kind 0: members outside the largest component with those in it; 1: the former with one another."""
 
+    def __init__(self, kind: int, part: np.ndarray, largest: np.ndarray, sid: np.ndarray, root: np.ndarray, n: np.ndarray, alone: np.ndarray, place: np.ndarray) -> None:
+        self.kind, self.part, self.largest, self.sid, self.root, self.n, self.alone, self.place = kind, part, largest, sid, root.copy(), n, alone, place
+        self.one_part = part.min() == part.max()
 
-def _across(cells: DataFrame) -> DataFrame:
-    """a, b: links that join all linked sets of different components."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    def asking(self) -> list[int]:
+        return np.flatnonzero(~self.largest).tolist()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def arrays() -> Iterator[tuple[np.ndarray, ...]]:
-            for b in batches:
-                if b.num_rows:
-                    cuts, flat = b.column(9).offsets.to_numpy().tolist(), b.column(9).values.to_numpy().view(np.uint64)
+    def partners(self, k: int) -> np.ndarray:
+        """Rows of other components that row k is compared with and that pass the length and position filters."""
+        other = self.root != self.root[k]
+        other &= self.largest if self.kind == 0 else (self.sid > self.sid[k]) if self.one_part else (self.part > self.part[k])
+        other = np.flatnonzero(other)
+        n, both = self.n[other], self.n[other] + self.n[k]
+        before = np.minimum(self.place[other] - self.alone[other], self.place[k] - self.alone[k])
+        after = np.minimum(n - self.place[other], self.n[k] - self.place[k])
+        return other[(100 * np.minimum(n, self.n[k]) >= PERCENT * np.maximum(n, self.n[k])) & enough(before + after, both)]
+
+    def meeting(self) -> np.ndarray:
+        """Which rows have a partner, or are one."""
+        met = np.zeros(self.sid.size, bool)
+        for k in self.asking():
+            found = self.partners(k)
+            met[found] = True
+            met[k] |= found.size > 0
+        return met
+
+    def links(self, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """Links that join the components, fewer than the rows."""
+        ranges = np.array([np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=RANGES) for x in sets])
+        for k in self.asking():
+            other = self.partners(k)
+            other = other[enough(np.minimum(ranges[other], ranges[k]).sum(axis=1), self.n[other] + self.n[k])]
+            step = max(1, SLICE // max(int(self.n[k]), 1))
+            for at in range(0, other.size, step):
+                some = other[at : at + step]
+                some = some[self.root[some] != self.root[k]]
+                if some.size:
+                    for j in some[enough(overlaps(sets[k], [sets[x] for x in some.tolist()]), self.n[some] + self.n[k])].tolist():
+                        if self.root[j] != self.root[k]:
+                            yield int(self.sid[k]), int(self.sid[j])
+                            self.root[self.root == self.root[j]] = self.root[k]
+
+
+#: Columns of a cell's rows.
+CELL = ["cell", "kind", "part", "largest", "sid", "root", "n", "alone", "place"]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], with_sets: bool) -> Iterator[tuple[int, Cell, list[np.ndarray]]]:
+    """(number, cell, sets) of whole cells, from rows in order of cell."""
+
+    def arrays() -> Iterator[tuple[np.ndarray, ...]]:
+        for b in batches:
+            if b.num_rows:
+                columns = [b.column(k).to_numpy(zero_copy_only=False) for k in range(len(CELL))]
+                if with_sets:
+                    cuts, flat = b.column(len(CELL)).offsets.to_numpy().tolist(), b.column(len(CELL)).values.to_numpy().view(np.uint64)
                     sets = np.empty(b.num_rows, object)
                     for k in range(b.num_rows):
                         sets[k] = flat[cuts[k] : cuts[k + 1]]
-                    yield (*(b.column(k).to_numpy(zero_copy_only=False) for k in range(9)), sets)
+                    columns.append(sets)
+                yield tuple(columns)
+
+    for cell, kind, *rest in whole_groups(arrays()):
+        cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), cell.size]
+        for x, y in zip(cuts, cuts[1:]):
+            yield int(cell[x]), Cell(int(kind[x]), *(v[x:y] for v in rest[:7])), list(rest[7][x:y]) if with_sets else []
+
+
+def _meeting(cells: DataFrame) -> DataFrame:
+    """cell, sid: the rows of cells that have a partner by length and position. Only their sets are needed."""
 
-        for cell, kind, part, largest, sid, root, n, alone, place, sets in whole_groups(arrays()):
-            cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), cell.size]
-            for x, y in zip(cuts, cuts[1:]):
-                found = list(cell_links(int(kind[x]), *(v[x:y] for v in (part, largest, sid, root, n, alone, place)), list(sets[x:y])))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([f(p) for p in found], pa.int64()) for f in (min, max)], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, cell, _ in _cells(batches, False):
+            found = cell.sid[cell.meeting()]
+            if found.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(found.size, number)), pa.array(found)], names=["cell", "sid"])
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell bigint, sid bigint")
+
+
+def _across(cells: DataFrame) -> DataFrame:
+    """a, b: links that join all linked sets of different components, from rows of cells with their hashes."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cell, sets in _cells(batches, True):
+            found = list(cell.links(sets))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f(p) for p in found], pa.int64()) for f in (min, max)], schema=schema)
 
-    dealt = cells.repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return cells.select(*CELL, "hashes").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def dealt(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """The cells of lists rows (key, sid, root, n, alone, place) with several components: see _across."""
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows of cells (CELL) of lists (key, sid, root, n, alone, place) with several components."""
     by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
     by_key = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("size"), F.max(F.struct("m", "root", "size")).alias("top"))
     parts = lambda size: F.greatest(F.ceil(size * 8 / PART_BYTES), F.lit(1)).cast("int")
@@ -366,9 +414,7 @@ def dealt(rows: DataFrame, sets: DataFrame) -> DataFrame:
     in_rest = F.concat(each("of_main", lambda p: spot(0, p, part)), each("of_rest", lambda q: spot(1, F.least(part, q), F.greatest(part, q))))
     spots = told.withColumn("part", mine).withColumn("spot", F.explode(F.when(F.col("largest"), in_main).otherwise(in_rest)))
     cell = F.xxhash64("key", "spot.kind", "spot.x", "spot.y").alias("cell")
-    return spots.select(cell, F.col("spot.kind").alias("kind"), "part", "largest", "sid", "root", "n", "alone", "place").join(sets.hint("merge"), "sid").select(
-        "cell", "kind", "part", "largest", "sid", "root", "n", "alone", "place", "hashes"
-    )
+    return spots.select(cell, F.col("spot.kind").alias("kind"), *CELL[2:])
 
 
 def links(docs: DataFrame, told: DataFrame, text_col: str = "text") -> DataFrame:
@@ -387,8 +433,10 @@ def links(docs: DataFrame, told: DataFrame, text_col: str = "text") -> DataFrame
     root = components(found).select(F.col("node").alias("sid"), "root")
     at = materialise(members.join(root.hint("merge"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"), "n", "alone", "place"), "rooted")
     open_keys = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    more = materialise(_across(dealt(at.join(open_keys.hint("merge"), "key", "left_semi"), sets)), "across")
-    for done in (members, stars, sets, at):
+    cells = materialise(dealt(at.join(open_keys.hint("merge"), "key", "left_semi")), "cells")
+    met = materialise(_meeting(cells), "meeting")
+    more = materialise(_across(cells.join(met.hint("merge"), ["cell", "sid"]).join(sets.hint("merge"), "sid")), "across")
+    for done in (members, stars, sets, at, cells, met):
         discard(spark, done)
     return found.union(more)
 
