@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.functions import embedding
 from marginalia.functions import text as T
 from marginalia.functions import vectors as V
 from marginalia.operators import audit, chunking, evaluate, evidence, ingest, knn, lexical as fulltext, library, outline, references, retrieval, stages, structure
@@ -959,3 +960,12 @@ def outline_rules(spark, sf_dir):
     """The decisions over a paper with every kind of heading, for each document; the SQL writes out what must come."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.array(*[F.lit(x) for x, *_ in OUTLINE])).alias("ln", "line"))
     return structure.decide_headings(structure.line_flags(docs)).select("doc", "ln", "action", "level")
+
+
+@query()
+def hashed_neighbours(spark, sf_dir):
+    """The documents nearest to each benchmark text by the embedding that needs no model: every text of both tables is embedded."""
+    found = embedding.hashed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    # ids of the asked below zero: a row is never its own neighbour by number
+    asked = embedding.hashed(table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("item_id"), "text"), "item_id", "text")
+    return knn.nearest(asked, found, 3, above=0.0).select((-1 - F.col("id")).alias("item_id"), F.col("neighbour").alias("doc_id"), "rank", F.round("similarity", 6).alias("similarity"))
