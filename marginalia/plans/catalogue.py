@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import embedding
 from marginalia.functions import text as T
 from marginalia.functions import vectors as V
-from marginalia.operators import audit, chunking, evaluate, evidence, ingest, knn, lexical as fulltext, library, outline, references, retrieval, stages, structure
+from marginalia.operators import audit, chunking, evaluate, evidence, extract, ingest, knn, lexical as fulltext, library, outline, references, retrieval, stages, structure
 
 FLAGSHIP = "fusion_search"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -969,3 +969,18 @@ def hashed_neighbours(spark, sf_dir):
     # ids of the asked below zero: a row is never its own neighbour by number
     asked = embedding.hashed(table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("item_id"), "text"), "item_id", "text")
     return knn.nearest(asked, found, 3, above=0.0).select((-1 - F.col("id")).alias("item_id"), F.col("neighbour").alias("doc_id"), "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source FROM documents)
+  SELECT doc_id AS id, unnest(['x_1', '\\beta', 'N', 'm_k']) AS symbol, unnest(['the rate of ' || lang, 'a weight in ' || source, 'the number of rows', 'The mean of ' || source]) AS description FROM d"""
+)
+def defined_symbols(spark, sf_dir):
+    """The symbols that each document defines: sentences of every form are put before, between and behind its own text, which defines none."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.coalesce(c, F.lit("none")).alias(c) for c in ("lang", "source")])
+    told = F.concat(
+        F.lit("Let x_1 denote the rate of "), "lang", F.lit(".\n"), "text", F.lit("\nwe go on, where $\\beta$ is a weight in "), "source", F.lit("; denote by none. Denote by N the number of rows, then.\n"),
+        "text", F.lit("\nThe mean of "), "source", F.lit(" is denoted by m_k. Let us go"),
+    )
+    rows = d.select("doc_id", F.lit(None).cast("string").alias("title"), told.alias("told"))
+    return extract.symbols(rows, "doc_id", "title", "told").select("id", "symbol", "description")
