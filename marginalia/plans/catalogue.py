@@ -984,3 +984,20 @@ def defined_symbols(spark, sf_dir):
     )
     rows = d.select("doc_id", F.lit(None).cast("string").alias("title"), told.alias("told"))
     return extract.symbols(rows, "doc_id", "title", "told").select("id", "symbol", "description")
+
+
+@query(
+    """SELECT doc_id AS doc, CASE doc_id % 4 WHEN 0 THEN 'We weigh ' || coalesce(source, 'none') || '.' WHEN 1 THEN 'We weigh ' || coalesce(lang, 'none') || ' here'
+  WHEN 2 THEN 'We weigh document ' || doc_id || ' at length' ELSE 'Abstract Not Found' END AS abstract FROM documents"""
+)
+def abstracts_found(spark, sf_dir):
+    """Papers whose abstract has a section of its own, stands within the first one, or in the first half behind an empty section, or is not there; a paper a document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", *[F.coalesce(c, F.lit("none")).alias(c) for c in ("lang", "source")])
+    part = lambda header, *content: F.struct(F.lit(header).alias("header"), F.concat(*[F.lit(x) if x not in d.columns else F.col(x).cast("string") for x in content]).alias("content"))
+    own = F.array(part("Title", ""), part("1. ABSTRACT", "Abstract: We weigh ", "source", ". Keywords: a, b"), part("2. Data", "In this paper we go on."))
+    first = F.array(part("Front", "By A. Author. ABSTRACT - We weigh ", "lang", " here"), part("Data", "words"))
+    behind = F.array(part("Abstract", ""), part("Front", "Some words about the authors that go on for a while. " * 2 + "Abstract. We weigh document ", "doc_id", " at length INTRODUCTION and more"), part("Data", "x"), part("More", "y"))
+    none = F.array(part("Front", "plain words"), part("Data", "more of them"))
+    kind = F.col("doc_id") % 4
+    rows = F.when(kind == 0, own).when(kind == 1, first).when(kind == 2, behind).otherwise(none)
+    return structure.abstracts(d.select(F.col("doc_id").alias("doc"), F.posexplode(rows).alias("idx", "s")).select("doc", "idx", "s.header", "s.content"))
