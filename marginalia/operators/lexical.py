@@ -105,7 +105,7 @@ def _places(phrase: tuple[str, ...], at: list[str]) -> list[int]:
 def rank(query: list[list[tuple[tuple[str, ...], bool]]], heading: list[str], body: list[str]) -> float | None:
     """Cover density of one text, or None where the query does not match; match() gives the same for all rows of an index.
 
-    Each shortest stretch that holds the start of all phrases of an alternative adds its weight over its length.
+    Each shortest stretch that holds the start of all phrases of an alternative adds its weight over one more than the places in it that hold none.
     """
     best = None
     for parts in query:
@@ -119,7 +119,7 @@ def rank(query: list[list[tuple[tuple[str, ...], bool]]], heading: list[str], bo
                 last = [k if k in places else before for places, before in zip(where, last)]
                 if min(last) > done:
                     done = min(last)
-                    score += weight / (k - done + 1)
+                    score += weight / (1 + max(k - done + 1 - len(wanted), 0))
         for p in wanted if score == 0 else ():  # spread over heading and body
             score += HEADING_WEIGHT * 0.1 if _places(p, heading) else BODY_WEIGHT * 0.1
         best = max(best or 0.0, score)
@@ -191,7 +191,8 @@ def query_terms(queries: DataFrame, config: str = "english") -> DataFrame:
 
 
 def _density(hits: Column, n: Column, weight: float) -> Column:
-    """The sum over shortest stretches that hold all parts of weight / length, from sorted (at, part): one pass."""
+    """The sum over shortest stretches that hold all n parts of weight / (1 + places in between that hold none of them), from sorted (at, part): one pass. Parts next to one
+    another give the whole weight, however many they are; a part told twice within a stretch counts as a place in between."""
     none, start = F.lit(-1), F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("now"), F.lit(-1).alias("done"), F.lit(0.0).alias("score"))
 
     def step(s: Column, x: Column) -> Column:
@@ -199,7 +200,7 @@ def _density(hits: Column, n: Column, weight: float) -> Column:
         whole = (x["at"] != s["now"]) & (least > s["done"])  # all hits of the position before are in
         return F.struct(
             F.transform(s["last"], lambda v, j: F.when(j == x["part"], x["at"]).otherwise(v)).alias("last"), x["at"].alias("now"),
-            F.when(whole, least).otherwise(s["done"]).alias("done"), (s["score"] + F.when(whole, F.lit(weight) / (s["now"] - least + 1)).otherwise(F.lit(0.0))).alias("score"),
+            F.when(whole, least).otherwise(s["done"]).alias("done"), (s["score"] + F.when(whole, F.lit(weight) / (1 + F.greatest(s["now"] - least + 1 - n, F.lit(0)))).otherwise(F.lit(0.0))).alias("score"),
         )
 
     end = F.array(F.struct(F.lit(2**31 - 1).alias("at"), none.alias("part")))

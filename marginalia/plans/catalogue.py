@@ -359,9 +359,9 @@ FULLTEXT_SQL = f"""q(qid, alt, part, wanted, n_terms, n, off, term) AS (VALUES {
  hit AS (SELECT qid, alt, id, n, count(DISTINCT CASE WHEN field = 'h' THEN part END) AS n_h FROM place GROUP BY 1, 2, 3, 4 HAVING bool_and(wanted) AND count(DISTINCT part) = n),
  latest AS (SELECT DISTINCT qid, alt, id, p.field, p.n, spot, max(CASE WHEN part = 0 THEN spot END) OVER w AS l0, max(CASE WHEN part = 1 THEN spot END) OVER w AS l1, max(CASE WHEN part = 2 THEN spot END) OVER w AS l2
    FROM place p JOIN hit USING (qid, alt, id) WINDOW w AS (PARTITION BY qid, alt, id, p.field ORDER BY spot RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
- stretch AS (SELECT qid, alt, id, field, least(l0, coalesce(l1, l0), coalesce(l2, l0)) AS a, min(spot) AS z FROM latest
+ stretch AS (SELECT qid, alt, id, field, least(l0, coalesce(l1, l0), coalesce(l2, l0)) AS a, min(spot) AS z, max(n) AS n FROM latest
    WHERE l0 IS NOT NULL AND (n < 2 OR l1 IS NOT NULL) AND (n < 3 OR l2 IS NOT NULL) GROUP BY 1, 2, 3, 4, 5),
- dense AS (SELECT qid, alt, id, sum(CASE WHEN field = 'h' THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END / (z - a + 1)) AS score FROM stretch GROUP BY 1, 2, 3),
+ dense AS (SELECT qid, alt, id, sum(CASE WHEN field = 'h' THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END / (1 + greatest(0, z - a + 1 - n))) AS score FROM stretch GROUP BY 1, 2, 3),
  ft AS (SELECT qid, id, round(max(coalesce(score, 0.1::DOUBLE * (n_h + 0.4::DOUBLE * (n - n_h)))), 9) AS score FROM hit LEFT JOIN dense USING (qid, alt, id) GROUP BY 1, 2)"""
 
 

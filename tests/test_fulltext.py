@@ -48,7 +48,10 @@ def test_search_without_an_index(spark, texts):
 def test_shortest_stretches(spark):
     # a at 0, 3; b at 1, 5: stretches 0..1, 1..3 and 3..5
     text, parsed = ["a", "b", "x", "a", "x", "b"], lexical.parse_query("a b", "simple")
-    assert lexical.rank(parsed, [], text) == pytest.approx(0.4 * (1 / 2 + 1 / 3 + 1 / 3))
+    assert lexical.rank(parsed, [], text) == pytest.approx(0.4 * (1 + 1 / 2 + 1 / 2))  # one more than the places in between that hold none
+    pair = lexical.parse_query("graph walk", "simple")
+    near, wide = (lexical.rank(pair, [], lexical.terms(t, "simple")) for t in ("graph walk", "graph a b walk " + "c " * 9 + "graph a b walk"))
+    assert near == pytest.approx(0.4) and wide == pytest.approx(0.4 * (1 / 3 + 1 / 3 + 1 / 10))  # one pair side by side before two that are four wide
 
 
 def test_empty_table(spark):
