@@ -22,12 +22,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 SYMBOL = r"(?:\$(?P<latex{0}>[^$\n]{{1,60}})\$|(?P<bare{0}>[A-Za-zΑ-Ωα-ω](?:_\{{?[A-Za-z0-9]+\}}?)?))"
 #: What a description runs up to: the end of a clause, or what another definition begins with.
 TOLD = r"(?P<told{0}>(?:the|a|an|its|their|some|any)\s[^.,;:\n]{{2,160}}?)(?=[.,;:\n]|\s+and\s+(?:where|let)\b|$)"
-#: Sentences that define a symbol, symbol first or last.
+#: Sentences that define a symbol, symbol first or last. An article is a word on the line of what it goes with; after `and`, a letter that is a word by itself is no symbol without a mark.
 DEFINITIONS = (
     rf"\b[Ll]et\s+{SYMBOL.format(1)}\s+(?:denote|be|represent|stand\s+for)\s+{TOLD.format(1)}",
-    rf"\b(?:[Ww]here|[Hh]ere|and)\s+{SYMBOL.format(2)}\s+(?:is|are|denotes?|represents?|stands\s+for)\s+{TOLD.format(2)}",
+    rf"\b(?:[Ww]here|[Hh]ere|and(?!\s+[aAI]\s))\s+{SYMBOL.format(2)}\s+(?:is|are|denotes?|represents?|stands\s+for)\s+{TOLD.format(2)}",
     rf"\b[Dd]enote\s+by\s+{SYMBOL.format(3)}\s+{TOLD.format(3)}",
-    rf"(?P<told4>(?:[Tt]he|[Aa]n?)\s[^.,;:\n]{{2,160}}?)\s+(?:is|are)\s+denoted\s+(?:by|as)\s+{SYMBOL.format(4)}(?![A-Za-z])",
+    rf"(?P<told4>\b(?:[Tt]he|[Aa]n?)[^\S\n][^.,;:\n]{{2,160}}?)\s+(?:is|are)\s+denoted\s+(?:by|as)\s+{SYMBOL.format(4)}(?![A-Za-z])",
 )
 DEFINITION = re.compile("|".join(DEFINITIONS))
 YEAR = re.compile(r"\b((?:19|20)\d{2})[a-z]?\b")

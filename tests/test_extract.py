@@ -16,6 +16,14 @@ def test_definitions():
         assert [(s, d) for s, _, d in extract.definitions(text)] == want, text
 
 
+def test_articles_are_words():
+    for end in ("words with a", "palabras de la", "one of the", "an"):
+        assert [x[0::2] for x in extract.definitions(f"{end}\nThe mean of it is denoted by m_k. Go on")] == [("m_k", "The mean of it")], end
+    told = "thing and a is a word, and b is a start, where a is the end, and $a$ is the rest"
+    assert [x[0::2] for x in extract.definitions(told)] == [("b", "a start"), ("a", "the end"), ("a", "the rest")]
+    assert [x[0::2] for x in extract.definitions("data rate is denoted by r, the beta rate is denoted by b.")] == [("b", "the beta rate")]
+
+
 def test_metadata():
     cases = {
         "Altafini, C. and Beale, J. T. (1984). On the flow of things. Physica D 7, 1999": (1984, ["Altafini", "Beale"], "On the flow of things"),
