@@ -17,7 +17,7 @@ def _c(x: Column | str) -> Column:
 
 def jtrim(x: Column | str) -> Column:
     """Strips every character up to U+0020 at both ends."""
-    return F.regexp_replace(_c(x), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(_c(x), F.lit("".join(map(chr, range(33)))))
 
 
 def collapse(x: Column | str) -> Column:
@@ -142,10 +142,9 @@ REFERENCES, STANDARD, STANDARD_START = ("references", "bibliography"), ("abstrac
 #: Headings of a publisher's own, those of them that open a block of such text, and front matter by its beginning, a part of it, or the whole.
 BLOCK_OPENERS = ("paper", "affiliations", "contents", "aip advances", "why publish with us", "you may also like", "articles you may be interested in")
 NOISE_HEADINGS = (*BLOCK_OPENERS, "a preprint", "preprint", "cc creative commons", "common deed", "commons deed")
-FRONT_START = ("to cite this article", "view the article online", "check for updates", "research article \\|", "cite as:", "submitted:", "published online:", "received:", "accepted:")
+FRONT_START = ("to cite this article", "view the article online", "check for updates", "research article |", "cite as:", "submitted:", "published online:", "received:", "accepted:")
 FRONT_PART = ("creative commons", "commons deed", "legal code", "disclaimer", "all rights reserved", "著作权", "저작권", "비영리")
-FRONT_WHOLE = ("chorus", "aip publishing", "learn more", r"\d{1,2}\s+[a-z]+\s+\d{4}\s+\d{1,2}:\d{2}:\d{2}")
-FRONT = rf"^(?:{'|'.join(FRONT_START)})|{'|'.join(FRONT_PART)}|^(?:{'|'.join(FRONT_WHOLE)})$"
+FRONT_WHOLE = r"^(?:chorus|aip publishing|learn more|\d{1,2}\s+[a-z]+\s+\d{4}\s+\d{1,2}:\d{2}:\d{2})$"
 IMAGE = r"^!\[[^\]]*\]\([^)]+\)\s*$"
 #: What a page's header or footer holds, what it never looks like, and how long it may be.
 JOURNAL = (
@@ -160,28 +159,34 @@ TITLE_LENGTH, TITLE_WORDS, QUOTES = 8, 3, 3
 
 def clean(x: Column | str) -> Column:
     """Longer runs of white space become one blank; ends are trimmed; quotes around the whole go, up to QUOTES pairs."""
-    text = jtrim(F.regexp_replace(_c(x), r"\s{2,}", " "))
-    inner = text
-    for _ in range(QUOTES):
-        inner = let(inner, lambda t: F.when(t.rlike(r'(?s)^(?:".*"|“.*”)$'), jtrim(F.substr(t, F.lit(2), F.length(t) - 2))).otherwise(t))
-    return F.when(text.rlike('^["“]'), inner).otherwise(text)
+
+    def bare(text: Column) -> Column:
+        inner = text
+        for _ in range(QUOTES):
+            inner = let(inner, lambda t: F.when(t.rlike(r'(?s)^(?:".*"|“.*”)$'), jtrim(F.substr(t, F.lit(2), F.length(t) - 2))).otherwise(t))
+        return F.when(text.startswith('"') | text.startswith("“"), inner).otherwise(text)
+
+    return let(jtrim(F.regexp_replace(_c(x), r"\s{2,}", " ")), bare)
 
 
 def heading_text(line: Column | str) -> Column:
     """The line without marks of a heading."""
-    return clean(F.regexp_replace(jtrim(line), MARKED, ""))
+    return clean(F.when(jtrim(line).startswith("#"), F.regexp_replace(jtrim(line), MARKED, "")).otherwise(jtrim(line)))
 
 
 def clean_title(text: Column) -> Column:
     """A title without the marks that publishers put after it."""
-    told = clean(text)
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(told, r"\s+\*$", ""), r"(?i)\s+(?:FREE|EP)$", ""), r"\s*[☐☑✓✔]\s*$", "")
-    return F.when(told.rlike(r"(?i)(?:\s\*|\s(?:FREE|EP)|[☐☑✓✔]\s*)$"), jtrim(bare)).otherwise(told)
+
+    def bare(told: Column) -> Column:
+        without = F.regexp_replace(F.regexp_replace(F.regexp_replace(told, r"\s+\*$", ""), r"(?i)\s+(?:FREE|EP)$", ""), r"\s*[☐☑✓✔]\s*$", "")
+        return F.when(F.right(told, F.lit(6)).rlike(r"(?i)(?:\s\*|\s(?:FREE|EP)|[☐☑✓✔]\s*)$"), jtrim(without)).otherwise(told)
+
+    return let(clean(text), bare)
 
 
 def heading_key(text: Column | str) -> Column:
     """A heading's text for comparison."""
-    return F.lower(clean_title(F.regexp_replace(_c(text), r"^#+\s*", "")))
+    return F.lower(clean_title(F.when(_c(text).startswith("#"), F.regexp_replace(_c(text), r"^#+\s*", "")).otherwise(_c(text))))
 
 
 def is_standard(key: Column) -> Column:
@@ -189,7 +194,11 @@ def is_standard(key: Column) -> Column:
 
 
 def is_front_matter(text: Column) -> Column:
-    return F.lower(text).rlike(FRONT) | text.rlike(IMAGE)
+
+    def front(low: Column) -> Column:
+        return reduce(lambda a, b: a | b, [low.startswith(x) for x in FRONT_START] + [low.contains(x) for x in FRONT_PART]) | low.rlike(FRONT_WHOLE)
+
+    return let(F.lower(text), front) | (text.startswith("!") & text.rlike(IMAGE))
 
 
 def is_noise(text: Column, key: Column) -> Column:
@@ -216,6 +225,11 @@ def latin_words(text: Column) -> Column:
     return F.size(F.filter(F.split(clean_title(text), r"\s+"), lambda w: w.rlike("[A-Za-z]{2}")))
 
 
+def has_latin_words(text: Column, n: int) -> Column:
+    """latin_words(text) >= n, told from as much of the text as that takes."""
+    return clean_title(text).rlike(rf"^(?:[^A-Za-z]*+(?:[A-Za-z](?![A-Za-z])[^A-Za-z]*+)*+[A-Za-z]{{2}}\S*+){{{n}}}")
+
+
 def line_kind(line: Column | str, after_references: Column) -> Column:
     """One of twelve kinds; the first that fits."""
     text = heading_text(line)

@@ -95,7 +95,7 @@ def decide_headings(flags: DataFrame) -> DataFrame:
     number; a task folds its documents one after another, as batches come, so no document is held whole.
     """
     title = T.is_title(F.col("text"), F.col("key"), F.col("kind"))
-    wordy = F.when(title, T.latin_words(F.col("text")) >= T.TITLE_WORDS)
+    wordy = F.when(title, T.has_latin_words(F.col("text"), T.TITLE_WORDS))
     rows = flags.select("doc", "ln", "line", "kind", "text", "key", T.is_standard(F.col("key")).alias("standard"), title.alias("title"), wordy.alias("wordy"))
     return rows.repartition("doc").sortWithinPartitions("doc", "ln").mapInPandas(_decide, f"doc {flags.schema['doc'].dataType.simpleString()}, {DECISION}")
 

@@ -36,6 +36,18 @@ def test_rules(spark, lines, want):
     assert decided(spark, FRONT + lines)[3:] == want
 
 
+def test_patterns_stand_once_in_the_plan(spark):
+    plan = structure.line_flags(spark.createDataFrame([("d", 0, "x")], "doc string, ln int, line string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\s{2,}") <= 4, "a line's blanks are folded in heading_text, in heading_key and, where it has a number, in kind_of"
+
+
+def test_words_and_trims(spark):
+    cases = {"one two three": 3, "one two": 2, "a b c d": 0, "x1y ab-c de": 2, "one 2 two 中文 tré": 3, "one two FREE": 2, "  ab\n cd\tef ": 3, "x" * 100_000: 1, "a " * 50_000: 0, "": 0}
+    rows = spark.createDataFrame(list(cases.items()), "t string, n int")
+    got = rows.select("n", T.latin_words(F.col("t")).alias("m"), *[T.has_latin_words(F.col("t"), k).alias(f"h{k}") for k in (1, 2, 3)], T.jtrim(F.concat(F.lit("\x00 \n"), "t", F.lit("\u00a0\x1f\r"))).alias("u")).collect()
+    assert all(r.m == r.n and [r.h1, r.h2, r.h3] == [r.n >= k for k in (1, 2, 3)] and r.u[-1] == "\u00a0" and r.u[0] not in "\x00 \n" for r in got)
+
+
 def test_before_the_title(spark):
     got = decided(spark, ["", "## Abstract", "short", "a bare line of words", "", "Abstract. It all goes.", "## Odd"])
     assert [a for a, *_ in got] == ["DROP", "DROP", "DROP", "HEADING", "TEXT", "SPLIT", "HEADING"]
