@@ -7,29 +7,34 @@ that lie nearest to it, so its work grows with rows x probes x rows a list.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+#: Rows of a side that meet at a time; of a row's candidates for its k best in single precision, so many times k at most are worked out one by one.
+BLOCK, FEW = 2048, 16
+#: Bytes of the left vectors that a task holds, about.
+HELD = 32 << 20
 
 
-def _doubles(vectors: pd.Series) -> np.ndarray:
-    m = np.stack(vectors.to_numpy()).astype(np.float64)
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows of a list column as doubles, a null as no number. All are of one length."""
+    n = len(vectors)
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if n and (m.size % n or np.ptp(np.diff(vectors.offsets.to_numpy()))):
+        raise ValueError("vectors are of one length")
+    return m.reshape(n, -1)
 
 
-def _blocks(rows: DataFrame, id_col: str, vector_col: str, n: int, prefix: str) -> DataFrame:
-    dealt = rows.filter(F.col(vector_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({f"{prefix}_block": [pdf["block"].iloc[0]], f"{prefix}_ids": [pdf["id"].to_numpy(np.int64).tobytes()], f"{prefix}_m": [_doubles(pdf["v"]).tobytes()]})
-
-    return dealt.groupBy("block").applyInPandas(pack, f"{prefix}_block bigint, {prefix}_ids binary, {prefix}_m binary")
+def _unit_doubles(vectors: pa.Array) -> np.ndarray:
+    m = _matrix(vectors)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 def best(s: np.ndarray, k: int, ids: np.ndarray) -> np.ndarray:
@@ -45,36 +50,127 @@ def best(s: np.ndarray, k: int, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ranked(pairs: DataFrame, k: int, above: float) -> DataFrame:
-    """The k best of each left row in pairs of packed blocks."""
-
-    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for _, row in pdf.iterrows():
-                li, ri = (np.frombuffer(row[c], np.int64) for c in ("l_ids", "r_ids"))
-                lm, rm = (np.frombuffer(row[c]).reshape(n, -1) for c, n in (("l_m", li.size), ("r_m", ri.size)))
-                s = lm @ rm.T
-                s[li[:, None] == ri] = -np.inf
-                s[np.isnan(s)] = -np.inf
-                fit = best(s, k, ri) & (s > above)
-                rows, at = np.nonzero(fit)
-                yield pd.DataFrame({"id": li[rows], "neighbour": ri[at], "similarity": s[rows, at]})
+class _Best:
+    """The k best so far of some left rows, as right blocks come: single precision tells which pairs can be among them, doubles decide."""
+
+    def __init__(self, ids: np.ndarray, m: np.ndarray, k: int, above: float) -> None:
+        self.ids, self.m, self.k, self.above = ids, m, k, above
+        self.small, self.slack = m.astype(np.float32), (m.shape[1] + 8) * 2.0**-23
+        self.least = np.full(ids.size, above)
+        self.kept = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))  # row, rounded similarity, id, similarity
+
+    def meet(self, ids: np.ndarray, m: np.ndarray, small: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """rows: places of the left rows that meet this block; by default all."""
+        at = np.arange(self.ids.size) if rows is None else rows
+        s = (self.small if rows is None else self.small[at]) @ small.T
+        fit = s >= (self.least[at] - self.slack).astype(np.float32)[:, None]
+        many = np.flatnonzero(np.count_nonzero(fit, axis=1) > FEW * self.k)
+        fit[many] = False
+        parts = [np.nonzero(fit)]
+        for a in range(0, many.size, 256):
+            some = many[a : a + 256]
+            t = self.m[at[some]] @ m.T
+            t[(self.ids[at[some]][:, None] == ids) | np.isnan(t)] = -np.inf
+            r, c = np.nonzero(best(t, self.k, ids) & (t > self.above))
+            parts.append((some[r], c))
+        row, col = (np.concatenate(x) for x in zip(*parts))
+        exact = np.einsum("ij,ij->i", self.m[at[row]], m[col])
+        good = (exact > self.above) & (self.ids[at[row]] != ids[col])
+        if good.any():
+            found = (at[row][good], np.floor(exact[good] * 1e9 + 0.5), ids[col][good], exact[good])
+            self.keep(*(np.concatenate(x) for x in zip(self.kept, found)))
+
+    def keep(self, row: np.ndarray, rounded: np.ndarray, ids: np.ndarray, exact: np.ndarray) -> None:
+        order = np.lexsort((ids, -rounded, row))
+        row = row[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        place = np.arange(row.size) - np.repeat(first, np.diff(np.append(first, row.size)))
+        stays = place < self.k
+        self.kept = (row[stays], *(x[order][stays] for x in (rounded, ids, exact)))
+        last = place == self.k - 1
+        self.least[row[last]] = np.maximum(self.above, (rounded[order][last] - 1) / 1e9)
+
+
+def _ranked(left: DataFrame, right: DataFrame, cells: int, k: int, above: float, meets: Callable[[np.ndarray, int], np.ndarray] | None = None, groups: int = 1) -> DataFrame:
+    """The k best of each left row, by (cell, id, v) of the left and (cell, list, id, v) of the right.
+
+    A cell's rows are dealt to one task and come sorted, left ones first: these are held, in chunks of BLOCK rows, and right ones pass by in blocks of
+    at most BLOCK, so a task holds the left rows of one cell. With meets, which gives the lists of each left vector among a cell's (every one of `groups`), only rows with a block's list meet it.
+    """
 
-    found = pairs.mapInPandas(multiply, "id bigint, neighbour bigint, similarity double")
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, lists = None, [], []
+
+        def results() -> Iterator[pa.RecordBatch]:
+            for x in held:
+                row, _, ids, exact = x.kept
+                yield pa.RecordBatch.from_arrays([pa.array(x.ids[row]), pa.array(ids), pa.array(exact)], ["id", "neighbour", "similarity"])
+
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("cell", "list")])
+            for a, z in _runs(key):
+                if key[0, a] != cell:
+                    yield from results()
+                    cell, held, lists = key[0, a], [], []
+                part = batch.slice(a, z - a)
+                ids, m = part.column("id").to_numpy(), _unit_doubles(part.column("v"))
+                if key[1, a] < 0:
+                    held.append(_Best(ids, m, k, above))
+                    if meets:
+                        lists.append(meets(m, int(cell)))
+                    continue
+                small = m.astype(np.float32)
+                for x, own in zip(held, lists or [None] * len(held)):
+                    rows = None if own is None else np.flatnonzero(own[:, key[1, a] // groups])
+                    if rows is None or rows.size:
+                        x.meet(ids, m, small, rows)
+        yield from results()
+
+    both = left.select("cell", F.lit(-1).alias("list"), "id", "v").unionByName(right.select("cell", "list", "id", "v"))
+    # a number of partitions of its own, and few cells that share one: small cells are much work, and are not to be put together
+    dealt = both.repartition(4 * cells, "cell").sortWithinPartitions("cell", "list")
+    found = dealt.mapInArrow(multiply, "id bigint, neighbour bigint, similarity double")
     order = W.partitionBy("id").orderBy(F.round("similarity", 9).desc(), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of stretches of BLOCK rows or less whose keys are equal."""
+    ends = np.flatnonzero((np.diff(key, axis=1) != 0).any(axis=0)) + 1
+    for a, z in zip([0, *ends], [*ends, key.shape[1]]):
+        yield from ((b, min(b + BLOCK, z)) for b in range(a, z, BLOCK))
+
+
+def _rows(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    return rows.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+
+
+def _grid(spark: SparkSession, n_left: int, n_right: int, dims: int, block: int) -> tuple[int, int]:
+    """Groups of left and of right rows. Each row goes to all groups of the other side, so cells are about as many as keep all cores at work, and
+    more only where a left group would pass HELD bytes."""
+    cells = 4 * spark.sparkContext.defaultParallelism
+    most_left, most_right = (max(1, -(-n // block)) for n in (n_left, n_right))
+    lefts = min(most_left, math.ceil(math.sqrt(cells * n_left / max(1, n_right))), cells)
+    lefts = max(1, lefts, math.ceil(n_left * dims * 4 / HELD))
+    return lefts, max(1, min(most_right, math.ceil(cells / lefts)))
+
+
+def _dims(rows: DataFrame) -> int:
+    first = rows.select(F.size("v")).first()
+    return first[0] if first else 1
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int = 3, above: float = 0.4, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """id, neighbour, similarity, rank: each left row's k nearest right rows of another id with similarity over `above`.
 
-    Blocks of the left go to each block of the right (a number list, not a cross join of rows); a task returns k rows
-    a query and block at most.
+    Groups of the left meet groups of the right, each pair in a task of its own, which returns k rows a left row at most. `block`: rows of a group at least.
     """
-    n_left, n_right = (max(1, -(-d.count() // block)) for d in (left, right))
-    a = _blocks(left, id_col, vector_col, n_left, "l").withColumn("r_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))))
-    pairs = a.join(_blocks(right, id_col, vector_col, n_right, "r"), "r_block").select("l_ids", "l_m", "r_ids", "r_m")
-    return _ranked(pairs, k, above)
+    a, b = (_rows(d, id_col, vector_col) for d in (left, right))
+    lefts, rights = _grid(left.sparkSession, a.count(), b.count(), _dims(a), block)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    hashed = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    spread = a.select("*", every(rights).alias("r")).select((hashed(lefts) * rights + F.col("r")).alias("cell"), "id", "v")
+    return _ranked(spread, b.select("*", every(lefts).alias("l")).select((F.col("l") * rights + hashed(rights)).alias("cell"), F.lit(0).alias("list"), "id", "v"), lefts * rights, k, above)
 
 
 #: Rows that the lists' centres are fitted on, about, by hash; rows a list, about; lists at most; rounds of their fit.
@@ -108,30 +204,32 @@ def centres(rows: DataFrame, id_col: str = "id", vector_col: str = "embedding",
     return found
 
 
-def _listed(rows: DataFrame, id_col: str, vector_col: str, found: np.ndarray, probes: int) -> DataFrame:
-    """list, id, v: each row with the lists whose centres are nearest."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                s = _unit(pdf["v"]) @ found.T
-                at = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
-                again = np.repeat(np.arange(len(pdf)), probes)
-                yield pd.DataFrame({"list": at.ravel().astype(np.int64), "id": pdf["id"].to_numpy()[again], "v": pdf["v"].to_numpy()[again]})
-
-    some = rows.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
-    return some.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).mapInPandas(run, "list bigint, id bigint, v array<float>")
+def _lists(m: np.ndarray, found: np.ndarray, probes: int) -> np.ndarray:
+    """A mask of the `probes` lists nearest to each unit vector."""
+    s = m.astype(np.float32) @ found.T
+    out = np.zeros(s.shape, bool)
+    np.put_along_axis(out, np.argpartition(-s, probes - 1, axis=1)[:, :probes], True, axis=1)
+    return out
 
 
-def _list_blocks(listed: DataFrame, block: int, prefix: str) -> tuple[DataFrame, DataFrame]:
-    """Packed blocks of every list, and (list, n): how many a list has. A list of any size is cut by hash."""
-    sizes = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
-    dealt = listed.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))  # a row a list: MOST_LISTS at most
+def _listed(rows: DataFrame, id_col: str, vector_col: str, found: np.ndarray, probes: int, groups: int) -> DataFrame:
+    """r, list, id, v: each row with its nearest list and that list's group (probes of 0), or with every group that has one of its `probes` lists."""
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"list": [pdf["list"].iloc[0]], f"{prefix}_block": [pdf["block"].iloc[0]], f"{prefix}_ids": [pdf["id"].to_numpy(np.int64).tobytes()], f"{prefix}_m": [_doubles(pdf["v"]).tobytes()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                own = _lists(_unit_doubles(part.column("v")), found, max(probes, 1))
+                if probes:
+                    row, r = np.nonzero(np.stack([own[:, g::groups].any(axis=1) for g in range(groups)], axis=1))
+                    at = np.full(row.size, -1)
+                else:
+                    row, at = np.nonzero(own)
+                    r = at % groups
+                again = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(at, pa.int32()), again.column("id"), again.column("v")], ["r", "list", "id", "v"])
 
-    return dealt.groupBy("list", "block").applyInPandas(pack, f"list bigint, {prefix}_block bigint, {prefix}_ids binary, {prefix}_m binary"), sizes
+    return _rows(rows, id_col, vector_col).mapInArrow(run, "r int, list int, id bigint, v array<float>")
 
 
 def enough_probes(left: DataFrame, right: DataFrame, found: np.ndarray, k: int = 3, above: float = 0.4, id_col: str = "id", vector_col: str = "embedding", recall: float = RECALL, queries: int = MEASURED) -> int:
@@ -157,7 +255,12 @@ def nearest_listed(left: DataFrame, right: DataFrame, k: int = 3, above: float =
     if not len(found):
         return left.sparkSession.createDataFrame([], "id bigint, neighbour bigint, similarity double, rank int")
     probes = enough_probes(left, right, found, k, above, id_col, vector_col) if probes is None else probes
-    b, sizes = _list_blocks(_listed(right, id_col, vector_col, found, 1), block, "r")
-    a, _ = _list_blocks(_listed(left, id_col, vector_col, found, min(probes, len(found))), block, "l")
-    spread = a.join(F.broadcast(sizes), "list").withColumn("r_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    return _ranked(spread.join(b, ["list", "r_block"]).select("l_ids", "l_m", "r_ids", "r_m"), k, above)
+    probes = min(probes, len(found))
+    a, b = (_rows(d, id_col, vector_col) for d in (left, right))
+    lefts, rights = _grid(left.sparkSession, a.count(), b.count(), found.shape[1], block)
+    rights = min(rights, len(found))
+    hashed = F.pmod(F.xxhash64("id"), F.lit(lefts)).cast("int")
+    spread = _listed(left, id_col, vector_col, found, probes, rights).select((hashed * rights + F.col("r")).alias("cell"), "id", "v")
+    again = F.explode(F.sequence(F.lit(0), F.lit(lefts - 1)))
+    held = _listed(right, id_col, vector_col, found, 0, rights).select("*", again.alias("l")).select((F.col("l") * rights + F.col("r")).alias("cell"), "list", "id", "v")
+    return _ranked(spread, held, lefts * rights, k, above, lambda m, cell: _lists(m, found, probes)[:, cell % rights :: rights], rights)

@@ -39,3 +39,18 @@ def test_probes_follow_the_data(spark):
 def test_empty(spark, rows):
     none = rows.limit(0)
     assert knn.nearest_listed(none, none).count() == 0 and knn.nearest_listed(none, rows).count() == 0 and knn.nearest_listed(rows, none).count() == 0
+
+
+def test_grid_moves_no_more_than_its_sides(spark):
+    cores = spark.sparkContext.defaultParallelism
+    for n in (50_000, 600_000):
+        lefts, rights = knn._grid(spark, n, n, 64, knn.BLOCK)
+        assert lefts + rights <= 2 * (4 * cores) ** 0.5 + 2, "each row is sent to every group of the other side: their number does not grow with the rows"
+    assert knn._grid(spark, 200, 3_000_000, 256, knn.BLOCK)[0] == 1
+    assert knn._grid(spark, 50_000_000, 1000, 64, knn.BLOCK)[0] * knn.HELD >= 50_000_000 * 64 * 4
+
+
+def test_no_number_and_ties(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [0.5, 0.1])], "id long, embedding array<float>")
+    near = {k: [n for i, n, _ in sorted(found(knn.nearest(rows, rows, k=2, above=0.2)), key=lambda x: x[2]) if i == k] for k in range(1, 7)}
+    assert near == {1: [2, 3], 2: [1, 3], 3: [1, 2], 4: [], 5: [], 6: [1, 2]}
