@@ -130,12 +130,27 @@ def rank(query: list[list[tuple[tuple[str, ...], bool]]], heading: list[str], bo
 TERMS = 1000
 
 
+#: Words of a batch that are grouped at a time, about: a text of more is taken alone.
+PORTION = 200_000
+
+
+def _portions(batch: pa.RecordBatch, field: str) -> Iterator[pa.RecordBatch]:
+    """A batch in stretches of rows with PORTION words or less, or one row."""
+    sizes = batch.column(field).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, a = np.cumsum(sizes), 0
+    while a < sizes.size:
+        before = ends[a] - sizes[a]
+        z = max(a + 1, int(np.searchsorted(ends, before + PORTION, side="right")))
+        yield batch.slice(a, z - a)
+        a = z
+
+
 def _postings(ids: pa.Array, words: pa.ListArray, field: str, english: bool) -> pa.RecordBatch:
     """id, field, term, at of a batch: words by number, then one stable sort by row and term."""
     words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
     coded = words.flatten().dictionary_encode()
     codes, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-    sizes = np.diff(words.offsets.to_numpy())
+    sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(words)), sizes)
     at = np.arange(codes.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     if english:  # a stop word goes and keeps its position
@@ -162,7 +177,8 @@ def index(rows: DataFrame, id_col: str, heading_col: str, body_col: str, config:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for field in ("h", "b"):
-                yield _postings(batch.column("id"), batch.column(field), field, config != "simple")
+                for part in _portions(batch, field):
+                    yield _postings(part.column("id"), part.column(field), field, config != "simple")
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *words).mapInArrow(run, f"id {kind}, field string, term string, at array<int>")

@@ -57,3 +57,15 @@ def test_shortest_stretches(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "id bigint, heading string, body string")
     assert lexical.match(lexical.index(none, "id", "heading", "body"), spark.createDataFrame(QUERIES, "qid int, query string")).count() == 0
+
+
+def test_portions_hold_every_row(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lexical, "PORTION", 5)
+    told = [["a", "b"], [], ["c"] * 9, ["d", "e"], ["f"], ["g", "h"], [], ["i"] * 5, []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(told, pa.list_(pa.string()))], ["id", "h"])
+    parts = list(lexical._portions(batch, "h"))
+    assert [x for p in parts for x in p.column("id").to_pylist()] == list(range(9)) and all(p.num_rows == 1 or sum(map(len, p.column("h").to_pylist())) <= 5 for p in parts)
+    found = [r for p in parts for r in lexical._postings(p.column("id"), p.column("h"), "h", False).to_pylist()]
+    assert found == lexical._postings(batch.column("id"), batch.column("h"), "h", False).to_pylist() and len(parts) < 9
