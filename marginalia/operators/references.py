@@ -31,10 +31,11 @@ def entries(refs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
     """
     broken = F.split(F.regexp_replace(F.col(text_col), GLUED, "\n$1"), "\n")
     rows = refs.select(F.col(doc_col).alias("doc"), F.posexplode(broken).alias("ln", "line")).filter(~T.blank("line")).withColumn("line", T.jtrim("line"))
-    number = F.nullif(F.concat(*[F.regexp_extract("line", NUMBERED, g) for g in range(1, 5)]), F.lit(""))
-    author = F.when(F.col("line").rlike(AUTHOR_YEAR), F.concat_ws(" ", surname(F.regexp_extract("line", AUTHOR_YEAR, 1)), F.regexp_extract("line", AUTHOR_YEAR, 2)))
+    rows = rows.withColumn("mark", F.regexp_extract("line", NUMBERED, 0))  # one search a line: its number and its rest follow from what was found
+    number = F.nullif(F.regexp_extract("mark", r"\d+", 0), F.lit(""))
+    author = F.when(F.col("line").rlike(AUTHOR_YEAR), F.concat_ws(" ", T.let(F.regexp_extract("line", AUTHOR_YEAR, 1), surname), F.regexp_extract("line", AUTHOR_YEAR, 2)))
     rows = rows.withColumn("number", number).withColumn("ref_index", F.coalesce("number", author))
-    rows = rows.withColumn("line", F.when(F.col("number").isNotNull(), F.regexp_replace("line", NUMBERED, "")).otherwise(F.col("line")))
+    rows = rows.withColumn("line", F.when(F.col("number").isNotNull(), F.substr("line", F.length("mark") + 1)).otherwise(F.col("line"))).drop("mark")
     rows = rows.withColumn("seq", F.sum(F.col("ref_index").isNotNull().cast("int")).over(W.partitionBy("doc").orderBy("ln"))).filter("seq > 0")
     told = rows.groupBy("doc", "seq").agg(F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("rows"), F.max("ref_index").alias("ref_index"))
     text = T.jtrim(F.array_join(F.transform("rows", lambda r: r["line"]), " "))

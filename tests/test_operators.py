@@ -119,6 +119,11 @@ def test_citations(spark):
         assert one(spark, T.author_year_citations(F.lit(text))) == want
 
 
+def test_a_reference_line_is_searched_once_for_its_number(spark):
+    plan = references.entries(spark.createDataFrame([(1, "[1] A")], "d int, t string"), "d", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<sup>") == 1
+
+
 def test_reference_entries(spark):
     texts = [
         "[1] First work\ngoes on. [2] Second Work.\nSmith, J. (2001) Third.", "12 R. 50586 2. R. C. Other; 3. Next one", "J. T. Beale (1984). Title\nBeale et al. (1985) More\nno (1986)entry", "words\n\nand more",
