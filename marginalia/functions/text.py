@@ -22,7 +22,8 @@ def jtrim(x: Column | str) -> Column:
 
 def collapse(x: Column | str) -> Column:
     """Runs of white space become one space, ends are trimmed."""
-    return jtrim(F.regexp_replace(_c(x), r"\s+", " "))
+    # a single space is no match, as it would only be replaced by itself
+    return jtrim(F.regexp_replace(_c(x), r"\s(?:\s+|(?<! ))", " "))
 
 
 def blank(x: Column | str) -> Column:

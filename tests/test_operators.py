@@ -1,5 +1,6 @@
 """Properties of single operators on small hand-written rows."""
 
+import random
 import re
 import uuid
 from hashlib import md5
@@ -103,6 +104,56 @@ def test_page_location_order_and_anchors(spark):
     assert [got[1, k] for k in range(9)] == [(1, 1), (3, 3), (1, 1), (2, 2), none, none, none, (2, 4), (3, 3)] and got[2, 0] == none
 
 
+def located(blocks, told):
+    """Plain code for one document: (start, end) for each chunk."""
+    bare = lambda x: re.sub(r"[ \t\n\x0b\f\r]+", " ", x or "").strip("".join(map(chr, range(33))))
+    spans, source, after, out = [], "", 0, []
+    for text, page in blocks:
+        if bare(text):
+            source += " " if source else ""
+            spans.append((len(source), len(source) + len(bare(text)), page + 1))
+            source += bare(text)
+    page = lambda at: next((p for a, z, p in spans if a <= at < z), None)
+    for t in map(bare, told):
+        hit = source.find(t[:180], after) if len(t) >= 24 else -1
+        hit = source.find(t[:100], after) if hit < 0 and len(t) > 100 else hit
+        hit = source.find(t[: 100 if len(t) > 100 else 180]) if hit < 0 and len(t) >= 24 else hit
+        after = hit + 1 if hit >= 0 else after
+        out.append((page(hit), page(max(hit, min(len(source), hit + len(t)) - 1))) if hit >= 0 else (None, None))
+    return out
+
+
+def test_page_location_against_plain_code(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choice(("alpha", "beta", "the", "größe", "\U0001d54f", "word,", "of", "\\E", "(.*", "\x01", "")) for _ in range(r.randint(0, 60))) for _ in range(9)]
+    pages, rows = {}, {}
+    for doc in range(60):
+        pages[doc] = [(r.choice(texts) + r.choice(("", " \n", "\t\x02", "\u00a0")), k // 3) for k in range(r.randint(1, 20))]
+        whole = r.choice((" ", "  \n")).join(x for x, _ in pages[doc])
+        cuts = [r.randint(0, len(whole)) for _ in range(25)]
+        rows[doc] = [whole[a : a + r.choice((20, 24, 90, 100, 101, 150, 180, 181, 500))] + r.choice(("", "", " and more that is not there")) for a in cuts]
+    blocks = spark.createDataFrame([(doc, k, x, p) for doc in pages for k, (x, p) in enumerate(pages[doc])], "doc long, seq int, text string, page_index int")
+    chunks = spark.createDataFrame([(doc, k, x) for doc in rows for k, x in enumerate(rows[doc])], "doc long, chunk_index int, content string")
+    got = {(x.doc, x.chunk_index): (x.page_start, x.page_end) for x in chunking.locate_pages(chunks, blocks).collect()}
+    assert got == {(doc, k): x for doc in pages for k, x in enumerate(located(pages[doc], rows[doc]))}
+    assert len(set(got.values())) > 10
+
+
+def test_page_location_searches_once(spark):
+    blocks = spark.createDataFrame([(1, 0, "a page", 0)], "doc long, seq int, text string, page_index int")
+    chunks = spark.createDataFrame([(1, 0, "a text")], "doc long, chunk_index int, content string")
+    plan = chunking.locate_pages(chunks, blocks)._jdf.queryExecution().optimizedPlan().toString()
+    # the short anchor from here, the long one, the short one from the beginning: none is written out again where its place is used
+    assert plan.count("locate(") == 3
+
+
+def test_collapse(spark):
+    r = random.Random(3)
+    told = ["".join(r.choice(" \t\n\x0b\f\r\x00\x1f\x85\u00a0ab") for _ in range(r.randint(0, 12))) for _ in range(3000)]
+    rows = spark.createDataFrame([(x,) for x in told], "x string").select("x", T.collapse("x").alias("got"), T.jtrim(F.regexp_replace("x", r"\s+", " ")).alias("plain"))
+    assert not rows.filter("not got <=> plain").collect()
+
+
 def test_citations(spark):
     numbers = {
         "see [1, 3-5] and <sup>7</sup>, $^{9}$ or ^{11,12}; reversed [9-4]": ["1", "11", "12", "3", "4", "5", "7", "9"], "[007] [1 2] [3-] [-4] [5-6-] [1-2-3] [x1]": ["007", "5", "6"],
